@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_text import main_text
+from .media import media_columns, store
 from .near_dedup import near_duplicates
+from .pii import pseudonyms
+from .quality import fit_quality, score_quality
 from .session import table
 from .token_counts import token_counts
 
@@ -17,11 +21,35 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = store(table(spark, sf_dir, "documents"))
+    return media_columns(stored).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"
+    )
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms(table(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op4_media_columns": op4_media_columns,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op9_pii_pseudonyms": op9_pii_pseudonyms,
+    "op10_html_extraction": op10_html_extraction,
 }
