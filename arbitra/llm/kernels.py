@@ -79,16 +79,21 @@ class WordHasher:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hash of each word, index of the first word of each row and the end)."""
+        h, starts = self.hashes(data, offsets)
+        return h, np.searchsorted(starts, offsets)
+
+    def hashes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of each word, byte where it starts)."""
         n = len(data)
         if n == 0:
-            return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
+            return np.zeros(0, U64), np.zeros(0, np.int64)
         starts, ends = self.spans(data, offsets)
         self._powers(n)
         with np.errstate(over="ignore"):
             total = np.zeros(n + 1, U64)
             np.cumsum(self.value[data] * self.power[:n], out=total[1:])
             h = mix((total[ends] - total[starts]) * self.inverse[starts] + (ends - starts).astype(U64))
-        return h, np.searchsorted(starts, offsets)
+        return h, starts
 
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte positions where words start and end; no word crosses a row."""

@@ -92,7 +92,9 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _agree(prints: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Estimated similarity; one byte of each value agrees by chance in 1 of 256."""
+    """Estimated similarity; one byte of each value agrees by chance in 1 of 256. Plausible if there are no values."""
+    if not prints.shape[1]:
+        return np.full(len(i), PLAUSIBLE)
     same = (prints[i] == prints[j]).mean(axis=1)
     return (same - 1 / 256) / (1 - 1 / 256)
 
@@ -129,6 +131,10 @@ def _look_back(first: np.ndarray, node: np.ndarray, prints: np.ndarray, new: int
     return node[at[:, 0]], node[at[:, 1]]
 
 
+def _matrix(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), len(rows[0]))
+
+
 def _neighbours(window: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("part", pa.int32()), ("end", pa.int32()), ("at", pa.int32()), ("first", pa.int64()), ("prints", pa.binary())])
 
@@ -137,7 +143,7 @@ def _neighbours(window: int):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        first, node, prints = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, TREES * DEPTH), np.uint8)
+        first, node, prints = np.zeros(0, np.int64), np.zeros(0, np.int64), None
         seen = 0
 
         def ends(rows: slice, end: int) -> pa.RecordBatch:
@@ -154,7 +160,8 @@ def _neighbours(window: int):
             old = len(first)
             first = np.concatenate([first, batch.column(0).to_numpy()])
             node = np.concatenate([node, batch.column(1).to_numpy()])
-            prints = np.concatenate([prints, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(m, -1)])
+            more = _matrix(batch.column(2).to_pylist())
+            prints = more if prints is None else np.concatenate([prints, more])
             if seen < window:
                 yield ends(slice(old, old + window - seen), 0)
             seen += m
@@ -179,7 +186,7 @@ def _across(window: int):
             return
         border, end = rows["border"].to_numpy(), rows["end"].to_numpy()
         first, node = rows["first"].to_numpy(), rows["a"].to_numpy()
-        prints = np.frombuffer(b"".join(rows["prints"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+        prints = _matrix(rows["prints"].to_pylist())
         cut = np.flatnonzero(np.diff(border)) + 1
         for s, e in zip(np.append(0, cut), np.append(cut, len(border)), strict=True):
             new = int((end[s:e] == 1).sum())
@@ -191,7 +198,11 @@ def _across(window: int):
 
 
 def sorted_neighbours(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct candidate pairs (a < b) of ``rows(first, rest, node, prints)`` that stand close in its order."""
+    """Distinct candidate pairs (a < b) of ``rows(first, rest, node, prints)`` that stand close in its order.
+
+    Rows with equal ``first`` are a region, ``rest`` orders it, ``prints`` (of one
+    width, or all empty) rule out the implausible.
+    """
     spark = rows.sparkSession
     order = ["first", "rest", "node"]
     n = partitions(spark)
@@ -250,7 +261,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
         pairs.select(F.col("a").alias("doc_id"), F.col("a").alias("pivot")).distinct()
     )
     return (
-        ship.join(texts.select("doc_id", "packed"), "doc_id")
+        ship.hint("merge")
+        .join(texts.select("doc_id", "packed"), "doc_id")
         .repartition("pivot")
         .withColumn("later", F.col("doc_id") != F.col("pivot"))
         .sortWithinPartitions("pivot", "later")
