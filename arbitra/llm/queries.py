@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contamination
 from .html_text import main_text
+from .line_dedup import dedup_lines
 from .media import media_columns, store
+from .mixing import mixing_rates
 from .near_dedup import near_duplicates
 from .pii import pseudonyms
 from .quality import fit_quality, score_quality
 from .session import table
+from .threads import link_quotations
 from .token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +30,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store(table(spark, sf_dir, "documents"))
     return media_columns(stored).select(
@@ -33,10 +41,22 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotations(table(spark, sf_dir, "conversations"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms(table(spark, sf_dir, "documents"))
 
@@ -46,10 +66,9 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "op1_token_counts": op1_token_counts,
-    "op2_quality_classifier": op2_quality_classifier,
-    "op4_media_columns": op4_media_columns,
-    "op6_minhash_near_dedup": op6_minhash_near_dedup,
-    "op9_pii_pseudonyms": op9_pii_pseudonyms,
-    "op10_html_extraction": op10_html_extraction,
+    q.__name__: q
+    for q in (
+        op1_token_counts, op2_quality_classifier, op3_line_dedup, op4_media_columns, op5_benchmark_decontamination,
+        op6_minhash_near_dedup, op7_chat_formatting, op8_source_mixing, op9_pii_pseudonyms, op10_html_extraction,
+    )
 }
