@@ -10,8 +10,8 @@
   the mean of its shapes' index vectors. The network (tanh, then logistic)
   is trained in numpy on the sample; a temperature found on a part kept out of
   training calibrates its probabilities.
-* Only vectors of ``VOCABULARY`` tokens at most, and ``SAMPLE`` pooled documents at
-  most, ever reach the driver.
+* Only the sums of ``VOCABULARY`` tokens at most (from each task of the sample), and
+  ``SAMPLE`` pooled documents at most, ever reach the driver.
 """
 
 from __future__ import annotations
@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import U64, WordHasher, alphanumeric, binary_rows, chunks, mix, string_buffers
-from .session import small_batches
+from .session import materialize, small_batches
 
 #: Labelled documents that vectors, network and temperature are fitted on, at most.
 SAMPLE = 6000
 #: Tokens with a vector of their own, at most, and the least count of one in the sample.
 VOCABULARY, LEAST = 20_000, 5
 DIMENSIONS, ONES, REACH, HIDDEN = 96, 8, 2, 24
+#: Parts of the sample.
+PARTS = 8
 THRESHOLD = 0.7
 HELD_OUT = 2
 
@@ -79,51 +81,44 @@ def index_vectors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (r % U64(DIMENSIONS)).astype(np.int64), np.where(r >> U64(63), 1, -1).astype(np.int64)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per chunk, each distinct token's and shape's count and context sum."""
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per chunk, each distinct token and its count."""
     tokens = Tokens()
     for batch in batches:
-        raw, offsets = string_buffers(batch.column(0))
-        for _, _, data, off in chunks(raw, offsets, 1 << 18):
-            h, rows = tokens(data, off)
-            if not len(h):
-                continue
-            shape = tokens.shapes(h, rows, data, off)
-            row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-            ids, word = np.unique(h, return_inverse=True)
-            kinds, kind = np.unique(shape, return_inverse=True)
-            sums = np.zeros(len(ids) * DIMENSIONS)
-            for of, (places, signs) in ((word, index_vectors(ids)), (kind, index_vectors(kinds))):
-                for d in range(1, min(REACH, len(h) - 1) + 1):
-                    same = np.flatnonzero(row[:-d] == row[d:])
-                    for target, near in ((word[same], of[same + d]), (word[same + d], of[same])):
-                        at = (target[:, None] * DIMENSIONS + places[near]).ravel()
-                        sums += np.bincount(at, signs[near].ravel(), len(sums))
-            count = np.bincount(word, minlength=len(ids))
-            yield pa.record_batch(
-                [pa.array(ids.view(np.int64)), pa.array(count), binary_rows(sums.astype(np.int32).reshape(-1, DIMENSIONS))], names=["token", "n", "sums"]
-            )
-
-
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of equal neighbours; equal tokens come one after another."""
-    token = n = total = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids, counts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        sums = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int32).reshape(-1, DIMENSIONS)
-        starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        ids, counts, sums = ids[starts], np.add.reduceat(counts, starts), np.add.reduceat(sums, starts, axis=0)
-        if token == ids[0]:
-            counts[0] += n
-            sums[0] += total
-        elif token is not None:
-            yield pa.record_batch([pa.array([token]), pa.array([n]), binary_rows(total[None])], names=["token", "n", "sums"])
-        token, n, total = int(ids[-1]), int(counts[-1]), sums[-1].copy()
-        yield pa.record_batch([pa.array(ids[:-1]), pa.array(counts[:-1]), binary_rows(sums[:-1])], names=["token", "n", "sums"])
-    if token is not None:
-        yield pa.record_batch([pa.array([token]), pa.array([n]), binary_rows(total[None])], names=["token", "n", "sums"])
+        raw, offsets = string_buffers(batch.column(1))
+        for _, _, data, off in chunks(raw, offsets):
+            ids, n = np.unique(tokens(data, off)[0], return_counts=True)
+            yield pa.record_batch([pa.array(ids.view(np.int64)), pa.array(n)], names=["token", "n"])
+
+
+def _contexts(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per task, the context sums of the vocabulary's tokens."""
+        tokens, vocabulary = Tokens(), shared.value
+        sums = np.zeros(len(vocabulary) * DIMENSIONS, np.int32)
+        for batch in batches:
+            raw, offsets = string_buffers(batch.column(1))
+            for _, _, data, off in chunks(raw, offsets, 1 << 17):
+                h, rows = tokens(data, off)
+                if not len(h):
+                    continue
+                shape = tokens.shapes(h, rows, data, off)
+                row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+                at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+                known = vocabulary[at] == h
+                for items in (h, shape):
+                    places, signs = index_vectors(items)
+                    for d in range(1, min(REACH, len(h) - 1) + 1):
+                        for target, near in ((slice(None, -d), slice(d, None)), (slice(d, None), slice(None, -d))):
+                            use = known[target] & (row[target] == row[near])
+                            np.add.at(sums, (at[target][use, None] * DIMENSIONS + places[near][use]).ravel(), signs[near][use].ravel().astype(np.int32))
+        sums = sums.reshape(-1, DIMENSIONS)
+        full = np.flatnonzero(sums.any(axis=1))
+        for k in range(0, len(full), 1000):
+            some = full[k : k + 1000]
+            yield pa.record_batch([pa.array(vocabulary[some].view(np.int64)), binary_rows(sums[some])], names=["token", "sums"])
+
+    return run
 
 
 @dataclass
@@ -216,25 +211,31 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Qua
     if chosen.nunique() < 2:
         return flat
     ids = spark.createDataFrame([(int(k),) for k in chosen.index], "doc_id long")
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    known = (
-        texts.select("text")
-        .mapInArrow(_contexts, "token long, n long, sums binary")
-        .repartition("token")
-        .sortWithinPartitions("token")
-        .mapInArrow(_add_up, "token long, n long, sums binary")
+    # few parts, however many the scan has: each makes a row per token for the driver below
+    texts = materialize(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").repartition(PARTS), "quality-sample")
+    vocabulary = (
+        texts.mapInArrow(_counts, "token long, n long")
+        .groupBy("token")
+        .agg(F.sum("n").alias("n"))
         .filter(F.col("n") >= LEAST)
         .orderBy(F.col("n").desc(), "token")
         .limit(VOCABULARY)
-        .toArrow()
+        .toArrow()["token"]
+        .to_numpy()
+        .view(U64)
     )
-    tokens = known["token"].to_numpy().view(U64)
-    order = np.argsort(tokens)
-    vectors = np.frombuffer(b"".join(known["sums"].to_pylist()), np.int32).reshape(-1, DIMENSIONS)[order].astype(np.float64)
+    if not len(vocabulary):
+        return flat
+    vocabulary = np.sort(vocabulary)
+    vectors = np.zeros((len(vocabulary), DIMENSIONS))
+    # one row per token and task of the bounded sample
+    parts = texts.mapInArrow(_contexts(spark.sparkContext.broadcast(vocabulary)), "token long, sums binary").toArrow()
+    at = np.searchsorted(vocabulary, parts["token"].to_numpy().view(U64))
+    np.add.at(vectors, at, np.frombuffer(b"".join(parts["sums"].to_pylist()), np.int32).reshape(-1, DIMENSIONS))
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     none = np.zeros((1, DIMENSIONS))
     pooler = Pooler(
-        tokens[order], np.hstack([np.vstack([vectors, none]), np.zeros((len(order) + 1, DIMENSIONS))]), np.hstack([np.zeros((DIMENSIONS, DIMENSIONS)), np.eye(DIMENSIONS)])
+        vocabulary, np.hstack([np.vstack([vectors, none]), np.zeros((len(vocabulary) + 1, DIMENSIONS))]), np.hstack([np.zeros((DIMENSIONS, DIMENSIONS)), np.eye(DIMENSIONS)])
     )
     shared = spark.sparkContext.broadcast(pooler)
 
