@@ -21,9 +21,10 @@ def wilson(successes: Column | str, total: Column | str) -> tuple[Column, Column
     x, n = col(successes).cast("double"), F.when(col(total) >= 1, col(total).cast("double"))
     z2 = Z95 * Z95
     middle, reach = x + z2 / 2, Z95 * F.sqrt(F.try_divide(x * (n - x), n) + z2 / 4)
+    some = n.isNotNull()
     return (
-        F.round(F.greatest(F.lit(0.0), (middle - reach) / (n + z2)), 6),
-        F.round(F.least(F.lit(1.0), (middle + reach) / (n + z2)), 6),
+        F.when(some, F.round(F.greatest(F.lit(0.0), (middle - reach) / (n + z2)), 6)),
+        F.when(some, F.round(F.least(F.lit(1.0), (middle + reach) / (n + z2)), 6)),
     )
 
 
