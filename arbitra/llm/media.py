@@ -112,6 +112,7 @@ class _Shard:
 
 def _write(folder: str, most: int):
     names = ["doc_id", "n_bytes", "digest", "shard", "offset", "length"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -134,7 +135,7 @@ def _write(folder: str, most: int):
                     inside[digest] = (name, shard.add(f"{digest}.png", stored), len(stored))
                 rows.append((doc, len(data), digest, *inside[digest]))
             if rows:
-                yield pa.record_batch([pa.array(x) for x in zip(*rows, strict=True)], names=names)
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
         if shard:
             shard.close()
 
