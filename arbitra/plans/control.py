@@ -144,3 +144,12 @@ SQL = {
     "task_references": "SELECT event_id, CASE WHEN event_id % 3 <> 0 AND event_id % 5 > 0 THEN (event_id % 5)::INT END AS version FROM events",
     "request_errors": """SELECT doc_id, array_to_string(list_filter([CASE WHEN trim(coalesce(text, '')) = '' THEN 'state' END, CASE WHEN length(text) > 12000 THEN 'state_length' END, CASE WHEN doc_id % 4 = 0 THEN 'duplicate_question' END, CASE WHEN doc_id % 3 = 0 THEN 'deadline' END], lambda x: x IS NOT NULL), ',') AS errors FROM documents""",
 }
+
+_U, _V = (f"{V.keyed('event_id', k, 400)} / 1000.0::DOUBLE" for k in "uv")
+SQL |= {
+    "choice_repair": f"""WITH e AS (SELECT event_id, {_U} AS u, {_V} AS v, 0.3::DOUBLE AS w FROM events), t AS (SELECT *, u + v + w AS t FROM e), r AS (SELECT event_id, u, v, w, round(u / t, 6) AS x, round(v / t, 6) AS y, round(w / t, 6) AS z FROM t WHERE t BETWEEN .9 AND 1.1 AND abs(t - 1) > .02),
+ a AS (SELECT *, 1 - (x + y + z) AS d, CASE WHEN w >= u AND w >= v THEN 'z' WHEN v >= u THEN 'y' ELSE 'x' END AS k FROM r)
+ SELECT event_id, round(x + CASE WHEN k = 'x' THEN d ELSE 0 END, 6) AS x, round(y + CASE WHEN k = 'y' THEN d ELSE 0 END, 6) AS y, round(z + CASE WHEN k = 'z' THEN d ELSE 0 END, 6) AS z FROM a""",
+    "safety_report": """WITH c AS (SELECT 1000::DOUBLE AS n, 500::DOUBLE AS s, 1.959963984540054::DOUBLE AS z) SELECT n::BIGINT AS n, 1.0::DOUBLE AS accuracy, round((n + z * z / 2 - z * sqrt(z * z / 4)) / (n + z * z), 6) AS accuracy_lower, 1.0::DOUBLE AS stop_recall,
+ round((s + z * z / 2 - z * sqrt(z * z / 4)) / (s + z * z), 6) AS stop_recall_lower, 0.0::DOUBLE AS false_stop_rate FROM c""",
+}

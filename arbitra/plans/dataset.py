@@ -159,3 +159,17 @@ SQL = {
     "hashed_tokens": f"""WITH t AS (SELECT item_id, regexp_extract_all({FOLD.format('text')}, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')[:64] AS w FROM benchmark), u AS (SELECT item_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS pos FROM t)
  SELECT item_id, pos, 2 + {_H('w')} % 4094 AS token FROM u""",
 }
+
+_words = lambda t: f"regexp_extract_all({FOLD.format(t)}, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')"
+_fid = lambda t, v: f"(2 + {_H(t)} % {v - 2})"
+_GRAMS = "flatten([flatten([[substr('^' || w || '$', i, n) for i in range(1, length(w) + 4 - n)] for n in [2, 3, 4, 5]]) for w in w])"
+_SPACED = "array_to_string(({0})[:128], ' ')"
+SQL |= {
+    "byte_features": """WITH b AS (SELECT item_id, hex(encode(text)) AS h, least(32, octet_length(encode(text))) AS n FROM benchmark), i AS (SELECT item_id, n, [2 + ('0x' || substr(h, 2 * k + 1, 2))::INT % 256 for k in range(n)] AS ids FROM b)
+ SELECT item_id, array_to_string(list_concat(ids, [0 for k in range(32 - n)]), ' ') AS ids, array_to_string(list_concat([1 for k in range(n)], [0 for k in range(40 - n)]), ' ') AS mask FROM i""",
+    "char_ngram_features": f"WITH t AS (SELECT item_id, {_words('text')} AS w FROM benchmark), g AS (SELECT item_id, {_GRAMS} AS g FROM t) SELECT item_id, " + _SPACED.format(f"[{_fid('x', 4096)} for x in g]") + " AS ids FROM g",
+    "hybrid_features": f"WITH t AS (SELECT item_id, {_words('text')} AS w FROM benchmark), g AS (SELECT item_id, w, {_GRAMS} AS g FROM t) SELECT item_id, "
+    + _SPACED.format(f"list_concat([{_fid(chr(39) + 'w:' + chr(39) + ' || x', 2048)} for x in w], [{_fid(chr(39) + 'c:' + chr(39) + ' || x', 2048)} + 2046 for x in g])") + " AS ids FROM g",
+    "segmented_features": f"WITH t AS (SELECT item_id, {_words('text')} AS w, {_words(chr(39) + QUESTION + chr(39))} AS q FROM benchmark) SELECT item_id, "
+    + _SPACED.format(f"list_concat([{_fid(chr(39) + 's:' + chr(39) + ' || x', 2048)} for x in w], [{_fid(chr(39) + 'q:' + chr(39) + ' || x', 2048)} + 2046 for x in q])") + " AS ids FROM t",
+}
