@@ -139,12 +139,8 @@ def _neighbours(window: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("part", pa.int32()), ("end", pa.int32()), ("at", pa.int32()), ("first", pa.int64()), ("prints", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Candidates inside a partition, and the rows at its start (end=0) and end (end=1)."""
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        first, node, prints = np.zeros(0, np.int64), np.zeros(0, np.int64), None
-        seen = 0
+        """Candidates inside a part of the order, and the rows at its start (end=0) and end (end=1)."""
+        part, seen, first, node, prints = None, 0, None, None, None
 
         def ends(rows: slice, end: int) -> pa.RecordBatch:
             m = len(first[rows])
@@ -156,22 +152,25 @@ def _neighbours(window: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            m = batch.num_rows
-            old = len(first)
-            first = np.concatenate([first, batch.column(0).to_numpy()])
-            node = np.concatenate([node, batch.column(1).to_numpy()])
-            more = _matrix(batch.column(2).to_pylist())
-            prints = more if prints is None else np.concatenate([prints, more])
-            if seen < window:
-                yield ends(slice(old, old + window - seen), 0)
-            seen += m
-            a, b = _look_back(first, node, prints, old, window)
-            k = len(a)
-            yield pa.record_batch(
-                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())],
-                schema=schema,
-            )
-            first, node, prints = first[-window:], node[-window:], prints[-window:]
+            parts, firsts, nodes, more = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), _matrix(batch.column(3).to_pylist())
+            cut = np.flatnonzero(np.diff(parts)) + 1
+            for s, e in zip(np.append(0, cut), np.append(cut, len(parts)), strict=True):
+                if parts[s] != part:
+                    if seen:
+                        yield ends(slice(0, window), 1)
+                    part, seen, first, node, prints = int(parts[s]), 0, firsts[:0], nodes[:0], more[:0]
+                old = len(first)
+                first, node, prints = np.concatenate([first, firsts[s:e]]), np.concatenate([node, nodes[s:e]]), np.concatenate([prints, more[s:e]])
+                if seen < window:
+                    yield ends(slice(old, old + window - seen), 0)
+                seen += e - s
+                a, b = _look_back(first, node, prints, old, window)
+                k = len(a)
+                yield pa.record_batch(
+                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())],
+                    schema=schema,
+                )
+                first, node, prints = first[-window:], node[-window:], prints[-window:]
         if seen:
             yield ends(slice(0, window), 1)
 
@@ -201,15 +200,21 @@ def sorted_neighbours(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """Distinct candidate pairs (a < b) of ``rows(first, rest, node, prints)`` that stand close in its order.
 
     Rows with equal ``first`` are a region, ``rest`` orders it, ``prints`` (of one
-    width, or all empty) rule out the implausible.
+    width, or all empty) rule out the implausible. The order is cut into parts by
+    range, as Spark samples it, or as a column ``part`` says (numbers that rise with
+    the order), where sampling would cost as much as making the rows.
     """
     spark = rows.sparkSession
     order = ["first", "rest", "node"]
     n = partitions(spark)
-    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("first", "node", "prints")
+    if "part" in rows.columns:
+        ordered = rows.repartition(n, "part").sortWithinPartitions("part", *order)
+    else:
+        ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    ordered = ordered.select("part", "first", "node", "prints")
     found = materialize(ordered.mapInArrow(_neighbours(window), "a long, b long, part int, end int, at int, first long, prints binary"), "neighbours")
     ends = found.filter("part is not null")
-    # partitions that have rows, numbered in order: one row per partition
+    # parts that have rows, numbered in order: one row per part
     numbered = ends.select("part").distinct().withColumn("no", F.row_number().over(Window.orderBy("part")))
     ends = ends.join(numbered, "part").withColumn("border", F.expr("no + if(end = 1, 1, 0)")).select("border", "end", "at", "a", "first", "prints")
     across = (
@@ -279,8 +284,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     components are over all links. ``component_id`` is the least doc_id of the
     component, ``kept`` is true for that document. A null or wordless text has
     ``n_shingles`` 0, is its own component and is kept. Rows that repeat a doc_id
-    are the same document if they have the same set; ``docs`` may have any other
-    columns, which are ignored. No rows give no rows.
+    are the same document if they have the same set; a row without doc_id is linked with
+    nothing, has no component_id and is kept. ``docs`` may have any other columns, which
+    are ignored. No rows give no rows.
     """
     small_batches(docs.sparkSession)
     signed = materialize(
@@ -290,7 +296,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
         "signatures",
     )
     classes = materialize(
-        signed.filter("n_shingles > 0").groupBy("n_shingles", "k1", "k2", "sig").agg(F.min("doc_id").alias("node")), "classes"
+        signed.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2", "sig").agg(F.min("doc_id").alias("node")), "classes"
     )
     rows = classes.select("node", "sig").mapInArrow(_tree_rows, "first long, rest binary, node long, prints binary")
     pairs = materialize(sorted_neighbours(rows), "pairs")
@@ -302,12 +308,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     return (
         signed.select("doc_id", "n_shingles", "k1", "k2")
         .join(labelled, ["n_shingles", "k1", "k2"], "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`near_duplicates` keeps, with all their columns."""
-    keep = near_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(keep, "doc_id", "left_semi")
+    gone = near_duplicates(docs).filter("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti")
