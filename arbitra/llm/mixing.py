@@ -3,16 +3,17 @@
 1. Domains come from the table of labels: toxic (toxic = 1), junk (quality = 0),
    clean (the rest). On a bounded sample of labelled documents, a naive Bayes
    classifier takes the ``VOCABULARY`` features (words, and classes of capitals,
-   signs and repetition) that tell most about the domain.
+   signs and distinctness) that tell most about the domain.
 2. Every document gets its posterior over domains: its distinct words meet the
    broadcast weights (``VOCABULARY`` + 1 rows at most) and are summed up before the
    shuffle.
 3. Rates r >= 0 per document minimise the weighted squares of what the expected
    tokens of each domain, sum(r * tokens * posterior), miss the targets by. Projected
-   gradient from r = 1: a step moves a document's rate by its posterior times the
-   scaled misses. A rate is a fold of the steps so far, so that an iteration is one
-   aggregate over (tokens, posterior), and only one number per domain goes to the
-   driver.
+   gradient from r = 1, preconditioned by the Gram matrix of the domains over documents
+   whose rate isn't zero: a step moves a document's rate by its posterior times the
+   solved misses, and is halved while it makes the misses greater. A rate is a fold of
+   the steps so far, so that an iteration is one aggregate over (tokens, posterior),
+   and only a few numbers per pair of domains go to the driver.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,35 +34,35 @@ TARGETS = {"clean": 0.96, "toxic": 0.02, "junk": 0.02}
 SAMPLE, VOCABULARY = 8000, 400
 #: Least number of sample documents that have a feature.
 LEAST = 4
-ITERATIONS, CLOSE = 60, 1e-9
+ITERATIONS, HALVINGS, CLOSE = 30, 6, 1e-6
 BIAS = "\u0001"
-_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_SIGNS = "!\"#$%&*+/<=>?@[\\]^_`{|}~"
+_CAPITALS, _SIGNS = "[A-Z]", r"[!-/<-@\[-`{-~&&[^'\-,.()]]"
 
 
-def _share(text: Column, characters: str) -> Column:
-    """Of the text's characters that aren't blank, the share of the given ones."""
-    solid = F.length(F.translate(text, " \n\t", ""))
-    return F.coalesce((F.length(text) - F.length(F.translate(text, characters, ""))) / F.nullif(solid, F.lit(0)), F.lit(0.0))
+def _level(part: Column, whole: Column) -> Column:
+    """The root of a share in tenths; each side is evaluated once."""
+    return F.round(F.sqrt(part / F.greatest(whole, F.lit(1))) * 10).cast("int").cast("string")
 
 
-def _class(name: str, share: Column) -> Column:
-    level = sum((F.when(share > x, 1).otherwise(0) for x in (0.01, 0.03, 0.08, 0.2, 0.4)), F.lit(0))
-    return F.concat(F.lit(f"{BIAS}{name}"), level.cast("string"))
+def with_features(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with ``features`` (distinct words, shapes and the bias) and ``n_tokens`` in place of the text.
 
-
-def features(text: Column) -> tuple[Column, Column]:
-    """(distinct features with the bias, number of words) of a text."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    distinct = F.array_distinct(words)
-    n = F.size(words).cast("long")
+    One projection for each level of use: nothing costly is evaluated twice.
+    """
+    others = [c for c in rows.columns if c != text]
+    split = rows.select(
+        *others, F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+").alias("_w"), F.length(text).alias("_n"),
+        F.regexp_count(text, F.lit(_CAPITALS)).alias("_c"), F.regexp_count(text, F.lit(_SIGNS)).alias("_s"),
+    )
+    # blank only at the ends, where the text starts or ends with what splits
+    blank = (F.element_at("_w", 1) == "").cast("int") + (F.element_at("_w", -1) == "").cast("int")
+    counted = split.select(*others, F.array_distinct("_w").alias("_d"), F.greatest(F.size("_w") - blank, F.lit(0)).cast("long").alias("n_tokens"), "_n", "_c", "_s")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     shapes = F.array(
-        F.lit(BIAS),
-        _class("capitals", _share(text, _CAPITALS)),
-        _class("signs", _share(text, _SIGNS)),
-        _class("repeats", F.when(n > 0, 1 - F.size(distinct) / F.greatest(n, F.lit(1))).otherwise(F.lit(0.0)) - 0.3),
+        F.lit(BIAS), F.concat(F.lit(f"{BIAS}capitals"), _level(zero("_c"), zero("_n"))), F.concat(F.lit(f"{BIAS}signs"), _level(zero("_s"), zero("_n"))),
+        F.concat(F.lit(f"{BIAS}distinct"), _level(F.size("_d"), F.col("n_tokens"))),
     )
-    return F.concat(shapes, distinct), n
+    return counted.select(*others, F.concat(shapes, "_d").alias("features"), "n_tokens")
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -78,26 +80,30 @@ def fit_domains(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    text = F.coalesce("text", F.lit(""))
-    learnt = materialize(
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", features(text)[0].alias("features")), "domain-sample"
-    )
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", "text")
+    learnt = materialize(with_features(texts, "text").select("domain", "features"), "domain-sample")
     counted = learnt.agg(*(F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS)).first().asDict()
     total = sum(counted.values())
     prior = [math.log((counted[d] + 1) / (total + len(DOMAINS))) for d in DOMAINS]
     bias = docs.sparkSession.range(1).select(F.lit(BIAS).alias("feature"), *(F.lit(p).alias(d) for d, p in zip(DOMAINS, prior, strict=True)))
     seen = learnt.select("domain", F.explode("features").alias("feature")).filter(F.col("feature") != BIAS)
-    n = seen.groupBy("feature").agg(F.count("*").alias("all"), *(F.count_if(F.col("domain") == d).alias(f"n_{d}") for d in DOMAINS))
-    lift = {d: F.log((F.col(f"n_{d}") + 0.5) / (counted[d] + 1.0)) - F.log((F.col("all") + 0.5) / (total + 1.0)) for d in DOMAINS}
+    n = materialize(
+        seen.groupBy("feature").agg(F.count("*").alias("all"), *(F.count_if(F.col("domain") == d).alias(f"n_{d}") for d in DOMAINS)), "domain-features"
+    )
+    # a word is weighed against all words of its domain's documents, a shape against the documents
+    shape = F.col("feature").startswith(BIAS)
+    words = n.filter(~shape).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("all", *(f"n_{d}" for d in DOMAINS)))).first()
+    of = lambda c, docs: F.when(shape, (F.col(c) + 0.5) / (docs + 1.0)).otherwise((F.col(c) + 0.5) / (words[c] + 1.0))
+    lift = {d: F.log(of(f"n_{d}", counted[d])) - F.log(of("all", total)) for d in DOMAINS}
     told = sum((F.col(f"n_{d}") * lift[d] for d in DOMAINS), F.lit(0.0))
-    words = (
+    best = (
         n.filter(F.col("all") >= LEAST)
         .select("feature", F.round(told, 6).alias("told"), *(lift[d].alias(d) for d in DOMAINS))
         .orderBy(F.col("told").desc(), "feature")
         .limit(VOCABULARY)
         .select("feature", *DOMAINS)
     )
-    return materialize(bias.unionByName(words), "domain-weights")
+    return materialize(bias.unionByName(best), "domain-weights")
 
 
 def posteriors(docs: DataFrame, weights: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -106,10 +112,10 @@ def posteriors(docs: DataFrame, weights: DataFrame, text: str = "text", key: str
     ``n_rows`` says how many rows of ``docs`` were alike. A null or empty text has no
     tokens and what its shape gives as posterior.
     """
-    of_text, n = features(F.coalesce(F.col(text), F.lit("")))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("same"), n.alias("n_tokens"), of_text.alias("features"))
+    rows = with_features(docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("same"), F.col(text).alias("text")), "text")
+    # outer: a plain explode makes Spark filter by the array's size, and so build the array again for the filter
     summed = (
-        rows.select("doc_id", "same", "n_tokens", F.explode("features").alias("feature"))
+        rows.select("doc_id", "same", "n_tokens", F.explode_outer("features").alias("feature"))
         .join(F.broadcast(weights), "feature")
         .groupBy("doc_id", "same", "n_tokens")
         .agg(F.count_if(F.col("feature") == BIAS).alias("n_rows"), *(F.sum(d).alias(d) for d in DOMAINS))
@@ -141,30 +147,46 @@ def rate(steps: list[list[float]]) -> Column:
     )
 
 
+def _measure(soft: DataFrame, steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Expected tokens per domain after the steps, and the Gram matrix over documents with a rate."""
+    pairs = [(a, b) for i, a in enumerate(DOMAINS) for b in DOMAINS[i:]]
+    rows = soft.withColumn("_r", rate(steps)).withColumn("_w", F.col("n_rows") * F.col("n_tokens"))
+    got = rows.agg(
+        *(F.sum(F.col("_r") * F.col("_w") * F.col(d)).alias(f"of_{d}") for d in DOMAINS),
+        *(F.sum(F.when(F.col("_r") > 0, F.col("_w") * F.col(a) * F.col(b))).alias(f"{a}_{b}") for a, b in pairs),
+    ).first()
+    gram = [[got["_".join(sorted((a, b), key=DOMAINS.index))] or 0.0 for b in DOMAINS] for a in DOMAINS]
+    return np.array([got[f"of_{d}"] or 0.0 for d in DOMAINS]), np.array(gram)
+
+
 def fit_rates(soft: DataFrame, targets: dict[str, float] = TARGETS, tokens: float | None = None) -> Fit:
     """Rates for ``tokens`` in expectation (default: as many as there are), shared as ``targets`` says.
 
     A domain that no document can be of keeps its miss. No tokens at all need no step.
     """
-    weight = F.col("n_rows") * F.col("n_tokens")
-    mass = soft.agg(*(F.sum(weight * F.col(d)).alias(f"of_{d}") for d in DOMAINS)).first()
-    mass = [mass[f"of_{d}"] or 0.0 for d in DOMAINS]
-    budget = sum(mass) if tokens is None else tokens
-    share = sum(targets.get(d, 0.0) for d in DOMAINS)
-    wanted = [budget * targets.get(d, 0.0) / share for d in DOMAINS]
+    expected, gram = _measure(soft, [])
+    budget = float(expected.sum()) if tokens is None else tokens
+    share = np.array([targets.get(d, 0.0) for d in DOMAINS])
+    wanted = budget * share / share.sum()
     steps: list[list[float]] = []
-    expected = mass
     for _ in range(ITERATIONS if budget > 0 else 0):
-        miss = [e - w for e, w in zip(expected, wanted, strict=True)]
-        if max(map(abs, miss)) <= CLOSE * budget:
+        miss = expected - wanted
+        if np.abs(miss).max() <= CLOSE * budget:
             break
-        steps.append([x / m if m > 0 else 0.0 for x, m in zip(miss, mass, strict=True)])
-        # so scaled, the step is at most the inverse of the curvature: it never overshoots
-        got = soft.agg(*(F.sum(weight * rate(steps) * F.col(d)).alias(f"of_{d}") for d in DOMAINS)).first()
-        before, expected = expected, [got[f"of_{d}"] or 0.0 for d in DOMAINS]
-        if max(abs(a - b) for a, b in zip(before, expected, strict=True)) <= CLOSE * budget:
+        step = np.linalg.pinv(gram, rcond=1e-9) @ miss
+        for _ in range(HALVINGS):
+            got, now = _measure(soft, [*steps, step.tolist()])
+            if np.linalg.norm(got - wanted) < np.linalg.norm(miss):
+                break
+            step = step / 2
+        else:
+            break  # no step is better: some domain can't be met
+        steps.append(step.tolist())
+        done = np.linalg.norm(got - expected) <= CLOSE * budget
+        expected, gram = got, now
+        if done:
             break
-    return Fit(steps, dict(zip(DOMAINS, expected, strict=True)), dict(zip(DOMAINS, wanted, strict=True)))
+    return Fit(steps, dict(zip(DOMAINS, expected.tolist(), strict=True)), dict(zip(DOMAINS, wanted.tolist(), strict=True)))
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
