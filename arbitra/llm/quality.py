@@ -32,6 +32,8 @@ SAMPLE = 6000
 #: Tokens with a vector of their own, at most, and the least count of one in the sample.
 VOCABULARY, LEAST = 20_000, 5
 DIMENSIONS, ONES, REACH, HIDDEN = 96, 8, 2, 24
+#: Tokens whose vectors are in memory at a time.
+BLOCK = 1 << 13
 #: Parts of the sample.
 PARTS = 8
 THRESHOLD = 0.7
@@ -140,8 +142,13 @@ class Pooler:
             kinds, kind = np.unique(tokens.shapes(h, rows, data, offsets), return_inverse=True)
             places, signs = index_vectors(kinds)
             of_kind = (self.shapes[places] * signs[:, :, None]).sum(1)
-            full = np.flatnonzero(np.diff(rows))
-            out[full] = np.add.reduceat(self.vectors[at] + of_kind[kind], rows[:-1][full], axis=0) / np.diff(rows)[full, None]
+            row = np.repeat(np.arange(len(out)), np.diff(rows))
+            # a bounded number of tokens at a time, however long a text is
+            for k in range(0, len(h), BLOCK):
+                part = slice(k, k + BLOCK)
+                starts = np.flatnonzero(np.append(True, row[part][1:] != row[part][:-1]))
+                out[row[part][starts]] += np.add.reduceat(self.vectors[at[part]] + of_kind[kind[part]], starts, axis=0)
+            out /= np.maximum(np.diff(rows), 1)[:, None]
         return out
 
 
