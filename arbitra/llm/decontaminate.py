@@ -1,16 +1,18 @@
-"""Benchmark decontamination by spaced seeds.
+"""Benchmark decontamination by seeds that no overlap can be without.
 
-A seed is a fixed mask over consecutive tokens: some positions count, the others
-are ignored, so a changed token between the counted ones doesn't hide a match. The
+An overlap of ``m`` changed tokens falls into ``m + 1`` runs of equal ones, so the
+equal tokens it needs say how long its longest run is at least: four tokens, for some
+items of under 16 tokens three or two. A seed is that many consecutive tokens. The
 seeds of the test items are an index that every task gets (in blocks of bounded
 size if the benchmark is large); the seeds of the training texts are probed against
 it. Around a hit, text and item are compared token by token on the hit's diagonal,
-and the best-scoring stretch (``+1`` for an equal token, ``-PENALTY`` for another)
+and of the stretches with a share of ``SHARE`` equal tokens the one with most of them
 is the overlap. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -22,30 +24,40 @@ from pyspark.sql import functions as F
 from .kernels import U64, WordHasher, alphanumeric, chunks, ngrams, string_buffers
 from .session import small_batches
 
-#: Counted positions of each mask; the first is contiguous.
-MASKS: tuple[tuple[int, ...], ...] = (
-    (0, 1, 2, 3, 4, 5, 6, 7),
-    (0, 1, 2, 4, 5, 8, 9, 11),
-    (0, 2, 3, 5, 7, 8, 10, 12),
-    (0, 1, 3, 6, 7, 10, 11, 12),
-)
-#: Equal tokens that an overlap needs (all that an item has, if it has fewer), and the share of equal ones.
+#: Equal tokens that an overlap needs (``SHARE`` of all that an item has, if that is fewer), and the share of equal ones.
 OVERLAP, SHARE = 13, 0.8
-PENALTY = 4
 #: Items of fewer tokens are too short to tell a leak and match nothing.
 SHORTEST = 5
 #: Bytes of benchmark text in a block.
 BLOCK = 16 << 20
 _BITS = 22
+#: Hits, and tokens on their diagonals, that are held at a time.
+HITS, HELD = 1 << 20, 1 << 22
+
+
+def needed(n: int) -> int:
+    """Equal tokens that an overlap with an item of ``n`` tokens needs."""
+    return min(OVERLAP, math.ceil(SHARE * n - 1e-9))
+
+
+def seed_length(n: int) -> int:
+    """The longest run of equal tokens that every overlap with an item of ``n`` tokens has."""
+    need, out = needed(n), n
+    for changed in range(n - need + 1):
+        equal = max(need, math.ceil(changed * SHARE / (1 - SHARE) - 1e-9))
+        if equal + changed <= n:
+            out = min(out, -(-equal // (changed + 1)))
+    return out
 
 
 @dataclass
 class SeedIndex:
-    """Seeds of a block of items: per mask, sorted hashes with item and position, and a bitmap of them."""
+    """Seeds of a block of items: per length, sorted hashes with item and position, and a bitmap of them."""
 
     ids: list
     tokens: np.ndarray
     rows: np.ndarray
+    needs: np.ndarray
     masks: list[tuple[tuple[int, ...], np.ndarray, np.ndarray, np.ndarray]]
     bitmaps: list[np.ndarray]
 
@@ -55,12 +67,10 @@ def build_index(ids: list, texts: pa.Array) -> SeedIndex:
     off = offsets - offsets[0]
     tokens, rows = WordHasher(alphanumeric())(raw[offsets[0] : offsets[-1]], off)
     length = np.diff(rows)
-    masks = []
-    for mask in MASKS:
-        masks.append((mask, length >= mask[-1] + 1))
-    # items too short for the masks: all their tokens are the mask
-    for n in range(SHORTEST, MASKS[0][-1] + 1):
-        masks.append((tuple(range(n)), length == n))
+    sizes, which = np.unique(length, return_inverse=True)
+    needs = np.array([needed(n) for n in sizes.tolist()], np.int64)[which]
+    seeds = np.array([seed_length(n) if n >= SHORTEST else 0 for n in sizes.tolist()], np.int64)[which]
+    masks = [(tuple(range(n)), seeds == n) for n in np.unique(seeds).tolist() if n]
     out, maps = [], []
     for mask, fits in masks:
         item, where = [], []
@@ -77,45 +87,81 @@ def build_index(ids: list, texts: pa.Array) -> SeedIndex:
         bitmap[h >> U64(64 - _BITS)] = True
         out.append((mask, h[order], item[order], where[order]))
         maps.append(bitmap)
-    return SeedIndex(ids, tokens, rows, out, maps)
+    return SeedIndex(ids, tokens, rows, needs, out, maps)
 
 
 def _best(equal: np.ndarray) -> tuple[int, int, int]:
-    """(start, end, equal tokens) of the best-scoring stretch."""
-    total = np.append(0, np.cumsum(np.where(equal, 1, -PENALTY)))
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.argmin(total[: end + 1]))
-    return start, end, int(equal[start:end].sum())
+    """(start, end, equal tokens) of the stretch with most equal tokens among those of ``SHARE``.
+
+    Of several, the one with fewest others, then the last.
+    """
+    total = np.append(0, np.cumsum(np.where(equal, 1 - SHARE, -SHARE)))
+    count = np.append(0, np.cumsum(equal))
+    # the farthest end of each start: the last place from which on the total still reaches the start's
+    reach = np.maximum.accumulate(total[::-1])
+    end = len(equal) - np.searchsorted(reach, total - 1e-6)
+    # changed tokens at the end count for nothing
+    last = np.append(0, np.maximum.accumulate(np.where(equal, np.arange(1, len(equal) + 1), 0)))
+    start = np.arange(len(total))
+    end = np.maximum(last[end], start)
+    same = count[end] - count[start]
+    k = np.lexsort((start, start - end, same))[-1]
+    return int(start[k]), int(end[k]), int(same[k])
+
+
+def _ragged(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``first[k], first[k] + 1, ..`` for each k, ``n[k]`` of them."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _pieces(n: np.ndarray, limit: int) -> Iterator[slice]:
+    """Slices of rows whose ``n`` sum to ``limit`` or little more; a row is never cut."""
+    part = (np.cumsum(n) - 1) // limit
+    cut = np.flatnonzero(np.diff(part)) + 1
+    for s, e in zip(np.append(0, cut).tolist(), np.append(cut, len(n)).tolist(), strict=True):
+        if e > s:
+            yield slice(s, e)
 
 
 def overlaps(index: SeedIndex, h: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(row, item, equal tokens, first token, end token) of each row and item that overlap; the best each."""
-    hits = []
+    found: dict[tuple[int, int], tuple[int, int, int]] = {}
     for (mask, keys, item, where), bitmap in zip(index.masks, index.bitmaps, strict=True):
         grams = ngrams(h, mask)
         at = np.flatnonzero(bitmap[grams >> U64(64 - _BITS)])
         row = np.searchsorted(rows, at, side="right") - 1
         at, row = (x[at + mask[-1] < rows[row + 1]] for x in (at, row))
         left, right = np.searchsorted(keys, grams[at]), np.searchsorted(keys, grams[at], side="right")
-        n = right - left
-        if n.sum():
-            entry = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            hits.append(np.stack([np.repeat(row, n), item[entry], np.repeat(at, n) - where[entry]]))
-    if not hits:
-        return []
-    found: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for row, item, shift in np.unique(np.concatenate(hits, axis=1), axis=1).T.tolist():
-        a, b = int(index.rows[item]), int(index.rows[item + 1])
-        s, e = max(int(rows[row]), a + shift), min(int(rows[row + 1]), b + shift)
-        start, end, same = _best(h[s:e] == index.tokens[s - shift : e - shift])
-        if same >= min(OVERLAP, b - a) and same >= SHARE * (end - start):
-            best = (same, s + start - int(rows[row]), s + end - int(rows[row]))
-            if best > found.get((row, item), (0, 0, 0)):
-                found[row, item] = best
+        some = np.flatnonzero(right > left)
+        for piece in _pieces((right - left)[some], HITS):
+            k = some[piece]
+            n = right[k] - left[k]
+            entry = _ragged(left[k], n)
+            hits = np.stack([np.repeat(row[k], n), item[entry], np.repeat(at[k], n) - where[entry]])
+            _confirm(index, h, rows, np.unique(hits, axis=1), found)
     return [(*k, *v) for k, v in sorted(found.items())]
 
 
+def _confirm(index: SeedIndex, h: np.ndarray, rows: np.ndarray, hits: np.ndarray, found: dict) -> None:
+    """The best overlap of each row and item, over the diagonals (row, item, shift)."""
+    row, item, shift = hits
+    s, e = np.maximum(rows[row], index.rows[item] + shift), np.minimum(rows[row + 1], index.rows[item + 1] + shift)
+    for piece in _pieces(e - s, HELD):
+        n = (e - s)[piece]
+        at = _ragged(s[piece], n)
+        equal = h[at] == index.tokens[at - np.repeat(shift[piece], n)]
+        begin = np.cumsum(n) - n
+        # a diagonal with too few equal tokens in all has no stretch with enough
+        for k in np.flatnonzero(np.add.reduceat(equal, begin, dtype=np.int64) >= index.needs[item[piece]]).tolist():
+            j = piece.start + k
+            start, end, same = _best(equal[begin[k] : begin[k] + n[k]])
+            if same >= index.needs[item[j]]:
+                own = int(s[j] - rows[row[j]])
+                pair, best = (int(row[j]), int(item[j])), (same, own + start, own + end)
+                if best > found.get(pair, (0, 0, 0)):
+                    found[pair] = best
+
+
 def _blocks(benchmark: DataFrame, block: int) -> Iterator[SeedIndex]:
     """Indexes of bounded size, one after another."""
     size = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
@@ -148,8 +194,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
     """``doc_id, item_id, equal_tokens, first_token, end_token``: one row per document and item that overlap.
 
     Tokens are runs of ASCII letters and digits and of bytes beyond ASCII, with A-Z
-    lowered. An overlap has ``OVERLAP`` equal tokens (or the whole item, if that is
-    shorter; items under ``SHORTEST`` tokens match nothing) and at least ``SHARE`` of
+    lowered. An overlap has ``OVERLAP`` equal tokens (or ``SHARE`` of the item's, if that
+    is fewer; items under ``SHORTEST`` tokens match nothing) and at least ``SHARE`` of
     its tokens equal; of several, the one with most equal tokens, then the last.
     Null and empty texts and items overlap with nothing; repeated rows repeat their
     results; other columns are ignored.

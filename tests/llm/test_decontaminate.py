@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import random
+from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import LOREM, SCHEMA, prose
 
-from arbitra.llm.decontaminate import contamination, drop_contaminated
+from arbitra.llm.decontaminate import build_index, contamination, drop_contaminated, overlaps
+from arbitra.llm.kernels import WordHasher, alphanumeric
 
 ITEMS = [(1, prose(71, 40)), (2, prose(72, 15)), (3, "Just five plain words here"), (4, "too short"), (5, None), (6, ""), (7, prose(71, 40)), (8, prose(73, 9))]
 
@@ -68,3 +72,18 @@ def test_every_placement(spark, bench):
         texts.append(" ".join(w[:at] + changed(ITEMS[0][1], r.randint(9, 14), i).split() + w[at:]))
     assert {d for d, i in pairs(contamination(docs(spark, texts), bench)) if i == 1} == set(range(60))
     assert LOREM
+
+
+def test_every_substitution():
+    """Each placement of one or two changed tokens, and of three in items of 15 to 17."""
+    hasher = WordHasher(alphanumeric())
+    for n in [*range(5, 21), 30]:
+        w = [f"w{n}x{k}" for k in range(n)]
+        index = build_index([1], pa.array([" ".join(w)]))
+        for changes in (1, 2, 3) if 14 < n < 18 else (1, 2):
+            for at in combinations(range(n), changes):
+                text = " ".join(["before", *("other" if k in at else x for k, x in enumerate(w)), "after"]).encode()
+                found = overlaps(index, *hasher(np.frombuffer(text, np.uint8), np.array([0, len(text)])))
+                equal = [k not in at for k in range(n)]
+                best = max(sum(equal[s:e]) for s in range(n) for e in range(s + 1, n + 1) if 5 * sum(equal[s:e]) >= 4 * (e - s))
+                assert [f[2] for f in found] == ([best] if best >= min(13, -(-4 * n // 5)) else []), (n, at)
