@@ -10,9 +10,12 @@
    enough; in a dense one only deeper prefixes stand within the window. The ends
    of partitions are joined to the starts of the next in a step of their own.
 3. A predecessor is a candidate unless the rest of the signature rules it out,
-   or both are joined already by near-certain candidates of the same window.
+   or both seem to be joined already by near-certain candidates of the same window.
 4. Candidates are confirmed on the full sets, and confirmed links become
    components by alternating stars.
+5. In regions with more rows than that shows (``crowded``), all pairs that confirmed
+   links don't join yet are compared, in blocks that split a large region over
+   tasks; the plausible ones are confirmed as well, however many there are.
 """
 
 from __future__ import annotations
@@ -38,6 +41,11 @@ PLAUSIBLE = 0.5
 #: From this share on, a pair may stand for the links that it makes redundant.
 CERTAIN = 0.9
 
+#: Rows of a crowded region in a block; blocks meet two by two.
+BLOCK = 2000
+#: Regions of up to this many rows are compared together, larger ones by as many rows at a time.
+SMALL = 64
+
 _XOR = stream(11, TREES * DEPTH)
 _TIMES = stream(12, TREES * DEPTH) | U64(1)
 
@@ -135,12 +143,23 @@ def _matrix(rows: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), len(rows[0]))
 
 
+def _runs(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the run of equal values, its length) of each row."""
+    run = np.cumsum(np.append(0, np.diff(first) != 0))[: len(first)]
+    return run, np.bincount(run)[run] if len(run) else run
+
+
 def _neighbours(window: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("part", pa.int32()), ("end", pa.int32()), ("at", pa.int32()), ("first", pa.int64()), ("prints", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Candidates inside a part of the order, and the rows at its start (end=0) and end (end=1)."""
+        """Candidates inside a part of the order, the rows at its start (end=0) and end (end=1), and those of crowded regions (no b, no part).
+
+        A region at an end of the part counts as crowded, since it may go on in the next.
+        """
         part, seen, first, node, prints = None, 0, None, None, None
+        # the region that the part starts with; whether the last region's rows have been given
+        begin, given = None, False
 
         def ends(rows: slice, end: int) -> pa.RecordBatch:
             m = len(first[rows])
@@ -149,6 +168,18 @@ def _neighbours(window: int):
                 schema=schema,
             )
 
+        def crowd(rows: np.ndarray) -> pa.RecordBatch:
+            m = len(rows)
+            return pa.record_batch(
+                [pa.array(node[rows]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.array(first[rows]), binary_rows(prints[rows])],
+                schema=schema,
+            )
+
+        def close() -> Iterator[pa.RecordBatch]:
+            yield ends(slice(-window, None), 1)
+            if not given:
+                yield crowd(np.flatnonzero(first == first[-1]))
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -157,22 +188,37 @@ def _neighbours(window: int):
             for s, e in zip(np.append(0, cut), np.append(cut, len(parts)), strict=True):
                 if parts[s] != part:
                     if seen:
-                        yield ends(slice(0, window), 1)
+                        yield from close()
                     part, seen, first, node, prints = int(parts[s]), 0, firsts[:0], nodes[:0], more[:0]
+                    begin, given = firsts[s], False
                 old = len(first)
                 first, node, prints = np.concatenate([first, firsts[s:e]]), np.concatenate([node, nodes[s:e]]), np.concatenate([prints, more[s:e]])
+                # a row that comes again counts once
+                once = np.append(True, (np.diff(first) != 0) | (np.diff(node) != 0))
+                first, node, prints = first[once], node[once], prints[once]
+                if len(first) == old:
+                    continue
                 if seen < window:
                     yield ends(slice(old, old + window - seen), 0)
-                seen += e - s
+                seen += len(first) - old
+                # near-certain candidates may have hidden a pair in any region of three rows
+                run, size = _runs(first)
+                full = (size >= (3 if prints.shape[1] else window + 2)) | (first == begin)
+                fresh = np.arange(len(first)) >= old
+                if old and not given:
+                    fresh |= run == run[old - 1]
+                if (full & fresh).any():
+                    yield crowd(np.flatnonzero(full & fresh))
+                given = bool(full[-1])
                 a, b = _look_back(first, node, prints, old, window)
                 k = len(a)
                 yield pa.record_batch(
                     [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())],
                     schema=schema,
                 )
-                first, node, prints = first[-window:], node[-window:], prints[-window:]
+                first, node, prints = first[-window - 1 :], node[-window - 1 :], prints[-window - 1 :]
         if seen:
-            yield ends(slice(0, window), 1)
+            yield from close()
 
     return run
 
@@ -197,7 +243,13 @@ def _across(window: int):
 
 
 def sorted_neighbours(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct candidate pairs (a < b) of ``rows(first, rest, node, prints)`` that stand close in its order.
+    """The first result of :func:`neighbours`."""
+    return neighbours(rows, window)[0]
+
+
+def neighbours(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Distinct candidate pairs (a < b) of ``rows(first, rest, node, prints)`` that stand close in its order,
+    and the rows ``first, node, prints`` of all regions in which there may be more.
 
     Rows with equal ``first`` are a region, ``rest`` orders it, ``prints`` (of one
     width, or all empty) rule out the implausible. The order is cut into parts by
@@ -222,7 +274,112 @@ def sorted_neighbours(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         .sortWithinPartitions("border", F.col("end").desc(), "at")
         .mapInArrow(_across(window), "a long, b long")
     )
-    return found.filter("part is null").select("a", "b").unionByName(across).distinct()
+    pairs = found.filter("part is null and b is not null").select("a", "b").unionByName(across).filter("a <> b").distinct()
+    return pairs, found.filter("part is null and b is null").select("first", F.col("a").alias("node"), "prints")
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The plausible pairs of different labels of each (first, low, high), whose rows come together."""
+    held: list[pa.RecordBatch] = []
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        first, low, high, block, node, label = (rows[c].to_numpy() for c in ("first", "low", "high", "block", "node", "label"))
+        prints = _matrix(rows["prints"].to_pylist())
+        starts = np.flatnonzero(np.append(True, (np.diff(first) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)))
+        # small regions all at once, large ones row block by row block
+        size = np.diff(np.append(starts, len(first)))
+        some = np.flatnonzero(np.repeat(size <= SMALL, size))
+        key = np.repeat(np.arange(len(size)), size)
+        a, b = [], []
+
+        def out() -> pa.RecordBatch:
+            x, y = np.concatenate(a), np.concatenate(b)
+            a.clear()
+            b.clear()
+            return pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+        def add(i: np.ndarray, j: np.ndarray) -> None:
+            a.append(node[i])
+            b.append(node[j])
+
+        i = some
+        for k in range(1, SMALL):
+            # a row without a k-th predecessor has no later one either
+            i = i[i >= k]
+            i = i[key[i] == key[i - k]]
+            if not len(i):
+                break
+            j = i[(label[i] != label[i - k]) & (node[i] != node[i - k]) & ((low[i] == high[i]) | (block[i] != block[i - k]))]
+            if len(j):
+                j = j[_agree(prints, j, j - k) >= PLAUSIBLE]
+            add(j, j - k)
+        if a:
+            yield out()
+        for s, n in zip(starts[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            columns = np.ascontiguousarray(prints[s : s + n].T)
+            for t in range(0, n, SMALL):
+                e = min(n, t + SMALL)
+                if len(columns):
+                    same = np.zeros((e - t, n), np.uint8)
+                    for c in columns:
+                        same += c[t:e, None] == c[None, :]
+                    likely = (same / np.float64(len(columns)) - 1 / 256) / (1 - 1 / 256) >= PLAUSIBLE
+                else:
+                    likely = np.ones((e - t, n), bool)
+                likely &= label[s + t : s + e, None] != label[None, s : s + n]
+                x, y = np.nonzero(likely)
+                x += t
+                keep = (y < x) & ((low[s] == high[s]) | (block[s + x] != block[s + y]))
+                if keep.any():
+                    add(s + x[keep], s + y[keep])
+                    yield out()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y, z = (batch.column(c).to_numpy() for c in range(3))
+        cut = np.flatnonzero((np.diff(x) != 0) | (np.diff(y) != 0) | (np.diff(z) != 0)) + 1
+        last = int(cut[-1]) if len(cut) else 0
+        new = not held or [held[-1].column(c)[-1].as_py() for c in range(3)] != [int(v[0]) for v in (x, y, z)]
+        if held and (new or last):
+            # up to the end of the key that is held
+            more = 0 if new else int(cut[0])
+            if more:
+                held.append(batch.slice(0, more))
+                batch = batch.slice(more)
+                last -= more
+            yield from pairs(pa.Table.from_batches(held))
+            held = []
+        if last > 0:
+            yield from pairs(pa.Table.from_batches([batch.slice(0, last)]))
+            batch = batch.slice(last)
+        if batch.num_rows:
+            held.append(batch)
+    if held:
+        yield from pairs(pa.Table.from_batches(held))
+
+
+def crowded_pairs(crowded: DataFrame, components: DataFrame, pairs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """All plausible pairs (a < b) inside the regions of ``crowded`` that ``components`` doesn't join and ``pairs`` hasn't.
+
+    A region's rows are split in blocks of about ``block`` rows, and each two blocks
+    meet in a task of their own.
+    """
+    rows = (
+        crowded.dropDuplicates(["first", "node"])
+        .join(components, "node", "left")
+        .select("first", "node", "prints", F.coalesce("component", "node").alias("label"))
+    )
+    rows = materialize(rows, "crowded")
+    mixed = rows.groupBy("first").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).filter("n > 2 and least <> most")
+    blocks = rows.join(mixed.select("first", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "first").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    met = (
+        blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("first", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "prints")
+        .repartition("first", "low", "high")
+        .sortWithinPartitions("first", "low", "high")
+    )
+    return met.mapInArrow(_block_pairs, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
 
 
 def _verify(least: int):
@@ -299,9 +456,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
         signed.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2", "sig").agg(F.min("doc_id").alias("node")), "classes"
     )
     rows = classes.select("node", "sig").mapInArrow(_tree_rows, "first long, rest binary, node long, prints binary")
-    pairs = materialize(sorted_neighbours(rows), "pairs")
+    near, crowded = neighbours(rows)
+    pairs = materialize(near, "pairs")
     links = materialize(confirm(pairs, signed.filter("n_shingles > 0"), percent), "links")
     components = connected_components(links)
+    more = materialize(crowded_pairs(crowded, components, pairs), "crowded-pairs")
+    more = materialize(confirm(more, signed.filter("n_shingles > 0"), percent), "crowded-links")
+    components = connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     labelled = classes.join(components, "node", "left").select(
         "n_shingles", "k1", "k2", F.coalesce("component", "node").alias("component_id")
     )

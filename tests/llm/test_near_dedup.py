@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from conftest import LOREM, SCHEMA, prose
 
+from arbitra.llm import near_dedup
 from arbitra.llm.graph import connected_components
-from arbitra.llm.near_dedup import drop_near_duplicates, near_duplicates, sorted_neighbours
+from arbitra.llm.near_dedup import crowded_pairs, drop_near_duplicates, near_duplicates, neighbours, sorted_neighbours
 
 
 def shingles(text):
@@ -89,6 +90,39 @@ def test_neighbours_cross_partitions(spark):
     assert {(i, i + 1) for i in range(n - 1)} <= pairs
 
 
+def test_crowded_region(spark):
+    """Two rows far apart in a region of hundreds are a pair, in whichever block they are."""
+    r = np.random.default_rng(4)
+    prints = r.integers(0, 256, (400, 60)).astype(np.uint8)
+    prints[390] = prints[3]
+    rows = spark.createDataFrame([(1 + (i > 395), i.to_bytes(4, "big"), i, prints[i].tobytes()) for i in range(400)], "first long, rest binary, node long, prints binary")
+    near, crowded = neighbours(rows, 3)
+    none = spark.createDataFrame([], "node long, component long")
+    assert (3, 390) not in {(x["a"], x["b"]) for x in near.collect()}
+    for block in (50, 2000):
+        assert {(x["a"], x["b"]) for x in crowded_pairs(crowded, none, near, block).collect()} == {(3, 390)}
+    joined = spark.createDataFrame([(3, 3), (390, 3)], "node long, component long")
+    assert crowded_pairs(crowded, joined, near).count() == 0
+
+
+def test_dense_background(spark, monkeypatch):
+    """Texts that share most of a form, compared with one neighbour each at first."""
+    r = random.Random(12)
+    form = prose(600, 75)
+    data = []
+    for i in range(200):
+        own = prose(700 + i // 2, 25).split()
+        if i % 2:
+            own[r.randrange(12, 25)] = "changed"
+        data.append((i, form + " " + " ".join(own)))
+    r.shuffle(data)
+    monkeypatch.setattr(near_dedup, "neighbours", lambda rows: neighbours(rows, 1))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t), "") for i, t in data], SCHEMA)
+    want = brute(data)
+    assert 90 < sum(not x[2] for x in want.values()) < 110
+    assert got(near_duplicates(df)) == want
+
+
 @pytest.mark.parametrize("shape", ["chain", "star", "random", "none"])
 def test_components(spark, shape):
     r = np.random.default_rng(1)
