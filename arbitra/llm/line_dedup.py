@@ -1,14 +1,17 @@
 """Line dedup: one line of each group of equal or nearly equal lines stays.
 
-1. Every line gets a 128-bit key of its words (A-Z lowered, white space as one
-   blank); lines of one key are equal. Lines under ``SHORTEST`` bytes are left alone.
-2. Fuzzy lines: MinHash over shingles of ``SHINGLE`` characters (bytes), by one
-   permutation with densified bins; ``BANDS`` bands of ``ROWS`` values. Equal lines
-   enter once. Inside a band's bucket, ordered by the next band's values, each line
-   meets its neighbours, so a bucket of any size gives a linear number of pairs.
+1. Every line that isn't blank gets a 128-bit key of its words (A-Z lowered, white
+   space as one blank); lines of one key are equal, and are one node from here on.
+2. Fuzzy lines: MinHash over shingles of ``SHINGLE`` characters, by one permutation
+   with densified bins; ``BANDS`` bands of ``ROWS`` values. Bands' rows are dealt by
+   ranges of (bucket, node), cut by a sample so that a bucket of any size is spread,
+   and travel as arrays. In a bucket of up to ``SMALL`` lines all pairs are candidates;
+   in a larger one, or one that a cut runs through, each line and its predecessors.
 3. Pairs are confirmed by the exact Jaccard similarity of their shingle sets.
-4. Components of confirmed pairs by alternating stars; of all lines of a component
-   the one of least (doc_id, line number) stays.
+4. Components of confirmed pairs by alternating stars. In larger buckets all pairs
+   that these don't join yet are compared then, exactly and in blocks that split a
+   bucket over tasks (``regions``). No pair that shares a band is left out.
+5. Of all lines of a component the one of the least document stays.
 """
 
 from __future__ import annotations
@@ -23,22 +26,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import connected_components
-from .kernels import U64, WordHasher, binary_rows, chunks, mix, space_separated, string_buffers
-from .near_dedup import sorted_neighbours
-from .session import materialize, partitions, small_batches
+from .kernels import U64, WordHasher, chunks, mix, space_separated, string_buffers
+from .regions import mixed_regions, region_links
+from .session import fresh, materialize, partitions, small_batches
 
-SHORTEST = 20
 SHINGLE = 8
 BANDS, ROWS = 10, 3
 BINS = BANDS * ROWS
 PERCENT = 75
-WINDOW = 2
-#: Parts of the order for each shuffle partition, and rows of the sample for each part.
-PARTS, DRAWN = 4, 20
+#: Lines of a bucket that are compared at once, and predecessors that each line of a larger one meets first.
+SMALL, WINDOW = 16, 2
+#: Rows of the sample for each part of the order.
+DRAWN = 50
+#: Lines whose bands a task holds before it hands them on.
+HELD = 1 << 16
 
 _NORMAL = np.arange(256, dtype=np.uint8)
 _NORMAL[65:91] += 32
 _NORMAL[9:14] = 32
+_ONES = (U64(1) << (U64(8) * np.arange(8, dtype=U64))) - U64(1)
+#: The low bytes of a word, for 0 to 8 of them.
+_LOW = np.append(_ONES, U64(0xFFFFFFFFFFFFFFFF))
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,148 +66,237 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def line_keys(words: WordHasher, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(two 64-bit keys of each line, whether it is long enough to count)."""
+    """(two 64-bit keys of each line, whether it has a word)."""
     h, at = words.hashes(data, offsets)
     first, last = np.searchsorted(at, starts), np.searchsorted(at, ends)
     k1, k2 = np.zeros(len(starts), U64), np.zeros(len(starts), U64)
-    counts = (ends - starts >= SHORTEST) & (last > first)
     if len(h):
         place = (np.arange(len(h)) - np.repeat(first, last - first)).astype(U64)
         with np.errstate(over="ignore"):
             full = np.flatnonzero(last > first)
             k1[full] = np.add.reduceat(mix(h + place * U64(0x9E3779B97F4A7C15)), first[full])
             k2[full] = np.add.reduceat(mix(h ^ (place + U64(1)) * U64(0xC2B2AE3D27D4EB4F)), first[full])
-    return k1, k2, counts
+    return k1, k2, last > first
 
 
-def shingles(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position on as one number, normalised."""
-    d = _NORMAL[data].astype(U64)
-    n = len(d) - SHINGLE + 1
-    x = d[:n].copy()
-    for k in range(1, SHINGLE):
-        x |= d[k : n + k] << U64(8 * k)
-    return x
+def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all shingles of each line as numbers, how many each line has).
 
+    A shingle is ``SHINGLE`` characters of UTF-8, normalised. One of single bytes is
+    the number they spell, a wider one a hash of its bytes.
+    """
+    n = len(data)
+    d = np.zeros(n + 48, np.uint8)
+    d[:n] = _NORMAL[data]
+    x = np.empty(n + 32, U64)
+    for k in range(8):
+        x[k::8] = np.frombuffer(d, U64, len(x[k::8]), k)
+    if not n or data.max() < 128:
+        size = np.maximum(ends - starts - SHINGLE + 1, 0)
+        return x[_ragged(starts, size)], size
+    lead = np.append(np.flatnonzero((data & 0xC0) != 0x80), n)
+    first, last = np.searchsorted(lead, starts), np.searchsorted(lead, ends)
+    size = np.maximum(last - first - SHINGLE + 1, 0)
+    at = _ragged(first, size)
+    begin = lead[at]
+    length = lead[at + SHINGLE] - begin
+    out = x[begin]
+    wide = np.flatnonzero(length > 8)
+    if len(wide):
+        begin, length = begin[wide], length[wide]
+        with np.errstate(over="ignore"):
+            h = out[wide]
+            for k in range(1, 4):
+                h = mix(h + U64(k)) + (x[begin + 8 * k] & _LOW[np.clip(length - 8 * k, 0, 8)])
+            out[wide] = mix(h ^ length.astype(U64))
+    return out, size
+
+
+def _ragged(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``first[k], first[k] + 1, ..`` for each k, ``n[k]`` of them."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
-def bins(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+
+def bins(x: np.ndarray, size: np.ndarray) -> np.ndarray:
     """``BINS`` MinHash values of each line by one permutation; every line has a shingle."""
-    h = mix(shingles(data))
-    size = ends - starts - SHINGLE + 1
-    line = np.repeat(np.arange(len(starts)), size)
-    at = np.arange(len(line)) + np.repeat(starts - (np.cumsum(size) - size), size)
-    h = h[at]
-    out = np.full(len(starts) * BINS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    np.minimum.at(out, line * BINS + ((h >> U64(32)) * U64(BINS) >> U64(32)).astype(np.int64), h & U64(0xFFFFFFFF))
+    h = mix(x)
+    none = np.uint32(0xFFFFFFFF)
+    out = np.full(len(size) * BINS, none)
+    place = np.repeat(np.arange(len(size), dtype=np.int32) * np.int32(BINS), size) + ((h >> U64(32)) * U64(BINS) >> U64(32)).astype(np.int32)
+    np.minimum.at(out, place, h.astype(np.uint32) >> np.uint32(1))
     out = out.reshape(-1, BINS)
     # an empty bin takes the value of the next full one, marked by the distance
-    full = out != U64(0xFFFFFFFFFFFFFFFF)
-    places = np.where(np.hstack([full, full]), np.arange(2 * BINS), 4 * BINS)
+    places = np.where(out != none, np.arange(BINS, dtype=np.int8), np.int8(4 * BINS))
+    places = np.hstack([places, np.where(places < BINS, places + np.int8(BINS), places)])
     source = np.minimum.accumulate(places[:, ::-1], axis=1)[:, ::-1][:, :BINS]
-    distance = (source - np.arange(BINS)).astype(U64)
+    distance = (source - np.arange(BINS, dtype=np.int8)).astype(U64)
+    with np.errstate(over="ignore"):
+        return mix(np.take_along_axis(out, (source % np.int8(BINS)).astype(np.int64), axis=1).astype(U64) + distance * U64(0xD6E8FEB86659FD93))
+
+
+def buckets(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bucket of each line in each band."""
+    # a band's values are BANDS bins apart: an empty bin has its value from the next full one
+    values = bins(x, size).reshape(-1, ROWS, BANDS)
     with np.errstate(over="ignore"):
-        return mix(np.take_along_axis(out, source % BINS, axis=1) + distance * U64(0xD6E8FEB86659FD93))
+        return mix(values[:, 0] * U64(3) + mix(values[:, 1] * U64(5) + mix(values[:, 2])) + np.arange(BANDS, dtype=U64)).view(np.int64)
 
 
-def _prepare(at: int) -> Callable:
+def _prepare(at: int, names: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows with their text packed, and the keys of their lines (0 where a line doesn't count)."""
+        """The rows with their text packed, the keys of their lines (0 for a blank one) and a hash of the text."""
         words, pack = WordHasher(space_separated()), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             raw, offsets = string_buffers(batch.column(at))
             null = batch.column(at).is_null().to_pylist()
-            packed, keys = [], []
+            packed, keys, whole = [], [], []
             for i, j, data, off in chunks(raw, offsets):
                 starts, ends, row = line_spans(data, off)
                 k1, k2, counts = line_keys(words, data, off, starts, ends)
                 both = np.stack([k1, k2], axis=1) * counts[:, None].astype(U64)
                 cut = np.searchsorted(row, np.arange(j - i + 1))
+                with np.errstate(over="ignore"):
+                    whole.append(np.add.reduceat(mix(k1 + (np.arange(len(k1)) - cut[row]).astype(U64)), cut[:-1]))
                 for k in range(j - i):
                     packed.append(None if null[i + k] else pack.compress(data[off[k] : off[k + 1]].tobytes()))
                     keys.append(both[cut[k] : cut[k + 1]].tobytes())
             columns = [c for k, c in enumerate(batch.columns) if k != at]
-            yield pa.record_batch([*columns, pa.array(packed, pa.binary()), pa.array(keys, pa.binary())], names=[*(n for k, n in enumerate(batch.schema.names) if k != at), "packed", "line_keys"])
+            whole = np.concatenate(whole).view(np.int64) if whole else np.zeros(0, np.int64)
+            yield pa.record_batch([*columns, pa.array(packed, pa.binary()), pa.array(keys, pa.binary()), pa.array(whole)], names=names)
 
     return run
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per line that counts."""
+    """One row per line that isn't blank."""
     for batch in batches:
-        keys = batch.column(1).to_pylist()
+        keys = batch.column(0).to_pylist()
         n = np.array([len(k) // 16 for k in keys], np.int64)
         both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
         row = np.repeat(np.arange(len(keys)), n)
         pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         keep = np.flatnonzero(both.any(axis=1))
+        at = pa.array(row[keep])
         yield pa.record_batch(
-            [pa.array(both[keep, 0]), pa.array(both[keep, 1]), batch.column(0).take(pa.array(row[keep])), pa.array(pos[keep])], names=["k1", "k2", "doc_id", "pos"]
+            [pa.array(both[keep, 0]), pa.array(both[keep, 1]), *(batch.column(c).take(at) for c in (1, 2)), pa.array(pos[keep]), batch.column(3).take(at)],
+            names=["k1", "k2", "doc_id", "whole", "pos", "row"],
         )
 
 
-def _unpacked(batch: pa.RecordBatch, column: int, unpack: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray]:
-    texts = [b"" if x is None else unpack.decompress(x) for x in batch.column(column).to_pylist()]
+def _unpacked(packed: list[bytes | None], unpack: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray]:
+    texts = [b"" if x is None else unpack.decompress(x) for x in packed]
     offsets = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in texts], out=offsets[1:])
     return np.frombuffer(b"".join(texts), np.uint8), offsets
 
 
-def part_of(bounds: tuple[np.ndarray, np.ndarray, np.ndarray], first: np.ndarray, rest: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """How many bounds (sorted triples) each row (first, rest, node) is not below.
-
-    A value of ``first`` that fills whole parts is several bounds, told apart by the rest.
-    """
+def part_of(bounds: tuple[np.ndarray, np.ndarray], first: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """How many bounds (sorted pairs) each row (first, node) is not below."""
     low, high = np.searchsorted(bounds[0], first, "left"), np.searchsorted(bounds[0], first, "right")
     part = low.copy()
-    for value in np.unique(first[low < high]).tolist():
-        rows = np.flatnonzero(first == value)
-        a, b = int(low[rows[0]]), int(high[rows[0]])
-        for k in range(a, b):
-            part[rows] += (rest[rows] > bounds[1][k]) | ((rest[rows] == bounds[1][k]) & (node[rows] >= bounds[2][k]))
+    cut = np.flatnonzero(low < high)
+    # a bucket that fills whole parts is several bounds, told apart by the node
+    for k in range(int((high - low)[cut].max()) if len(cut) else 0):
+        rows = cut[low[cut] + k < high[cut]]
+        part[rows] += node[rows] >= bounds[1][low[rows] + k]
     return part.astype(np.int32)
 
 
 def _bands(shared=None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per distinct line of a chunk and band: the bucket, an order inside it, the line's key, and the part."""
+        """Buckets and nodes of the bands of this task's distinct lines, as arrays, by part."""
         unpack = zstandard.ZstdDecompressor()
-        bounds = shared.value if shared else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
+        bounds = shared.value if shared else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            node, bucket = (np.concatenate(x) for x in zip(*held, strict=True))
+            node, some = np.unique(node, return_index=True)
+            first, node = bucket[some].T.ravel(), np.tile(node, BANDS)
+            part = part_of(bounds, first, node)
+            order = np.argsort(part, kind="stable")
+            cut = np.flatnonzero(np.diff(part[order])) + 1
+            pieces = np.split(order, cut)
+            return pa.record_batch(
+                [pa.array([part[p[0]] for p in pieces], pa.int32()), *(pa.array([v[p].tobytes() for p in pieces], pa.binary()) for v in (first, node))], names=["part", "firsts", "nodes"]
+            )
+
         for batch in batches:
-            raw, offsets = _unpacked(batch, 0, unpack)
+            raw, offsets = _unpacked(batch.column(0).to_pylist(), unpack)
             keys = batch.column(1).to_pylist()
             for i, j, data, off in chunks(raw, offsets):
                 k1 = np.frombuffer(b"".join(keys[i:j]), np.int64).reshape(-1, 2)[:, 0]
                 starts, ends, _ = line_spans(data, off)
-                _, some = np.unique(k1, return_index=True)
-                some = some[k1[some] != 0]
-                if not len(some):
-                    continue
-                # a band's values are BANDS bins apart: an empty bin has its value from the next full one
-                values = bins(data, starts[some], ends[some]).reshape(-1, ROWS, BANDS)
-                with np.errstate(over="ignore"):
-                    bucket = mix(values[:, 0] * U64(3) + mix(values[:, 1] * U64(5) + mix(values[:, 2])) + np.arange(BANDS, dtype=U64)).view(np.int64)
-                for b in range(BANDS):
-                    first, rest = np.ascontiguousarray(bucket[:, b]), (bucket[:, (b + 1) % BANDS] >> 32).astype(np.int32)
-                    yield pa.record_batch(
-                        [pa.array(part_of(bounds, first, rest, k1[some])), pa.array(first), pa.array(rest), pa.array(k1[some])], names=["part", "first", "rest", "node"]
-                    )
+                # three shingles are in a set of four at best; with fewer there is no partner
+                long = np.flatnonzero((k1 != 0) & (ends - starts >= SHINGLE + 2))
+                long = long[np.unique(k1[long], return_index=True)[1]]
+                x, size = shingles(data, starts[long], ends[long])
+                full = np.flatnonzero(size >= 3)
+                if len(full) < len(size):
+                    x = x[np.repeat(size >= 3, size)]
+                if len(full):
+                    held.append((k1[long[full]], buckets(x, size[full])))
+                    n += len(full)
+                if n >= HELD:
+                    yield out()
+                    held, n = [], 0
+        if held:
+            yield out()
 
     return run
 
 
-def _bounds(rows: DataFrame, lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bounds(rows: DataFrame, lines: int) -> tuple[np.ndarray, np.ndarray]:
     """Where to cut the order of all bands' rows: quantiles of a sample of texts.
 
     The sample grows with the number of parts, not with the table; it decides how even
     the parts are and nothing else.
     """
-    parts = PARTS * partitions(rows.sparkSession)
+    parts = partitions(rows.sparkSession)
     share = min(1.0, DRAWN * parts / max(1, lines * BANDS))
-    drawn = rows.sample(share, 17).select("packed", "line_keys").mapInArrow(_bands(), "part int, first long, rest int, node long").limit(4 * DRAWN * parts).toArrow()
-    triples = [drawn[c].to_numpy() for c in ("first", "rest", "node")]
-    order = np.lexsort(triples[::-1])
+    drawn = rows.sample(share, 17).select("packed", "line_keys").mapInArrow(_bands(), "part int, firsts binary, nodes binary").toArrow()
+    pairs = [np.frombuffer(b"".join(drawn[c].to_pylist()), np.int64) for c in ("firsts", "nodes")]
+    order = np.lexsort(pairs[::-1])
     at = order[np.linspace(0, len(order) - 1, parts + 1).astype(int)[1:-1]] if len(order) else order
-    return tuple(t[at] for t in triples)
+    return tuple(x[at] for x in pairs)
+
+
+def _candidates(shared) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Candidates (a, b) of a part's buckets, and the rows (first, a) of those that aren't all pairs here."""
+        schema = pa.schema([("first", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+        held = [(b.column(1).to_pylist(), b.column(2).to_pylist()) for b in batches]
+        first, node = (np.frombuffer(b"".join(x for h in held for x in h[c]), np.int64) for c in range(2))
+        del held
+        order = np.lexsort((node, first))
+        first, node = first[order], node[order]
+        if not len(first):
+            return
+        once = np.append(True, (np.diff(first) != 0) | (np.diff(node) != 0))
+        first, node = first[once], node[once]
+        bucket = np.cumsum(np.append(0, np.diff(first) != 0))
+        size = np.bincount(bucket)[bucket]
+        crowded = (size > SMALL) | np.isin(first, shared.value[0])
+        crowd = np.flatnonzero(crowded)
+        if len(crowd):
+            yield pa.record_batch([pa.array(first[crowd]), pa.array(node[crowd]), pa.nulls(len(crowd), pa.int64())], schema=schema)
+        a, b = [], []
+        i = np.flatnonzero((size > 1) | crowded)
+        for k in range(1, SMALL):
+            i = i[i >= k]
+            i = i[bucket[i] == bucket[i - k]]
+            if k == WINDOW + 1:
+                i = i[~crowded[i]]
+            if not len(i):
+                break
+            a.append(node[i - k])
+            b.append(node[i])
+        if a:
+            # nodes rise within a bucket
+            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+            yield pa.record_batch([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+
+    return run
 
 
 def _texts_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,28 +311,60 @@ def _texts_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(lines, pa.binary())], names=["node", "line"])
 
 
+def _shingle_lists(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first line, shingles of lines, where each line's end) of runs of lines."""
+    raw, offsets = string_buffers(column)
+    for i, _, data, off in chunks(raw, offsets):
+        x, size = shingles(data, off[:-1], off[1:])
+        yield i, x, np.cumsum(size)
+
+
 def _verify(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per pivot: its own line first, then its candidates'; the confirmed pairs."""
         pivot, own = None, None
         for batch in batches:
+            pivots, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             a, b = [], []
-            for p, node, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = np.unique(shingles(np.frombuffer(line, np.uint8)))
-                if p == node:
-                    pivot, own = p, s
-                    continue
-                if p != pivot:  # the pivot's row has no doc_id to find its text by
-                    continue
-                both = len(np.intersect1d(s, own, assume_unique=True))
-                if 100 * both >= percent * (len(s) + len(own) - both):
-                    a.append(p)
-                    b.append(node)
+            for i, x, ends in _shingle_lists(batch.column(2)):
+                begin = 0
+                for k, end in enumerate(ends.tolist(), i):
+                    s, begin = np.unique(x[begin:end]), end
+                    if pivots[k] == nodes[k]:
+                        pivot, own = pivots[k], s
+                        continue
+                    assert pivot == pivots[k], "a pivot's own line comes first"
+                    small, large = (s, own) if len(s) < len(own) else (own, s)
+                    if 100 * len(small) < percent * len(large) or not len(small):
+                        continue
+                    at = np.searchsorted(large, small)
+                    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+                    if 100 * both >= percent * (len(s) + len(own) - both):
+                        a.append(pivot)
+                        b.append(nodes[k])
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose lines' shingle sets are that similar; ``texts`` has node and line."""
+    ship = pairs.select(F.col("b").alias("node"), F.col("a").alias("pivot")).unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("pivot")).distinct())
+    return (
+        ship.join(texts, "node")
+        .repartition("pivot")
+        .withColumn("later", F.col("node") != F.col("pivot"))
+        .sortWithinPartitions("pivot", "later")
+        .select("pivot", "node", "line")
+        .mapInArrow(_verify(percent), "a long, b long")
+    )
+
+
+def _sets(payload: pa.Array) -> list[np.ndarray]:
+    """The shingle set of each line."""
+    return [np.unique(s) for _, x, ends in _shingle_lists(payload) for s in np.split(x, ends[:-1])]
+
+
 def _apply(at: int, names: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The texts without their removed lines; columns: others, packed, line_keys, removed."""
@@ -244,13 +373,14 @@ def _apply(at: int, names: list[str]) -> Callable:
             others, (packed, keys, removed) = batch.columns[:-3], (c.to_pylist() for c in batch.columns[-3:])
             texts, lines, gone, left = [], [], [], []
             for x, k, r in zip(packed, keys, removed, strict=True):
-                parts = [] if x is None else unpack.decompress(x).decode("utf-8").split("\n")
-                r = set(r or ())
-                texts.append(None if x is None else "\n".join(p for i, p in enumerate(parts) if i not in r))
-                counted = np.frombuffer(k, np.int64).reshape(-1, 2).any(axis=1)
-                lines.append(len(parts))
-                gone.append(len(r))
-                left.append(int(counted.sum()) - len(r))
+                text = None if x is None else unpack.decompress(x).decode("utf-8")
+                lines.append(0 if x is None else text.count("\n") + 1)
+                if r:
+                    r = set(r)
+                    text = "\n".join(p for i, p in enumerate(text.split("\n")) if i not in r)
+                texts.append(text)
+                gone.append(len(r or ()))
+                left.append(sum(k[i : i + 16] != bytes(16) for i in range(0, len(k), 16)) - gone[-1])
             columns = list(others)
             columns.insert(at, pa.array(texts, pa.string()))
             yield pa.record_batch([*columns, pa.array(lines, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.int64())], names=names)
@@ -258,81 +388,78 @@ def _apply(at: int, names: list[str]) -> Callable:
     return run
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """``docs`` with the text of each row rid of repeated lines, and three counts.
-
-    ``n_lines`` is the number of lines before, ``n_removed`` that of removed ones,
-    ``n_left`` that of lines left that were long enough to count. Of each component
-    of equal or nearly equal lines the one of least (doc_id, line number) stays,
-    within a document too. A null text stays null (no line), an empty one stays empty
-    (one line). Rows of one doc_id are taken for one document: what stays in one
-    stays in all. Other columns are carried along; a column named like an own one
-    (packed, line_keys, removed, n_lines, n_removed, n_left) is an error.
-    """
-    own = {"packed", "line_keys", "removed", "n_lines", "n_removed", "n_left"}
-    if clash := own & set(docs.columns):
-        raise ValueError(f"columns in use: {sorted(clash)}")
-    small_batches(docs.sparkSession)
+def _deduped(docs: DataFrame, text: str, key: str, percent: int, counts: tuple[str, str, str]) -> DataFrame:
+    spark = docs.sparkSession
+    small_batches(spark)
     at = docs.columns.index(text)
     others = [f for f in docs.schema if f.name != text]
-    prepared = T.StructType([*others, T.StructField("packed", T.BinaryType()), T.StructField("line_keys", T.BinaryType())])
-    rows = materialize(docs.mapInArrow(_prepare(at), prepared), "packed-texts")
-    lines = rows.select(F.col(key).cast("long").alias("doc_id"), "line_keys").mapInArrow(_lines, "k1 long, k2 long, doc_id long, pos long")
-    equal = materialize(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "pos")).alias("kept"), F.count("*").alias("n")), "equal-lines")
-
-    shared = docs.sparkSession.sparkContext.broadcast(_bounds(rows, equal.count()))
-    banded = (
-        rows.select("packed", "line_keys")
-        .mapInArrow(_bands(shared), "part int, first long, rest int, node long")
-        .withColumn("prints", F.lit(b""))
-    )
-    pairs = materialize(sorted_neighbours(banded, WINDOW), "line-pairs")
+    # own columns by names that the table doesn't have
+    packed, line_keys, whole, row, removed = fresh(docs.columns, "packed", "line_keys", "whole", "row", "removed")
+    names = [f.name for f in others]
+    prepared = T.StructType([*others, T.StructField(row, T.LongType()), T.StructField(packed, T.BinaryType()), T.StructField(line_keys, T.BinaryType()), T.StructField(whole, T.LongType())])
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = materialize(numbered.mapInArrow(_prepare(at, prepared.names), prepared), "packed-texts")
+    own = rows.select(F.col(packed).alias("packed"), F.col(line_keys).alias("line_keys"), F.col(key).cast("long").alias("doc_id"), F.col(whole).alias("whole"), F.col(row).alias("row"))
+    lines = own.select("line_keys", "doc_id", "whole", "row").mapInArrow(_lines, "k1 long, k2 long, doc_id long, whole long, pos long, row long")
+    equal = materialize(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "whole", "pos", "row")).alias("kept"), F.count("*").alias("n")), "equal-lines")
+
+    shared = spark.sparkContext.broadcast(_bounds(own, equal.count()))
+    banded = own.select("packed", "line_keys").mapInArrow(_bands(shared), "part int, firsts binary, nodes binary")
+    found = materialize(banded.repartitionById(partitions(spark), "part").mapInArrow(_candidates(shared), "first long, a long, b long"), "candidates")
+    pairs = found.filter("b is not null").select("a", "b").distinct()
+    crowded = found.filter("b is null").select(F.col("first").alias("region"), F.col("a").alias("node"))
+    nodes = found.select(F.explode(F.array("a", "b")).alias("k1")).filter("k1 is not null").distinct()
     asked = (
-        pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
-        .join(equal.groupBy("k1").agg(F.min("kept").alias("kept")), "k1")
-        .groupBy(F.col("kept.doc_id").alias(key))
+        nodes.join(equal.groupBy("k1").agg(F.min("kept").alias("kept")), "k1")
+        .groupBy(F.col("kept.row").alias("row"))
         .agg(F.collect_set(F.struct(F.col("kept.pos").alias("pos"), F.col("k1").alias("node"))).alias("asked"))
     )
-    texts = rows.select(F.col(key).cast("long").alias(key), "packed").join(asked, key).select("packed", "asked").mapInArrow(_texts_of_lines, "node long, line binary")
-    ship = pairs.select(F.col("b").alias("node"), F.col("a").alias("pivot")).unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("pivot")).distinct())
-    links = materialize(
-        ship.join(texts, "node")
-        .repartition("pivot")
-        .withColumn("later", F.col("node") != F.col("pivot"))
-        .sortWithinPartitions("pivot", "later")
-        .select("pivot", "node", "line")
-        .mapInArrow(_verify(percent), "a long, b long"),
-        "line-links",
-    )
+    texts = materialize(own.select("row", "packed").join(asked, "row").select("packed", "asked").mapInArrow(_texts_of_lines, "node long, line binary"), "candidate-lines")
+    links = materialize(confirm(pairs, texts, percent), "line-links")
     components = connected_components(links)
+    weighed = texts.select("node", F.col("line").alias("payload"), F.octet_length("line").alias("weight"))
+    regions = mixed_regions(crowded.join(weighed.select("node", "weight"), "node"), components)
+    more = materialize(region_links(regions, weighed, _sets, percent), "region-links")
+    components = connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     # what stays: per component of fuzzy lines, else per key; lines that stand alone need no row
-    grouped = equal.join(components.withColumnRenamed("node", "k1"), "k1", "left").filter("n > 1 or component is not null")
-    best = materialize(grouped.filter("component is not null").groupBy("component").agg(F.min("kept").alias("best")), "best-lines")
-    stays = materialize(
-        grouped.join(best, "component", "left").select("k1", "k2", F.coalesce("best", "kept").alias("stays")), "line-stays"
-    )
-    removed = (
+    grouped = materialize(equal.join(components.withColumnRenamed("node", "k1"), "k1", "left").filter("n > 1 or component is not null"), "line-groups")
+    best = grouped.filter("component is not null").groupBy("component").agg(F.min("kept").alias("best"))
+    stays = materialize(grouped.join(best, "component", "left").select("k1", "k2", F.coalesce("best", "kept").alias("stays")), "line-stays")
+    gone = (
         lines.join(stays, ["k1", "k2"])
-        .filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("stays")))
-        .groupBy(F.col("doc_id").alias(key))
-        .agg(F.collect_set("pos").alias("removed"))
-    )
-    names = [*docs.columns, "n_lines", "n_removed", "n_left"]
-    out = T.StructType([*docs.schema, *(T.StructField(n, T.LongType()) for n in names[-3:])])
-    return (
-        rows.join(removed, key, "left")
-        .select(*(F.col(f.name) for f in others), "packed", "line_keys", "removed")
-        .mapInArrow(_apply(at, names), out)
+        .filter("row <> stays.row or pos <> stays.pos")
+        .groupBy(F.col("row").alias(row))
+        .agg(F.collect_set("pos").alias(removed))
     )
+    out = T.StructType([*docs.schema, *(T.StructField(n, T.LongType()) for n in counts)])
+    return rows.join(gone, row, "left").select(*names, packed, line_keys, removed).mapInArrow(_apply(at, out.names), out)
+
+
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+    """``docs`` with the text of each row rid of repeated lines, and three counts.
+
+    ``n_lines`` is the number of lines before, ``n_removed`` that of removed ones,
+    ``n_left`` that of lines left that aren't blank. Of each component of equal or
+    nearly equal lines the one of least (doc_id, hash of the text, line number) stays,
+    within a document too; a null doc_id comes first. A null text stays null (no line),
+    an empty one stays empty (one line); blank lines always stay. Each row is a text of
+    its own: of repeated rows one keeps its lines. Lines that share none of ten bands
+    aren't compared: of pairs at exactly 75 percent, 4 in 1,000. Other columns are
+    carried along, whatever their names; only ``n_lines``, ``n_removed`` and ``n_left``
+    are replaced where the table has them. No rows give no rows.
+    """
+    counts = ("n_lines", "n_removed", "n_left")
+    return _deduped(docs.drop(*counts), text, key, percent, counts)
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated lines; ``n_chars``, if there, follows the text.
 
-    A document that lost lines and has none left that is long enough to count holds
-    nothing of its own and goes.
+    A document that lost lines and has none but blank ones left holds nothing of its
+    own and goes. Null and empty texts stay.
     """
-    out = dedup_lines(docs).filter("n_removed = 0 or n_left > 0")
+    gone, left, lines = fresh(docs.columns, "n_removed", "n_left", "n_lines")
+    out = _deduped(docs, "text", "doc_id", PERCENT, (lines, gone, left)).filter((F.col(gone) == 0) | (F.col(left) > 0))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

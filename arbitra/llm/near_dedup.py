@@ -13,14 +13,15 @@
    or both seem to be joined already by near-certain candidates of the same window.
 4. Candidates are confirmed on the full sets, and confirmed links become
    components by alternating stars.
-5. In regions with more rows than that shows (``crowded``), all pairs that confirmed
-   links don't join yet are compared, in blocks that split a large region over
-   tasks; the plausible ones are confirmed as well, however many there are.
+5. Where rows share ``FULL`` values, one value doesn't leave it at that: the full
+   sets of all that confirmed links don't join yet are compared there, exactly and
+   in blocks that split a region of any size over tasks (``regions``). Of pairs at
+   75 percent, all but 1 in 20,000 share so many values in one of the trees.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .graph import connected_components
 from .kernels import U64, WordHasher, binary_rows, chunks, mix, shingle_sets, space_separated, stream, string_buffers
-from .session import materialize, partitions, small_batches
+from .regions import mixed_regions, region_links
+from .session import fresh, materialize, partitions, small_batches
 
 SHINGLE = 5
 TREES, DEPTH = 12, 5
@@ -41,10 +43,8 @@ PLAUSIBLE = 0.5
 #: From this share on, a pair may stand for the links that it makes redundant.
 CERTAIN = 0.9
 
-#: Rows of a crowded region in a block; blocks meet two by two.
-BLOCK = 2000
-#: Regions of up to this many rows are compared together, larger ones by as many rows at a time.
-SMALL = 64
+#: Values of a tree's signature that make a region in which all pairs are compared.
+FULL = 2
 
 _XOR = stream(11, TREES * DEPTH)
 _TIMES = stream(12, TREES * DEPTH) | U64(1)
@@ -79,8 +79,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     k2[full] = np.bitwise_xor.reduceat(mix(x + U64(0x51ED27)), begin)
             packed = [pack.compress(data[off[k] : off[k + 1]].tobytes()) for k in range(j - i)]
             yield pa.record_batch(
-                [batch.column(0).slice(i, j - i), pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), binary_rows(sig), pa.array(packed, pa.binary())],
-                names=["doc_id", "n_shingles", "k1", "k2", "sig", "packed"],
+                [*(batch.column(c).slice(i, j - i) for c in (0, 2, 3)), pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), binary_rows(sig), pa.array(packed, pa.binary())],
+                names=["doc_id", "row", "whole", "n_shingles", "k1", "k2", "sig", "packed"],
             )
 
 
@@ -94,15 +94,17 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = binary_rows((sig.reshape(n, -1) & 255).astype(np.uint8))
         for t in range(TREES):
             first = (np.int64(t) << 32) + sig[:, t, 0].astype(np.int64)
+            with np.errstate(over="ignore"):
+                deep = first.view(U64)
+                for k in range(1, FULL):
+                    deep = mix(deep) + sig[:, t, k]
             yield pa.record_batch(
-                [pa.array(first), binary_rows(sig[:, t, 1:].astype(">u4")), pa.array(node), prints], names=["first", "rest", "node", "prints"]
+                [pa.array(first), pa.array(deep.view(np.int64)), binary_rows(sig[:, t, 1:].astype(">u4")), pa.array(node), prints], names=["first", "deep", "rest", "node", "prints"]
             )
 
 
 def _agree(prints: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Estimated similarity; one byte of each value agrees by chance in 1 of 256. Plausible if there are no values."""
-    if not prints.shape[1]:
-        return np.full(len(i), PLAUSIBLE)
+    """Estimated similarity; one byte of each value agrees by chance in 1 of 256."""
     same = (prints[i] == prints[j]).mean(axis=1)
     return (same - 1 / 256) / (1 - 1 / 256)
 
@@ -149,7 +151,7 @@ def _runs(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return run, np.bincount(run)[run] if len(run) else run
 
 
-def _neighbours(window: int):
+def _neighbours(window: int) -> Callable:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("part", pa.int32()), ("end", pa.int32()), ("at", pa.int32()), ("first", pa.int64()), ("prints", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +159,7 @@ def _neighbours(window: int):
 
         A region at an end of the part counts as crowded, since it may go on in the next.
         """
-        part, seen, first, node, prints = None, 0, None, None, None
+        part, seen, first, deep, node, prints = None, 0, None, None, None, None
         # the region that the part starts with; whether the last region's rows have been given
         begin, given = None, False
 
@@ -170,40 +172,38 @@ def _neighbours(window: int):
 
         def crowd(rows: np.ndarray) -> pa.RecordBatch:
             m = len(rows)
-            return pa.record_batch(
-                [pa.array(node[rows]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.array(first[rows]), binary_rows(prints[rows])],
-                schema=schema,
-            )
+            return pa.record_batch([pa.array(node[rows]), pa.nulls(m, pa.int64()), *(pa.nulls(m, pa.int32()) for _ in range(3)), pa.array(deep[rows]), pa.nulls(m, pa.binary())], schema=schema)
 
         def close() -> Iterator[pa.RecordBatch]:
             yield ends(slice(-window, None), 1)
             if not given:
-                yield crowd(np.flatnonzero(first == first[-1]))
+                yield crowd(np.flatnonzero(deep == deep[-1]))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            parts, firsts, nodes, more = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), _matrix(batch.column(3).to_pylist())
+            parts, firsts, deeps, nodes = (batch.column(c).to_numpy() for c in range(4))
+            more = _matrix(batch.column(4).to_pylist())
             cut = np.flatnonzero(np.diff(parts)) + 1
             for s, e in zip(np.append(0, cut), np.append(cut, len(parts)), strict=True):
                 if parts[s] != part:
                     if seen:
                         yield from close()
-                    part, seen, first, node, prints = int(parts[s]), 0, firsts[:0], nodes[:0], more[:0]
-                    begin, given = firsts[s], False
+                    part, seen, first, deep, node, prints = int(parts[s]), 0, firsts[:0], deeps[:0], nodes[:0], more[:0]
+                    begin, given = deeps[s], False
                 old = len(first)
-                first, node, prints = np.concatenate([first, firsts[s:e]]), np.concatenate([node, nodes[s:e]]), np.concatenate([prints, more[s:e]])
+                first, deep, node, prints = (np.concatenate([x, y[s:e]]) for x, y in ((first, firsts), (deep, deeps), (node, nodes), (prints, more)))
                 # a row that comes again counts once
-                once = np.append(True, (np.diff(first) != 0) | (np.diff(node) != 0))
-                first, node, prints = first[once], node[once], prints[once]
+                once = np.append(True, (np.diff(deep) != 0) | (np.diff(node) != 0))
+                first, deep, node, prints = first[once], deep[once], node[once], prints[once]
                 if len(first) == old:
                     continue
                 if seen < window:
                     yield ends(slice(old, old + window - seen), 0)
                 seen += len(first) - old
                 # near-certain candidates may have hidden a pair in any region of three rows
-                run, size = _runs(first)
-                full = (size >= (3 if prints.shape[1] else window + 2)) | (first == begin)
+                run, size = _runs(deep)
+                full = (size >= 3) | (deep == begin)
                 fresh = np.arange(len(first)) >= old
                 if old and not given:
                     fresh |= run == run[old - 1]
@@ -213,10 +213,9 @@ def _neighbours(window: int):
                 a, b = _look_back(first, node, prints, old, window)
                 k = len(a)
                 yield pa.record_batch(
-                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())],
-                    schema=schema,
+                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *(pa.nulls(k, pa.int32()) for _ in range(3)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], schema=schema
                 )
-                first, node, prints = first[-window - 1 :], node[-window - 1 :], prints[-window - 1 :]
+                first, deep, node, prints = first[-window - 1 :], deep[-window - 1 :], node[-window - 1 :], prints[-window - 1 :]
         if seen:
             yield from close()
 
@@ -242,28 +241,17 @@ def _across(window: int):
     return run
 
 
-def sorted_neighbours(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The first result of :func:`neighbours`."""
-    return neighbours(rows, window)[0]
-
-
 def neighbours(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """Distinct candidate pairs (a < b) of ``rows(first, rest, node, prints)`` that stand close in its order,
-    and the rows ``first, node, prints`` of all regions in which there may be more.
+    """Distinct candidate pairs (a < b) of ``rows(first, deep, rest, node, prints)`` that stand close in the order
+    of (first, rest, node), and the rows ``region, node`` of all deep regions in which there may be more.
 
-    Rows with equal ``first`` are a region, ``rest`` orders it, ``prints`` (of one
-    width, or all empty) rule out the implausible. The order is cut into parts by
-    range, as Spark samples it, or as a column ``part`` says (numbers that rise with
-    the order), where sampling would cost as much as making the rows.
+    Rows with equal ``first`` can be candidates, those with equal ``deep`` (and therefore
+    equal ``first``) are a region, ``prints`` (of one width) rule out the implausible.
     """
-    spark = rows.sparkSession
     order = ["first", "rest", "node"]
-    n = partitions(spark)
-    if "part" in rows.columns:
-        ordered = rows.repartition(n, "part").sortWithinPartitions("part", *order)
-    else:
-        ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    ordered = ordered.select("part", "first", "node", "prints")
+    n = partitions(rows.sparkSession)
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    ordered = ordered.select("part", "first", "deep", "node", "prints")
     found = materialize(ordered.mapInArrow(_neighbours(window), "a long, b long, part int, end int, at int, first long, prints binary"), "neighbours")
     ends = found.filter("part is not null")
     # parts that have rows, numbered in order: one row per part
@@ -275,111 +263,7 @@ def neighbours(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFr
         .mapInArrow(_across(window), "a long, b long")
     )
     pairs = found.filter("part is null and b is not null").select("a", "b").unionByName(across).filter("a <> b").distinct()
-    return pairs, found.filter("part is null and b is null").select("first", F.col("a").alias("node"), "prints")
-
-
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The plausible pairs of different labels of each (first, low, high), whose rows come together."""
-    held: list[pa.RecordBatch] = []
-
-    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        first, low, high, block, node, label = (rows[c].to_numpy() for c in ("first", "low", "high", "block", "node", "label"))
-        prints = _matrix(rows["prints"].to_pylist())
-        starts = np.flatnonzero(np.append(True, (np.diff(first) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)))
-        # small regions all at once, large ones row block by row block
-        size = np.diff(np.append(starts, len(first)))
-        some = np.flatnonzero(np.repeat(size <= SMALL, size))
-        key = np.repeat(np.arange(len(size)), size)
-        a, b = [], []
-
-        def out() -> pa.RecordBatch:
-            x, y = np.concatenate(a), np.concatenate(b)
-            a.clear()
-            b.clear()
-            return pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-        def add(i: np.ndarray, j: np.ndarray) -> None:
-            a.append(node[i])
-            b.append(node[j])
-
-        i = some
-        for k in range(1, SMALL):
-            # a row without a k-th predecessor has no later one either
-            i = i[i >= k]
-            i = i[key[i] == key[i - k]]
-            if not len(i):
-                break
-            j = i[(label[i] != label[i - k]) & (node[i] != node[i - k]) & ((low[i] == high[i]) | (block[i] != block[i - k]))]
-            if len(j):
-                j = j[_agree(prints, j, j - k) >= PLAUSIBLE]
-            add(j, j - k)
-        if a:
-            yield out()
-        for s, n in zip(starts[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-            columns = np.ascontiguousarray(prints[s : s + n].T)
-            for t in range(0, n, SMALL):
-                e = min(n, t + SMALL)
-                if len(columns):
-                    same = np.zeros((e - t, n), np.uint8)
-                    for c in columns:
-                        same += c[t:e, None] == c[None, :]
-                    likely = (same / np.float64(len(columns)) - 1 / 256) / (1 - 1 / 256) >= PLAUSIBLE
-                else:
-                    likely = np.ones((e - t, n), bool)
-                likely &= label[s + t : s + e, None] != label[None, s : s + n]
-                x, y = np.nonzero(likely)
-                x += t
-                keep = (y < x) & ((low[s] == high[s]) | (block[s + x] != block[s + y]))
-                if keep.any():
-                    add(s + x[keep], s + y[keep])
-                    yield out()
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y, z = (batch.column(c).to_numpy() for c in range(3))
-        cut = np.flatnonzero((np.diff(x) != 0) | (np.diff(y) != 0) | (np.diff(z) != 0)) + 1
-        last = int(cut[-1]) if len(cut) else 0
-        new = not held or [held[-1].column(c)[-1].as_py() for c in range(3)] != [int(v[0]) for v in (x, y, z)]
-        if held and (new or last):
-            # up to the end of the key that is held
-            more = 0 if new else int(cut[0])
-            if more:
-                held.append(batch.slice(0, more))
-                batch = batch.slice(more)
-                last -= more
-            yield from pairs(pa.Table.from_batches(held))
-            held = []
-        if last > 0:
-            yield from pairs(pa.Table.from_batches([batch.slice(0, last)]))
-            batch = batch.slice(last)
-        if batch.num_rows:
-            held.append(batch)
-    if held:
-        yield from pairs(pa.Table.from_batches(held))
-
-
-def crowded_pairs(crowded: DataFrame, components: DataFrame, pairs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """All plausible pairs (a < b) inside the regions of ``crowded`` that ``components`` doesn't join and ``pairs`` hasn't.
-
-    A region's rows are split in blocks of about ``block`` rows, and each two blocks
-    meet in a task of their own.
-    """
-    rows = (
-        crowded.dropDuplicates(["first", "node"])
-        .join(components, "node", "left")
-        .select("first", "node", "prints", F.coalesce("component", "node").alias("label"))
-    )
-    rows = materialize(rows, "crowded")
-    mixed = rows.groupBy("first").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).filter("n > 2 and least <> most")
-    blocks = rows.join(mixed.select("first", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "first").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    met = (
-        blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("first", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "prints")
-        .repartition("first", "low", "high")
-        .sortWithinPartitions("first", "low", "high")
-    )
-    return met.mapInArrow(_block_pairs, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    return pairs, found.filter("part is null and b is null").select(F.col("first").alias("region"), F.col("a").alias("node")).distinct()
 
 
 def _verify(least: int):
@@ -417,64 +301,94 @@ def _verify(least: int):
     return run
 
 
+def _sets(payload: pa.Array) -> list[np.ndarray]:
+    """The shingle set of each packed text."""
+    words, unpack, out = WordHasher(space_separated()), zstandard.ZstdDecompressor(), []
+    for packed in payload.to_pylist():
+        data = np.frombuffer(unpack.decompress(packed), np.uint8)
+        out.append(shingle_sets(*words(data, np.array([0, len(data)])), SHINGLE)[0])
+    return out
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
-    """The pairs (a, b) whose texts' full sets are that similar; ``texts`` has doc_id and packed."""
-    ship = pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("pivot")).unionByName(
-        pairs.select(F.col("a").alias("doc_id"), F.col("a").alias("pivot")).distinct()
+    """The pairs (a, b) whose texts' full sets are that similar; ``texts`` has node and payload."""
+    ship = pairs.select(F.col("b").alias("node"), F.col("a").alias("pivot")).unionByName(
+        pairs.select(F.col("a").alias("node"), F.col("a").alias("pivot")).distinct()
     )
     return (
         ship.hint("merge")
-        .join(texts.select("doc_id", "packed"), "doc_id")
+        .join(texts.select("node", "payload"), "node")
         .repartition("pivot")
-        .withColumn("later", F.col("doc_id") != F.col("pivot"))
+        .withColumn("later", F.col("node") != F.col("pivot"))
         .sortWithinPartitions("pivot", "later")
-        .select("pivot", "doc_id", "packed")
+        .select("pivot", "node", "payload")
         .mapInArrow(_verify(percent), "a long, b long")
     )
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 75) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
-
-    Words are runs of anything but ASCII white space, with A-Z lowered. Texts
-    whose shingle sets have ``100 * intersection >= percent * union`` are linked;
-    components are over all links. ``component_id`` is the least doc_id of the
-    component, ``kept`` is true for that document. A null or wordless text has
-    ``n_shingles`` 0, is its own component and is kept. Rows that repeat a doc_id
-    are the same document if they have the same set; a row without doc_id is linked with
-    nothing, has no component_id and is kept. ``docs`` may have any other columns, which
-    are ignored. No rows give no rows.
-    """
+def _grouped(docs: DataFrame, text: str, key: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, row, whole, n_shingles, k1, k2`` of each row, and ``n_shingles, k1, k2, group, component_id`` of each class."""
     small_batches(docs.sparkSession)
     signed = materialize(
-        docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-            _signatures, "doc_id long, n_shingles long, k1 long, k2 long, sig binary, packed binary"
+        docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text).alias("whole")).mapInArrow(
+            _signatures, "doc_id long, row long, whole long, n_shingles long, k1 long, k2 long, sig binary, packed binary"
         ),
         "signatures",
     )
+    # a class goes by one of its rows: a doc_id may have several texts
     classes = materialize(
-        signed.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2", "sig").agg(F.min("doc_id").alias("node")), "classes"
+        signed.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2", "sig").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc")), "classes"
     )
-    rows = classes.select("node", "sig").mapInArrow(_tree_rows, "first long, rest binary, node long, prints binary")
+    texts = signed.filter("n_shingles > 0").select(F.col("row").alias("node"), F.col("packed").alias("payload"), F.col("n_shingles").alias("weight"))
+    rows = classes.select("node", "sig").mapInArrow(_tree_rows, "first long, deep long, rest binary, node long, prints binary")
     near, crowded = neighbours(rows)
-    pairs = materialize(near, "pairs")
-    links = materialize(confirm(pairs, signed.filter("n_shingles > 0"), percent), "links")
+    links = materialize(confirm(materialize(near, "pairs"), texts, percent), "links")
     components = connected_components(links)
-    more = materialize(crowded_pairs(crowded, components, pairs), "crowded-pairs")
-    more = materialize(confirm(more, signed.filter("n_shingles > 0"), percent), "crowded-links")
+    regions = mixed_regions(crowded.join(classes.select("node", F.col("n_shingles").alias("weight")), "node"), components)
+    more = materialize(region_links(regions, texts, _sets, percent), "region-links")
     components = connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    labelled = classes.join(components, "node", "left").select(
-        "n_shingles", "k1", "k2", F.coalesce("component", "node").alias("component_id")
-    )
+    joined = classes.join(components, "node", "left").select("n_shingles", "k1", "k2", "doc", F.coalesce("component", "node").alias("group"))
+    least = joined.groupBy("group").agg(F.min("doc").alias("component_id"))
+    return signed, joined.join(least, "group").select("n_shingles", "k1", "k2", "group", "component_id")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 75) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
+
+    Words are runs of anything but ASCII white space, with A-Z lowered. Texts
+    whose shingle sets have ``100 * intersection >= percent * union`` are linked;
+    components are over all links. ``component_id`` is the least doc_id of the
+    component, ``kept`` is true for that document. A null or wordless text has
+    ``n_shingles`` 0, is its own component and is kept. Rows that repeat a doc_id
+    with another set are texts of their own, linked or not like any two; a row without
+    doc_id is linked with nothing, has no component_id and is kept. ``docs`` may have
+    any other columns, which are ignored. No rows give no rows.
+    """
+    signed, classes = _grouped(docs, text, key, percent)
     return (
         signed.select("doc_id", "n_shingles", "k1", "k2")
-        .join(labelled, ["n_shingles", "k1", "k2"], "left")
+        .join(classes, ["n_shingles", "k1", "k2"], "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`near_duplicates` keeps, with all their columns."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of each component of near duplicates in ``docs``, and all rows without words or doc_id, with all their columns.
+
+    The row that stays is that of least (doc_id, hash of the text); of rows that repeat
+    both it is any one. No rows give no rows.
+    """
+    signed, classes = _grouped(docs, "text", "doc_id", 75)
+    keyed = signed.select("doc_id", "whole", "n_shingles", "k1", "k2").join(classes.select("n_shingles", "k1", "k2", "group"), ["n_shingles", "k1", "k2"])
+    texts = materialize(keyed.filter("doc_id is not null").groupBy("group", "doc_id", "whole").agg(F.count("*").alias("n")), "texts-of-groups")
+    stays = texts.groupBy("group").agg(F.min(F.struct("doc_id", "whole")).alias("stays"))
+    doc, whole = fresh(docs.columns, "doc", "whole")
+    gone = texts.join(stays, "group").filter("doc_id <> stays.doc_id or whole <> stays.whole").select(F.col("doc_id").alias(doc), F.col("whole").alias(whole))
+    again = texts.join(stays, "group").filter("n > 1 and doc_id = stays.doc_id and whole = stays.whole").select(F.col("doc_id").alias(doc), F.col("whole").alias(whole))
+    hashed = docs.withColumn(whole, F.xxhash64("text")).withColumn(doc, F.col("doc_id").cast("long"))
+    left = hashed.join(gone, [doc, whole], "left_anti")
+    if not again.isEmpty():
+        once = left.join(again, [doc, whole], "left_semi").dropDuplicates([doc, whole])
+        left = left.join(again, [doc, whole], "left_anti").unionByName(once)
+    return left.select(*docs.columns)

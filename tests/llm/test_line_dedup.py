@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from conftest import LOREM, SCHEMA, prose
 
-from arbitra.llm.line_dedup import SHORTEST, dedup_lines, drop_repeated_lines, part_of
+from arbitra.llm import line_dedup
+from arbitra.llm.line_dedup import buckets, dedup_lines, drop_repeated_lines, part_of, shingles
 
 
 def normal(line):
@@ -14,8 +16,8 @@ def normal(line):
 
 
 def grams(text):
-    raw = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in text.encode())
-    return {raw[i : i + 8] for i in range(len(raw) - 7)}
+    c = "".join(" " if c in "\t\n\v\f\r" else c.lower() if c < "\x80" else c for c in text)
+    return {c[i : i + 8] for i in range(len(c) - 7)}
 
 
 def brute(rows):
@@ -23,7 +25,7 @@ def brute(rows):
     lines = {}
     for d, t in rows:
         for p, line in enumerate([] if t is None else t.split("\n")):
-            if len(line.encode()) >= SHORTEST and line.strip():
+            if line.strip(" \t\n\v\f\r"):
                 lines[d, p] = line
     firsts = {}
     for k in sorted(lines):
@@ -60,10 +62,55 @@ def check(df):
 
 
 def test_odd(odd, none):
-    df = odd.drop("packed").dropDuplicates(["doc_id"])
+    df = odd.dropDuplicates(["doc_id"])
     check(df)
-    assert dedup_lines(odd.drop("packed")).count() == odd.count()
-    assert dedup_lines(none.drop("packed")).count() == 0
+    assert dedup_lines(odd).count() == odd.count()
+    assert dedup_lines(none).count() == 0
+    assert dedup_lines(odd).columns == [*odd.columns, "n_lines", "n_removed", "n_left"]
+
+
+def test_repeated_rows(spark):
+    """Each row is a text of its own, whatever its doc_id: of equal lines one stays."""
+    rows = [(1, "one line\nb"), (1, "one line\nb"), (1, "other\none line"), (None, "one line"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r["doc_id"] or 0, r["text"] or "", r["n_lines"], r["n_removed"], r["n_left"]) for r in dedup_lines(df).collect())
+    assert out == [(0, "one line", 1, 0, 1), (1, "", 2, 2, 0), (1, "b", 2, 1, 1), (1, "other", 2, 1, 1), (2, "", 0, 0, 0)]
+
+
+def test_shingles_are_characters():
+    lines = ["한국어 문장이 하나 있다", "plain ascii line", "mixed é line ascii", "kurz", "😀" * 9]
+    data = np.frombuffer("\n".join(lines).encode(), np.uint8)
+    ends = np.append(np.flatnonzero(data == 10), len(data))
+    x, size = shingles(data, np.append(0, ends[:-1] + 1), ends)
+    assert size.tolist() == [max(0, len(t) - 7) for t in lines]
+    want = [t[i : i + 8] for t in lines for i in range(len(t) - 7)]
+    assert len({*zip(x.tolist(), want, strict=True)}) == len({*x.tolist()}) == len({*want})
+    alone = np.frombuffer(lines[1].encode(), np.uint8)
+    assert shingles(alone, np.array([0]), np.array([len(alone)]))[0].tolist() == x[size[0] : size[0] + size[1]].tolist()
+
+
+def test_dense_buckets(spark, monkeypatch):
+    """Thousands of lines that resemble each other by half, and pairs of them at 0.75 to 0.85: all pairs that share a band are found."""
+    monkeypatch.setattr(line_dedup, "SMALL", 4)
+    r = random.Random(6)
+    form = prose(77, 14)
+    rows = []
+    for i in range(1500):
+        own = prose(10_000 + (i - i % 2 if i < 300 else i), 14).split()
+        if i < 300 and i % 2:
+            own[r.randrange(14)] = "another"
+        rows.append((i, form + " " + " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [grams(t) for _, t in rows]
+    like = [i for i in range(0, 300, 2) if 100 * len(sets[i] & sets[i + 1]) >= 75 * len(sets[i] | sets[i + 1])]
+    assert len(like) > 100
+    gone = {x["doc_id"] for x in dedup_lines(df).filter("n_removed > 0").collect()}
+    missed = [i for i in like if i + 1 not in gone]
+    # of the pairs that are like, those without a common band may be missed, and no others
+    for i in missed:
+        both = [shingles(d := np.frombuffer(rows[k][1].encode(), np.uint8), np.array([0]), np.array([len(d)])) for k in (i, i + 1)]
+        assert not (buckets(*both[0]) == buckets(*both[1])).any()
+    assert len(missed) <= 0.02 * len(like)
 
 
 def test_fuzzy_lines(spark):
@@ -84,28 +131,24 @@ def test_fuzzy_lines(spark):
 
 def test_stage(spark):
     same = prose(31, 60)
-    rows = [(1, same + "\nmine alone and long enough", "en", "s", 1), (2, same, "en", "s", 1), (3, same + "\nbit", "en", "s", 1), (4, "", "en", "s", 0), (5, None, "en", "s", None), (6, "own\n" + prose(32, 20), "en", "s", 5)]
-    df = spark.createDataFrame(rows, SCHEMA.rpartition(",")[0])
-    out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in drop_repeated_lines(df).collect()}
-    # 2 and 3 hold nothing of their own
-    assert sorted(out) == [1, 4, 5, 6]
-    assert out[1] == (rows[0][1], 1) and out[5] == (None, None)
-
-
-def test_clashing_column(odd):
-    import pytest
-
-    with pytest.raises(ValueError, match="packed"):
-        dedup_lines(odd)
+    rows = [
+        (1, same + "\nmine alone", "en", "s", 1), (2, same, "en", "s", 1), (3, same + "\nbit", "en", "s", 1), (4, "", "en", "s", 0), (5, None, "en", "s", None),
+        (6, "own\n" + prose(32, 20), "en", "s", 5), (7, same + "\n \n", "en", "s", 5), (8, "bit\n" + same, "en", "s", 5),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, packed string, n_left long")
+    out = {r["doc_id"]: r for r in drop_repeated_lines(df).collect()}
+    # 2, 7 and 8 hold nothing of their own
+    assert sorted(out) == [1, 3, 4, 5, 6]
+    assert out[1]["text"] == rows[0][1] and out[1]["n_left"] == 1 and out[3]["text"] == "bit" and out[5]["text"] is None
+    counted = df.withColumnRenamed("n_left", "n_chars")
+    assert {r["doc_id"]: r["n_chars"] for r in drop_repeated_lines(counted).collect()} == {1: 1, 3: 3, 4: 0, 5: None, 6: 5}
 
 
 def test_parts_follow_the_order():
-    import numpy as np
-
     r = np.random.default_rng(5)
-    first, rest, node = r.integers(0, 4, 500), r.integers(0, 9, 500).astype(np.int32), r.permutation(500)
-    order = np.lexsort((node, rest, first))
-    first, rest, node = first[order], rest[order], node[order]
+    first, node = r.integers(0, 4, 500), r.permutation(500)
+    order = np.lexsort((node, first))
+    first, node = first[order], node[order]
     at = [50, 60, 200, 201, 480]
-    part = part_of((first[at], rest[at], node[at]), first, rest, node)
+    part = part_of((first[at], node[at]), first, node)
     assert part.tolist() == [sum(i >= b for b in at) for i in range(500)]

@@ -11,7 +11,7 @@ from conftest import LOREM, SCHEMA, prose
 
 from arbitra.llm import near_dedup
 from arbitra.llm.graph import connected_components
-from arbitra.llm.near_dedup import crowded_pairs, drop_near_duplicates, near_duplicates, neighbours, sorted_neighbours
+from arbitra.llm.near_dedup import drop_near_duplicates, near_duplicates, neighbours
 
 
 def shingles(text):
@@ -81,28 +81,43 @@ def test_one_large_group(spark):
     assert got(near_duplicates(df)) == brute(data)
 
 
+ROWS = "first long, deep long, rest binary, node long, prints binary"
+
+
 def test_neighbours_cross_partitions(spark):
     """All rows of one region: each meets its predecessor wherever the order is cut."""
     n = 300
     prints = bytes(60)
-    rows = spark.createDataFrame([(1, i.to_bytes(4, "big"), i, prints) for i in range(n)], "first long, rest binary, node long, prints binary")
-    pairs = {(r["a"], r["b"]) for r in sorted_neighbours(rows, 3).collect()}
-    assert {(i, i + 1) for i in range(n - 1)} <= pairs
-
-
-def test_crowded_region(spark):
-    """Two rows far apart in a region of hundreds are a pair, in whichever block they are."""
-    r = np.random.default_rng(4)
-    prints = r.integers(0, 256, (400, 60)).astype(np.uint8)
-    prints[390] = prints[3]
-    rows = spark.createDataFrame([(1 + (i > 395), i.to_bytes(4, "big"), i, prints[i].tobytes()) for i in range(400)], "first long, rest binary, node long, prints binary")
-    near, crowded = neighbours(rows, 3)
-    none = spark.createDataFrame([], "node long, component long")
-    assert (3, 390) not in {(x["a"], x["b"]) for x in near.collect()}
-    for block in (50, 2000):
-        assert {(x["a"], x["b"]) for x in crowded_pairs(crowded, none, near, block).collect()} == {(3, 390)}
-    joined = spark.createDataFrame([(3, 3), (390, 3)], "node long, component long")
-    assert crowded_pairs(crowded, joined, near).count() == 0
+    rows = spark.createDataFrame([(1, 1, i.to_bytes(4, "big"), i, prints) for i in range(n)], ROWS)
+    pairs, crowded = neighbours(rows, 3)
+    assert {(i, i + 1) for i in range(n - 1)} <= {(r["a"], r["b"]) for r in pairs.collect()}
+    assert {(r["region"], r["node"]) for r in crowded.collect()} == {(1, i) for i in range(n)}
+
+
+def test_crowded_regions_only(spark):
+    """A region of two inside a part has its one pair looked at and needs no more."""
+    rows = spark.createDataFrame([(i // 2, i // 2, i.to_bytes(4, "big"), i, bytes(60)) for i in range(400)] + [(7, 7, bytes(4), 1000, bytes(60))], ROWS)
+    crowded = {}
+    for r in neighbours(rows, 3)[1].collect():
+        crowded.setdefault(r["region"], set()).add(r["node"])
+    assert crowded[7] == {14, 15, 1000}
+    assert len(crowded) <= 1 + 2 * 4
+
+
+def test_repeated_ids(spark):
+    """Two texts of one doc_id are texts of their own; of exact repeats one row stays."""
+    a, b = prose(41, 60), prose(42, 60)
+    rows = [(5, a), (5, b), (7, a), (7, a), (3, b), (9, prose(43, 60)), (9, prose(43, 60)), (None, a), (None, a)]
+    df = spark.createDataFrame([(i, t, "en", "s", k, "") for k, (i, t) in enumerate(rows)], SCHEMA)
+    found = sorted(((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in near_duplicates(df).collect()))
+    assert found == [(0, 0, True)] * 2 + [(3, 3, True), (5, 3, False), (5, 5, True), (7, 5, False), (7, 5, False), (9, 9, True), (9, 9, True)]
+    left = sorted((r["doc_id"] or 0, r["text"] == a, r["text"] == b) for r in drop_near_duplicates(df).collect())
+    assert left == [(0, True, False)] * 2 + [(3, False, True), (5, True, False), (9, False, False)]
+
+
+def test_clashing_names(spark):
+    rows = spark.createDataFrame([(1, prose(1, 50), 1, 2), (2, prose(1, 50), 3, 4)], "doc_id long, text string, doc long, Whole long")
+    assert [r.asDict() for r in drop_near_duplicates(rows).collect()] == [{"doc_id": 1, "text": prose(1, 50), "doc": 1, "Whole": 2}]
 
 
 def test_dense_background(spark, monkeypatch):
