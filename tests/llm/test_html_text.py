@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pytest
 from conftest import prose
 
-from arbitra.llm.html_text import host_templates, main_text
+from arbitra.llm.html_text import Page, host_templates, main_text, token_ids
 
 SCHEMA = "page_id long, url string, html string, host string, template string"
 
@@ -39,6 +40,7 @@ CASES = [
     ("<div role=navigation>m</div><div hidden>h</div><div style='display: none'>n</div><div>kept</div>", "kept"),
     ("<p>unclosed <i>italic", "unclosed italic"), ("<p title='a > b'>attr</p>", "attr"), ("<article><p>5 < 6 and 7 > 3</p></article>", "5 < 6 and 7 > 3"), ("<p>&eacute;&#233;&#xe9;</p>", "ééé"), ("<script>never closed", ""),
     ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"), ("<div class='advice'>load</div>", "load"),
+    ("<article><p>let <math><mi>x</mi></math> be <svg><text>drawn</text></svg></p><object>as said</object></article>", "let x be drawn\nas said"),
 ]
 
 
@@ -66,9 +68,49 @@ def test_copies_do_not_make_a_template(spark):
     assert all("the same body everywhere" in t for t in texts(pages(spark, rows)))
 
 
-def test_article_texts_are_never_template(spark):
-    rows = [(f"https://b.example/{i}", f"<nav>n</nav><article><h1>Common words here</h1><p>{prose(i, 20)}</p></article>") for i in range(8)]
-    assert all(t.startswith("Common words here\n") for t in texts(pages(spark, rows)))
+def test_fixed_texts_in_the_article(spark):
+    """What every page repeats inside the article goes, but for headings and articles that are alike themselves."""
+    rows = [(f"https://b.example/{i}", f"<nav>n</nav><article><h1>Common words here</h1><p>{prose(i, 20)}</p><div class=x><span>Read</span> <i>this</i> <b>too</b></div></article>") for i in range(8)]
+    assert texts(pages(spark, rows)) == [f"Common words here\n{prose(i, 20)}" for i in range(8)]
+    same = "".join(f"<p>{prose(k, 20)}</p>" for k in range(9))
+    rows = [(f"https://c.example/{i}", f"<article>{same}<p>{prose(100 + i, 20)}</p></article>") for i in range(8)]
+    assert texts(pages(spark, rows))[3] == "\n".join(prose(k, 20) for k in (*range(9), 103))
+
+
+def neutral(i, tag):
+    """A page whose classes say nothing; the teasers beside the text differ on every page."""
+    return (
+        f"<html><body><div class=a><div class=b>{prose(900 + i, 3)}</div></div><{tag} class=c><h1>{prose(500 + i, 4)}</h1><div class=d>"
+        + "".join(f"<p>{prose(10 * i + k, 30)}</p>" for k in range(1 + i % 3))
+        + f"</div></{tag}><div class=e><p>{prose(700 + i, 5)}</p></div></body></html>"
+    )
+
+
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_slots_tell_the_region(spark, tag):
+    """Taking the article's tag off changes nothing: the region follows from the template."""
+    rows = [(f"https://{'ab'[i % 2]}.example/{i}", neutral(i, tag)) for i in range(16)]
+    want = ["\n".join([prose(500 + i, 4), *(prose(10 * i + k, 30) for k in range(1 + i % 3))]) for i in range(16)]
+    assert texts(pages(spark, rows)) == want
+    regions = {r["host"]: r["region"] for r in host_templates(pages(spark, rows)).collect()}
+    assert sorted(regions) == ["a.example", "b.example"] and len(set(regions.values())) == 1
+
+
+def test_classes_against_brute_force(spark):
+    """Tokens of one class are those with the same count on every page of the host."""
+    rows = [(f"https://{'ab'[i % 2]}.example/{i}", neutral(i, "div")) for i in range(16)]
+    got = {(r["host"], x["token"]): x["class"] for r in host_templates(pages(spark, rows)).collect() for x in r["template"]}
+    want: dict = {}
+    for host in ("a.example", "b.example"):
+        each = [Counter(token_ids(Page(h)).tolist()) for u, h in rows if host in u]
+        for t in set().union(*each):
+            if 2 * sum(t in c for c in each) >= len(each):
+                want.setdefault((host, tuple(c[t] for c in each)), set()).add(t)
+    want = {k: v for k, v in want.items() if len(v) >= 3}
+    assert set(got) == {(h, t) for (h, _), v in want.items() for t in v}
+    for (h, _), v in want.items():
+        assert len({got[h, t] for t in v}) == 1
+    assert len({got[h, min(v)] for (h, _), v in want.items() if h == "a.example"}) == sum(h == "a.example" for h, _ in want)
 
 
 def test_empty_table(spark):
