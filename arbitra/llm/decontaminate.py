@@ -1,13 +1,14 @@
-"""Benchmark decontamination by seeds that no overlap can be without.
-
-An overlap of ``m`` changed tokens falls into ``m + 1`` runs of equal ones, so the
-equal tokens it needs say how long its longest run is at least: four tokens, for some
-items of under 16 tokens three or two. A seed is that many consecutive tokens. The
-seeds of the test items are an index that every task gets (in blocks of bounded
-size if the benchmark is large); the seeds of the training texts are probed against
-it. Around a hit, text and item are compared token by token on the hit's diagonal,
-and of the stretches with a share of ``SHARE`` equal tokens the one with most of them
-is the overlap. Nothing is shuffled.
+"""Benchmark decontamination by spaced seeds.
+
+An overlap is a stretch of tokens with enough equal ones, whatever the others are. A
+seed is a fixed mask of token positions: those between its marks are ignored, so that
+a changed token there does no harm. The masks of an item's size are chosen so that
+every overlap, wherever its changed tokens are, has a place where all marks of one of
+them fall on equal tokens; no overlap is without a common seed. Seeds of test items,
+hashed, are an index that every task gets in blocks of bounded size, and are joined
+with the hashes of the training texts there. Around a hit, text and item are compared
+token by token on the hit's diagonal, and of the stretches with a share of ``SHARE``
+equal tokens the one with most of them is the overlap. Texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -22,12 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import U64, WordHasher, alphanumeric, chunks, ngrams, string_buffers
-from .session import small_batches
+from .session import materialize, small_batches
 
 #: Equal tokens that an overlap needs (``SHARE`` of all that an item has, if that is fewer), and the share of equal ones.
 OVERLAP, SHARE = 13, 0.8
-#: Items of fewer tokens are too short to tell a leak and match nothing.
-SHORTEST = 5
+#: Fixed values. Masks by the least number of tokens that an item has: "1" is a token that
+#: has to be equal, "0" one that is ignored. With fewer tokens the whole text is the seed.
+MASKS = {
+    5: ("1111", "11101", "11011", "10111"),
+    10: ("111011", "11010011", "11111"),
+    15: ("1111011", "1100010111", "101100111", "111111"),
+    16: ("1111011", "1110100011", "10101111"),
+}
 #: Bytes of benchmark text in a block.
 BLOCK = 16 << 20
 _BITS = 22
@@ -40,19 +47,15 @@ def needed(n: int) -> int:
     return min(OVERLAP, math.ceil(SHARE * n - 1e-9))
 
 
-def seed_length(n: int) -> int:
-    """The longest run of equal tokens that every overlap with an item of ``n`` tokens has."""
-    need, out = needed(n), n
-    for changed in range(n - need + 1):
-        equal = max(need, math.ceil(changed * SHARE / (1 - SHARE) - 1e-9))
-        if equal + changed <= n:
-            out = min(out, -(-equal // (changed + 1)))
-    return out
+def masks_of(n: int) -> tuple[tuple[int, ...], ...]:
+    """The places of the marks of each mask for an item of ``n`` tokens."""
+    family = MASKS[max(k for k in MASKS if k <= n)]
+    return tuple(tuple(i for i, c in enumerate(mask) if c == "1") for mask in family)
 
 
 @dataclass
 class SeedIndex:
-    """Seeds of a block of items: per length, sorted hashes with item and position, and a bitmap of them."""
+    """Seeds of a block of items: per mask, sorted hashes with item and position, and a bitmap of them; short items by all their tokens."""
 
     ids: list
     tokens: np.ndarray
@@ -60,6 +63,7 @@ class SeedIndex:
     needs: np.ndarray
     masks: list[tuple[tuple[int, ...], np.ndarray, np.ndarray, np.ndarray]]
     bitmaps: list[np.ndarray]
+    short: dict[tuple[int, ...], int]
 
 
 def build_index(ids: list, texts: pa.Array) -> SeedIndex:
@@ -69,8 +73,10 @@ def build_index(ids: list, texts: pa.Array) -> SeedIndex:
     length = np.diff(rows)
     sizes, which = np.unique(length, return_inverse=True)
     needs = np.array([needed(n) for n in sizes.tolist()], np.int64)[which]
-    seeds = np.array([seed_length(n) if n >= SHORTEST else 0 for n in sizes.tolist()], np.int64)[which]
-    masks = [(tuple(range(n)), seeds == n) for n in np.unique(seeds).tolist() if n]
+    least = np.array([max((k for k in MASKS if k <= n), default=0) for n in sizes.tolist()], np.int64)[which]
+    short = {tuple(tokens[rows[i] : rows[i + 1]].tolist()): i for i in np.flatnonzero((least == 0) & (length > 0)).tolist()}
+    masks = sorted({(m, k) for k in np.unique(least).tolist() if k for m in masks_of(k)})
+    masks = [(m, np.isin(least, [k for x, k in masks if x == m])) for m in dict.fromkeys(x for x, _ in masks)]
     out, maps = [], []
     for mask, fits in masks:
         item, where = [], []
@@ -87,7 +93,7 @@ def build_index(ids: list, texts: pa.Array) -> SeedIndex:
         bitmap[h >> U64(64 - _BITS)] = True
         out.append((mask, h[order], item[order], where[order]))
         maps.append(bitmap)
-    return SeedIndex(ids, tokens, rows, needs, out, maps)
+    return SeedIndex(ids, tokens, rows, needs, out, maps, short)
 
 
 def _best(equal: np.ndarray) -> tuple[int, int, int]:
@@ -126,6 +132,12 @@ def _pieces(n: np.ndarray, limit: int) -> Iterator[slice]:
 def overlaps(index: SeedIndex, h: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(row, item, equal tokens, first token, end token) of each row and item that overlap; the best each."""
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    if index.short:
+        size = np.diff(rows)
+        for r in np.flatnonzero((size > 0) & (size < min(MASKS))).tolist():
+            i = index.short.get(tuple(h[rows[r] : rows[r + 1]].tolist()))
+            if i is not None:
+                found[r, i] = (int(size[r]), 0, int(size[r]))
     for (mask, keys, item, where), bitmap in zip(index.masks, index.bitmaps, strict=True):
         grams = ngrams(h, mask)
         at = np.flatnonzero(bitmap[grams >> U64(64 - _BITS)])
@@ -162,14 +174,19 @@ def _confirm(index: SeedIndex, h: np.ndarray, rows: np.ndarray, hits: np.ndarray
                     found[pair] = best
 
 
-def _blocks(benchmark: DataFrame, block: int) -> Iterator[SeedIndex]:
-    """Indexes of bounded size, one after another."""
-    size = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+def _blocks(benchmark: DataFrame, block: int) -> Iterator[tuple[SeedIndex, bool]]:
+    """Indexes of bounded size, one after another, by hash of the text, and whether there are several.
+
+    A text that many items have is indexed once; a block is as large as ``block`` says
+    or as the longest item.
+    """
+    items = benchmark.select(F.xxhash64("text").alias("same"), "text").filter("text is not null").dropDuplicates(["same"])
+    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // block))
     for k in range(blocks):
-        part = benchmark.select("item_id", "text").filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).toArrow()
+        part = items.filter(F.pmod("same", F.lit(blocks)) == k).toArrow()
         if part.num_rows:
-            yield build_index(part["item_id"].to_pylist(), part["text"].combine_chunks())
+            yield build_index(part["same"].to_pylist(), part["text"].combine_chunks()), blocks > 1
 
 
 def _scan(shared) -> Callable:
@@ -184,7 +201,7 @@ def _scan(shared) -> Callable:
                 row, item, same, start, end = zip(*out, strict=True)
                 yield pa.record_batch(
                     [batch.column(0).take(pa.array(row)), pa.array([index.ids[k] for k in item], pa.int64()), pa.array(same), pa.array(start), pa.array(end)],
-                    names=["doc_id", "item_id", "equal_tokens", "first_token", "end_token"],
+                    names=["doc_id", "same", "equal_tokens", "first_token", "end_token"],
                 )
 
     return run
@@ -195,27 +212,37 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
 
     Tokens are runs of ASCII letters and digits and of bytes beyond ASCII, with A-Z
     lowered. An overlap has ``OVERLAP`` equal tokens (or ``SHARE`` of the item's, if that
-    is fewer; items under ``SHORTEST`` tokens match nothing) and at least ``SHARE`` of
-    its tokens equal; of several, the one with most equal tokens, then the last.
-    Null and empty texts and items overlap with nothing; repeated rows repeat their
-    results; other columns are ignored.
+    is fewer) and at least ``SHARE`` of its tokens equal; of several, the one with most
+    equal tokens, then the last. An item of under five tokens overlaps with texts that
+    consist of just these. Null and empty texts and items overlap with nothing; repeated
+    rows, items included, repeat their results; other columns are ignored. No rows give
+    no rows. A benchmark of several blocks takes a scan of the texts for each.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id long, item_id long, equal_tokens long, first_token long, end_token long"
-    out = None
-    for index in _blocks(benchmark, block):
-        found = rows.mapInArrow(_scan(spark.sparkContext.broadcast(index)), schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], schema)
+    schema = "doc_id long, same long, equal_tokens long, first_token long, end_token long"
+    out = spark.createDataFrame([], schema)
+    for index, several in _blocks(benchmark, block):
+        shared = spark.sparkContext.broadcast(index)
+        found = rows.mapInArrow(_scan(shared), schema)
+        if not several:
+            out = found
+            break
+        out = out.unionByName(materialize(found, "overlaps"))
+        shared.destroy()
+    items = benchmark.select(F.xxhash64("text").alias("same"), F.col("item_id").cast("long").alias("item_id"))
+    return out.join(items, "same").select("doc_id", "item_id", "equal_tokens", "first_token", "end_token")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` without those that overlap with an item, with all their columns."""
+    """The rows of ``docs`` without those that overlap with an item, with all their columns.
+
+    Null and empty texts stay. No rows give no rows.
+    """
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
-    for index in _blocks(benchmark, block):
+    for index, several in _blocks(benchmark, block):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -228,4 +255,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK)
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if several:
+            docs = materialize(docs, "clean-texts")
+            shared.destroy()
     return docs
