@@ -32,7 +32,8 @@ from .session import fresh, materialize, partitions, small_batches
 
 SHINGLE = 8
 BANDS, ROWS = 10, 3
-BINS = BANDS * ROWS
+#: A power of two; the bands take BANDS * ROWS of them.
+BINS = 32
 PERCENT = 75
 #: Lines of a bucket that are compared at once, and predecessors that each line of a larger one meets first.
 SMALL, WINDOW = 16, 2
@@ -41,12 +42,10 @@ DRAWN = 50
 #: Lines whose bands a task holds before it hands them on.
 HELD = 1 << 16
 
-_NORMAL = np.arange(256, dtype=np.uint8)
-_NORMAL[65:91] += 32
-_NORMAL[9:14] = 32
-_ONES = (U64(1) << (U64(8) * np.arange(8, dtype=U64))) - U64(1)
-#: The low bytes of a word, for 0 to 8 of them.
-_LOW = np.append(_ONES, U64(0xFFFFFFFFFFFFFFFF))
+#: Bytes of text that are looked at together, so that arrays stay in a core's cache.
+CHUNK = 1 << 17
+
+_NORMAL = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,67 +78,79 @@ def line_keys(words: WordHasher, data: np.ndarray, offsets: np.ndarray, starts:
     return k1, k2, last > first
 
 
-def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(all shingles of each line as numbers, how many each line has).
+def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a hash of the shingle from each place on, where lines start and end among the places).
 
-    A shingle is ``SHINGLE`` characters of UTF-8, normalised. One of single bytes is
-    the number they spell, a wider one a hash of its bytes.
+    Places are UTF-16 units of the text, normalised. A line's shingles are those that
+    start ``SHINGLE`` - 1 places before its end at the latest; what the others say means nothing.
     """
-    n = len(data)
-    d = np.zeros(n + 48, np.uint8)
-    d[:n] = _NORMAL[data]
-    x = np.empty(n + 32, U64)
-    for k in range(8):
-        x[k::8] = np.frombuffer(d, U64, len(x[k::8]), k)
-    if not n or data.max() < 128:
-        size = np.maximum(ends - starts - SHINGLE + 1, 0)
-        return x[_ragged(starts, size)], size
-    lead = np.append(np.flatnonzero((data & 0xC0) != 0x80), n)
-    first, last = np.searchsorted(lead, starts), np.searchsorted(lead, ends)
-    size = np.maximum(last - first - SHINGLE + 1, 0)
-    at = _ragged(first, size)
-    begin = lead[at]
-    length = lead[at + SHINGLE] - begin
-    out = x[begin]
-    wide = np.flatnonzero(length > 8)
-    if len(wide):
-        begin, length = begin[wide], length[wide]
-        with np.errstate(over="ignore"):
-            h = out[wide]
-            for k in range(1, 4):
-                h = mix(h + U64(k)) + (x[begin + 8 * k] & _LOW[np.clip(length - 8 * k, 0, 8)])
-            out[wide] = mix(h ^ length.astype(U64))
-    return out, size
-
-
-def _ragged(first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """``first[k], first[k] + 1, ..`` for each k, ``n[k]`` of them."""
-    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-
-
-def bins(x: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """``BINS`` MinHash values of each line by one permutation; every line has a shingle."""
-    h = mix(x)
+    text = data.tobytes().translate(_NORMAL)
+    if text.isascii():
+        units = np.frombuffer(text, np.uint8)
+    else:
+        units = np.frombuffer(text.decode("utf-8").encode("utf-16-le"), np.uint16)
+        # a character has a unit for its first byte, one of four bytes another
+        inner, large = np.flatnonzero((data & 0xC0) == 0x80), np.flatnonzero(data >= 0xF0)
+        starts, ends = (x - np.searchsorted(inner, x) + np.searchsorted(large, x) for x in (starts, ends))
+    n = len(units)
+    padded = np.zeros(n + 2 * SHINGLE, np.uint16)
+    padded[:n] = units
+    four = np.empty(n + 4, U64)
+    for k in range(4):
+        four[k::4] = np.frombuffer(padded, U64, len(four[k::4]), 2 * k)
+    with np.errstate(over="ignore"):
+        x = four[:n] * U64(0x9FB21C651E98DF25)
+        four *= U64(0xD6E8FEB86659FD93)
+        x += four[4:]
+        x ^= x >> U64(32)
+        x *= U64(0x81DADEF4BC2DD44D)
+        x ^= x >> U64(29)
+    return x, starts, ends
+
+
+def shingle_sets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """The sorted distinct shingles of each line."""
+    x, starts, ends = shingles(data, starts, ends)
+    out = []
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        s = np.sort(x[a : max(a, b - SHINGLE + 1)])
+        if len(s) > 1:
+            s = s[np.append(True, s[1:] != s[:-1])]
+        out.append(s)
+    return out
+
+
+def bins(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(``BINS`` MinHash values of each line by one permutation, how many shingles it has); lines follow each other."""
+    h, starts, ends = shingles(data, starts, ends)
     none = np.uint32(0xFFFFFFFF)
-    out = np.full(len(size) * BINS, none)
-    place = np.repeat(np.arange(len(size), dtype=np.int32) * np.int32(BINS), size) + ((h >> U64(32)) * U64(BINS) >> U64(32)).astype(np.int32)
-    np.minimum.at(out, place, h.astype(np.uint32) >> np.uint32(1))
+    value = h.astype(np.uint32) >> np.uint32(1)
+    # what starts too near to a line's end, or is its end
+    late = (ends[:, None] - np.arange(SHINGLE)).ravel()
+    value[late[(late >= 0) & (late < len(value)) & (late >= np.repeat(starts, SHINGLE))]] = none
+    line = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(h))))
+    out = np.full(len(starts) * BINS, none)
+    line *= np.int32(BINS)
+    line += (h >> U64(59)).view(np.int64).astype(np.int32)
+    np.minimum.at(out, line, value)
     out = out.reshape(-1, BINS)
     # an empty bin takes the value of the next full one, marked by the distance
-    places = np.where(out != none, np.arange(BINS, dtype=np.int8), np.int8(4 * BINS))
+    places = np.where(out != none, np.arange(BINS, dtype=np.int8), np.int8(3 * BINS))
     places = np.hstack([places, np.where(places < BINS, places + np.int8(BINS), places)])
     source = np.minimum.accumulate(places[:, ::-1], axis=1)[:, ::-1][:, :BINS]
     distance = (source - np.arange(BINS, dtype=np.int8)).astype(U64)
     with np.errstate(over="ignore"):
-        return mix(np.take_along_axis(out, (source % np.int8(BINS)).astype(np.int64), axis=1).astype(U64) + distance * U64(0xD6E8FEB86659FD93))
+        values = mix(np.take_along_axis(out, (source % np.int8(BINS)).astype(np.int64), axis=1).astype(U64) + distance * U64(0xD6E8FEB86659FD93))
+    return values, np.maximum(ends - starts - SHINGLE + 1, 0)
 
 
-def buckets(x: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The bucket of each line in each band."""
+def buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the bucket of each line in each band, how many shingles it has)."""
+    values, size = bins(data, starts, ends)
     # a band's values are BANDS bins apart: an empty bin has its value from the next full one
-    values = bins(x, size).reshape(-1, ROWS, BANDS)
+    values = values[:, : ROWS * BANDS].reshape(-1, ROWS, BANDS)
     with np.errstate(over="ignore"):
-        return mix(values[:, 0] * U64(3) + mix(values[:, 1] * U64(5) + mix(values[:, 2])) + np.arange(BANDS, dtype=U64)).view(np.int64)
+        return mix(values[:, 0] * U64(3) + mix(values[:, 1] * U64(5) + mix(values[:, 2])) + np.arange(BANDS, dtype=U64)).view(np.int64), size
 
 
 def _prepare(at: int, names: list[str]) -> Callable:
@@ -150,7 +161,7 @@ def _prepare(at: int, names: list[str]) -> Callable:
             raw, offsets = string_buffers(batch.column(at))
             null = batch.column(at).is_null().to_pylist()
             packed, keys, whole = [], [], []
-            for i, j, data, off in chunks(raw, offsets):
+            for i, j, data, off in chunks(raw, offsets, CHUNK):
                 starts, ends, row = line_spans(data, off)
                 k1, k2, counts = line_keys(words, data, off, starts, ends)
                 both = np.stack([k1, k2], axis=1) * counts[:, None].astype(U64)
@@ -167,20 +178,66 @@ def _prepare(at: int, names: list[str]) -> Callable:
     return run
 
 
+def _each_line(batch: pa.RecordBatch) -> np.ndarray:
+    """``k1, k2, doc_id, whole, pos, row`` of each line that isn't blank; columns: line_keys, doc_id, whole, row."""
+    keys = batch.column(0).to_pylist()
+    n = np.array([len(k) // 16 for k in keys], np.int64)
+    both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+    row = np.repeat(np.arange(len(keys)), n)
+    pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    keep = np.flatnonzero(both.any(axis=1))
+    # a document without number comes before all others
+    doc = batch.column(1).fill_null(-(1 << 63)).to_numpy()
+    row = row[keep]
+    return np.stack([both[keep, 0], both[keep, 1], doc[row], batch.column(2).to_numpy()[row], pos[keep], batch.column(3).to_numpy()[row]], axis=1)
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per line that isn't blank."""
     for batch in batches:
-        keys = batch.column(0).to_pylist()
-        n = np.array([len(k) // 16 for k in keys], np.int64)
-        both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-        row = np.repeat(np.arange(len(keys)), n)
-        pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        keep = np.flatnonzero(both.any(axis=1))
-        at = pa.array(row[keep])
-        yield pa.record_batch(
-            [pa.array(both[keep, 0]), pa.array(both[keep, 1]), *(batch.column(c).take(at) for c in (1, 2)), pa.array(pos[keep]), batch.column(3).take(at)],
-            names=["k1", "k2", "doc_id", "whole", "pos", "row"],
-        )
+        lines = _each_line(batch)
+        yield pa.record_batch([pa.array(lines[:, c]) for c in (0, 1, 4, 5)], names=["k1", "k2", "pos", "row"])
+
+
+def _least(lines: np.ndarray) -> np.ndarray:
+    """The least line of each key, and in a last column how many lines have it."""
+    lines = lines[np.lexsort(lines[:, 5::-1].T)]
+    first = np.flatnonzero(np.append(True, (lines[1:, :2] != lines[:-1, :2]).any(axis=1))) if len(lines) else np.zeros(0, np.int64)
+    out = lines[first]
+    out[:, 6] = np.add.reduceat(lines[:, 6], first) if len(first) else 0
+    return out
+
+
+def _by_key(parts: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The least lines of this task's keys, as arrays, by part."""
+        held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            lines = _least(np.concatenate(held))
+            part = ((lines[:, 0].view(U64) >> U64(32)) * U64(parts) >> U64(32)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            pieces = np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
+            return pa.record_batch([pa.array([part[p[0]] for p in pieces], pa.int32()), pa.array([lines[p].tobytes() for p in pieces], pa.binary())], names=["part", "lines"])
+
+        for batch in batches:
+            lines = _each_line(batch)
+            if len(lines):
+                held.append(np.hstack([lines, np.ones((len(lines), 1), np.int64)]))
+                n += len(lines)
+            if n >= 2 * HELD:
+                yield out()
+                held, n = [], 0
+        if held:
+            yield out()
+
+    return run
+
+
+def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [x for b in batches for x in b.column(1).to_pylist()]
+    lines = _least(np.frombuffer(b"".join(held), np.int64).reshape(-1, 7))
+    yield pa.record_batch([pa.array(lines[:, c]) for c in range(7)], names=["k1", "k2", "doc_id", "whole", "pos", "row", "n"])
 
 
 def _unpacked(packed: list[bytes | None], unpack: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray]:
@@ -224,19 +281,15 @@ def _bands(shared=None) -> Callable:
         for batch in batches:
             raw, offsets = _unpacked(batch.column(0).to_pylist(), unpack)
             keys = batch.column(1).to_pylist()
-            for i, j, data, off in chunks(raw, offsets):
+            for i, j, data, off in chunks(raw, offsets, CHUNK):
                 k1 = np.frombuffer(b"".join(keys[i:j]), np.int64).reshape(-1, 2)[:, 0]
                 starts, ends, _ = line_spans(data, off)
+                bucket, size = buckets(data, starts, ends)
                 # three shingles are in a set of four at best; with fewer there is no partner
-                long = np.flatnonzero((k1 != 0) & (ends - starts >= SHINGLE + 2))
-                long = long[np.unique(k1[long], return_index=True)[1]]
-                x, size = shingles(data, starts[long], ends[long])
-                full = np.flatnonzero(size >= 3)
-                if len(full) < len(size):
-                    x = x[np.repeat(size >= 3, size)]
-                if len(full):
-                    held.append((k1[long[full]], buckets(x, size[full])))
-                    n += len(full)
+                some = np.flatnonzero((k1 != 0) & (size >= 3))
+                if len(some):
+                    held.append((k1[some], bucket[some]))
+                    n += len(some)
                 if n >= HELD:
                     yield out()
                     held, n = [], 0
@@ -311,12 +364,10 @@ def _texts_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(lines, pa.binary())], names=["node", "line"])
 
 
-def _shingle_lists(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(number of the first line, shingles of lines, where each line's end) of runs of lines."""
-    raw, offsets = string_buffers(column)
-    for i, _, data, off in chunks(raw, offsets):
-        x, size = shingles(data, off[:-1], off[1:])
-        yield i, x, np.cumsum(size)
+def _sets(lines: pa.Array) -> list[np.ndarray]:
+    """The shingle set of each line."""
+    raw, offsets = string_buffers(lines)
+    return [s for _, _, data, off in chunks(raw, offsets, CHUNK) for s in shingle_sets(data, off[:-1], off[1:])]
 
 
 def _verify(percent: int) -> Callable:
@@ -324,24 +375,19 @@ def _verify(percent: int) -> Callable:
         """Per pivot: its own line first, then its candidates'; the confirmed pairs."""
         pivot, own = None, None
         for batch in batches:
-            pivots, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             a, b = [], []
-            for i, x, ends in _shingle_lists(batch.column(2)):
-                begin = 0
-                for k, end in enumerate(ends.tolist(), i):
-                    s, begin = np.unique(x[begin:end]), end
-                    if pivots[k] == nodes[k]:
-                        pivot, own = pivots[k], s
-                        continue
-                    assert pivot == pivots[k], "a pivot's own line comes first"
-                    small, large = (s, own) if len(s) < len(own) else (own, s)
-                    if 100 * len(small) < percent * len(large) or not len(small):
-                        continue
-                    at = np.searchsorted(large, small)
-                    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                    if 100 * both >= percent * (len(s) + len(own) - both):
-                        a.append(pivot)
-                        b.append(nodes[k])
+            for p, node, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _sets(batch.column(2)), strict=True):
+                if p == node:
+                    pivot, own = p, s
+                    continue
+                assert pivot == p, "a pivot's own line comes first"
+                small, large = (s, own) if len(s) < len(own) else (own, s)
+                if 100 * len(small) < percent * len(large):
+                    continue
+                both = np.count_nonzero(large.take(large.searchsorted(small), mode="clip") == small)
+                if 100 * both >= percent * (len(s) + len(own) - both):
+                    a.append(p)
+                    b.append(node)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
@@ -360,11 +406,6 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _sets(payload: pa.Array) -> list[np.ndarray]:
-    """The shingle set of each line."""
-    return [np.unique(s) for _, x, ends in _shingle_lists(payload) for s in np.split(x, ends[:-1])]
-
-
 def _apply(at: int, names: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The texts without their removed lines; columns: others, packed, line_keys, removed."""
@@ -400,8 +441,9 @@ def _deduped(docs: DataFrame, text: str, key: str, percent: int, counts: tuple[s
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     rows = materialize(numbered.mapInArrow(_prepare(at, prepared.names), prepared), "packed-texts")
     own = rows.select(F.col(packed).alias("packed"), F.col(line_keys).alias("line_keys"), F.col(key).cast("long").alias("doc_id"), F.col(whole).alias("whole"), F.col(row).alias("row"))
-    lines = own.select("line_keys", "doc_id", "whole", "row").mapInArrow(_lines, "k1 long, k2 long, doc_id long, whole long, pos long, row long")
-    equal = materialize(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "whole", "pos", "row")).alias("kept"), F.count("*").alias("n")), "equal-lines")
+    keyed = own.select("line_keys", "doc_id", "whole", "row")
+    dealt = keyed.mapInArrow(_by_key(partitions(spark)), "part int, lines binary").repartitionById(partitions(spark), "part")
+    equal = materialize(dealt.mapInArrow(_equal, "k1 long, k2 long, doc_id long, whole long, pos long, row long, n long"), "equal-lines")
 
     shared = spark.sparkContext.broadcast(_bounds(own, equal.count()))
     banded = own.select("packed", "line_keys").mapInArrow(_bands(shared), "part int, firsts binary, nodes binary")
@@ -409,11 +451,9 @@ def _deduped(docs: DataFrame, text: str, key: str, percent: int, counts: tuple[s
     pairs = found.filter("b is not null").select("a", "b").distinct()
     crowded = found.filter("b is null").select(F.col("first").alias("region"), F.col("a").alias("node"))
     nodes = found.select(F.explode(F.array("a", "b")).alias("k1")).filter("k1 is not null").distinct()
-    asked = (
-        nodes.join(equal.groupBy("k1").agg(F.min("kept").alias("kept")), "k1")
-        .groupBy(F.col("kept.row").alias("row"))
-        .agg(F.collect_set(F.struct(F.col("kept.pos").alias("pos"), F.col("k1").alias("node"))).alias("asked"))
-    )
+    # a node is a line, the least one should two of different words have its key
+    nodes = materialize(nodes.join(equal, "k1").groupBy("k1").agg(F.min(F.struct("doc_id", "whole", "pos", "row", "k2", "n")).alias("x")).select("k1", "x.*"), "candidate-nodes")
+    asked = nodes.groupBy("row").agg(F.collect_set(F.struct("pos", F.col("k1").alias("node"))).alias("asked"))
     texts = materialize(own.select("row", "packed").join(asked, "row").select("packed", "asked").mapInArrow(_texts_of_lines, "node long, line binary"), "candidate-lines")
     links = materialize(confirm(pairs, texts, percent), "line-links")
     components = connected_components(links)
@@ -422,12 +462,16 @@ def _deduped(docs: DataFrame, text: str, key: str, percent: int, counts: tuple[s
     more = materialize(region_links(regions, weighed, _sets, percent), "region-links")
     components = connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     # what stays: per component of fuzzy lines, else per key; lines that stand alone need no row
-    grouped = materialize(equal.join(components.withColumnRenamed("node", "k1"), "k1", "left").filter("n > 1 or component is not null"), "line-groups")
-    best = grouped.filter("component is not null").groupBy("component").agg(F.min("kept").alias("best"))
-    stays = materialize(grouped.join(best, "component", "left").select("k1", "k2", F.coalesce("best", "kept").alias("stays")), "line-stays")
+    kept = F.struct("doc_id", "whole", "pos", "row").alias("kept")
+    fuzzy = nodes.join(components.withColumnRenamed("node", "k1"), "k1").select("k1", "k2", kept, "component")
+    best = fuzzy.groupBy("component").agg(F.min("kept").alias("stays"))
+    fuzzy = materialize(fuzzy.join(best, "component").select("k1", "k2", "stays.row", "stays.pos"), "fuzzy-lines")
+    repeated = equal.filter("n > 1").join(fuzzy.select("k1", "k2"), ["k1", "k2"], "left_anti").select("k1", "k2", "row", "pos")
+    stays = fuzzy.unionByName(repeated).select("k1", "k2", F.col("row").alias("stays_row"), F.col("pos").alias("stays_pos"))
     gone = (
-        lines.join(stays, ["k1", "k2"])
-        .filter("row <> stays.row or pos <> stays.pos")
+        keyed.mapInArrow(_lines, "k1 long, k2 long, pos long, row long")
+        .join(stays.hint("shuffle_hash"), ["k1", "k2"])
+        .filter("row <> stays_row or pos <> stays_pos")
         .groupBy(F.col("row").alias(row))
         .agg(F.collect_set("pos").alias(removed))
     )

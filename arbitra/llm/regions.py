@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from .session import materialize
 
 #: Set members of a block, as told by ``weight``.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: Members that are indexed at a time in a task, and entries of the index that are counted at a time.
-HELD, COUNTED = 1 << 20, 1 << 20
+HELD, COUNTED = 1 << 19, 1 << 20
 #: In keys of so many rows, members that one in ``COMMON`` rows has are counted by matrix products, ``COLUMNS`` at a time.
 MANY, COMMON, COLUMNS = 128, 16, 1024
 
@@ -85,8 +85,7 @@ def similar_pairs(key: np.ndarray, sets: list[np.ndarray], percent: int) -> Iter
         if matrix:
             both = np.zeros((y - x, width), np.float32)
             for m in matrix:
-                part = m[x - base : y - base].astype(np.float32)
-                both += part @ m[:width].astype(np.float32).T
+                both += m[x - base : y - base] @ m[:width].T
             both = both.ravel().astype(np.int64)
             if len(code):
                 more = np.bincount(code)
@@ -114,8 +113,8 @@ def _dense(first_of_key: np.ndarray, rows: np.ndarray, begin: np.ndarray, freque
         width = int(np.searchsorted(first_of_key, key, "right")) - key
         for c in range(0, len(some), COLUMNS):
             piece = some[c : c + COLUMNS]
-            m = np.zeros((width, len(piece)), bool)
-            m[rows[_ragged(begin[piece], frequent[piece])] - key, np.repeat(np.arange(len(piece)), frequent[piece])] = True
+            m = np.zeros((width, len(piece)), np.float32)
+            m[rows[_ragged(begin[piece], frequent[piece])] - key, np.repeat(np.arange(len(piece)), frequent[piece])] = 1
             out.setdefault(key, []).append(m)
     return out
 

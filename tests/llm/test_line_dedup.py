@@ -8,7 +8,7 @@ import numpy as np
 from conftest import LOREM, SCHEMA, prose
 
 from arbitra.llm import line_dedup
-from arbitra.llm.line_dedup import buckets, dedup_lines, drop_repeated_lines, part_of, shingles
+from arbitra.llm.line_dedup import buckets, dedup_lines, drop_repeated_lines, part_of, shingle_sets
 
 
 def normal(line):
@@ -78,15 +78,36 @@ def test_repeated_rows(spark):
 
 
 def test_shingles_are_characters():
-    lines = ["한국어 문장이 하나 있다", "plain ascii line", "mixed é line ascii", "kurz", "😀" * 9]
+    lines = ["한국어 문장이 하나 있다", "plain ascii line", "mixed é line ascii", "kurz", "plain ascii line too", "ÀÉÎÕÜ" * 3]
     data = np.frombuffer("\n".join(lines).encode(), np.uint8)
     ends = np.append(np.flatnonzero(data == 10), len(data))
-    x, size = shingles(data, np.append(0, ends[:-1] + 1), ends)
-    assert size.tolist() == [max(0, len(t) - 7) for t in lines]
-    want = [t[i : i + 8] for t in lines for i in range(len(t) - 7)]
-    assert len({*zip(x.tolist(), want, strict=True)}) == len({*x.tolist()}) == len({*want})
+    sets = shingle_sets(data, np.append(0, ends[:-1] + 1), ends)
+    assert [len(s) for s in sets] == [len(grams(t)) for t in lines]
+    for i, x in enumerate(lines):
+        assert [len(np.intersect1d(sets[i], s)) for s in sets] == [len(grams(x) & grams(t)) for t in lines]
     alone = np.frombuffer(lines[1].encode(), np.uint8)
-    assert shingles(alone, np.array([0]), np.array([len(alone)]))[0].tolist() == x[size[0] : size[0] + size[1]].tolist()
+    assert shingle_sets(alone, np.array([0]), np.array([len(alone)]))[0].tolist() == sets[1].tolist()
+
+
+def test_buckets_estimate_similarity():
+    """Lines share a band as often as their similarity says, and as they do alone."""
+    r = random.Random(3)
+    lines = []
+    for i in range(400):
+        w = prose(20_000 + i, 30).split()
+        lines.append(" ".join(w))
+        w[r.randrange(30)] = "otherwise é"
+        lines.append(" ".join(w))
+    data = np.frombuffer("\n".join(lines).encode(), np.uint8)
+    ends = np.append(np.flatnonzero(data == 10), len(data))
+    bucket, size = buckets(data, np.append(0, ends[:-1] + 1), ends)
+    assert size.tolist() == [len(t) - 7 for t in lines]
+    one = np.frombuffer(lines[5].encode(), np.uint8)
+    assert buckets(one, np.array([0]), np.array([len(one)]))[0][0].tolist() == bucket[5].tolist()
+    like = [len(grams(a) & grams(b)) / len(grams(a) | grams(b)) for a, b in zip(lines[::2], lines[1::2], strict=True)]
+    shared = (bucket[::2] == bucket[1::2]).any(axis=1)
+    assert min(like) > 0.75 and shared.mean() > 0.99
+    assert (bucket[::2] == np.roll(bucket[1::2], 1, axis=0)).any(axis=1).mean() < 0.01
 
 
 def test_dense_buckets(spark, monkeypatch):
@@ -108,8 +129,8 @@ def test_dense_buckets(spark, monkeypatch):
     missed = [i for i in like if i + 1 not in gone]
     # of the pairs that are like, those without a common band may be missed, and no others
     for i in missed:
-        both = [shingles(d := np.frombuffer(rows[k][1].encode(), np.uint8), np.array([0]), np.array([len(d)])) for k in (i, i + 1)]
-        assert not (buckets(*both[0]) == buckets(*both[1])).any()
+        a, b = (buckets(d := np.frombuffer(rows[k][1].encode(), np.uint8), np.array([0]), np.array([len(d)]))[0] for k in (i, i + 1))
+        assert not (a == b).any()
     assert len(missed) <= 0.02 * len(like)
 
 
