@@ -61,7 +61,7 @@ class WordHasher:
     """64-bit hashes of the words of each text; a word is a run of bytes in ``word``."""
 
     def __init__(self, word: np.ndarray, lower: bool = True) -> None:
-        self.word = word
+        self.word = word.astype(np.uint8).tobytes()
         table = np.arange(256, dtype=np.uint64)
         if lower:
             table[65:91] += U64(32)
@@ -98,7 +98,7 @@ class WordHasher:
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte positions where words start and end; no word crosses a row."""
         n = len(data)
-        w = self.word[data]
+        w = np.frombuffer(data.tobytes().translate(self.word), bool)
         before = np.empty(n, bool)
         before[0] = False
         before[1:] = w[:-1]

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .graph import connected_components
 from .kernels import U64, WordHasher, chunks, mix, space_separated, string_buffers
-from .regions import mixed_regions, region_links
+from .regions import joined, mixed_regions, region_links
 from .session import fresh, materialize, partitions, small_batches
 
 SHINGLE = 8
@@ -397,7 +397,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose lines' shingle sets are that similar; ``texts`` has node and line."""
     ship = pairs.select(F.col("b").alias("node"), F.col("a").alias("pivot")).unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("pivot")).distinct())
     return (
-        ship.join(texts, "node")
+        ship.join(texts.hint("shuffle_hash"), "node")
         .repartition("pivot")
         .withColumn("later", F.col("node") != F.col("pivot"))
         .sortWithinPartitions("pivot", "later")
@@ -414,16 +414,17 @@ def _apply(at: int, names: list[str]) -> Callable:
             others, (packed, keys, removed) = batch.columns[:-3], (c.to_pylist() for c in batch.columns[-3:])
             texts, lines, gone, left = [], [], [], []
             for x, k, r in zip(packed, keys, removed, strict=True):
-                text = None if x is None else unpack.decompress(x).decode("utf-8")
-                lines.append(0 if x is None else text.count("\n") + 1)
+                text = None if x is None else unpack.decompress(x)
                 if r:
                     r = set(r)
-                    text = "\n".join(p for i, p in enumerate(text.split("\n")) if i not in r)
+                    text = b"\n".join(p for i, p in enumerate(text.split(b"\n")) if i not in r)
                 texts.append(text)
+                counted = np.frombuffer(k, np.int64).reshape(-1, 2).any(axis=1)
+                lines.append(0 if x is None else len(counted))
                 gone.append(len(r or ()))
-                left.append(sum(k[i : i + 16] != bytes(16) for i in range(0, len(k), 16)) - gone[-1])
+                left.append(int(np.count_nonzero(counted)) - gone[-1])
             columns = list(others)
-            columns.insert(at, pa.array(texts, pa.string()))
+            columns.insert(at, pa.array(texts, pa.binary()).cast(pa.string()))
             yield pa.record_batch([*columns, pa.array(lines, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.int64())], names=names)
 
     return run
@@ -452,15 +453,15 @@ def _deduped(docs: DataFrame, text: str, key: str, percent: int, counts: tuple[s
     crowded = found.filter("b is null").select(F.col("first").alias("region"), F.col("a").alias("node"))
     nodes = found.select(F.explode(F.array("a", "b")).alias("k1")).filter("k1 is not null").distinct()
     # a node is a line, the least one should two of different words have its key
-    nodes = materialize(nodes.join(equal, "k1").groupBy("k1").agg(F.min(F.struct("doc_id", "whole", "pos", "row", "k2", "n")).alias("x")).select("k1", "x.*"), "candidate-nodes")
+    nodes = materialize(equal.join(nodes.hint("shuffle_hash"), "k1").groupBy("k1").agg(F.min(F.struct("doc_id", "whole", "pos", "row", "k2", "n")).alias("x")).select("k1", "x.*"), "candidate-nodes")
     asked = nodes.groupBy("row").agg(F.collect_set(F.struct("pos", F.col("k1").alias("node"))).alias("asked"))
-    texts = materialize(own.select("row", "packed").join(asked, "row").select("packed", "asked").mapInArrow(_texts_of_lines, "node long, line binary"), "candidate-lines")
+    texts = materialize(own.select("row", "packed").join(asked.hint("shuffle_hash"), "row").select("packed", "asked").mapInArrow(_texts_of_lines, "node long, line binary"), "candidate-lines")
     links = materialize(confirm(pairs, texts, percent), "line-links")
     components = connected_components(links)
     weighed = texts.select("node", F.col("line").alias("payload"), F.octet_length("line").alias("weight"))
     regions = mixed_regions(crowded.join(weighed.select("node", "weight"), "node"), components)
     more = materialize(region_links(regions, weighed, _sets, percent), "region-links")
-    components = connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    components = joined(components, more)
     # what stays: per component of fuzzy lines, else per key; lines that stand alone need no row
     kept = F.struct("doc_id", "whole", "pos", "row").alias("kept")
     fuzzy = nodes.join(components.withColumnRenamed("node", "k1"), "k1").select("k1", "k2", kept, "component")
@@ -476,7 +477,7 @@ def _deduped(docs: DataFrame, text: str, key: str, percent: int, counts: tuple[s
         .agg(F.collect_set("pos").alias(removed))
     )
     out = T.StructType([*docs.schema, *(T.StructField(n, T.LongType()) for n in counts)])
-    return rows.join(gone, row, "left").select(*names, packed, line_keys, removed).mapInArrow(_apply(at, out.names), out)
+    return rows.join(gone.hint("shuffle_hash"), row, "left").select(*names, packed, line_keys, removed).mapInArrow(_apply(at, out.names), out)
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .graph import connected_components
 from .kernels import U64, WordHasher, binary_rows, chunks, mix, shingle_sets, space_separated, stream, string_buffers
-from .regions import mixed_regions, region_links
+from .regions import joined, mixed_regions, region_links
 from .session import fresh, materialize, partitions, small_batches
 
 SHINGLE = 5
@@ -346,10 +346,10 @@ def _grouped(docs: DataFrame, text: str, key: str, percent: int) -> tuple[DataFr
     components = connected_components(links)
     regions = mixed_regions(crowded.join(classes.select("node", F.col("n_shingles").alias("weight")), "node"), components)
     more = materialize(region_links(regions, texts, _sets, percent), "region-links")
-    components = connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    joined = classes.join(components, "node", "left").select("n_shingles", "k1", "k2", "doc", F.coalesce("component", "node").alias("group"))
-    least = joined.groupBy("group").agg(F.min("doc").alias("component_id"))
-    return signed, joined.join(least, "group").select("n_shingles", "k1", "k2", "group", "component_id")
+    components = joined(components, more)
+    labelled = classes.join(components, "node", "left").select("n_shingles", "k1", "k2", "doc", F.coalesce("component", "node").alias("group"))
+    least = labelled.groupBy("group").agg(F.min("doc").alias("component_id"))
+    return signed, labelled.join(least, "group").select("n_shingles", "k1", "k2", "group", "component_id")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 75) -> DataFrame:

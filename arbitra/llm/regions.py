@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import connected_components
 from .session import materialize
 
 #: Set members of a block, as told by ``weight``.
@@ -121,20 +122,21 @@ def _dense(first_of_key: np.ndarray, rows: np.ndarray, begin: np.ndarray, freque
 
 def _links(sets_of: Sets, percent: int) -> Callable:
     def links(rows: pa.Table) -> pa.RecordBatch:
-        region, low, high, block, node, label = (rows[c].to_numpy() for c in ("region", "low", "high", "block", "node", "label"))
+        region, low, high, block, label = (rows[c].to_numpy() for c in ("region", "low", "high", "block", "label"))
         key = np.cumsum(np.append(0, (np.diff(region) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)))
         label, a, b = label.copy(), [], []
         for i, j in similar_pairs(key, sets_of(rows["payload"].combine_chunks()), percent):
             some = np.flatnonzero((label[i] != label[j]) & ((low[i] == high[i]) | (block[i] != block[j])))
             for p, q in zip(i[some].tolist(), j[some].tolist(), strict=True):
-                if label[p] != label[q]:
-                    a.append(min(node[p], node[q]))
-                    b.append(max(node[p], node[q]))
-                    label[label == max(label[p], label[q])] = min(label[p], label[q])
+                x, y = sorted((label[p], label[q]))
+                if x != y:
+                    a.append(x)
+                    b.append(y)
+                    label[label == y] = x
         return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The links that join nodes anew, of each (region, low, high), whose rows come together."""
+        """Links of labels, of each (region, low, high), whose rows come together."""
         held, members = [], 0
         for batch in batches:
             if not batch.num_rows:
@@ -161,13 +163,26 @@ def _links(sets_of: Sets, percent: int) -> Callable:
 
 
 def region_links(rows: DataFrame, payloads: DataFrame, sets_of: Sets, percent: int) -> DataFrame:
-    """Links (a < b) that join the nodes of each region of :func:`mixed_regions`; ``payloads`` has node, weight and payload of each."""
+    """Links (a < b) between the labels of each region of :func:`mixed_regions`; ``payloads`` has node, weight and payload of each.
+
+    They join all labels that a pair of similar nodes joins, and no others.
+    """
     met = (
         rows.join(payloads, "node")
         .withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "weight", "payload")
+        .select("region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "label", "weight", "payload")
         .repartition("region", "low", "high")
         .sortWithinPartitions("region", "low", "high")
     )
     return met.mapInArrow(_links(sets_of, percent), "a long, b long").distinct()
+
+
+def joined(components: DataFrame, links: DataFrame) -> DataFrame:
+    """``components(node, component)`` after their labels have been linked further."""
+    more = connected_components(links)
+    both = components.join(more.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left")
+    known = both.select("node", F.coalesce("least", "component").alias("component"))
+    # labels that were nodes without a link so far
+    fresh = more.join(components.select("node"), "node", "left_anti")
+    return known.unionByName(fresh.select("node", "component"))

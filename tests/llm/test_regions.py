@@ -43,3 +43,10 @@ def test_blocks(spark, monkeypatch):
         assert [tuple(x) for x in found.collect()] == [(3, 290)]
         joined = spark.createDataFrame([(3, 3), (290, 3)], "node long, component long")
         assert regions.region_links(regions.mixed_regions(rows, joined), payloads, sets_of, 75).count() == 0
+
+
+def test_joined_labels(spark):
+    components = spark.createDataFrame([(2, 1), (1, 1), (5, 4), (4, 4), (9, 8), (8, 8)], "node long, component long")
+    links = spark.createDataFrame([(1, 4), (3, 4), (6, 7)], "a long, b long")
+    got = {r["node"]: r["component"] for r in regions.joined(components, links).collect()}
+    assert got == {1: 1, 2: 1, 4: 1, 5: 1, 3: 1, 8: 8, 9: 8, 6: 6, 7: 6}
