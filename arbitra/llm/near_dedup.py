@@ -339,10 +339,14 @@ def _grouped(docs: DataFrame, text: str, key: str, percent: int) -> tuple[DataFr
     classes = materialize(
         signed.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2", "sig").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc")), "classes"
     )
-    texts = signed.filter("n_shingles > 0").select(F.col("row").alias("node"), F.col("packed").alias("payload"), F.col("n_shingles").alias("weight"))
     rows = classes.select("node", "sig").mapInArrow(_tree_rows, "first long, deep long, rest binary, node long, prints binary")
     near, crowded = neighbours(rows)
-    links = materialize(confirm(materialize(near, "pairs"), texts, percent), "links")
+    pairs = materialize(near, "pairs")
+    # the texts that anything is asked of are few: they are looked up once
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowded.select("node")).distinct()
+    texts = signed.select(F.col("row").alias("node"), F.col("packed").alias("payload"), F.col("n_shingles").alias("weight"))
+    texts = materialize(texts.join(asked.hint("shuffle_hash"), "node"), "candidate-texts")
+    links = materialize(confirm(pairs, texts, percent), "links")
     components = connected_components(links)
     regions = mixed_regions(crowded.join(classes.select("node", F.col("n_shingles").alias("weight")), "node"), components)
     more = materialize(region_links(regions, texts, _sets, percent), "region-links")
