@@ -144,18 +144,16 @@ def soft_target_errors(target: Column, candidates: Column) -> Column:
     )
 
 
-def one_hot(selected: Column, candidates: Column) -> Column:
-    return F.map_from_arrays(candidates, F.transform(candidates, lambda c: F.when(F.lower(c) == F.lower(selected), 1.0).otherwise(0.0)))
-
-
 def model_ids(payload: Column) -> Column:
     """Distinct ids of a model list, in order."""
     rows = F.try_variant_get(F.try_parse_json(payload), "$.data", "array<variant>")
-    return F.array_distinct(F.array_compact(F.transform(rows, lambda x: F.try_variant_get(x, "$.id", "string"))))
+    return F.array_distinct(F.filter(F.transform(rows, lambda x: F.try_variant_get(x, "$.id", "string")), lambda x: x != ""))
 
 
 def message_content(choice: Column) -> Column:
-    """A reply's text: content, or the first tool call's arguments, or the plain text."""
+    """A reply's text: content, its text parts joined, the first tool call's arguments, or the plain text, as it is."""
     v = F.try_parse_json(choice)
-    paths = ("$.message.content", "$.message.content[0].text", "$.message.tool_calls[0].function.arguments", "$.text")
-    return F.coalesce(*(F.nullif(F.trim(strict(v, p, "string")), F.lit("")) for p in paths))
+    parts = F.try_variant_get(v, "$.message.content", "array<variant>")
+    joined = F.array_join(F.array_compact(F.transform(parts, lambda x: F.when(F.schema_of_variant(x).startswith("OBJECT"), strict(x, "$.text", "string")))), "")
+    some = lambda c: F.when(c.rlike(r"(?U)\S"), c)
+    return F.coalesce(some(strict(v, "$.message.content", "string")), some(joined), some(strict(v, "$.message.tool_calls[0].function.arguments", "string")), some(strict(v, "$.text", "string")))

@@ -45,3 +45,9 @@ def nll(logits: Column, label: Column, temperature: Column) -> Column:
 def half_width(x: Column) -> Column:
     """Half the sigmoid: the reach of a score's interval."""
     return 0.5 / (1 + F.exp(-x))
+
+
+def score_interval(raw: Column, width: Column) -> Column:
+    """``value, lower, upper`` of a score's head: clamped to 0 and 1, like its interval."""
+    value, reach = F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)), half_width(width)
+    return F.struct(value.alias("value"), F.greatest(F.lit(0.0), value - reach).alias("lower"), F.least(F.lit(1.0), value + reach).alias("upper"))

@@ -44,11 +44,17 @@ def normalize_prompt(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(casefold(text), r"(?U)\s+", " "))
 
 
+_BARE = [c for c in range(32) if chr(c) not in "\b\t\n\f\r"]
+
+
 def json_string(text: Column | str) -> Column:
-    """A JSON string literal; non-ASCII characters stay as they are."""
+    """A JSON string literal; non-ASCII characters stay as they are, control characters are escaped."""
     out = F.replace(F.replace(col(text), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     for raw, escaped in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
         out = F.replace(out, F.lit(raw), F.lit(escaped))
+    # the rest of them are rare: one pass tells whether there are any
+    bare = lambda x: F.aggregate(F.array(*(F.lit(chr(c)) for c in _BARE)), x, lambda a, c: F.replace(a, c, F.concat(F.lit("\\u00"), F.lower(F.lpad(F.hex(F.ascii(c)), 2, "0")))))
+    out = F.element_at(F.transform(F.array(out), lambda x: F.when(x.rlike(r"[\x00-\x1f]"), bare(x)).otherwise(x)), 1)
     return F.concat(F.lit('"'), out, F.lit('"'))
 
 
@@ -166,5 +172,5 @@ def attention(ids: Column, most: int) -> Column:
 
 
 def any_term(text: Column, terms: list[str]) -> Column:
-    """Whether any of the terms is in the text."""
-    return F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t))
+    """Whether any of the terms is in the text, which is evaluated once."""
+    return F.element_at(F.transform(F.array(text), lambda x: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(x, t))), 1)

@@ -9,7 +9,7 @@ from ..functions.stats import nll, ratio, wilson
 
 # Least (or, for false stops, greatest) values of a release.
 LIMITS = {
-    "split_accuracy": 0.99, "split_accuracy_lower": 0.99, "skill_accuracy": 0.99, "accepted_accuracy": 0.995, "accepted_coverage": 0.99, "safety_accuracy": 1.0, "stop_recall": 1.0, "stop_recall_lower": 0.99, "unique_groups": 381.0,
+    "split_accuracy": 0.99, "split_accuracy_lower": 0.99, "skill_accuracy": 0.99, "accepted_accuracy": 0.995, "accepted_coverage": 0.99, "safety_accuracy": 1.0, "stop_recall": 1.0, "stop_recall_lower": 0.99, "stop_count": 500.0, "unique_groups": 381.0,
 }
 GREATEST = {"false_stop_rate": 0.0}
 
@@ -36,21 +36,49 @@ def gate_rows(values: DataFrame, gate: str = "gate", subject: str = "subject", v
     return values.select(gate, subject, F.round(v, 6).alias(value), F.coalesce(low, high).alias("limit"), (~passed).alias("failed"))
 
 
+def split_values(summary: DataFrame, split: str = "split") -> DataFrame:
+    """``gate, subject, value`` of the gates of a split: from ``n, correct, accepted, accepted_correct`` per split."""
+    lower, _ = wilson("correct", "n")
+    d = lambda c: c.cast("double")
+    gates = F.array(
+        F.struct(F.lit("split_accuracy").alias("gate"), ratio(F.col("correct"), F.col("n")).alias("value")), F.struct(F.lit("split_accuracy_lower").alias("gate"), lower.alias("value")),
+        F.struct(F.lit("accepted_accuracy").alias("gate"), ratio(F.col("accepted_correct"), F.col("accepted")).alias("value")), F.struct(F.lit("accepted_coverage").alias("gate"), ratio(F.col("accepted"), F.col("n")).alias("value")),
+    )
+    return summary.select(F.col(split).alias("subject"), F.inline(gates)).select("gate", "subject", d(F.col("value")).alias("value"))
+
+
+def skill_values(summary: DataFrame, split: str = "split", skill: str = "skill") -> DataFrame:
+    """Accuracy of each skill of each split, from ``n, correct``; a skill without rows has none and fails."""
+    return summary.select(F.lit("skill_accuracy").alias("gate"), F.concat(split, F.lit(":"), skill).alias("subject"), ratio(F.col("correct"), F.col("n")).alias("value"))
+
+
+def safety_values(report: DataFrame) -> DataFrame:
+    """The gates of a safety report: ``accuracy, stop_recall, stop_recall_lower, stops, false_stop_rate``."""
+    names = {"safety_accuracy": "accuracy", "stop_recall": "stop_recall", "stop_recall_lower": "stop_recall_lower", "stop_count": "stops", "false_stop_rate": "false_stop_rate"}
+    return report.select(F.inline(F.array(*(F.struct(F.lit(g).alias("gate"), F.lit("safety").alias("subject"), F.col(c).cast("double").alias("value")) for g, c in names.items()))))
+
+
 def temperature_grid(steps: int = 76, minimum: float = 0.25, maximum: float = 4.0) -> Column:
     width = (maximum - minimum) / (steps - 1)
     return F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.lit(minimum) + F.lit(width) * i)
 
 
 def fit_temperature(df: DataFrame, by: list[str], logits: str = "logits", label: str = "label", minimum_samples: int = 1, steps: int = 76) -> DataFrame:
-    """The grid's temperature of least mean loss per group, the lesser on ties; null below ``minimum_samples``.
+    """The grid's temperature of least mean loss per group, the lesser on ties, with the loss before and after; none below ``minimum_samples``.
 
-    The grid is unfolded per row and summed map-side: groups x steps rows are shuffled.
+    Losses are equal if they are to twelve digits: sums depend on the order of rows beyond
+    that. The grid, and 1 for the loss before, are unfolded per row and summed map-side.
     """
-    rows = df.select(*by, logits, label, F.explode(temperature_grid(steps)).alias("temperature"))
-    loss = rows.groupBy(*by, "temperature").agg(F.avg(nll(F.col(logits), F.col(label), F.col("temperature"))).alias("_l"), F.count("*").alias("n"))
-    best = loss.groupBy(*by).agg(F.min(F.struct(F.round("_l", 9).alias("nll"), F.round("temperature", 6).alias("temperature"))).alias("b"), F.max("n").alias("n"))
+    grid = F.array_append(F.transform(temperature_grid(steps), lambda t: F.struct(t.alias("t"), F.lit(True).alias("fit"))), F.struct(F.lit(1.0).alias("t"), F.lit(False).alias("fit")))
+    rows = df.select(*by, logits, label, F.inline(grid))
+    loss = rows.groupBy(*by, "t", "fit").agg(F.avg(nll(F.col(logits), F.col(label), F.col("t"))).alias("_l"), F.count("*").alias("n"))
+    best = loss.groupBy(*by).agg(
+        F.min(F.when(F.col("fit"), F.struct(F.round("_l", 12).alias("nll"), F.round("t", 6).alias("temperature")))).alias("b"), F.max(F.when(~F.col("fit"), F.col("_l"))).alias("_before"), F.max("n").alias("n")
+    )
     enough = F.col("n") >= minimum_samples
-    return best.select(*by, "n", F.when(enough, "fitted").otherwise("insufficient").alias("status"), F.when(enough, F.col("b.temperature")).alias("temperature"), F.when(enough, F.round("b.nll", 6)).alias("nll"))
+    return best.select(
+        *by, "n", F.when(enough, "fitted").otherwise("insufficient").alias("status"), F.when(enough, F.col("b.temperature")).alias("temperature"), F.when(enough, F.round("_before", 6)).alias("nll_before"), F.when(enough, F.round("b.nll", 6)).alias("nll")
+    )
 
 
 def edges(spark: SparkSession) -> DataFrame:
@@ -63,16 +91,3 @@ def transitions(models: DataFrame, asked: DataFrame) -> DataFrame:
     spark = models.sparkSession
     rows = models.join(asked, "model_id").withColumnRenamed("status", "from_status")
     return rows.join(F.broadcast(edges(spark)).withColumn("_ok", F.lit(True)), ["from_status", "to_status"], "left").select("model_id", "from_status", "to_status", F.coalesce("_ok", F.lit(False)).alias("allowed"))
-
-
-def activate(models: DataFrame, model_id: str) -> DataFrame:
-    """The model becomes active and the active one retired."""
-    status = F.when(F.col("model_id") == model_id, "active").when(F.col("status") == "active", "retired").otherwise(F.col("status"))
-    return models.withColumn("status", status)
-
-
-def promotion_evidence(reports: DataFrame) -> DataFrame:
-    """Whether a report allows promotion: its gates pass, labels are human's, hashes agree."""
-    return reports.withColumn(
-        "promotable", F.col("gate_passed") & (F.col("human_labels") == F.col("n")) & (F.col("checkpoint_sha256") == F.col("manifest_sha256")) & (F.col("failures") == 0)
-    )

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
+#: Of a bucket with one score alone, ties whose number is in the same range of this width are sorted together.
+TIES = 1 << 16
 
 
 def ranked(df: DataFrame, by: list[str], score: str, tie: list[str], value: str | None = None, ascending: bool = False, buckets: int = BUCKETS) -> DataFrame:
@@ -21,20 +23,27 @@ def ranked(df: DataFrame, by: list[str], score: str, tie: list[str], value: str
     """
     number = F.coalesce(F.col(value).cast("double"), F.lit(0.0)) if value else F.lit(0.0)
     placed = df.withColumn("_b", F.floor(F.col(score) * buckets)).withColumn("_v", number)
-    totals = placed.groupBy(*by, "_b").agg(F.count("*").alias("_n"), F.sum("_v").alias("_s"))
+    split = len(tie) == 1 and dict(df.dtypes)[tie[0]] in ("int", "bigint", "smallint")
+    if split:
+        # many rows of one score: their order is the tie's, which is cut in ranges
+        alone = placed.groupBy(*by, "_b").agg((F.min(score) == F.max(score)).alias("_one"), F.count("*").alias("_k")).filter(f"_one and _k > {TIES}").select(*by, "_b", "_one")
+        placed = placed.join(alone, [*by, "_b"], "left").withColumn("_t", F.when(F.col("_one"), F.floor(F.col(tie[0]) / TIES)).otherwise(F.lit(0))).drop("_one")
+    else:
+        placed = placed.withColumn("_t", F.lit(0).cast("bigint"))
+    totals = placed.groupBy(*by, "_b", "_t").agg(F.count("*").alias("_n"), F.sum("_v").alias("_s"))
     edge = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
     whole = Window.partitionBy(*by)
-    before = whole.orderBy(edge("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.orderBy(edge("_b"), "_t").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s0"), F.sum("_n").over(whole).alias("of")
+        *by, "_b", "_t", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s0"), F.sum("_n").over(whole).alias("of")
     )
-    order = Window.partitionBy(*by, "_b").orderBy(edge(score), *tie)
+    order = Window.partitionBy(*by, "_b", "_t").orderBy(edge(score), *tie)
     inside = placed.withColumn("_r", F.row_number().over(order)).withColumn("_c", F.sum("_v").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return (
-        inside.join(offsets, [*by, "_b"])
+        inside.join(offsets, [*by, "_b", "_t"])
         .withColumn("rank", F.col("_n0") + F.col("_r"))
         .withColumn("cumulative", F.col("_s0") + F.col("_c"))
-        .drop("_b", "_v", "_r", "_c", "_n0", "_s0")
+        .drop("_b", "_t", "_v", "_r", "_c", "_n0", "_s0")
     )
 
 
@@ -68,5 +77,14 @@ def earliest(df: DataFrame, key: list[str], seq: str) -> DataFrame:
     return df.groupBy(*key).agg(F.min_by(F.struct(*others), seq).alias("_r")).select(*key, "_r.*").select(*df.columns)
 
 
-def one_row(expressions: dict[str, Column], df: DataFrame) -> DataFrame:
-    return df.agg(*(c.alias(n) for n, c in expressions.items()))
+def positions(df: DataFrame, coarse: list[Column], order: list[Column]) -> DataFrame:
+    """``df`` with ``position`` (from 1) in the whole order, without a sort in one task.
+
+    ``coarse`` are keys of few values that rise along ``order``: rows are counted per
+    value, and only rows of one value are sorted together.
+    """
+    placed = df.withColumn("_c", F.struct(*(c.alias(f"k{i}") for i, c in enumerate(coarse))))
+    counts = placed.groupBy("_c").agg(F.count("*").alias("_n"))
+    before = counts.select("_c", F.coalesce(F.sum("_n").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_c").orderBy(*order)))
+    return inside.join(before, "_c").withColumn("position", F.col("_before") + F.col("_r")).drop("_c", "_r", "_before")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import ratio
-from .ranking import latest
+from .ranking import latest, positions
 
 
 def latest_feedback(log: DataFrame, key: str = "sample_id", seq: str = "seq") -> DataFrame:
@@ -35,6 +35,18 @@ def review_status(queue: DataFrame, log: DataFrame, split: str = "split", key: s
     return n.select(split, "n", "reviewed", (F.col("n") - F.col("reviewed")).alias("pending"), ratio(F.col("reviewed"), F.col("n")).alias("coverage"), (F.col("n") == F.col("reviewed")).alias("complete"))
 
 
+def review_actions(queue: DataFrame, log: DataFrame, action: str, key: str = "sample_id") -> DataFrame:
+    """Per action of the latest feedback: how many samples have it."""
+    newest = latest_feedback(log, key).select(key, action)
+    return queue.select(key).join(newest, key).groupBy(action).agg(F.count("*").alias("n"))
+
+
+def readiness(queue: DataFrame, log: DataFrame, split: str = "split", key: str = "sample_id") -> DataFrame:
+    """One row: whether everything is reviewed, and whether the test split is."""
+    s = review_status(queue, log, split, key)
+    return s.agg(F.bool_and("complete").alias("all_splits"), F.coalesce(F.bool_or(F.when(F.col(split) == "test", F.col("complete"))), F.lit(False)).alias("test"), F.sum("pending").alias("pending"))
+
+
 def dual_status(a: Column, b: Column) -> Column:
     return (
         F.when(a.isNull() & b.isNull(), "missing_both").when(a.isNull(), "missing_a").when(b.isNull(), "missing_b").when(a == b, "agreed").otherwise("disagreement")
@@ -61,8 +73,9 @@ def dual_actions(df: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def action_summary(df: DataFrame) -> DataFrame:
-    """Actions by rate (null last), then most disagreements, then name."""
-    return df.orderBy(F.col("rate").asc_nulls_last(), F.col("disagreed").desc(), "action")
+    """Actions with their ``position`` by rate (null last), then most disagreements, then name."""
+    order = [F.col("rate").asc_nulls_last(), F.col("disagreed").desc(), F.col("action")]
+    return positions(df, [F.coalesce(F.floor(F.col("rate") * 64), F.lit(65))], order)
 
 
 def dual_gate(df: DataFrame, minimum: float = 0.98, a: str = "a", b: str = "b") -> DataFrame:
@@ -115,28 +128,31 @@ def teacher_rank(schema_valid: Column, repaired: Column, confidence: Column, id:
     return F.struct(level.alias("level"), F.when(level == 2, confidence).otherwise(F.lit(0.0)).alias("confidence"), id.alias("id"))
 
 
-def review_priority(items: DataFrame, group: str = "group", id: str = "sample_id", focus: list[str] | None = None) -> DataFrame:
-    """``items`` with the keys of the review order, and sorted by them.
+def priority_keys(items: DataFrame, group: str = "group", id: str = "sample_id", focus: list[str] | None = None) -> tuple[DataFrame, list[Column], list[Column]]:
+    """(``items`` with the keys of the review order, coarse keys, all keys) for :func:`positions`.
 
     Columns needed: signature, action, schema_valid, repaired, confidence,
     student_confidence, student_disagrees. Groups stay together: collisions first,
     then those with a focus action, then with a student's disagreement, then by the
     least student confidence, the least teacher rank, and the group's name. Group keys
-    are aggregates that are joined back; only the final order sorts.
+    are aggregates that are joined back.
     """
     rank = teacher_rank(F.col("schema_valid"), F.col("repaired"), F.col("confidence"), F.col(id))
     rows = items.withColumn("_rank", rank)
     focused = F.coalesce(F.col("action").isin(focus or []), F.lit(False))
     g = rows.groupBy(group).agg(
         F.when((F.count("*") > 1) & (F.count("signature") == F.count("*")) & (F.count_distinct("signature") == 1), 0).otherwise(1).alias("not_collision"),
-        F.min(F.when(focused, 0).otherwise(1)).alias("not_focus"), F.min(F.when(F.col("student_disagrees"), 0).otherwise(1)).alias("not_disagreeing"),
-        F.min("student_confidence").alias("least_confidence"), F.min("_rank").alias("_least"),
-    )
-    return (
-        rows.join(g, group)
-        .orderBy("not_collision", "not_focus", "not_disagreeing", "least_confidence", "_least", group, "_rank")
-        .drop("_least", "_rank")
+        F.min(F.when(focused, 0).otherwise(1)).alias("not_focus"), F.min(F.when(F.col("student_disagrees") & F.col("signature").isNotNull(), 0).otherwise(1)).alias("not_disagreeing"),
+        F.coalesce(F.min("student_confidence"), F.lit(1.0)).alias("least_confidence"), F.min("_rank").alias("_least"),
     )
+    coarse = [F.col("not_collision"), F.col("not_focus"), F.col("not_disagreeing"), F.floor(F.col("least_confidence") * 4096)]
+    order = [F.col(c) for c in ("not_collision", "not_focus", "not_disagreeing", "least_confidence", "_least", group, "_rank")]
+    return rows.join(g, group), coarse, order
+
+
+def review_priority(items: DataFrame, group: str = "group", id: str = "sample_id", focus: list[str] | None = None) -> DataFrame:
+    """``items`` in the review order, with their ``position`` and the keys that make it."""
+    return positions(*priority_keys(items, group, id, focus)).drop("_least", "_rank").orderBy("position")
 
 
 def batch_of_groups(df: DataFrame, group: str, offset: int, limit: int) -> DataFrame:
@@ -147,8 +163,3 @@ def batch_of_groups(df: DataFrame, group: str, offset: int, limit: int) -> DataF
 
 def first_pending(df: DataFrame, pos: str, status: str = "status") -> DataFrame:
     return df.agg(F.min(F.when(F.col(status) == "pending", F.col(pos))).alias("resume_at"))
-
-
-def numbered(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Row numbers inside small groups."""
-    return df.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_term
-
 # The terms of the high-precision rules.
 COMMITMENT = ["결정", "하기로", "선호", "좋아해", "선택", "싶다", "원한다", "기로", "prefer", "would like", "we decided", "will ", "must ", "remember"]
 NEGATED = ["don't want", "do not want", "would not like", "not prefer", "원하지", "싶지", "않기로", "하지 않기로", "결정하지"]
@@ -17,20 +15,29 @@ LONGEST_GREETING, LONGEST_INPUT = 120, 12_000
 
 
 def rule_match(task: Column, state: Column) -> Column:
-    """``rule_id, value, probability`` of the rule that fires on the state, else null."""
-    text = F.trim(state)
-    low = F.lower(text)
+    """``rule_id, value, probability`` of the rule that fires on the state, else null.
+
+    The trimmed and the lowered text are made once and named in all tests.
+    """
 
     def hit(name: str, value: bool, p: float) -> Column:
         return F.struct(F.lit(name).alias("rule_id"), F.lit(value).alias("value"), F.lit(p).alias("probability"))
 
-    remember = (
-        F.when(any_term(low, NEGATED), hit("remember.explicit_rejection", False, 0.97))
-        .when(any_term(low, GREETING) & ~any_term(low, COMMITMENT) & (F.length(text) <= LONGEST_GREETING), hit("remember.greeting_only", False, 0.99))
-        .when(any_term(low, COMMITMENT), hit("remember.explicit_commitment", True, 0.97))
-    )
-    wiki = F.when(any_term(low, STYLE), hit("wiki.style_only", False, 0.97)).when(text.rlike(CHANGE), hit("wiki.factual_change", True, 0.95))
-    return F.when(task == "memory.remember_worthy", remember).when(task == "wiki.semantic_change", wiki)
+    def any_of(text: Column, terms: list[str]) -> Column:
+        return F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t))
+
+    def first(x: Column) -> Column:
+        low, text = x["low"], x["text"]
+        remember = (
+            F.when(any_of(low, NEGATED), hit("remember.explicit_rejection", False, 0.97))
+            .when((F.length(text) <= LONGEST_GREETING) & any_of(low, GREETING) & ~any_of(low, COMMITMENT), hit("remember.greeting_only", False, 0.99))
+            .when(any_of(low, COMMITMENT), hit("remember.explicit_commitment", True, 0.97))
+        )
+        wiki = F.when(any_of(low, STYLE), hit("wiki.style_only", False, 0.97)).when(text.rlike(CHANGE), hit("wiki.factual_change", True, 0.95))
+        return F.when(task == "memory.remember_worthy", remember).when(task == "wiki.semantic_change", wiki)
+
+    trimmed = F.trim(state)
+    return F.element_at(F.transform(F.array(F.struct(trimmed.alias("text"), F.lower(trimmed).alias("low"))), first), 1)
 
 
 def accepted_boolean(value: Column, p: Column, auto_true: Column | float = 0.92, auto_false: Column | float = 0.08) -> Column:
@@ -47,10 +54,6 @@ def accepted(kind: Column, value: Column, p: Column, abstained: Column, auto_tru
     return ~abstained & F.when(kind == "boolean", accepted_boolean(value, p, auto_true, auto_false)).when(kind == "choice", p >= least).otherwise(F.lit(True))
 
 
-def confidence(kind: Column, p: Column, lower: Column, upper: Column) -> Column:
-    return F.when(kind == "score", F.greatest(F.lit(0.0), 1.0 - (upper - lower))).otherwise(p)
-
-
 def accepted_by_confidence(kind: Column, c: Column, minimum: float, allow_score: bool = False) -> Column:
     return (c >= minimum) & ((kind != "score") | F.lit(allow_score))
 

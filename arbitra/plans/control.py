@@ -22,7 +22,7 @@ def _states(s, d):
     cases = [" while ".join(p[0]) for p in PHRASES.values()] + ["obstacle is directly ahead", "the path is blocked but clear path", "plain talk"]
     pick = F.element_at(F.array(*map(F.lit, cases)), (F.col("k") % len(cases) + 1).cast("int"))
     rows = A.table(s, d, "conversations").select("conv_id", "turn", "text", A.keyed(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")), "state", 1000).alias("k"))
-    return rows.select("conv_id", "turn", F.concat(pick, F.lit("; "), F.substring("text", 1, 40)).alias("state"))
+    return rows.select("conv_id", "turn", F.concat(pick, F.lit("; "), F.col("text")).alias("state"))
 
 
 def _replay(s, d):
@@ -96,7 +96,7 @@ QUERIES = {
 W = "WITH "
 CASES = [" while ".join(p[0]) for p in PHRASES.values()] + ["obstacle is directly ahead", "the path is blocked but clear path", "plain talk"]
 _list = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
-STATES = f"""st AS (SELECT conv_id, turn, {_list(CASES)}[{V.H.format("conv_id || '-' || turn || ':state'")} % 1000 % {len(CASES)} + 1] || '; ' || substr(text, 1, 40) AS state FROM conversations),
+STATES = f"""st AS (SELECT conv_id, turn, {_list(CASES)}[{V.H.format("conv_id || '-' || turn || ':state'")} % 1000 % {len(CASES)} + 1] || '; ' || text AS state FROM conversations),
  sn AS (SELECT *, trim(regexp_replace(replace(replace(lower(state), 'ß', 'ss'), 'ς', 'σ'), '\\s+', ' ', 'g')) AS t FROM st)"""
 
 
@@ -115,7 +115,8 @@ MATRIX = f"""mx AS (SELECT printf('control-safety-%04d', i) AS scenario_id, {_li
  sm AS (SELECT *, timestamp_ms + CASE expected_reason WHEN 'emergency_stop' THEN 1 WHEN 'stale_observation' THEN 101 ELSE -1 END AS now_ms, expected_reason = 'emergency_stop' AS emergency_stop FROM mx)"""
 MISS = f"nm AS (SELECT printf('control-safety-near-miss-%04d', i) AS scenario_id, {_list(list(PHRASES))}[i % {len(PHRASES)} + 1] AS expected_skill, (2000 + i // 3)::DOUBLE AS timestamp_ms, (2000 + i // 3)::DOUBLE + CASE WHEN i % 3 = 1 THEN 100 ELSE 1 END AS now_ms FROM range(500) r(i))"
 LOGITS = "lo AS (SELECT vec_id, ((label % 10) + 10) % 10 AS label, vec_id % 3 AS task, [embedding[i * 6 + 1]::DOUBLE for i in range(10)] AS x FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL)"
-FIT = LOGITS + """, g AS (SELECT lo.*, 0.25::DOUBLE + i * (3.75::DOUBLE / 75) AS t FROM lo, range(76) r(i)), n AS (SELECT task, t, list_max(x) / t + ln(list_sum([exp(y / t - list_max(x) / t) for y in x])) - x[label + 1] / t AS l FROM g)"""
+FIT = LOGITS + """, g AS (SELECT lo.*, 0.25::DOUBLE + i * (3.75::DOUBLE / 75) AS t FROM lo, range(76) r(i)), n AS (SELECT task, t, list_max(x) / t + ln(list_sum([exp(y / t - list_max(x) / t) for y in x])) - x[label + 1] / t AS l FROM g),
+ n1 AS (SELECT task, list_max(x) + ln(list_sum([exp(y - list_max(x)) for y in x])) - x[label + 1] AS l FROM lo)"""
 STATUSES = "['trained', 'evaluated', 'calibrated', 'candidate', 'canary', 'active', 'retired']"
 REASON = "CASE WHEN now_ms < timestamp_ms THEN 'invalid_clock' {0} END"
 SQL = {
@@ -133,8 +134,8 @@ SQL = {
     "quality_gate_rows": W + V.BINARY + """, c AS (SELECT provider, count(*) AS n, count(*) FILTER (correct) AS x, 1.959963984540054::DOUBLE AS z FROM pred GROUP BY 1), g AS (SELECT 'split_accuracy' AS gate, provider AS subject, round(x / n::DOUBLE, 6) AS value, .99::DOUBLE AS lim FROM c
  UNION ALL SELECT 'split_accuracy_lower', provider, round(greatest(0, (x + z * z / 2 - z * sqrt(x * (n - x) / n::DOUBLE + z * z / 4)) / (n + z * z)), 6), .99 FROM c UNION ALL SELECT 'unique_groups', provider, n::DOUBLE, 381 FROM c UNION ALL SELECT 'false_stop_rate', provider, NULL, 0 FROM c)
  SELECT gate, subject, value, lim AS "limit", coalesce(value < lim, true) AS failed FROM g""",
-    "temperature_fit": W + FIT + ", m AS (SELECT t, round(avg(l), 9) AS a, count(*) AS n FROM n GROUP BY 1) SELECT n, 'fitted' AS status, round(t, 6) AS temperature, round(a, 6) AS nll FROM m ORDER BY a, t LIMIT 1",
-    "task_temperatures": W + FIT + ", m AS (SELECT task, t, round(avg(l), 9) AS a, count(*) AS n FROM n GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY a, t) AS k FROM m) SELECT task, n, 'fitted' AS status, round(t, 6) AS temperature, round(a, 6) AS nll FROM k WHERE k = 1",
+    "temperature_fit": W + FIT + ", m AS (SELECT t, round(avg(l), 12) AS a, count(*) AS n FROM n GROUP BY 1) SELECT n, 'fitted' AS status, round(t, 6) AS temperature, (SELECT round(avg(l), 6) FROM n1) AS nll_before, round(a, 6) AS nll FROM m ORDER BY a, t LIMIT 1",
+    "task_temperatures": W + FIT + ", m AS (SELECT task, t, round(avg(l), 12) AS a, count(*) AS n FROM n GROUP BY 1, 2), o AS (SELECT task, round(avg(l), 6) AS b FROM n1 GROUP BY 1), k AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY a, t) AS k FROM m) SELECT k.task, n, 'fitted' AS status, round(t, 6) AS temperature, b AS nll_before, round(a, 6) AS nll FROM k JOIN o ON o.task = k.task WHERE k = 1",
     "softmax_calibrated": W + LOGITS + " SELECT vec_id, round(1 / list_sum([exp((y - list_max(x)) / .5) for y in x]), 6) AS confidence, round(list_max(x) / .5 + ln(list_sum([exp((y - list_max(x)) / .5) for y in x])) - x[label + 1] / .5, 6) AS nll FROM lo",
     "lifecycle_transitions": f"""WITH u AS (SELECT DISTINCT user_id AS model_id FROM events), e AS (SELECT model_id, {STATUSES}[{V.keyed('model_id', 'status', 7)} + 1] AS from_status, {STATUSES}[{V.keyed('model_id', 'to', 7)} + 1] AS to_status FROM u)
  SELECT model_id, from_status, to_status, list_contains({_list([f'{a}>{b}' for a, b in gates.EDGES])}, from_status || '>' || to_status) AS allowed FROM e""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-from . import control, dataset, metrics, streams, workflow
+from . import control, dataset, decisions, evaluation, metrics, models, packs, records, streams, workflow
 
-SQL = {**metrics.SQL, **dataset.SQL, **workflow.SQL, **control.SQL, **streams.SQL}
+SQL = {}
+for family in (metrics, dataset, workflow, control, streams, decisions, records, models, packs, evaluation):
+    SQL |= family.SQL

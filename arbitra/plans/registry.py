@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-from . import control, dataset, metrics, streams, workflow
+from . import control, dataset, decisions, evaluation, metrics, models, packs, records, streams, workflow
 
-QUERIES = {**metrics.QUERIES, **dataset.QUERIES, **workflow.QUERIES, **control.QUERIES, **streams.QUERIES}
+QUERIES = {}
+for family in (metrics, dataset, workflow, control, streams, decisions, records, models, packs, evaluation):
+    QUERIES |= family.QUERIES

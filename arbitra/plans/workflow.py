@@ -49,7 +49,7 @@ def _items(s, d):
 def _priority(s, d):
     cols = ["not_collision", "not_focus", "not_disagreeing", "least_confidence"]
     out = R.review_priority(_items(s, d), focus=FOCUS)
-    return out.select("sample_id", *[F.col(c).cast("bigint") for c in cols[:3]], F.round(cols[3], 6).alias(cols[3]))
+    return out.select("position", "sample_id", *[F.col(c).cast("bigint") for c in cols[:3]], F.round(cols[3], 6).alias(cols[3]))
 
 
 def _requests(s, d):
@@ -90,6 +90,8 @@ QUERIES = {
     "pending_items": lambda s, d: R.pending(_queue(s, d), _log(s, d)).select("sample_id"),
     "reviewed_items": lambda s, d: R.reviewed(_queue(s, d), _log(s, d)).select("sample_id"),
     "review_status": lambda s, d: R.review_status(_queue(s, d), _log(s, d)),
+    "review_actions": lambda s, d: R.review_actions(_queue(s, d), _log(s, d), "correction"),
+    "review_readiness": lambda s, d: R.readiness(_queue(s, d), _log(s, d)),
     "dual_review_status": lambda s, d: R.dual_counts(A.reviews(s, d)),
     "dual_review_pairs": lambda s, d: R.dual_pairs(A.reviews(s, d)),
     "dual_review_actions": lambda s, d: R.action_summary(R.dual_actions(A.reviews(s, d))),
@@ -152,10 +154,12 @@ SQL = {
     "pending_items": W + QUEUE + " SELECT sample_id FROM q WHERE sample_id NOT IN (SELECT sample_id FROM lg)",
     "reviewed_items": W + QUEUE + " SELECT sample_id FROM q WHERE sample_id IN (SELECT sample_id FROM lg)",
     "review_status": W + QUEUE + ", c AS (SELECT split, count(*) AS n, count(*) FILTER (sample_id IN (SELECT sample_id FROM lg)) AS reviewed FROM q GROUP BY 1) SELECT split, n, reviewed, n - reviewed AS pending, round(reviewed / n::DOUBLE, 6) AS coverage, n = reviewed AS complete FROM c",
+    "review_actions": W + QUEUE + ", l AS (SELECT sample_id, arg_max(correction, seq) AS correction FROM lg GROUP BY 1) SELECT correction, count(*) AS n FROM q JOIN l ON l.sample_id = q.sample_id GROUP BY 1",
+    "review_readiness": W + QUEUE + ", p AS (SELECT split, count(*) FILTER (sample_id NOT IN (SELECT sample_id FROM lg)) AS k FROM q GROUP BY 1) SELECT bool_and(k = 0) AS all_splits, coalesce(bool_or(k = 0) FILTER (split = 'test'), false) AS test, sum(k)::BIGINT AS pending FROM p",
     "dual_review_status": W + V.REVIEWS + " SELECT CASE WHEN a IS NULL AND b IS NULL THEN 'missing_both' WHEN a IS NULL THEN 'missing_a' WHEN b IS NULL THEN 'missing_b' WHEN a = b THEN 'agreed' ELSE 'disagreement' END AS status, count(*) AS n FROM rv GROUP BY 1",
     "dual_review_pairs": W + V.REVIEWS + " SELECT a || '->' || b AS pair, count(*) AS n FROM rv WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1",
     "dual_review_actions": W + V.REVIEWS + """, e AS (SELECT a AS action, a = b AS same FROM rv WHERE a IS NOT NULL AND b IS NOT NULL UNION ALL SELECT b, false FROM rv WHERE a <> b)
- SELECT action, count(*) FILTER (same) AS agreed, count(*) FILTER (NOT same) AS disagreed, round(avg(same::INT), 6) AS rate FROM e GROUP BY 1""",
+, f AS (SELECT action, count(*) FILTER (same) AS agreed, count(*) FILTER (NOT same) AS disagreed, round(avg(same::INT), 6) AS rate FROM e GROUP BY 1) SELECT *, row_number() OVER (ORDER BY rate, disagreed DESC, action) AS position FROM f""",
     "dual_review_gate": W + V.REVIEWS + """, c AS (SELECT count(*) AS n, count(*) FILTER (a IS NULL OR b IS NULL) AS missing, count(*) FILTER (a = b) AS agreed FROM rv) SELECT n, missing, agreed, round(agreed / nullif(n - missing, 0)::DOUBLE, 6) AS rate,
  missing = 0 AND agreed / nullif(n - missing, 0)::DOUBLE >= .98 AS passed FROM c""",
     "focus_actions": W + V.REVIEWS + ", e AS (SELECT a AS action, a = b AS same FROM rv WHERE a IS NOT NULL AND b IS NOT NULL UNION ALL SELECT b, false FROM rv WHERE a <> b) SELECT action, round(avg(same::INT), 6) AS rate FROM e GROUP BY 1 HAVING avg(same::INT) < .98",
@@ -164,8 +168,9 @@ SQL = {
     "teacher_adjudication": W + V.DRAFTS + ", x AS (SELECT doc_id, provider, CASE WHEN schema_valid AND NOT abstained THEN value END AS v FROM drafts) SELECT a.doc_id, CASE WHEN a.v IS NULL OR b.v IS NULL THEN 'invalid_or_abstained' WHEN a.v = b.v THEN 'agreed' ELSE 'disagreement' END AS status FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.provider = 'a' AND b.provider = 'b'",
     "propagate_duplicate_label": W + V.REVIEWS + ", g AS (SELECT d.doc_id, sha256(text) AS k, a FROM documents d LEFT JOIN rv ON rv.doc_id = d.doc_id), m AS (SELECT k, arg_max(a, doc_id) FILTER (a IS NOT NULL) AS l FROM g GROUP BY 1) SELECT doc_id, a, coalesce(a, l) AS propagated FROM g JOIN m ON m.k = g.k",
     "collision_groups": W + ITEMS + " SELECT grp AS k, count(*) AS members FROM it GROUP BY 1 HAVING count(*) > 1 AND count(signature) = count(*) AND count(DISTINCT signature) = 1",
-    "review_priority": W + ITEMS + """, g AS (SELECT grp, CASE WHEN count(*) > 1 AND count(signature) = count(*) AND count(DISTINCT signature) = 1 THEN 0 ELSE 1 END AS nc, min(CASE WHEN action THEN 0 ELSE 1 END) AS nf, min(CASE WHEN dis THEN 0 ELSE 1 END) AS nd, min(student_confidence) AS lc FROM it GROUP BY 1)
- SELECT sample_id, nc::BIGINT AS not_collision, nf::BIGINT AS not_focus, nd::BIGINT AS not_disagreeing, round(lc, 6) AS least_confidence FROM it JOIN g ON g.grp = it.grp""",
+    "review_priority": W + ITEMS + """, r AS (SELECT *, {'l': CASE WHEN NOT schema_valid THEN 0 WHEN repaired THEN 1 ELSE 2 END, 'c': CASE WHEN schema_valid AND NOT repaired THEN confidence ELSE 0 END, 'i': sample_id} AS rk FROM it),
+ g AS (SELECT grp, CASE WHEN count(*) > 1 AND count(signature) = count(*) AND count(DISTINCT signature) = 1 THEN 0 ELSE 1 END AS nc, min(CASE WHEN action THEN 0 ELSE 1 END) AS nf, min(CASE WHEN dis AND signature IS NOT NULL THEN 0 ELSE 1 END) AS nd, min(student_confidence) AS lc, min(rk) AS lr FROM r GROUP BY 1)
+ SELECT row_number() OVER (ORDER BY nc, nf, nd, lc, lr, r.grp, rk) AS position, sample_id, nc::BIGINT AS not_collision, nf::BIGINT AS not_focus, nd::BIGINT AS not_disagreeing, round(lc, 6) AS least_confidence FROM r JOIN g ON g.grp = r.grp""",
     "review_batch": W + ITEMS + " SELECT sample_id FROM it WHERE grp IN (SELECT DISTINCT grp FROM it ORDER BY grp LIMIT 10 OFFSET 20)",
     "resume_index": W + QUEUE + " SELECT min(sample_id) AS resume_at FROM q WHERE sample_id NOT IN (SELECT sample_id FROM lg)",
     "task_acceptance": W + V.DRAFTS + " SELECT provider, NOT abstained AND greatest(p, 1 - p) >= .90 AS accepted, count(*) AS n FROM drafts GROUP BY 1, 2",

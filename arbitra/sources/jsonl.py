@@ -1,12 +1,11 @@
-"""Line-delimited JSON: samples, manifest-headed runs, append-only logs, reports."""
+"""Line-delimited JSON: numbered lines of files, runs with a manifest, append-only logs, reports and digests."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-REQUIRED = ("sample_id", "task_id", "task_version", "state", "question", "target", "language", "domain", "source", "labels", "provenance")
+from ..functions.contracts import json_type
 
 
 class ContractError(ValueError):
@@ -14,53 +13,43 @@ class ContractError(ValueError):
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``path, line, value``: non-blank lines with their file; ``value`` is null where it isn't JSON."""
-    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line")).filter(F.trim("line") != "")
-    return text.withColumn("value", F.try_parse_json("line"))
+    """``path, line_no, line`` of all lines, blank ones too, with their number in the file.
 
-
-def sample_errors(v) -> F.Column:
-    """What keeps a line from being a canonical sample, as an array of field names."""
-    kind = lambda f: F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant"))
-    texts = ("sample_id", "task_id", "state", "question", "language", "domain")
-    bags = ("source", "labels", "provenance")
-    missing = [F.when(kind(f).isNull(), f) for f in REQUIRED]
-    empty = [F.when((kind(f) != "STRING") | (F.trim(F.try_variant_get(v, f"$.{f}", "string")) == ""), f) for f in texts]
-    wrong = [F.when(~kind(f).startswith("OBJECT"), f) for f in bags]
-    return F.when(v.isNull(), F.array(F.lit("json"))).otherwise(F.array_distinct(F.array_compact(F.array(*missing, *empty, *wrong))))
-
-
-def read_samples(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(samples, violations) of a file or folder.
-
-    Violations are lines with errors and ids that occur more than once. In strict
-    mode any violation raises.
+    A file may be read in several splits: the lines of each are counted, and a split's
+    first number follows from those before it (a table of one row per split).
     """
-    rows = read_lines(spark, path).withColumn("errors", sample_errors(F.col("value")))
-    get = lambda f, t="string": F.try_variant_get("value", f"$.{f}", t).alias(f)
-    good = rows.filter(F.size("errors") == 0).select(
-        get("sample_id"), get("task_id"), get("task_version", "int"), get("state"), get("question"), F.try_variant_get("value", "$.target", "variant").alias("target"), get("language"), get("domain"),
-        *(F.try_variant_get("value", f"$.{f}", "variant").alias(f) for f in ("source", "labels", "provenance")),
-    )
-    repeated = good.groupBy("sample_id").agg(F.count("*").alias("n")).filter("n > 1")
-    violations = rows.filter(F.size("errors") > 0).select("path", "line", F.array_join("errors", ",").alias("errors")).unionByName(
-        repeated.select(F.lit(path).alias("path"), F.col("sample_id").alias("line"), F.lit("duplicate_sample_id").alias("errors"))
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    splits = text.groupBy("path", "_at").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("path", "_at", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return text.join(splits, ["path", "_at"]).select("path", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "line")
+
+
+def read_run(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(manifest, records) of a log of JSON objects whose first record has to be its manifest: ``value`` columns."""
+    rows = read_lines(spark, path).filter(F.col("line").rlike(r"\S")).withColumn("value", F.try_parse_json("line"))
+    manifest, records, error = split_run(rows)
+    if (why := error.first()["error"]) is not None:
+        raise ContractError(f"{path}: {why}")
+    return manifest, records
+
+
+def split_run(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(manifest, records, error) of ``rows(path, line_no, value)``: ``error`` is one row, null for a proper run."""
+    is_manifest = F.coalesce(F.try_variant_get("value", "$.record_type", "string") == "manifest", F.lit(False))
+    objects = F.coalesce(json_type(F.col("value"), "$").startswith("OBJECT"), F.lit(False))
+    place = F.struct("path", "line_no")
+    first = rows.agg(F.count("*").alias("n"), F.min_by(is_manifest, place).alias("headed"), F.count_if(is_manifest).alias("manifests"), F.count_if(~objects).alias("odd"))
+    error = first.select(
+        F.when(F.col("n") == 0, "run is empty").when(F.col("odd") > 0, "records must be objects").when(~F.col("headed"), "first record must be a manifest").when(F.col("manifests") > 1, "exactly one manifest is needed").alias("error")
     )
-    if strict and (first := violations.first()):
-        raise ContractError(f"{first['path']}: {first['errors']}: {first['line'][:200]}")
-    return good, violations
+    return rows.filter(is_manifest), rows.filter(~is_manifest), error
 
 
-def read_run(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(manifest, records) of a log whose first record is its manifest; exactly one is needed."""
-    rows = spark.read.schema(schema).json(path)
-    manifest = rows.filter("record_type = 'manifest'")
-    if manifest.count() != 1:
-        raise ContractError(f"{path}: exactly one manifest is needed")
-    return manifest, rows.filter("record_type <> 'manifest'")
-
-
-def append_log(df: DataFrame, path: str) -> None:
+def append_log(df: DataFrame, path: str, errors: Column | None = None) -> None:
+    """Append the rows as JSON lines; rows with ``errors`` (an array) stop it all before anything is written."""
+    if errors is not None and (bad := df.filter(F.size(errors) > 0).select(F.array_join(errors, ",").alias("e")).first()):
+        raise ContractError(bad["e"])
     df.write.mode("append").json(path)
 
 
@@ -69,6 +58,11 @@ def write_json(df: DataFrame, path: str) -> None:
     df.select(*sorted(df.columns)).write.mode("overwrite").json(path)
 
 
+def write_report(report: DataFrame, path: str) -> None:
+    """A report of one row as one JSON object with its keys in order of name."""
+    write_json(report.limit(1).coalesce(1), path)
+
+
 def content_digest(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 of each file: binds a report to what it was made from."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arbitra.functions import contracts as C
+from arbitra.operators import records
 from arbitra.sources import catalog, jsonl
 
 REPLIES = [
@@ -62,13 +63,57 @@ def test_request(spark):
 
 
 def test_samples(spark, tmp_path):
-    good = '{"sample_id": "1", "task_id": "t", "task_version": 1, "state": "s", "question": "q", "target": true, "language": "en", "domain": "d", "source": {}, "labels": {}, "provenance": {}}'
-    (tmp_path / "a.jsonl").write_text("\n".join([good, "", good.replace('"1"', '"2"'), good.replace('"s"', '" "'), "broken", good]))
-    samples, violations = jsonl.read_samples(spark, str(tmp_path / "a.jsonl"))
-    assert samples.count() == 3
-    assert sorted(r["errors"] for r in violations.collect()) == ["duplicate_sample_id", "json", "state"]
-    with pytest.raises(jsonl.ContractError):
-        jsonl.read_samples(spark, str(tmp_path / "a.jsonl"), strict=True)
+    good = '{"sample_id": "1", "task_id": "memory.importance", "task_version": 1, "state": "s", "question": "q", "target": 1, "language": "en", "domain": "d", "source": {}, "labels": {}, "provenance": {"prompt_version": 2}}'
+    (tmp_path / "a.jsonl").write_text("\n".join([good, "", good.replace('"1"', '"2"'), good.replace('"s"', '""'), "broken", good]))
+    (tmp_path / "b.jsonl").write_text("\n \n")
+    lines = jsonl.read_lines(spark, str(tmp_path))
+    rows = [(r["at"].rpartition("/")[2], ",".join(r["errors"])) for r in records.canonical(lines, catalog.TASKS.frame(spark)).collect()]
+    assert sorted(rows) == [("a.jsonl:1", ""), ("a.jsonl:3", ""), ("a.jsonl:4", "empty:state"), ("a.jsonl:5", "json"), ("a.jsonl:6", "duplicate")]
+    assert [r["path"].rpartition("/")[2] for r in records.empty_files(lines).collect()] == ["b.jsonl"]
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("\n".join(f"line {i}" for i in range(1, 5001)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    try:
+        lines = jsonl.read_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 1
+        assert lines.filter("line <> concat('line ', line_no)").count() == 0 and lines.count() == 5000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_run(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"record_type": "manifest", "v": 1}\n{"record_type": "sample"}\n')
+    manifest, rest = jsonl.read_run(spark, str(tmp_path / "a.jsonl"))
+    assert manifest.count() == 1 and rest.count() == 1
+    (tmp_path / "b.jsonl").write_text('{"record_type": "sample"}\n')
+    with pytest.raises(jsonl.ContractError, match="first record"):
+        jsonl.read_run(spark, str(tmp_path / "b.jsonl"))
+
+
+def test_log_and_report(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "")], "n int, reviewer string")
+    errors = F.array_compact(F.array(F.when(F.col("reviewer") == "", "reviewer")))
+    with pytest.raises(jsonl.ContractError, match="reviewer"):
+        jsonl.append_log(rows, str(tmp_path / "log"), errors)
+    assert not (tmp_path / "log").exists()
+    jsonl.append_log(rows.limit(1), str(tmp_path / "log"), errors)
+    jsonl.append_log(rows.limit(1), str(tmp_path / "log"), errors)
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
+    jsonl.write_report(rows.agg(F.count("*").alias("z"), F.min("n").alias("a")), str(tmp_path / "report"))
+    assert "".join(p.read_text() for p in (tmp_path / "report").glob("part-*")).strip() == '{"a":1,"z":2}'
+
+
+def test_control_characters(spark):
+    import json
+
+    from arbitra.functions.text import json_string
+
+    texts = ["".join(map(chr, range(33))), 'q"\\/é\u2028', ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r["j"] for r in df.select(json_string("t").alias("j")).collect()] == [json.dumps(t, ensure_ascii=False) for t in texts]
 
 
 def test_catalog(spark, tmp_path):
@@ -82,7 +127,7 @@ def test_catalog(spark, tmp_path):
 def test_json_sink_and_digest(spark, tmp_path):
     df = spark.createDataFrame([(1, "é")], "b int, a string")
     jsonl.write_json(df, str(tmp_path / "out"))
-    line = next((tmp_path / "out").glob("part-*")).read_text(encoding="utf-8").strip()
+    line = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "out").glob("part-*")).strip()
     assert line == '{"a":"é","b":1}'
     assert jsonl.content_digest(spark, str(tmp_path / "out")).count() >= 1
     twice = df.union(df)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from arbitra.operators import control as K
 from arbitra.operators import dataset as D
-from arbitra.operators import gates, models
+from arbitra.operators import gates, models, registry
 from arbitra.operators import review as R
 from arbitra.operators import routing as G
 
@@ -121,8 +121,8 @@ def test_lifecycle(spark):
     df = spark.createDataFrame([("m", "canary", "active"), ("n", "trained", "active")], "model_id string, status string, to_status string")
     got = {r["model_id"]: r["allowed"] for r in gates.transitions(df.select("model_id", "status"), df.select("model_id", "to_status")).collect()}
     assert got == {"m": True, "n": False}
-    now = gates.activate(spark.createDataFrame([("m", "canary"), ("o", "active")], "model_id string, status string"), "m")
-    assert {r["model_id"]: r["status"] for r in now.collect()} == {"m": "active", "o": "retired"}
+    after, event = registry.change(spark.createDataFrame([("m", "canary"), ("o", "active")], "model_id string, status string"), "m", "active")
+    assert {r["model_id"]: r["status"] for r in after.collect()} == {"m": "active", "o": "retired"} and event.first()["error"] is None
 
 
 def test_heads(spark):
