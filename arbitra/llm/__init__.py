@@ -1,5 +1,6 @@
 """Operators of a training-data pipeline.
 
-Nothing else in the library imports this subpackage; it stands on PySpark,
-numpy and pyarrow alone.
+Nothing else in the library imports this subpackage. Beside PySpark, numpy and pyarrow
+it uses pandas (labels of a sample), zstandard (packed texts), xxhash (page tokens) and,
+in the query of token counts, the module that knows the vocabulary files' places.
 """

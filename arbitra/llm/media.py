@@ -26,10 +26,12 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import materialize, shared_dir, small_batches
+from .session import materialize, partitions, shared_dir, small_batches
 
 UNIT = 64
 SHARD = 256 << 20
+#: Stored bytes that a task reads back.
+READ = 64 << 20
 #: Signature and IHDR chunk.
 HEADER = 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -186,15 +188,17 @@ def media_columns(stored: DataFrame) -> DataFrame:
     """Metadata and features of each row of :func:`store`'s result, from what the shards hold.
 
     Each distinct payload is read once, from its least address; its rows join the
-    result by digest.
+    result by digest. Addresses are dealt to as many tasks as their payloads' bytes ask
+    for (``READ`` each), not as their own few bytes would. No rows give no rows.
     """
+    tasks = max(partitions(stored.sparkSession), 1 + (stored.agg(F.sum("length").alias("n")).first()["n"] or 0) // READ)
     places = (
         stored.groupBy("digest")
         .agg(F.min(F.struct("folder", "shard", "offset", "length")).alias("p"))
         .select("digest", "p.*")
     )
     read = (
-        places.repartition(F.col("shard"), F.shiftright("offset", 22))
+        places.repartition(tasks, F.col("shard"), F.shiftright("offset", 22))
         .sortWithinPartitions("folder", "shard", "offset")
         .mapInArrow(_read, "digest string, folder string, shard string, offset long, length long, width long, height long, bits long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     )

@@ -19,6 +19,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +36,8 @@ SAMPLE, VOCABULARY = 8000, 400
 #: Least number of sample documents that have a feature.
 LEAST = 4
 ITERATIONS, HALVINGS, CLOSE = 30, 6, 1e-6
+#: Misses, as a share of all tokens, that are told of.
+TELLING = 1e-3
 BIAS = "\u0001"
 _CAPITALS, _SIGNS = "[A-Z]", r"[!-/<-@\[-`{-~&&[^'\-,.()]]"
 
@@ -134,6 +137,11 @@ class Fit:
     expected: dict[str, float]
     wanted: dict[str, float]
 
+    @property
+    def missed(self) -> float:
+        """The greatest miss of a domain as a share of all wanted tokens."""
+        return max(abs(self.expected[d] - self.wanted[d]) for d in DOMAINS) / max(sum(self.wanted.values()), 1.0)
+
 
 def rate(steps: list[list[float]]) -> Column:
     """A document's rate after the steps, from its posterior."""
@@ -169,6 +177,7 @@ def fit_rates(soft: DataFrame, targets: dict[str, float] = TARGETS, tokens: floa
     share = np.array([targets.get(d, 0.0) for d in DOMAINS])
     wanted = budget * share / share.sum()
     steps: list[list[float]] = []
+    steps: list[list[float]] = []
     for _ in range(ITERATIONS if budget > 0 else 0):
         miss = expected - wanted
         if np.abs(miss).max() <= CLOSE * budget:
@@ -193,10 +202,14 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
     """``doc_id, n_rows, n_tokens``, a posterior per domain, ``rate`` and ``expected_tokens``.
 
     One row per different (doc_id, text) of ``docs``; a rate counts for each of its
-    ``n_rows`` rows. No rows give no rows.
+    ``n_rows`` rows. No rows give no rows. A warning tells
+    of targets that are missed: a domain that hardly any document can be of.
     """
     soft = materialize(posteriors(docs, fit_domains(docs, labels)), "memberships")
-    steps = fit_rates(soft, targets).steps
+    fit = fit_rates(soft, targets)
+    if fit.missed > TELLING:
+        warnings.warn(f"rates miss the targets by {fit.missed:.2g} of all tokens after {len(fit.steps)} steps", stacklevel=2)
+    steps = fit.steps
     return soft.select(
         "doc_id", "n_rows", "n_tokens", *(F.round(d, 9).alias(f"p_{d}") for d in DOMAINS), F.round(rate(steps), 9).alias("rate"),
         F.round(rate(steps) * F.col("n_rows") * F.col("n_tokens"), 6).alias("expected_tokens"),

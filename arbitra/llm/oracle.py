@@ -8,9 +8,15 @@ _NORMAL = r"lower(trim(regexp_replace({0}, '[ \t\r\n\f\v]+', ' ', 'g')))"
 
 
 def _units(text: str) -> str:
-    """The normalised text and lines that are long enough."""
-    lines = f"list_transform(string_split({text}, chr(10)), lambda l: {_NORMAL.format('l')})"
-    return f"unnest(list_filter(list_distinct(list_concat([{_NORMAL.format(text)}], {lines})), lambda u: length(u) >= 8))"
+    """The normalised text, marked if it is short, and the lines that are long enough."""
+    lines = f"list_filter(list_transform(string_split({text}, chr(10)), lambda l: {_NORMAL.format('l')}), lambda u: length(u) >= 8)"
+    whole = _NORMAL.format(text)
+    return f"unnest(list_distinct(list_concat(CASE WHEN length({whole}) >= 8 THEN [{whole}] WHEN length({whole}) > 0 THEN [chr(1) || {whole}] ELSE [] END, {lines})))"
+
+
+def _quoted(messages: str) -> str:
+    """SQL over a table of conversations."""
+    return OP7.replace("FROM conversations)", f"FROM {messages})", 1)
 
 
 OP7 = f"""WITH RECURSIVE m AS (SELECT conv_id, turn, role, text FROM conversations),
@@ -22,13 +28,13 @@ OP7 = f"""WITH RECURSIVE m AS (SELECT conv_id, turn, role, text FROM conversatio
  p AS (SELECT conv_id, turn, text, depth, min(pos) AS start, string_agg(line, chr(10) ORDER BY pos) AS passage FROM r GROUP BY conv_id, turn, text, run, depth),
  own AS (SELECT conv_id, turn, text, trim(string_agg(passage, chr(10) ORDER BY start)) AS own FROM p WHERE depth = 0 GROUP BY 1, 2, 3),
  cnt AS (SELECT conv_id, turn, text, count(*) FILTER (depth > 0) AS n_quoted, max(depth) AS depth FROM p GROUP BY 1, 2, 3),
- qu AS (SELECT conv_id, turn, text, start, {_units('passage')} AS unit FROM p WHERE depth = 1),
+ qu AS (SELECT conv_id, turn, text, start, depth, {_units('passage')} AS unit FROM p WHERE depth > 0),
  said AS (SELECT conv_id, turn, {_units('text')} AS unit FROM m WHERE text IS NOT NULL AND NOT {_QUOTES} UNION ALL SELECT conv_id, turn, {_units('own')} FROM own),
  here AS (SELECT unit, conv_id, min(turn) AS pt FROM said GROUP BY 1, 2),
  fst AS (SELECT unit, conv_id AS c, pt AS t FROM here QUALIFY row_number() OVER (PARTITION BY unit ORDER BY conv_id, pt) = 1),
- f AS (SELECT qu.*, CASE WHEN h.pt < qu.turn THEN h.pt END AS pt, CASE WHEN fst.c <> qu.conv_id THEN fst.c END AS c, CASE WHEN fst.c <> qu.conv_id THEN fst.t END AS t
+ f AS (SELECT qu.*, CASE WHEN h.pt < qu.turn THEN h.pt END AS pt, CASE WHEN fst.c <> qu.conv_id AND NOT starts_with(qu.unit, chr(1)) THEN fst.c END AS c, CASE WHEN fst.c <> qu.conv_id AND NOT starts_with(qu.unit, chr(1)) THEN fst.t END AS t
   FROM qu LEFT JOIN here h ON h.unit = qu.unit AND h.conv_id = qu.conv_id LEFT JOIN fst ON fst.unit = qu.unit),
- lnk AS (SELECT conv_id, turn, text, (min((-length(unit), pt)) FILTER (pt IS NOT NULL))[2] AS reply_to, (min((-length(unit), c, t)) FILTER (c IS NOT NULL))[2] AS c, (min((-length(unit), c, t)) FILTER (c IS NOT NULL))[3] AS t,
+ lnk AS (SELECT conv_id, turn, text, (min((depth, -length(unit), pt)) FILTER (pt IS NOT NULL))[3] AS reply_to, (min((depth, -length(unit), c, t)) FILTER (c IS NOT NULL))[3] AS c, (min((depth, -length(unit), c, t)) FILTER (c IS NOT NULL))[4] AS t,
   count(DISTINCT start) FILTER (pt IS NOT NULL OR c IS NOT NULL) AS n_linked FROM f GROUP BY 1, 2, 3),
  up AS (SELECT conv_id, turn, min(reply_to) AS above FROM lnk WHERE reply_to IS NOT NULL GROUP BY 1, 2),
  walk AS (SELECT conv_id, turn, above FROM up UNION ALL SELECT w.conv_id, w.turn, u.above FROM walk w JOIN up u ON u.conv_id = w.conv_id AND u.turn = w.above),
@@ -38,4 +44,9 @@ OP7 = f"""WITH RECURSIVE m AS (SELECT conv_id, turn, role, text FROM conversatio
  FROM m LEFT JOIN cnt ON cnt.conv_id = m.conv_id AND cnt.turn = m.turn AND cnt.text = m.text LEFT JOIN own ON own.conv_id = m.conv_id AND own.turn = m.turn AND own.text = m.text
  LEFT JOIN lnk ON lnk.conv_id = m.conv_id AND lnk.turn = m.turn AND lnk.text = m.text LEFT JOIN root ON root.conv_id = m.conv_id AND root.turn = m.turn"""
 
-SQL = {"op7_chat_formatting": OP7}
+#: The given conversations, every third message quoting the one before, every sixth that and the one before it, on two levels.
+QUOTED = """(SELECT conv_id, turn, role, CASE WHEN turn % 3 = 2 AND turn % 6 = 5 AND b IS NOT NULL AND c IS NOT NULL THEN '>> ' || replace(c, chr(10), chr(10) || '>> ') || chr(10) || '> ' || replace(b, chr(10), chr(10) || '> ') || chr(10) || text
+ WHEN turn % 3 = 2 AND b IS NOT NULL THEN '> ' || replace(b, chr(10), chr(10) || '> ') || chr(10) || text ELSE text END AS text
+ FROM (SELECT *, lag(text) OVER w AS b, lag(text, 2) OVER w AS c FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)))"""
+
+SQL = {"op7_chat_formatting": OP7, "op7_quoted_conversations": _quoted(QUOTED)}

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from .session import small_batches
 
-KEY = "arbitra"
 ROUNDS = 10
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -32,12 +31,16 @@ class Feistel:
     """A keyed permutation of range(n), by an alternating network over two digits a*b >= n and cycle walking."""
 
     def __init__(self, key: str) -> None:
-        self.key = key.encode()
+        if not key:
+            raise ValueError("a key is needed")
+        raw = key.encode()
+        # the hash takes keys of 64 bytes: longer ones count whole by their own hash
+        self.key = raw if len(raw) <= 64 else hashlib.blake2b(raw, person=b"long key").digest()
 
     def _round(self, label: bytes, i: int, x: int, most: int) -> int:
         data = b"%b|%d|%d" % (label, i, x)
         size = max(16, (most.bit_length() + 7) // 8 + 8)
-        return int.from_bytes(hashlib.blake2b(data, key=self.key[:64], digest_size=min(64, size)).digest(), "big") % most
+        return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=min(64, size)).digest(), "big") % most
 
     def permute(self, x: int, n: int, label: str) -> int:
         """The image of x among 0..n-1, for this key and label."""
@@ -136,7 +139,15 @@ def _phone(value: str, f: Feistel) -> str | None:
     if national:
         area, middle = d[-10:-7], d[-7:-4]
         if area[0] in "01" or middle[0] in "01":
-            return None
+            # no number of the plan, but written as one: it stays among those
+            if value[0] not in "+(":
+                return None
+            x = int(d[-10:])
+            while True:
+                x = f.permute(x, 10**10, "phone0")
+                new = f"{x:010d}"
+                if new[0] in "01" or new[3] in "01":
+                    return _refill(value, d[:-10] + new)
         x = (int(area) - 200) * 8_000_000 + (int(middle) - 200) * 10_000 + int(d[-4:])
         x = f.permute(x, 6_400_000_000, "phone1")
         area, rest = divmod(x, 8_000_000)
@@ -262,7 +273,7 @@ def _cipher(key: str) -> Feistel:
     return Feistel(key)
 
 
-def pseudonymize(text: str, key: str = KEY) -> tuple[str, Counter]:
+def pseudonymize(text: str, key: str) -> tuple[str, Counter]:
     """The text with pseudonyms, and how many values of each kind were replaced.
 
     Kinds that stand earlier in ``KINDS`` win where matches overlap; of one kind the
@@ -309,12 +320,12 @@ def _run(key: str):
     return run
 
 
-def pseudonyms(docs: DataFrame, key: str = KEY, text: str = "text", id: str = "doc_id") -> DataFrame:
+def pseudonyms(docs: DataFrame, key: str, text: str = "text", id: str = "doc_id") -> DataFrame:
     """``doc_id, text, n_values, kinds`` of each row: the whole text with pseudonyms.
 
     A null text stays null, an empty one empty, both with no values. Other columns
-    are ignored; repeated rows give repeated results. ``key`` is the secret: whoever
-    has it can restore the values.
+    are ignored; repeated rows give repeated results, no rows none. ``key`` is the secret,
+    and has no default: whoever has it can restore the values.
     """
     small_batches(docs.sparkSession)
     return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(

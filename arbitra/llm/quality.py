@@ -199,7 +199,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Qua
     The sample is the labelled documents of least hash. Of several labels of one
     document the least counts; labels other than 0 and 1 count for nothing. With no
     usable label, or one class only, the model gives every text the same score:
-    (n1 + 1) / (n + 2), and ``learned`` is false.
+    (n1 + 1) / (n + 2), and ``learned`` is false. Of several texts of one doc_id the one of
+    least vector is learnt from.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -253,7 +254,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Qua
             for i, j, data, off in chunks(raw, offsets):
                 yield pa.record_batch([batch.column(0).slice(i, j - i), binary_rows(shared.value(cut, data, off))], names=["doc_id", "x"])
 
-    pooled = texts.mapInArrow(pool, "doc_id long, x binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    pooled = texts.mapInArrow(pool, "doc_id long, x binary").groupBy("doc_id").agg(F.min("x").alias("x")).toArrow().sort_by("doc_id")
     keys = pooled["doc_id"].to_numpy()
     y = chosen.loc[keys].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
@@ -276,7 +277,8 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", key:
     """``doc_id, held_out, score, predicted`` of each row of ``docs``, over its whole text.
 
     A null or empty text gets the score of no tokens at all. Scores are rounded to
-    9 digits. Repeated rows give repeated results, other columns are ignored.
+    9 digits. Repeated rows give repeated results, no rows none; other columns are ignored,
+    and a row without doc_id is not held out.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -294,7 +296,10 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", key:
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts; all of them if nothing could be learned."""
+    """The rows of ``docs`` that the classifier accepts, with all their columns; all of them if nothing could be learned.
+
+    Null and empty texts have the score of no tokens. Repeated rows go or stay alike; no rows give no rows.
+    """
     model = fit_quality(docs, labels)
     if not model.learned:
         return docs

@@ -15,26 +15,30 @@ from .near_dedup import near_duplicates
 from .pii import pseudonyms
 from .quality import fit_quality, score_quality
 from .session import table
-from .threads import link_quotations
+from .threads import quoting, reply_ordered
 from .token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and bytes of every whole text."""
     return token_counts(table(spark, sf_dir, "documents"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every whole text; nothing but the text goes into it."""
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without lines that stand elsewhere."""
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as grey samples, and read back."""
     stored = store(table(spark, sf_dir, "documents"))
     return media_columns(stored).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"
@@ -42,26 +46,37 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that overlap."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_quotations(table(spark, sf_dir, "conversations"))
+    """Every message without its quotations, in reply order."""
+    return reply_ordered(table(spark, sf_dir, "conversations"))
+
+
+def op7_quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of conversations that quote: made from the given ones, which hold no quotation."""
+    return reply_ordered(quoting(table(spark, sf_dir, "conversations")))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate of every document for the target weights."""
     return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms(table(spark, sf_dir, "documents"))
+    """Every text with pseudonyms; the key is the session's ``spark.arbitra.pii.key``, one for tests where that is unset."""
+    return pseudonyms(table(spark, sf_dir, "documents"), spark.conf.get("spark.arbitra.pii.key", "not a secret"))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return main_text(table(spark, sf_dir, "pages"))
 
 
@@ -69,6 +84,6 @@ QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         op1_token_counts, op2_quality_classifier, op3_line_dedup, op4_media_columns, op5_benchmark_decontamination,
-        op6_minhash_near_dedup, op7_chat_formatting, op8_source_mixing, op9_pii_pseudonyms, op10_html_extraction,
+        op6_minhash_near_dedup, op7_chat_formatting, op7_quoted_conversations, op8_source_mixing, op9_pii_pseudonyms, op10_html_extraction,
     )
 }

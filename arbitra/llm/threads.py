@@ -2,13 +2,14 @@
 
 * Lines that start with ``>`` marks are quoted, as deep as there are marks.
   Consecutive lines of one depth are a passage.
-* Quoted passages, and their single lines, are normalised (marks off, lower case,
-  white space as one blank) and hashed; so are the messages' own texts and lines.
-  Both sides are reduced to one row per hash before they are joined, so text that
-  many messages share doesn't multiply anything.
+* Quoted passages of every depth, and their single lines, are normalised (marks off,
+  lower case, white space as one blank) and hashed; so are the messages' own texts and
+  lines. Both sides are reduced to one row per hash before they are joined, so text
+  that many messages share doesn't multiply anything. A unit of a few characters
+  counts only if it is a whole passage and a whole message of the same conversation.
 * A message replies to the earliest message of its conversation that holds what it
-  quotes on the first level, and belongs to the thread of that one; threads are
-  found by pointer jumping along reply links, for quoting messages alone.
+  quotes on the shallowest level that is found, and belongs to the thread of that one;
+  threads are found by pointer jumping along reply links, for quoting messages alone.
 * Order: conversation, thread (the turn that starts it), turn. There are no groups to
   collect: a conversation of any length is just many rows.
 """
@@ -22,8 +23,9 @@ from pyspark.sql import Window
 from .session import materialize
 
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
-#: Quoted units of fewer characters than this tell no message.
+#: Units of fewer characters than this tell a message only as a whole, and only in its conversation.
 SHORTEST = 8
+WHOLE = "\u0001"
 
 
 def _normal(text: Column) -> Column:
@@ -60,11 +62,14 @@ def passages(lines: DataFrame) -> DataFrame:
 
 
 def _units(texts: DataFrame, text: str) -> DataFrame:
-    """The text and its lines as (hash, size), with all other columns."""
+    """The text and its lines as (hash, size), with all other columns; a short text is marked as a whole one."""
     others = [c for c in texts.columns if c != text]
-    units = F.array_union(F.array(_normal(F.col(text))), F.transform(F.split(text, "\n"), _normal))
-    out = texts.select(*others, F.explode(units).alias("unit")).filter(F.length("unit") >= SHORTEST)
-    return out.select(*others, F.sha2("unit", 256).alias("hash"), F.length("unit").alias("size"))
+    lines = F.filter(F.transform(F.split(text, "\n"), _normal), lambda x: F.length(x) >= SHORTEST)
+    whole = F.element_at(
+        F.transform(F.array(_normal(F.col(text))), lambda x: F.when(F.length(x) >= SHORTEST, F.array(x)).when(F.length(x) > 0, F.array(F.concat(F.lit(WHOLE), x))).otherwise(F.array().cast("array<string>"))), 1
+    )
+    out = texts.select(*others, F.explode(F.array_union(whole, lines)).alias("unit"))
+    return out.select(*others, F.sha2("unit", 256).alias("hash"), F.length("unit").alias("size"), F.col("unit").startswith(WHOLE).alias("short"))
 
 
 def link_quotations(conversations: DataFrame) -> DataFrame:
@@ -75,10 +80,10 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     the same conversation and earlier; ``thread`` the first turn of the chain of
     replies, the message's own turn without a quotation that is found. A quotation
     found only in other conversations gives ``source_conv`` and ``source_turn`` (the
-    least). ``n_quoted`` counts quoted passages, ``n_linked`` those of the first depth
+    least). ``n_quoted`` counts quoted passages, ``n_linked`` those of any depth
     whose text or a line of it is found, ``depth`` is the deepest level. Messages of
     one (conv_id, turn) are told apart by their text; repeated rows give repeated
-    results; other columns are ignored.
+    results, no rows none; other columns are ignored.
     """
     messages = conversations.select("conv_id", "turn", "role", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("same"))
     lines = materialize(quoted_lines(messages), "quoted-lines")
@@ -88,7 +93,7 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     )
     counts = runs.groupBy("conv_id", "turn", "same").agg(F.count_if(F.col("depth") > 0).alias("n_quoted"), F.max("depth").alias("depth"))
     # what is quoted, and where messages say it themselves
-    quoted = materialize(_units(runs.filter("depth = 1").select("conv_id", "turn", "same", "start", "passage"), "passage"), "quoted-units")
+    quoted = materialize(_units(runs.filter("depth > 0").select("conv_id", "turn", "same", "start", "depth", "passage"), "passage"), "quoted-units")
     wanted = quoted.select("hash").distinct()
     said = messages.filter(~F.col("text").rlike(r"(?m)^[ \t]*>")).select("conv_id", "turn", "text").unionByName(
         own.select("conv_id", "turn", F.col("own").alias("text"))
@@ -100,13 +105,13 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
         quoted.join(here, ["hash", "conv_id"], "left")
         .join(first, "hash", "left")
         .withColumn("at", F.when(F.col("at") < F.col("turn"), F.col("at")))
-        .withColumn("first", F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")))
+        .withColumn("first", F.when((F.col("first.conv_id") != F.col("conv_id")) & ~F.col("short"), F.col("first")))
     )
-    # of several found units, the longest, then the earliest message
+    # of several found units, the shallowest, then the longest, then the earliest message
     linked = materialize(
         found.groupBy("conv_id", "turn", "same").agg(
-            F.min(F.when(F.col("at").isNotNull(), F.struct((-F.col("size")).alias("size"), "at")))["at"].alias("reply_to"),
-            F.min(F.when(F.col("first").isNotNull(), F.struct((-F.col("size")).alias("size"), "first")))["first"].alias("first"),
+            F.min(F.when(F.col("at").isNotNull(), F.struct("depth", (-F.col("size")).alias("size"), "at")))["at"].alias("reply_to"),
+            F.min(F.when(F.col("first").isNotNull(), F.struct("depth", (-F.col("size")).alias("size"), "first")))["first"].alias("first"),
             F.count_distinct(F.when(F.col("at").isNotNull() | F.col("first").isNotNull(), F.col("start"))).alias("n_linked"),
         ),
         "linked",
@@ -145,3 +150,22 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
 def reply_ordered(conversations: DataFrame) -> DataFrame:
     """The result of :func:`link_quotations` in the order of conversations, threads and turns."""
     return link_quotations(conversations).orderBy("conv_id", "thread", "turn")
+
+
+def quoting(conversations: DataFrame) -> DataFrame:
+    """Conversations in which every third message quotes the one before it, and every sixth also the one before that, a level deeper.
+
+    A fixture for conversations without quotations: a conversation's messages are
+    numbered, so that a quotation's source is one join away.
+    """
+    rows = conversations.select("conv_id", "turn", "role", "text", (F.col("turn") - 1).alias("_b"), (F.col("turn") - 2).alias("_c"))
+    of = lambda name, text: conversations.select("conv_id", F.col("turn").alias(name), F.col("text").alias(text))
+    both = rows.join(of("_b", "b"), ["conv_id", "_b"], "left").join(of("_c", "c"), ["conv_id", "_c"], "left")
+    mark = lambda c, m: F.concat(F.lit(m), F.replace(F.col(c), F.lit("\n"), F.lit(f"\n{m}")), F.lit("\n"))
+    third = F.col("turn") % 3 == 2
+    text = (
+        F.when(third & (F.col("turn") % 6 == 5) & F.col("b").isNotNull() & F.col("c").isNotNull(), F.concat(mark("c", ">> "), mark("b", "> "), F.col("text")))
+        .when(third & F.col("b").isNotNull(), F.concat(mark("b", "> "), F.col("text")))
+        .otherwise(F.col("text"))
+    )
+    return both.select("conv_id", "turn", "role", text.alias("text"))

@@ -11,7 +11,8 @@ from hypothesis import strategies as st
 
 from arbitra.llm.pii import Feistel, luhn, pseudonymize, pseudonyms
 
-F = Feistel("test")
+KEY = "test"
+F = Feistel(KEY)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 10, 97, 1000, 4096])
@@ -40,32 +41,32 @@ def shape(value):
 
 @pytest.mark.parametrize(("value", "kind"), VALUES)
 def test_values(value, kind):
-    text, found = pseudonymize(f"so {value} there")
+    text, found = pseudonymize(f"so {value} there", KEY)
     new = text[3:-6]
     assert dict(found) == {kind: 1} and new != value
-    again, _ = pseudonymize(f"other words, {value}")
+    again, _ = pseudonymize(f"other words, {value}", KEY)
     assert again == f"other words, {new}"
     if kind not in ("ip", "secret"):
         assert shape(new) == shape(value)
     # a pseudonym is a valid value of its kind itself
-    assert dict(pseudonymize(f"so {new} there")[1]) == {kind: 1}
+    assert dict(pseudonymize(f"so {new} there", KEY)[1]) == {kind: 1}
 
 
 def test_validity():
-    card = pseudonymize("4041894974608795")[0]
+    card = pseudonymize("4041894974608795", KEY)[0]
     assert luhn(card[:-1]) == int(card[-1])
-    datetime.date.fromisoformat(pseudonymize("on 2024-02-29")[0][3:])
-    assert pseudonymize("x 1.2.3.4 y")[0].count(".") == 3
+    datetime.date.fromisoformat(pseudonymize("on 2024-02-29", KEY)[0][3:])
+    assert pseudonymize("x 1.2.3.4 y", KEY)[0].count(".") == 3
 
 
 def test_left_alone():
     for text in ["no values", "version 1.2.3.4.5", "ip 999.1.1.1", "card 4111111111111112", "2023-02-30", "666-12-1234", "a@b", "12345", "1 2 3 4", "AKIA123", "a = b: c", ""]:
-        assert pseudonymize(text) == (text, {})
+        assert pseudonymize(text, KEY) == (text, {})
 
 
 def test_neighbours():
     text = "+1 (398) 240-5845 4913187196670932 63.17.109.124 a.b@c.example"
-    new, found = pseudonymize(text)
+    new, found = pseudonymize(text, KEY)
     assert found == {"phone": 1, "card": 1, "ip": 1, "email": 1}
     assert set(text.split()) & set(new.split()) == {"+1"}
 
@@ -76,6 +77,37 @@ def test_keys_differ():
 
 def test_query(spark, odd, none):
     df = odd.union(spark.createDataFrame([(50, "call +1 (743) 555-3824 " * 2000, "en", "s", 1, "")], odd.schema))
-    rows = {r["doc_id"]: r for r in pseudonyms(df).collect()}
+    rows = {r["doc_id"]: r for r in pseudonyms(df, KEY).collect()}
     assert rows[0]["text"] is None and rows[1]["text"] == "" and rows[50]["n_values"] == 2000 and "555-3824" not in rows[50]["text"]
-    assert pseudonyms(df).count() == df.count() and pseudonyms(none).count() == 0
+    assert pseudonyms(df, KEY).count() == df.count() and pseudonyms(none, KEY).count() == 0
+
+
+def test_keys():
+    """Every byte of a key counts, and there is no key of none."""
+    long = "k" * 64
+    images = {k: Feistel(k).permute(12345, 10**12, "x") for k in (long, long + "a", long + "b", "k" * 63)}
+    assert len(set(images.values())) == 4
+    with pytest.raises(ValueError):
+        Feistel("")
+
+
+def test_numbers_outside_the_plan():
+    """Written as a phone number, but with no such area: it becomes another one of those."""
+    seen = set()
+    for n in range(200):
+        new, found = pseudonymize(f"call +1 (017) 555-{n:04d} now", KEY)
+        m = re.fullmatch(r"call \+1 \((\d{3})\) (\d{3})-(\d{4}) now", new)
+        assert found == {"phone": 1} and (m[1][0] in "01" or m[2][0] in "01")
+        seen.add(m.groups())
+    assert len(seen) == 200
+
+
+def test_against_brute_force():
+    """Every value of a whole small domain: as many pseudonyms, all valid, none left over."""
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(d) for d in range(0, 73049, 40)]
+    images = {pseudonymize(d.isoformat(), KEY)[0] for d in days}
+    assert len(images) == len(days) and all(1900 <= datetime.date.fromisoformat(x).year <= 2099 for x in images)
+    assert {pseudonymize(d.strftime("%d.%m.%Y"), KEY)[0] for d in days} == {datetime.date.fromisoformat(x).strftime("%d.%m.%Y") for x in images}
+    cards = [f"41111111111{n:04d}" for n in range(500)]
+    images = {pseudonymize(c + str(luhn(c)), KEY)[0] for c in cards}
+    assert len(images) == 500 and all(luhn(x[:-1]) == int(x[-1]) and x[0] == "4" for x in images)
