@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import connected_components
-from .kernels import U64, WordHasher, chunks, mix, space_separated, string_buffers
+from .kernels import U64, chunks, mix, string_buffers
 from .regions import joined, mixed_regions, region_links
 from .session import fresh, materialize, partitions, small_batches
 
@@ -45,7 +45,9 @@ HELD = 1 << 16
 #: Bytes of text that are looked at together, so that arrays stay in a core's cache.
 CHUNK = 1 << 17
 
+#: A-Z as small letters; white space as blanks, with and without the ends of lines.
 _NORMAL = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
+_SPACED = bytes(10 if b == 10 else n for b, n in enumerate(_NORMAL))
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,18 +66,48 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.repeat(np.arange(n), counts)
 
 
-def line_keys(words: WordHasher, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(two 64-bit keys of each line, whether it has a word)."""
-    h, at = words.hashes(data, offsets)
-    first, last = np.searchsorted(at, starts), np.searchsorted(at, ends)
-    k1, k2 = np.zeros(len(starts), U64), np.zeros(len(starts), U64)
-    if len(h):
-        place = (np.arange(len(h)) - np.repeat(first, last - first)).astype(U64)
-        with np.errstate(over="ignore"):
-            full = np.flatnonzero(last > first)
-            k1[full] = np.add.reduceat(mix(h + place * U64(0x9E3779B97F4A7C15)), first[full])
-            k2[full] = np.add.reduceat(mix(h ^ (place + U64(1)) * U64(0xC2B2AE3D27D4EB4F)), first[full])
-    return k1, k2, last > first
+_C1, _C2, _C3 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0xD6E8FEB86659FD93)
+#: The low bytes of a word, for 0 to 8 of them.
+_LOW = np.append((U64(1) << (U64(8) * np.arange(8, dtype=U64))) - U64(1), U64(0xFFFFFFFFFFFFFFFF))
+
+
+def _span_keys(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each span of bytes that isn't empty, eight bytes at a time."""
+    words = (ends - starts + 7) >> 3
+    first = np.cumsum(words) - words
+    place = np.arange(words.sum()) - np.repeat(first, words)
+    padded = text + bytes(8)
+    x = np.ndarray((len(text) + 1,), "<u8", padded, strides=(1,))[np.repeat(starts, words) + 8 * place]
+    x[first + words - 1] &= _LOW[ends - starts - 8 * (words - 1)]
+    place = place.astype(U64)
+    length = (ends - starts).astype(U64) * _C3
+    with np.errstate(over="ignore"):
+        return np.stack([np.add.reduceat(mix(x + place * _C1), first) + mix(length), np.add.reduceat(mix(x ^ (place + U64(1)) * _C2), first) + length], axis=1)
+
+
+def line_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two 64-bit keys of the words of each line; both are 0 if it has none."""
+    text = data.tobytes().translate(_SPACED)
+    d = np.frombuffer(text, np.uint8)
+    blank = d == 32
+    filled = np.flatnonzero(ends > starts)
+    # lines with more than single blanks between words are put right one by one
+    odd = np.zeros(len(starts), bool)
+    odd[filled] = blank[starts[filled]] | blank[ends[filled] - 1]
+    twice = np.flatnonzero(blank[:-1] & blank[1:])
+    odd[np.searchsorted(starts, twice, "right") - 1] = True
+    out = np.zeros((len(starts), 2), U64)
+    plain = filled[~odd[filled]]
+    if len(plain):
+        out[plain] = _span_keys(text, starts[plain], ends[plain])
+    odd = filled[odd[filled]]
+    fixed = [b" ".join(text[a:b].split()) for a, b in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)]
+    size = np.array([len(f) for f in fixed], np.int64)
+    some = np.flatnonzero(size)
+    if len(some):
+        last = np.cumsum(size)
+        out[odd[some]] = _span_keys(b"".join(fixed), (last - size)[some], last[some])
+    return out
 
 
 def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,18 +188,17 @@ def buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
 def _prepare(at: int, names: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows with their text packed, the keys of their lines (0 for a blank one) and a hash of the text."""
-        words, pack = WordHasher(space_separated()), zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             raw, offsets = string_buffers(batch.column(at))
             null = batch.column(at).is_null().to_pylist()
             packed, keys, whole = [], [], []
             for i, j, data, off in chunks(raw, offsets, CHUNK):
                 starts, ends, row = line_spans(data, off)
-                k1, k2, counts = line_keys(words, data, off, starts, ends)
-                both = np.stack([k1, k2], axis=1) * counts[:, None].astype(U64)
+                both = line_keys(data, starts, ends)
                 cut = np.searchsorted(row, np.arange(j - i + 1))
                 with np.errstate(over="ignore"):
-                    whole.append(np.add.reduceat(mix(k1 + (np.arange(len(k1)) - cut[row]).astype(U64)), cut[:-1]))
+                    whole.append(np.add.reduceat(mix(both[:, 0] + (np.arange(len(both)) - cut[row]).astype(U64)), cut[:-1]))
                 for k in range(j - i):
                     packed.append(None if null[i + k] else pack.compress(data[off[k] : off[k + 1]].tobytes()))
                     keys.append(both[cut[k] : cut[k + 1]].tobytes())
@@ -440,7 +471,8 @@ def _deduped(docs: DataFrame, text: str, key: str, percent: int, counts: tuple[s
     names = [f.name for f in others]
     prepared = T.StructType([*others, T.StructField(row, T.LongType()), T.StructField(packed, T.BinaryType()), T.StructField(line_keys, T.BinaryType()), T.StructField(whole, T.LongType())])
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    rows = materialize(numbered.mapInArrow(_prepare(at, prepared.names), prepared), "packed-texts")
+    # packed texts and keys are as small as they get
+    rows = materialize(numbered.mapInArrow(_prepare(at, prepared.names), prepared), "packed-texts", "uncompressed")
     own = rows.select(F.col(packed).alias("packed"), F.col(line_keys).alias("line_keys"), F.col(key).cast("long").alias("doc_id"), F.col(whole).alias("whole"), F.col(row).alias("row"))
     keyed = own.select("line_keys", "doc_id", "whole", "row")
     dealt = keyed.mapInArrow(_by_key(partitions(spark)), "part int, lines binary").repartitionById(partitions(spark), "part")
@@ -449,9 +481,9 @@ def _deduped(docs: DataFrame, text: str, key: str, percent: int, counts: tuple[s
     shared = spark.sparkContext.broadcast(_bounds(own, equal.count()))
     banded = own.select("packed", "line_keys").mapInArrow(_bands(shared), "part int, firsts binary, nodes binary")
     found = materialize(banded.repartitionById(partitions(spark), "part").mapInArrow(_candidates(shared), "first long, a long, b long"), "candidates")
-    pairs = found.filter("b is not null").select("a", "b").distinct()
+    pairs = materialize(found.filter("b is not null").select("a", "b").distinct(), "line-pairs")
     crowded = found.filter("b is null").select(F.col("first").alias("region"), F.col("a").alias("node"))
-    nodes = found.select(F.explode(F.array("a", "b")).alias("k1")).filter("k1 is not null").distinct()
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("k1")).unionByName(crowded.select(F.col("node").alias("k1"))).distinct()
     # a node is a line, the least one should two of different words have its key
     nodes = materialize(equal.join(nodes.hint("shuffle_hash"), "k1").groupBy("k1").agg(F.min(F.struct("doc_id", "whole", "pos", "row", "k2", "n")).alias("x")).select("k1", "x.*"), "candidate-nodes")
     asked = nodes.groupBy("row").agg(F.collect_set(F.struct("pos", F.col("k1").alias("node"))).alias("asked"))

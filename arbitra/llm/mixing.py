@@ -177,7 +177,6 @@ def fit_rates(soft: DataFrame, targets: dict[str, float] = TARGETS, tokens: floa
     share = np.array([targets.get(d, 0.0) for d in DOMAINS])
     wanted = budget * share / share.sum()
     steps: list[list[float]] = []
-    steps: list[list[float]] = []
     for _ in range(ITERATIONS if budget > 0 else 0):
         miss = expected - wanted
         if np.abs(miss).max() <= CLOSE * budget:
