@@ -108,7 +108,8 @@ def repair_probabilities(p: Column, candidates: Column) -> Column:
     anchor = F.array_max(F.transform(F.map_entries(p), lambda e: F.struct(e["value"], e["key"])))["key"]
     out = F.transform_values(scaled, lambda k, x: F.when(k == anchor, F.round(x + rest, 6)).otherwise(x))
     fit = same & F.forall(F.map_values(p), lambda x: x >= 0) & total.between(0.90, 1.10) & (F.abs(total - 1.0) > SUM_TOLERANCE)
-    return F.when(fit, out)
+    # the rest may not take the anchor below nothing
+    return F.when(fit & F.forall(F.map_values(out), lambda x: x >= 0), out)
 
 
 def question_errors(id: Column, task: Column, candidates: Column) -> Column:
@@ -134,16 +135,6 @@ def response_errors(route: Column, latency: Column, results: Column) -> Column:
     return F.array_compact(F.array(F.when(~F.coalesce(route.isin(*ROUTES), F.lit(False)), "route"), F.when(F.coalesce(latency, F.lit(-1.0)) < 0, "latency_ms"), F.when(F.coalesce(F.size(results), F.lit(0)) < 1, "results")))
 
 
-def soft_target_errors(target: Column, candidates: Column) -> Column:
-    """Of a choice's soft target: candidates covered, each within 0 and 1, sum within the tolerance."""
-    total = F.aggregate(F.map_values(target), F.lit(0.0), lambda a, x: a + x)
-    return F.array_compact(
-        F.array(
-            F.when(F.size(F.array_except(candidates, F.map_keys(target))) > 0, "candidates"), F.when(F.exists(F.map_values(target), lambda x: x.isNull() | (x < 0) | (x > 1)), "range"), F.when(F.abs(total - 1.0) > SUM_TOLERANCE, "sum"),
-        )
-    )
-
-
 def model_ids(payload: Column) -> Column:
     """Distinct ids of a model list, in order."""
     rows = F.try_variant_get(F.try_parse_json(payload), "$.data", "array<variant>")

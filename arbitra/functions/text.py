@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Redaction patterns, as the data contract states them.
 SECRET = r"(?U)\b(?:sk-[A-Za-z0-9_-]{12,}|gh[pousr]_[A-Za-z0-9_]{12,}|Bearer\s+[A-Za-z0-9._-]+)\b"
@@ -21,13 +22,17 @@ def redact(text: Column | str, phone: bool = True) -> Column:
     return F.regexp_replace(out, PHONE, "[PHONE]") if phone else out
 
 
-def redact_array(values: Column | str) -> Column:
-    return F.transform(col(values), redact)
-
-
-def redact_map(values: Column | str) -> Column:
-    """Values are redacted, keys stay."""
-    return F.transform_values(col(values), lambda _, v: redact(v))
+def redact_nested(value: Column, kind: T.DataType, phone: bool = True) -> Column:
+    """Every text inside a value of the given type is redacted, at any depth; map keys and field names stay."""
+    if isinstance(kind, T.StringType):
+        return redact(value, phone)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: redact_nested(x, kind.elementType, phone))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: redact_nested(x, kind.valueType, phone))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(redact_nested(value[f.name], f.dataType, phone).alias(f.name) for f in kind)))
+    return value
 
 
 def normalize_state(text: Column | str) -> Column:
@@ -90,6 +95,17 @@ def request_id(payload: Column | str) -> Column:
     return F.concat(F.lit("req-"), F.substring(digest(payload), 1, 24))
 
 
+def short_id(payload: Column | str, prefix: str = "", digits: int = 16) -> Column:
+    """The first digits of the payload's SHA-256 behind a prefix."""
+    return F.concat(F.lit(prefix), F.substring(digest(payload), 1, digits))
+
+
+def split_group(fields: list[Column | str], content: Column) -> Column:
+    """JSON of what keeps samples in one split: the first field that says something, else the content."""
+    first = truthy(*fields)
+    return F.when(first.isNotNull(), json_string(first)).otherwise(content)
+
+
 def hash_number(text: Column | str) -> Column:
     """The first 32 bits of the text's SHA-256 as a number."""
     return F.conv(F.substring(digest(text), 1, 8), 16, 10).cast("bigint")
@@ -102,7 +118,12 @@ def truthy(*candidates: Column | str) -> Column:
 
 def split_of(group: Column | str) -> Column:
     """train, validation or test by the group's hash: 80, 10 and 10 of 100."""
-    bucket = hash_number(json_string(group)) % 100
+    return split_of_json(json_string(group))
+
+
+def split_of_json(group: Column) -> Column:
+    """:func:`split_of` for a group that is JSON already."""
+    bucket = hash_number(group) % 100
     return F.when(bucket < 80, "train").when(bucket < 90, "validation").otherwise("test")
 
 
@@ -119,6 +140,11 @@ def word_features(text: Column | str, vocabulary: int = 4096, most: int = 1024)
     return F.transform(F.slice(words(text), 1, most), lambda w: feature_id(w, vocabulary))
 
 
+def control_features(state: Column | str, question: Column | str, vocabulary: int = 4096, most: int = 1024) -> Column:
+    """Words of the state alone: control questions say all the same."""
+    return word_features(state, vocabulary, most)
+
+
 def char_ngrams(text: Column | str, narrow: int = 2, wide: int = 5) -> Column:
     """Of each word in ^ and $, all n-grams, by width and then by place."""
 
@@ -162,6 +188,19 @@ def byte_features(text: Column | str, vocabulary: int = 258, most: int = 1024) -
     return F.transform(places, lambda i: (F.lit(2) + F.conv(F.substring(raw, i * 2 + 1, F.lit(2)), 16, 10).cast("int") % (vocabulary - 2)).cast("int"))
 
 
+#: Features by the name of a model's backbone, over a state and a question.
+BACKBONES = {
+    "byte": lambda s, q: byte_features(F.concat_ws("\n", s, q)), "word": lambda s, q: word_features(F.concat_ws("\n", s, q)), "char": lambda s, q: char_features(F.concat_ws("\n", s, q)),
+    "hybrid": lambda s, q: hybrid_features(F.concat_ws("\n", s, q)), "segmented": lambda s, q: segmented_features(s, q), "control": lambda s, q: control_features(s, q),
+}
+
+
+def features(backbone: str, state: Column, question: Column) -> Column:
+    if backbone not in BACKBONES:
+        raise ValueError(f"unknown backbone: {backbone}")
+    return BACKBONES[backbone](state, question)
+
+
 def padded(ids: Column, most: int) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(0), F.greatest(F.lit(most) - F.size(ids), F.lit(0))))
 

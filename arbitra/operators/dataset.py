@@ -32,9 +32,19 @@ def first_wins(df: DataFrame, key: list[str], seq: str) -> DataFrame:
 
 
 def mark_duplicates(df: DataFrame, key: list[str], seq: str) -> DataFrame:
-    """``df`` with ``duplicate``: not the first of its key. Hot keys are pre-aggregated."""
-    first = df.groupBy(*key).agg(F.min(seq).alias("_first"))
-    return df.join(first, key).withColumn("duplicate", F.col(seq) != F.col("_first")).drop("_first")
+    """``df`` with ``duplicate``: not the first of its key. ``seq`` is different on every row.
+
+    Hot keys are pre-aggregated, and a key is made once: the firsts are joined by ``seq``.
+    """
+    first = df.groupBy(*key).agg(F.min(seq).alias(seq)).select(seq, F.lit(False).alias("duplicate"))
+    return df.join(first, seq, "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(True)))
+
+
+def cover(left: DataFrame, right: DataFrame, id: str = "sample_id") -> DataFrame:
+    """``missing, unknown, repeated``: ids of ``left`` without a row in ``right``, the other way round, and ids that ``right`` has more than once."""
+    l, r = left.select(id).distinct().withColumn("_l", F.lit(1)), right.groupBy(id).agg(F.count("*").alias("_r"))
+    both = l.join(r, id, "full_outer")
+    return both.agg(F.count_if(F.col("_r").isNull()).alias("missing"), F.count_if(F.col("_l").isNull()).alias("unknown"), F.count_if(F.col("_r") > 1).alias("repeated"))
 
 
 def same_label(kind: Column, value_a: Column, value_b: Column, score_a: Column, score_b: Column) -> Column:
@@ -80,8 +90,9 @@ def outcome_counts(df: DataFrame, column: str = "outcome") -> DataFrame:
 
 
 def coverage(df: DataFrame, task: str = "task_id", split: str = "split") -> DataFrame:
-    """Rows per task and per split in one pass: ``kind, name, n``."""
-    sets = df.groupingSets([[task], [split]], task, split).agg(F.count("*").alias("n"), F.grouping(task).alias("_g"))
+    """Rows per task and per split in one pass: ``kind, name, n``; splits that there aren't are ``invalid``."""
+    named = df.withColumn(split, F.when(F.col(split).isin(*SPLITS), F.col(split)).otherwise("invalid"))
+    sets = named.groupingSets([[task], [split]], task, split).agg(F.count("*").alias("n"), F.grouping(task).alias("_g"))
     return sets.select(F.when(F.col("_g") == 0, "task").otherwise("split").alias("kind"), F.when(F.col("_g") == 0, F.col(task)).otherwise(F.col(split)).alias("name"), "n")
 
 

@@ -149,14 +149,21 @@ def score_metrics(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, by: list[str], x: str = "target", y: str = "value") -> DataFrame:
-    """Correlation of mean ranks; null if one side doesn't vary."""
-    r = average_rank(average_rank(df.select(*by, x, y), by, x, "rx"), by, y, "ry")
-    a, b = F.col("rx"), F.col("ry")
-    s = r.groupBy(*by).agg(F.count("*").cast("double").alias("n"), F.sum(a).alias("a"), F.sum(b).alias("b"), F.sum(a * a).alias("aa"), F.sum(b * b).alias("bb"), F.sum(a * b).alias("ab"))
+    """Correlation of mean ranks; null if one side doesn't vary. Equal pairs are counted first and ranked once."""
+    pairs = df.groupBy(*by, x, y).agg(F.count("*").alias("w"))
+    r = average_rank(average_rank(pairs, by, x, "rx", weight="w"), by, y, "ry", weight="w")
+    a, b, w = F.col("rx"), F.col("ry"), F.col("w")
+    s = r.groupBy(*by).agg(F.sum(w).cast("double").alias("n"), F.sum(w * a).alias("a"), F.sum(w * b).alias("b"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"), F.sum(w * a * b).alias("ab"))
     spread = F.sqrt((F.col("n") * F.col("aa") - F.col("a") * F.col("a")) * (F.col("n") * F.col("bb") - F.col("b") * F.col("b")))
     return s.select(*by, F.round(F.try_divide(F.col("n") * F.col("ab") - F.col("a") * F.col("b"), spread), 6).alias("spearman"))
 
 
+def class_calibration(long: DataFrame, cls: str = "class", label: str = "label", p: str = "p") -> DataFrame:
+    """Expected calibration error of each class's probability, from one row per prediction and class."""
+    rows = long.select(F.col(cls).alias("class"), (F.col(label) == F.col(cls)).alias("label"), F.col(p).alias("p"))
+    return ece(rows, ["class"])
+
+
 def nearest_rank(p: int, value: str) -> Column:
     """The value at rank ceil(p % of n)."""
     return F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value})")

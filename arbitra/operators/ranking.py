@@ -47,12 +47,12 @@ def ranked(df: DataFrame, by: list[str], score: str, tie: list[str], value: str
     )
 
 
-def average_rank(df: DataFrame, by: list[str], score: str, out: str, buckets: int = BUCKETS) -> DataFrame:
+def average_rank(df: DataFrame, by: list[str], score: str, out: str, buckets: int = BUCKETS, weight: str | None = None) -> DataFrame:
     """``df`` with the ascending rank of the score; ties share their mean rank.
 
-    Counts per distinct score are ranked, not rows.
+    Counts per distinct score are ranked, not rows; ``weight`` says for how many a row stands.
     """
-    counts = df.groupBy(*by, score).agg(F.count("*").alias("_n")).withColumn("_b", F.floor(F.col(score) * buckets))
+    counts = df.groupBy(*by, score).agg((F.sum(weight) if weight else F.count("*")).alias("_n")).withColumn("_b", F.floor(F.col(score) * buckets))
     totals = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_t"))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_n0"))

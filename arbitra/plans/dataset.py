@@ -33,10 +33,12 @@ def built(s, d):
     rows = samples(s, d).withColumn("redacted", T.redact("state", phone=False))
     is_private, invalid = D.private(F.col("sensitivity"), F.col("kind")), F.coalesce(F.trim("state"), F.lit("")) == ""
     key = D.dedup_key(F.col("task_id"), F.col("task_version"), F.col("redacted"), F.lit(QUESTION))
-    kept = D.mark_duplicates(rows.filter(~is_private & ~invalid).withColumn("key", key), ["key"], "doc_id").select("doc_id", "duplicate")
+    kept = D.mark_duplicates(rows.filter(~is_private & ~invalid).select("doc_id", key.alias("key")), ["key"], "doc_id").select("doc_id", "duplicate")
     drafts = A.drafts(s, d).withColumn("c", F.greatest("p", 1 - F.col("p")))
-    side = lambda p: drafts.filter(F.col("provider") == p).select("doc_id", F.col("value").alias(f"value_{p}"), F.col("p").alias(f"p_{p}"), F.col("schema_valid").alias(f"valid_{p}"), F.col("p").alias(f"c_{p}"))
-    joined = rows.join(kept, "doc_id", "left").join(side("a"), "doc_id", "left").join(side("b"), "doc_id", "left")
+    # both drafts of a sample in one row, by one aggregate
+    of = lambda p, c, out: F.max(F.when(F.col("provider") == p, F.col(c))).alias(f"{out}_{p}")
+    sides = drafts.groupBy("doc_id").agg(*(of(p, c, out) for p in "ab" for c, out in (("value", "value"), ("p", "p"), ("schema_valid", "valid"), ("p", "c"))))
+    joined = rows.join(kept, "doc_id", "left").join(sides, "doc_id", "left")
     return joined.withColumn(
         "outcome",
         D.outcome(is_private, invalid, F.coalesce("duplicate", F.lit(False)), F.col("human"), F.coalesce(F.col("valid_a") & F.col("valid_b"), F.lit(False)), F.col("value_a") == F.col("value_b"), F.col("c_a"), F.col("c_b")),
@@ -69,7 +71,8 @@ def _merged(s, d):
 
 def _head(s, d):
     rows = samples(s, d).join(A.table(s, d, "labels").select("doc_id", "quality"), "doc_id").select("sample_id", "state", F.col("quality").cast("string").alias("target"))
-    return models.predict_choice(models.train_choice(rows, features=2048, iterations=10), rows).select("sample_id", "target", "selected", "confidence")
+    rows = rows.withColumn("split", T.split_of(F.col("sample_id")))
+    return models.predict_choice(models.train_choice(rows.filter("split = 'train'"), features=2048, iterations=10), rows.filter("split <> 'train'")).select("sample_id", "target", "selected", "confidence")
 
 
 def _joined(ids, sep=" "):
@@ -106,11 +109,11 @@ QUERIES = {
         "doc_id", T.result_cache_key(F.lit("m1"), F.lit("c1"), T.state_cache_key(F.lit("m1"), "text"), T.question_cache_key(F.lit("memory.type@1"), F.lit(QUESTION), F.array(F.lit("x"), F.lit("y")))).alias("key")
     ),
     "request_ids": lambda s, d: A.table(s, d, "conversations").select("conv_id", "turn", T.request_id(F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))).alias("request_id")),
-    "hashed_tokens": lambda s, d: A.table(s, d, "benchmark").select("item_id", F.posexplode(T.word_features("text", 4096, 64)).alias("pos", "token")).select("item_id", F.col("pos").cast("bigint").alias("pos"), F.col("token").cast("bigint").alias("token")),
-    "byte_features": lambda s, d: A.table(s, d, "benchmark").select("item_id", _joined(T.padded(T.byte_features("text", 258, 32), 32)).alias("ids"), _joined(T.attention(T.byte_features("text", 258, 32), 40)).alias("mask")),
-    "char_ngram_features": lambda s, d: A.table(s, d, "benchmark").select("item_id", _joined(T.char_features("text", 4096, 128)).alias("ids")),
-    "hybrid_features": lambda s, d: A.table(s, d, "benchmark").select("item_id", _joined(T.hybrid_features("text", 4096, 128)).alias("ids")),
-    "segmented_features": lambda s, d: A.table(s, d, "benchmark").select("item_id", _joined(T.segmented_features("text", F.lit(QUESTION), 4096, 128)).alias("ids")),
+    "hashed_tokens": lambda s, d: A.table(s, d, "benchmark").select("item_id", F.posexplode(T.word_features("text", 4096)).alias("pos", "token")).select("item_id", F.col("pos").cast("bigint").alias("pos"), F.col("token").cast("bigint").alias("token")),
+    "byte_features": lambda s, d: A.table(s, d, "benchmark").select("item_id", _joined(T.padded(T.byte_features("text"), 1024)).alias("ids"), _joined(T.attention(T.byte_features("text"), 1024)).alias("mask")),
+    "char_ngram_features": lambda s, d: A.table(s, d, "benchmark").select("item_id", _joined(T.char_features("text")).alias("ids")),
+    "hybrid_features": lambda s, d: A.table(s, d, "benchmark").select("item_id", _joined(T.hybrid_features("text")).alias("ids")),
+    "segmented_features": lambda s, d: A.table(s, d, "benchmark").select("item_id", _joined(T.segmented_features("text", F.lit(QUESTION))).alias("ids")),
     "table_digest": lambda s, d: jsonl.table_digest(A.table(s, d, "labels")),
     "ml_choice_head": _head,
 }
@@ -156,17 +159,17 @@ SQL = {
     "state_cache_key": f"SELECT doc_id, {STATE_KEY} AS key FROM documents",
     "result_cache_key": f"SELECT doc_id, sha256('{{\"calibration_version\": \"c1\", \"kind\": \"result\", \"model_version\": \"m1\", \"question_key\": \"' || {QUESTION_KEY} || '\", \"state_key\": \"' || {STATE_KEY} || '\"}}') AS key FROM documents",
     "request_ids": "SELECT conv_id, turn, 'req-' || substr(sha256(conv_id || '/' || turn), 1, 24) AS request_id FROM conversations",
-    "hashed_tokens": f"""WITH t AS (SELECT item_id, regexp_extract_all({FOLD.format('text')}, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')[:64] AS w FROM benchmark), u AS (SELECT item_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS pos FROM t)
+    "hashed_tokens": f"""WITH t AS (SELECT item_id, regexp_extract_all({FOLD.format('text')}, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')[:1024] AS w FROM benchmark), u AS (SELECT item_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS pos FROM t)
  SELECT item_id, pos, 2 + {_H('w')} % 4094 AS token FROM u""",
 }
 
 _words = lambda t: f"regexp_extract_all({FOLD.format(t)}, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')"
 _fid = lambda t, v: f"(2 + {_H(t)} % {v - 2})"
 _GRAMS = "flatten([flatten([[substr('^' || w || '$', i, n) for i in range(1, length(w) + 4 - n)] for n in [2, 3, 4, 5]]) for w in w])"
-_SPACED = "array_to_string(({0})[:128], ' ')"
+_SPACED = "array_to_string(({0})[:1024], ' ')"
 SQL |= {
-    "byte_features": """WITH b AS (SELECT item_id, hex(encode(text)) AS h, least(32, octet_length(encode(text))) AS n FROM benchmark), i AS (SELECT item_id, n, [2 + ('0x' || substr(h, 2 * k + 1, 2))::INT % 256 for k in range(n)] AS ids FROM b)
- SELECT item_id, array_to_string(list_concat(ids, [0 for k in range(32 - n)]), ' ') AS ids, array_to_string(list_concat([1 for k in range(n)], [0 for k in range(40 - n)]), ' ') AS mask FROM i""",
+    "byte_features": """WITH b AS (SELECT item_id, hex(encode(text)) AS h, least(1024, octet_length(encode(text))) AS n FROM benchmark), i AS (SELECT item_id, n, [2 + ('0x' || substr(h, 2 * k + 1, 2))::INT % 256 for k in range(n)] AS ids FROM b)
+ SELECT item_id, array_to_string(list_concat(ids, [0 for k in range(1024 - n)]), ' ') AS ids, array_to_string(list_concat([1 for k in range(n)], [0 for k in range(1024 - n)]), ' ') AS mask FROM i""",
     "char_ngram_features": f"WITH t AS (SELECT item_id, {_words('text')} AS w FROM benchmark), g AS (SELECT item_id, {_GRAMS} AS g FROM t) SELECT item_id, " + _SPACED.format(f"[{_fid('x', 4096)} for x in g]") + " AS ids FROM g",
     "hybrid_features": f"WITH t AS (SELECT item_id, {_words('text')} AS w FROM benchmark), g AS (SELECT item_id, w, {_GRAMS} AS g FROM t) SELECT item_id, "
     + _SPACED.format(f"list_concat([{_fid(chr(39) + 'w:' + chr(39) + ' || x', 2048)} for x in w], [{_fid(chr(39) + 'c:' + chr(39) + ' || x', 2048)} + 2046 for x in g])") + " AS ids FROM g",

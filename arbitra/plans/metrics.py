@@ -12,10 +12,7 @@ BY = ["provider"]
 
 
 def _choice(spark, d):
-    w = A.choice_predictions(spark, d)
-    total = w.groupBy("event_id").agg(F.sum("w").alias("_t"))
-    p = w.join(total, "event_id").withColumn("p", F.col("w") / F.col("_t").cast("double"))
-    return metrics.choice_rows(p, ["event_id"])
+    return metrics.choice_rows(A.choice_predictions(spark, d), ["event_id"])
 
 
 def _accepted(spark, d):

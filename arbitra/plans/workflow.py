@@ -60,8 +60,9 @@ def _cascade(s, d):
     """Questions of labelled documents through rule, two teachers and a human."""
     x = A.drafts(s, d)
     side = lambda p: x.filter(F.col("provider") == p).select("doc_id", F.col("value").alias(f"v_{p}"), F.greatest("p", 1 - F.col("p")).alias(f"p_{p}"), F.col("abstained").alias(f"x_{p}"), F.col("schema_valid").alias(f"ok_{p}"))
-    rows = A.table(s, d, "documents").select("doc_id", "source", "text").join(side("a"), "doc_id").join(side("b"), "doc_id")
-    rule = G.rule_match(F.lit("memory.remember_worthy"), F.col("text"))
+    # the rule is a column of its own: it is named several times below
+    rows = A.table(s, d, "documents").select("doc_id", "source", G.rule_match(F.lit("memory.remember_worthy"), F.col("text")).alias("rule")).join(side("a"), "doc_id").join(side("b"), "doc_id")
+    rule = F.col("rule")
     ok = lambda p: F.col(f"ok_{p}") & ~F.col(f"x_{p}") & G.accepted_boolean(F.col(f"v_{p}"), F.col(f"p_{p}"))
     answer = lambda p: F.when(F.col(f"ok_{p}"), F.col(f"v_{p}"))
     out = G.cascade([("rule", rule["value"], rule.isNotNull() & G.accepted_boolean(rule["value"], rule["probability"])), ("qwen", answer("a"), ok("a")), ("gemma", answer("b"), ok("b"))])

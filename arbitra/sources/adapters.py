@@ -46,11 +46,13 @@ def binary_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def choice_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, label, class, p in long form: one row per event and class."""
+    """event_id, label, class, w, p in long form: one row per event and class; an event's p sum to 1."""
     events = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("label"))
-    long = events.select("event_id", "label", F.explode(F.array(*map(F.lit, EVENT_TYPES))).alias("class"))
-    w = 1 + hash_number(F.concat(F.col("event_id").cast("string"), F.lit(":"), F.col("class"))) % 1000
-    return long.withColumn("w", w)
+    weight = lambda c: 1 + hash_number(F.concat(F.col("event_id").cast("string"), F.lit(f":{c}"))) % 1000
+    weighed = events.select("event_id", "label", F.array(*(F.struct(F.lit(c).alias("class"), weight(c).alias("w")) for c in EVENT_TYPES)).alias("each"))
+    total = F.aggregate("each", F.lit(0).cast("bigint"), lambda a, x: a + x["w"])
+    long = weighed.select("event_id", "label", total.alias("total"), F.inline("each"))
+    return long.select("event_id", "label", "class", "w", (F.col("w") / F.col("total").cast("double")).alias("p"))
 
 
 def score_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.control import staleness
 
@@ -35,27 +31,6 @@ def mark_stale(df: DataFrame) -> DataFrame:
     return df.withColumn("reason", staleness(F.col("now_ms"), F.col("timestamp_ms")))
 
 
-class LatestWins(StatefulProcessor):
-    """Keeps, per sample, the correction of greatest ``seq`` and emits it when it changes."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.best = handle.getValueState("best", "seq long, correction boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        top = max(((int(s), bool(c)) for part in rows for s, c in zip(part["seq"], part["correction"], strict=True)), default=None)
-        old = self.best.get() if self.best.exists() else None
-        if top and (old is None or top[0] > old[0]):
-            self.best.update(top)
-            yield pd.DataFrame({"sample_id": [key[0]], "seq": [top[0]], "correction": [top[1]]})
-
-    def close(self) -> None:
-        pass
-
-
-def latest_feedback(df: DataFrame) -> DataFrame:
-    return df.groupBy("sample_id").transformWithStateInPandas(LatestWins(), "sample_id long, seq long, correction boolean", "Update", "None")
-
-
 def merge_into(path: str, key: str = "sample_id", seq: str = "seq"):
     """For ``foreachBatch``: fold each micro-batch into a table of latest rows.
 
