@@ -25,7 +25,7 @@ BLOCK = 1 << 18
 #: Members that are indexed at a time in a task, and entries of the index that are counted at a time.
 HELD, COUNTED = 1 << 19, 1 << 20
 #: In keys of so many rows, members that one in ``COMMON`` rows has are counted by matrix products, ``COLUMNS`` at a time.
-MANY, COMMON, COLUMNS = 128, 16, 1024
+MANY, COMMON, COLUMNS = 16, 4, 1024
 
 #: The sorted distinct members of the set of each payload.
 Sets = Callable[[pa.Array], list[np.ndarray]]

@@ -51,3 +51,41 @@ def test_odd(spark, odd, none, labels):
     kept = drop_low_quality(docs, marks)
     assert kept.columns == docs.columns and kept.filter("doc_id >= 100").count() == 30
     assert score_quality(none, model).count() == 0
+
+
+def test_scores_against_brute_force(spark):
+    """Token by token: the mean of vectors, a hidden layer, a logistic score at the fitted temperature."""
+    import numpy as np
+
+    from arbitra.llm.quality import Tokens, index_vectors
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = fit_quality(docs, labels, 150)
+    assert model.learned
+    some = docs.orderBy("doc_id").limit(25).unionByName(docs.limit(1).selectExpr("-1L as doc_id", "cast(null as string) as text", "lang", "source", "n_chars"))
+    got = {r["doc_id"]: r["score"] for r in score_quality(some, model).collect()}
+    known = {int(t): v for t, v in zip(model.pooler.ids, model.pooler.vectors[:-1], strict=True)}
+    for r in some.collect():
+        data = np.frombuffer((r["text"] or "").encode(), np.uint8)
+        cut = Tokens()
+        h, rows = cut(data, np.array([0, len(data)]))
+        total = np.zeros(model.pooler.vectors.shape[1])
+        for token, shape in zip(h, cut.shapes(h, rows, data, np.array([0, len(data)])) if len(h) else [], strict=True):
+            total += known.get(int(token), model.pooler.vectors[-1])
+            places, signs = index_vectors(np.array([shape], np.uint64))
+            for place, sign in zip(places[0], signs[0], strict=True):
+                total += sign * model.pooler.shapes[place]
+        hidden = np.tanh(total / max(len(h), 1) + model.bias)
+        want = 1 / (1 + np.exp(-(hidden @ model.out + model.out_bias) / model.temperature))
+        assert abs(got[r["doc_id"]] - want) < 1e-7
+
+
+def test_repeated_ids(spark):
+    """Two texts of one doc_id in the sample: the outcome doesn't depend on which comes first."""
+    rows = [(i, prose(i, 30) if i % 2 else "%%% ### " * 9) for i in range(40)] + [(3, "%%% ### " * 9), (4, prose(4, 30))]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    scores = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string")
+        scores.append(sorted(tuple(r) for r in score_quality(df, fit_quality(df, labels)).collect()))
+    assert scores[0] == scores[1]
