@@ -34,8 +34,8 @@ VOCABULARY, LEAST = 20_000, 5
 DIMENSIONS, ONES, REACH, HIDDEN = 96, 8, 2, 24
 #: Tokens whose vectors are in memory at a time.
 BLOCK = 1 << 13
-#: Parts of the sample.
-PARTS = 8
+#: Parts of the sample, and slices of its tokens' sums that the driver adds up one by one.
+PARTS, SLICES = 8, 8
 THRESHOLD = 0.7
 HELD_OUT = 2
 
@@ -236,15 +236,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Qua
         return flat
     vocabulary = np.sort(vocabulary)
     vectors = np.zeros((len(vocabulary), DIMENSIONS))
-    # one row per token and task of the bounded sample
-    parts = texts.mapInArrow(_contexts(spark.sparkContext.broadcast(vocabulary)), "token long, sums binary").toArrow()
-    at = np.searchsorted(vocabulary, parts["token"].to_numpy().view(U64))
-    np.add.at(vectors, at, np.frombuffer(b"".join(parts["sums"].to_pylist()), np.int32).reshape(-1, DIMENSIONS))
+    # one row per token and task of the bounded sample, a slice at a time
+    contexts = materialize(texts.mapInArrow(_contexts(spark.sparkContext.broadcast(vocabulary)), "token long, sums binary"), "quality-contexts")
+    for k in range(SLICES):
+        part = contexts.filter(F.pmod("token", F.lit(SLICES)) == k).toArrow()
+        at = np.searchsorted(vocabulary, part["token"].to_numpy().view(U64))
+        np.add.at(vectors, at, np.frombuffer(b"".join(part["sums"].to_pylist()), np.int32).reshape(-1, DIMENSIONS))
+        del part
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    none = np.zeros((1, DIMENSIONS))
-    pooler = Pooler(
-        vocabulary, np.hstack([np.vstack([vectors, none]), np.zeros((len(vocabulary) + 1, DIMENSIONS))]), np.hstack([np.zeros((DIMENSIONS, DIMENSIONS)), np.eye(DIMENSIONS)])
-    )
+    wide = np.zeros((len(vocabulary) + 1, 2 * DIMENSIONS))
+    wide[:-1, :DIMENSIONS] = vectors
+    del vectors
+    pooler = Pooler(vocabulary, wide, np.hstack([np.zeros((DIMENSIONS, DIMENSIONS)), np.eye(DIMENSIONS)]))
     shared = spark.sparkContext.broadcast(pooler)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
