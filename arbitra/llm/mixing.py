@@ -73,7 +73,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
 
     Learns from the ``sample`` labelled documents of least hash at most. A document
     with several labels has the toxic, then the junk one. Without labels there is
-    only the bias, with equal priors.
+    only the bias, with equal priors; a domain without documents gets next to nothing.
     """
     domain = F.when(F.max("toxic") == 1, "toxic").when(F.min("quality") == 0, "junk").otherwise("clean")
     chosen = (
@@ -87,7 +87,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
     learnt = materialize(with_features(texts, "text").select("domain", "features"), "domain-sample")
     counted = learnt.agg(*(F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS)).first().asDict()
     total = sum(counted.values())
-    prior = [math.log((counted[d] + 1) / (total + len(DOMAINS))) for d in DOMAINS]
+    # of a domain without any document nothing is known: no text is of it
+    prior = [math.log((counted[d] + 1) / (total + len(DOMAINS))) if counted[d] or not total else -50.0 for d in DOMAINS]
     bias = docs.sparkSession.range(1).select(F.lit(BIAS).alias("feature"), *(F.lit(p).alias(d) for d, p in zip(DOMAINS, prior, strict=True)))
     seen = learnt.select("domain", F.explode("features").alias("feature")).filter(F.col("feature") != BIAS)
     n = materialize(
@@ -96,8 +97,11 @@ def fit_domains(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
     # a word is weighed against all words of its domain's documents, a shape against the documents
     shape = F.col("feature").startswith(BIAS)
     words = n.filter(~shape).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("all", *(f"n_{d}" for d in DOMAINS)))).first()
-    of = lambda c, docs: F.when(shape, (F.col(c) + 0.5) / (docs + 1.0)).otherwise((F.col(c) + 0.5) / (words[c] + 1.0))
-    lift = {d: F.log(of(f"n_{d}", counted[d])) - F.log(of("all", total)) for d in DOMAINS}
+    # a domain of few documents is taken to be like all, as if it had one average document more
+    mean = max(1.0, words["all"] / max(1, total))
+    base = F.when(shape, (F.col("all") + 0.5) / (total + 1.0)).otherwise((F.col("all") + 0.5) / (words["all"] + 1.0))
+    of = lambda d: F.when(shape, (F.col(f"n_{d}") + base) / (counted[d] + 1.0)).otherwise((F.col(f"n_{d}") + mean * base) / (words[f"n_{d}"] + mean))
+    lift = {d: F.log(of(d)) - F.log(base) for d in DOMAINS}
     told = sum((F.col(f"n_{d}") * lift[d] for d in DOMAINS), F.lit(0.0))
     best = (
         n.filter(F.col("all") >= LEAST)

@@ -38,6 +38,13 @@ def test_posteriors_and_targets(corpus):
         assert min(rates) >= 0
 
 
+def test_a_domain_without_documents(corpus, spark):
+    """Nothing is known of it, so no text is likely to be of it."""
+    docs, labels = corpus
+    soft = mixing.posteriors(docs, mixing.fit_domains(docs, labels.filter("quality = 1")))
+    assert soft.filter("junk > 0.001").count() == 0
+
+
 def test_result(corpus):
     docs, labels = corpus
     rows = mixing.mixing_rates(docs.union(docs.limit(1)), labels).collect()
