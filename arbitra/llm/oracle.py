@@ -49,4 +49,29 @@ QUOTED = """(SELECT conv_id, turn, role, CASE WHEN turn % 3 = 2 AND turn % 6 = 5
  WHEN turn % 3 = 2 AND b IS NOT NULL THEN '> ' || replace(b, chr(10), chr(10) || '> ') || chr(10) || text ELSE text END AS text
  FROM (SELECT *, lag(text) OVER w AS b, lag(text, 2) OVER w AS c FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)))"""
 
-SQL = {"op7_chat_formatting": OP7, "op7_quoted_conversations": _quoted(QUOTED)}
+
+
+def _clusters(k: int = 40, rounds: int = 5, size: int = 64) -> str:
+    """All vectors in integers, k of them to begin with, and each round from the one before."""
+    steps = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size})""",
+        f"""c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR)) - 1)::INTEGER AS c, v AS m FROM v QUALIFY c < {k})""",
+    ]
+    for n in range(rounds + 1):
+        steps.append(
+            f"""a{n} AS MATERIALIZED (SELECT r, (min(p)).d AS d, (min(p)).c AS c FROM (SELECT r, {{'d': d, 'c': c}} AS p FROM
+  (SELECT r, c, list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{n})) GROUP BY r)"""
+        )
+        if n < rounds:
+            steps += [
+                f"""m{n} AS MATERIALIZED (SELECT c, list(x ORDER BY i) AS m FROM (SELECT c, i, CASE WHEN sum(x) % count(*) < 0 THEN sum(x) // count(*) - 1 ELSE sum(x) // count(*) END::BIGINT AS x
+  FROM (SELECT a.c, unnest(v.v) AS x, generate_subscripts(v.v, 1) AS i FROM a{n} a JOIN v ON v.r = a.r) GROUP BY c, i) GROUP BY c)""",
+                f"c{n + 1} AS MATERIALIZED (SELECT c0.c, coalesce(n.m, c0.m) AS m FROM c{n} c0 LEFT JOIN m{n} n ON n.c = c0.c)",
+            ]
+    return "WITH " + ",\n ".join(steps) + f"""
+ SELECT v.vec_id, a.c AS cluster, a.d AS distance, sum(a.d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(a.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.m, ',')) AS centroid_sha256
+ FROM v JOIN a{rounds} a ON a.r = v.r JOIN c{rounds} c ON c.c = a.c"""
+
+
+SQL = {"op12_centroid_clusters": _clusters(), "op7_chat_formatting": OP7, "op7_quoted_conversations": _quoted(QUOTED)}
