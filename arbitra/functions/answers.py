@@ -31,9 +31,32 @@ def target(kind: Column, value: Column, selected: Column, score: Column) -> Colu
     return _by_kind(kind, value.cast("string"), selected, F.format_string("%.6f", F.round(score, 6)))
 
 
+def float_text(x: Column) -> Column:
+    """A double with the fewest digits that tell it from others: plain from 0.0001 to below 1e16, else with an exponent of two digits or more."""
+    told = x.cast("string")
+    parts = F.split(F.abs(x).cast("string"), "E")
+    digits = F.regexp_replace(F.regexp_replace(parts[0], r"\.0$", ""), r"\.", "")
+    power = F.try_element_at(parts, F.lit(2)).cast("int")
+    sign = F.when(x < 0, "-").otherwise("")
+    plain = F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)).otherwise(
+        F.when(F.length(digits) <= power + 1, F.concat(F.rpad(digits, power + 1, "0"), F.lit(".0"))).otherwise(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.length(digits))))
+    )
+    fraction = F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, 2, 20))).otherwise("")
+    scientific = F.concat(F.substring(digits, 1, 1), fraction, F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    odd = F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.concat(sign, F.lit("inf")))
+    return F.coalesce(odd, F.when(power.isNull(), told).otherwise(F.concat(sign, F.when(power.between(-4, 15), plain).otherwise(scientific))))
+
+
 def label(kind: Column, value: Column, selected: Column, score: Column) -> Column:
-    """The answer as a reviewer sees it, scores with two places."""
-    return _by_kind(kind, value.cast("string"), selected, F.format_string("%.2f", score))
+    """The answer as a reviewer sees it: scores with the digits that they have; nothing for a missing choice or score, the kind itself if it is unknown."""
+    none = F.lit("")
+    known = _by_kind(kind, F.coalesce(value, F.lit(False)).cast("string"), F.coalesce(selected, none), F.coalesce(float_text(score), none))
+    return F.coalesce(known, kind, none)
+
+
+def reviewed_value(configured: Column, drafted: Column) -> Column:
+    """What a review shows of a value: the configured one, else a teacher's draft, and which of them it is."""
+    return F.coalesce(F.concat(F.when(F.trim(configured) != "", configured), F.lit(" (configured)")), F.concat(drafted, F.lit(" (teacher draft)")), F.lit("not provided"))
 
 
 def signature(kind: Column, value: Column, selected: Column, score: Column) -> Column:

@@ -2,33 +2,36 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import json_object, json_string
 
-ROLES = {
-    "qwen": "You make the first label of each sample and answer where others can't.",
-    "gemma": "You check labels on your own; do not repeat another model's answer.",
-}
-RULES = (
-    "You are a deterministic labeler. {role} Answer with one JSON object of the asked-for form and nothing else. Probabilities lie between 0 and 1; abstain when you are not sure. "
-    "For a choice give every candidate once, with probabilities that sum to 1."
-)
-SKILLS = (
-    " For control.skill: STOP is an imminent hazard or an unsafe state, HOLD a stable pose or a safe wait, MOVE travel ahead on a clear route, ROTATE a change of heading, APPROACH less distance to a target within reach,"
-    " RETREAT more distance from a hazard over a safe way back, INTERACT activating, grasping or touching an aligned object, RECOVER balance, localization or a controller after a fault."
-)
+
+@dataclass(frozen=True)
+class Wording:
+    """What the caller wants said: the rules with ``{role}`` in them, each provider's role, and guidance for some tasks."""
+
+    rules: str
+    roles: dict[str, str]
+    guidance: dict[str, str] = field(default_factory=dict)
+
+
 # What an answer of each kind has to hold.
 FIELDS = {"boolean": ("type", "value", "probability", "abstained"), "choice": ("type", "selected", "probabilities", "abstained"), "score": ("type", "value", "interval_90", "abstained")}
 
 
-def system_prompt(provider: Column, task_id: Column) -> Column:
-    """The role's message; null for a provider without a role."""
-    text = F.lit(None).cast("string")
-    for name, role in ROLES.items():
-        text = F.when(provider == name, F.lit(RULES.format(role=role))).otherwise(text)
-    return F.concat(text, F.when(task_id == "control.skill", F.lit(SKILLS)).otherwise(F.lit("")))
+def _named(key: Column, texts: dict[str, str]) -> Column:
+    """The text of a key; null if there is none."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in texts.items() for x in pair)), key) if texts else F.lit(None).cast("string")
+
+
+def system_prompt(provider: Column, task_id: Column, wording: Wording) -> Column:
+    """The rules with the provider's role in them, then the task's guidance; null for a provider without a role."""
+    said = {name: wording.rules.replace("{role}", role) for name, role in wording.roles.items()}
+    return F.concat(_named(provider, said), F.coalesce(_named(task_id, wording.guidance), F.lit("")))
 
 
 def user_prompt(task_id: Column, version: Column, state: Column, question: Column, output_type: Column, candidates: Column) -> Column:
@@ -42,9 +45,9 @@ def user_prompt(task_id: Column, version: Column, state: Column, question: Colum
     return F.when(F.coalesce(F.size(candidates), F.lit(0)) > 0, json_object(candidates=listed, **fields)).otherwise(json_object(**fields))
 
 
-def messages(provider: Column, task_id: Column, version: Column, state: Column, question: Column, output_type: Column, candidates: Column) -> Column:
+def messages(provider: Column, task_id: Column, version: Column, state: Column, question: Column, output_type: Column, candidates: Column, wording: Wording) -> Column:
     """Both messages as an array of (role, content)."""
     return F.array(
-        F.struct(F.lit("system").alias("role"), system_prompt(provider, task_id).alias("content")),
+        F.struct(F.lit("system").alias("role"), system_prompt(provider, task_id, wording).alias("content")),
         F.struct(F.lit("user").alias("role"), user_prompt(task_id, version, state, question, output_type, candidates).alias("content")),
     )

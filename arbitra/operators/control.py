@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import ratio, wilson
 from ..functions.text import any_term, normalize_prompt
+from .quantiles import nearest, order_statistics, upper_median
 
 SKILLS = ("STOP", "HOLD", "MOVE", "ROTATE", "APPROACH", "RETREAT", "INTERACT", "RECOVER")
 
@@ -309,8 +310,5 @@ def safety_report(df: DataFrame, expected_stop: str = "expected_stop", stopped:
 
 def latency_report(df: DataFrame, latency: str, most: float) -> DataFrame:
     """Upper median, nearest-rank percentiles, greatest and mean latency, and whether the 95th is within the limit."""
-    disc = lambda q, order="": F.expr(f"percentile_disc({q}) within group (order by `{latency}` {order})")
-    return df.agg(
-        F.count(latency).alias("n"), F.round(disc(0.5, "desc"), 3).alias("p50"), F.round(disc(0.95), 3).alias("p95"), F.round(disc(0.99), 3).alias("p99"), F.round(F.max(latency), 3).alias("max"), F.round(F.avg(latency), 3).alias("mean"),
-        (disc(0.95) <= most).alias("passed"),
-    )
+    found = order_statistics(df, [], latency, {"p50": upper_median, "p95": nearest(95), "p99": nearest(99)})
+    return found.select("n", *(F.round(c, 3).alias(c) for c in ("p50", "p95", "p99")), F.round("greatest", 3).alias("max"), F.round("mean", 3).alias("mean"), (F.col("p95") <= most).alias("passed"))

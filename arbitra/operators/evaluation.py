@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import ratio
+from .quantiles import nearest, order_statistics, upper_median
 
 
 def evaluation_target(human: Column, human_abstained: Column, target: Column) -> Column:
@@ -78,22 +79,25 @@ def rule_coverage(df: DataFrame, skill: str = "skill", source: str = "source", t
 
 def replay(df: DataFrame, skill: str = "skill", source: str = "source", target: str = "target", latency: str = "latency") -> DataFrame:
     """Overall and per source of decision: accuracy, recall of stops and the latency bundle."""
-    disc = lambda q: F.round(F.expr(f"percentile_disc({q}) within group (order by `{latency}`)"), 3)
     labelled, right = _told(target, skill)
     stops = F.count_if(F.col(target) == "STOP")
-    n = df.groupingSets([[], [source]], source).agg(
-        F.grouping(source).alias("_g"), F.count("*").alias("row_count"), ratio(right, labelled).alias("accuracy"), ratio(F.count_if((F.col(target) == "STOP") & (F.col(skill) == "STOP")), stops).alias("stop_recall"),
-        disc(0.5).alias("p50"), disc(0.95).alias("p95"), disc(0.99).alias("p99"), F.round(F.max(latency), 3).alias("max"), F.round(F.avg(latency), 3).alias("mean"),
-    )
-    return n.withColumn("source", F.when(F.col("_g") == 1, "all").otherwise(F.col(source))).select("source", "row_count", "accuracy", "stop_recall", "p50", "p95", "p99", "max", "mean")
+    # every row once for its source and once for all
+    rows = df.select(F.explode(F.array(F.lit(True), F.lit(False))).alias("all"), F.col(source).alias("_source"), skill, target, latency).select(F.when(F.col("all"), "all").otherwise(F.col("_source")).alias("source"), "all", skill, target, latency)
+    n = rows.groupBy("source", "all").agg(ratio(right, labelled).alias("accuracy"), ratio(F.count_if((F.col(target) == "STOP") & (F.col(skill) == "STOP")), stops).alias("stop_recall"))
+    times = order_statistics(rows, ["source", "all"], latency, {f"p{p}": nearest(p) for p in (50, 95, 99)}).withColumnsRenamed({"source": "_s", "all": "_a"})
+    joined = n.join(times, F.col("source").eqNullSafe(F.col("_s")) & (F.col("all") == F.col("_a")))
+    return joined.select("source", F.col("rows").alias("row_count"), "accuracy", "stop_recall", *(F.round(c, 3).alias(c) for c in ("p50", "p95", "p99")), F.round("greatest", 3).alias("max"), F.round("mean", 3).alias("mean"))
 
 
 def simulation(df: DataFrame, most_ms: float, skill: str = "skill", target: str = "target", stopped: str = "abstained", latency: str = "latency") -> DataFrame:
     """One row of a simulated control loop: accuracy, recall of safe stops, false ones, latency and whether its 95th percentile is within the limit."""
     expected = F.col(target) == "STOP"
-    disc = lambda q, order="": F.expr(f"percentile_disc({q}) within group (order by `{latency}` {order})")
-    return df.agg(
+    n = df.agg(
         F.count("*").alias("n"), ratio(F.count_if(F.col(skill) == F.col(target)), F.count("*")).alias("accuracy"), ratio(F.count_if(expected & (F.col(skill) == "STOP")), F.count_if(expected)).alias("stop_recall"),
-        ratio(F.count_if(~expected & F.col(stopped)), F.count_if(~expected)).alias("false_stop_rate"), F.round(disc(0.5, "desc"), 3).alias("p50"), F.round(disc(0.95), 3).alias("p95"), F.round(disc(0.99), 3).alias("p99"),
-        F.round(F.max(latency), 3).alias("max"), F.round(F.avg(latency), 3).alias("mean"), (disc(0.95) <= most_ms).alias("within_limit"),
+        ratio(F.count_if(~expected & F.col(stopped)), F.count_if(~expected)).alias("false_stop_rate"),
+    )
+    times = order_statistics(df, [], latency, {"p50": upper_median, "p95": nearest(95), "p99": nearest(99)}).drop("n", "rows")
+    # one row each
+    return n.crossJoin(times).select(
+        "n", "accuracy", "stop_recall", "false_stop_rate", *(F.round(c, 3).alias(c) for c in ("p50", "p95", "p99")), F.round("greatest", 3).alias("max"), F.round("mean", 3).alias("mean"), (F.col("p95") <= most_ms).alias("within_limit")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import ratio
+from .quantiles import nearest, order_statistics
 from .ranking import average_rank, ranked
 
 THRESHOLDS = (0.50, 0.70, 0.80, 0.90, 0.95, 0.99)
@@ -50,7 +51,7 @@ def ece(df: DataFrame, by: list[str], label: str = "label", p: str = "p", bins:
 def adaptive_ece(df: DataFrame, by: list[str], tie: list[str], label: str = "label", p: str = "p", bins: int = 10) -> DataFrame:
     """Calibration error over bins of equal numbers of rows, in order of p, then ``tie``."""
     b = F.least(F.lit(bins), F.col("of"))
-    binned = ranked(df, by, p, tie, ascending=True).withColumn("_bin", F.floor((F.col("rank") * b - 1) / F.col("of")))
+    binned = ranked(df.select(*by, p, *tie, label), by, p, tie, ascending=True).withColumn("_bin", F.floor((F.col("rank") * b - 1) / F.col("of")))
     return _error_of_bins(binned, by, F.col(label), F.col(p), "adaptive_ece")
 
 
@@ -64,13 +65,13 @@ def auroc(df: DataFrame, by: list[str], label: str = "label", p: str = "p") -> D
 
 def auprc(df: DataFrame, by: list[str], tie: list[str], label: str = "label", p: str = "p") -> DataFrame:
     """Average precision; ties by ``tie``."""
-    at = ranked(df.withColumn("_y", F.col(label).cast("int")), by, p, tie, "_y")
+    at = ranked(df.select(*by, p, *tie, F.col(label).cast("int").alias("_y")), by, p, tie, "_y")
     return at.groupBy(*by).agg(F.round(F.try_divide(F.sum(F.col("_y") * F.col("cumulative") / F.col("rank")), F.sum("_y").cast("double")), 6).alias("auprc"))
 
 
 def risk_coverage_curve(df: DataFrame, by: list[str], tie: list[str], correct: str = "correct", confidence: str = "confidence") -> DataFrame:
     """Coverage and risk after each row, by falling confidence."""
-    at = ranked(df.withColumn("_y", F.col(correct).cast("int")), by, confidence, tie, "_y")
+    at = ranked(df.select(*by, confidence, *tie, F.col(correct).cast("int").alias("_y")), by, confidence, tie, "_y")
     return at.select(
         *by, *tie, F.col("rank").cast("bigint").alias("position"), F.round(F.col("rank") / F.col("of"), 6).alias("coverage"),
         F.round(1 - F.col("cumulative") / F.col("rank"), 6).alias("risk"), F.round(confidence, 6).alias("threshold"),
@@ -164,16 +165,10 @@ def class_calibration(long: DataFrame, cls: str = "class", label: str = "label",
     return ece(rows, ["class"])
 
 
-def nearest_rank(p: int, value: str) -> Column:
-    """The value at rank ceil(p % of n)."""
-    return F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value})")
-
-
 def latency_report(df: DataFrame, by: list[str], value: str = "latency_ms") -> DataFrame:
-    """p50, p95, p99 by nearest rank, maximum and mean, to 3 digits."""
-    return df.groupBy(*by).agg(
-        F.count("*").alias("n"), *(F.round(nearest_rank(p, value), 3).alias(f"p{p}") for p in (50, 95, 99)), F.round(F.max(value), 3).alias("max"), F.round(F.avg(value), 3).alias("mean")
-    )
+    """p50, p95, p99 by nearest rank, maximum and mean, to 3 digits; ``n`` counts rows without a value too."""
+    found = order_statistics(df, by, value, {f"p{p}": nearest(p) for p in (50, 95, 99)})
+    return found.select(*by, F.col("rows").alias("n"), *(F.round(c, 3).alias(c) for c in ("p50", "p95", "p99")), F.round("greatest", 3).alias("max"), F.round("mean", 3).alias("mean"))
 
 
 def accuracy_summary(df: DataFrame, by: str, correct: str = "correct", accepted: str = "accepted") -> DataFrame:

@@ -57,10 +57,10 @@ def review_pack(queue: DataFrame, drafts: DataFrame, prioritize: bool = True, fo
     group = counterfactual_group(F.col("counterfactual"), F.col("semantic"), F.col("sample_id"))
     items = rows.select("sample_id", "task", "state", "question", "language", "domain", "lineage", "split", "seq", group.alias("group")).join(drafts, "sample_id")
     if prioritize:
-        items, coarse, order = priority_keys(items, "group", "sample_id", focused)
+        items, order = priority_keys(items, "group", "sample_id", focused)
     else:
-        coarse, order = [F.floor(F.col("seq") / 4096)], [F.col("seq")]
-    out = positions(items, coarse, order)
+        order = [F.col("seq")]
+    out = positions(items, order)
     return out.select(
         "position", "sample_id", "group", "task", "state", "question", "language", "domain", "lineage", "split", F.struct("provider", "signature", "schema_valid", "repaired").alias("teacher"), F.lit("pending").alias("review_status"),
         "action", "confidence", "student_confidence", "student_disagrees", "signature",

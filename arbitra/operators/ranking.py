@@ -1,9 +1,10 @@
-"""Ranks and running sums over one group of any size, in two levels.
+"""Ranks, running sums and positions over groups of any size.
 
-A window over a whole group puts the group in one task. Here rows are bucketed by
-their score first; bucket totals (``buckets`` rows per group, so of bounded size)
-give each bucket its offset, and only the rows of a bucket are sorted together.
-Equal scores share a bucket.
+A window over a whole group puts the group in one task. Here rows are range-partitioned
+by their whole order instead, by Spark's sample of it, so that partitions are even
+wherever scores lie close together, and rows of one score are cut by what breaks ties.
+The partitions are written once, with each row's place in its partition; one row per
+partition and group then tells how many rows come before.
 """
 
 from __future__ import annotations
@@ -11,58 +12,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
-#: Of a bucket with one score alone, ties whose number is in the same range of this width are sorted together.
-TIES = 1 << 16
+from ..sources.shared import written
 
+#: Bits of ``monotonically_increasing_id`` that count the rows of a partition.
+_ROW_BITS = 33
 
-def ranked(df: DataFrame, by: list[str], score: str, tie: list[str], value: str | None = None, ascending: bool = False, buckets: int = BUCKETS) -> DataFrame:
+
+def spread(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` with ``_part`` and ``_row``: range partitions along ``order``, and the place in them from 0.
+
+    The result is a written table, so that all that is computed from it sees one cut.
+    """
+    spark = df.sparkSession
+    parts = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    placed = parts.withColumn("_id", F.monotonically_increasing_id())
+    return written(placed.select(*df.columns, F.shiftright("_id", _ROW_BITS).cast("int").alias("_part"), F.col("_id").bitwiseAND((1 << _ROW_BITS) - 1).alias("_row")), "spread")
+
+
+def _before(placed: DataFrame, by: list[str], *sums: Column) -> DataFrame:
+    """Of each part of a group: the first row's place, and what the group's earlier parts add up to.
+
+    A group has as many of these rows as it has partitions.
+    """
+    parts = placed.groupBy(*by, "_part").agg(F.min("_row").alias("_first"), *sums)
+    names = [c for c in parts.columns if c not in {*by, "_part", "_first"}]
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    return parts.select(*by, "_part", "_first", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in names), *(F.sum(c).over(whole).alias(f"{c}_of") for c in names))
+
+
+def ranked(df: DataFrame, by: list[str], score: str, tie: list[str], value: str | None = None, ascending: bool = False) -> DataFrame:
     """``df`` with ``rank`` (from 1), ``of`` (rows of the group), and ``cumulative`` of ``value``.
 
-    Scores lie in 0..1; ``tie`` makes the order total.
+    ``tie`` makes the order total. Rows without a score or a key are left out.
     """
     number = F.coalesce(F.col(value).cast("double"), F.lit(0.0)) if value else F.lit(0.0)
-    placed = df.withColumn("_b", F.floor(F.col(score) * buckets)).withColumn("_v", number)
-    split = len(tie) == 1 and dict(df.dtypes)[tie[0]] in ("int", "bigint", "smallint")
-    if split:
-        # many rows of one score: their order is the tie's, which is cut in ranges
-        alone = placed.groupBy(*by, "_b").agg((F.min(score) == F.max(score)).alias("_one"), F.count("*").alias("_k")).filter(f"_one and _k > {TIES}").select(*by, "_b", "_one")
-        placed = placed.join(alone, [*by, "_b"], "left").withColumn("_t", F.when(F.col("_one"), F.floor(F.col(tie[0]) / TIES)).otherwise(F.lit(0))).drop("_one")
+    rows = df.where(F.col(score).isNotNull()).dropna(subset=by) if by else df.where(F.col(score).isNotNull())
+    order = [F.col(score).asc() if ascending else F.col(score).desc(), *map(F.col, tie)]
+    placed = spread(rows.withColumn("_v", number), [*map(F.col, by), *order])
+    before = _before(placed, by, F.count("*").alias("_n"), F.sum("_v").alias("_s"))
+    joined = placed.join(before, [*by, "_part"])
+    rank = F.col("_n_before") + F.col("_row") - F.col("_first") + 1
+    if value:
+        inside = Window.partitionBy(*by, "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+        cumulative = F.col("_s_before") + F.sum("_v").over(inside)
     else:
-        placed = placed.withColumn("_t", F.lit(0).cast("bigint"))
-    totals = placed.groupBy(*by, "_b", "_t").agg(F.count("*").alias("_n"), F.sum("_v").alias("_s"))
-    edge = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
-    whole = Window.partitionBy(*by)
-    before = whole.orderBy(edge("_b"), "_t").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *by, "_b", "_t", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s0"), F.sum("_n").over(whole).alias("of")
-    )
-    order = Window.partitionBy(*by, "_b", "_t").orderBy(edge(score), *tie)
-    inside = placed.withColumn("_r", F.row_number().over(order)).withColumn("_c", F.sum("_v").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return (
-        inside.join(offsets, [*by, "_b", "_t"])
-        .withColumn("rank", F.col("_n0") + F.col("_r"))
-        .withColumn("cumulative", F.col("_s0") + F.col("_c"))
-        .drop("_b", "_t", "_v", "_r", "_c", "_n0", "_s0")
-    )
-
-
-def average_rank(df: DataFrame, by: list[str], score: str, out: str, buckets: int = BUCKETS, weight: str | None = None) -> DataFrame:
+        cumulative = F.lit(0.0)
+    return joined.select(*df.columns, rank.alias("rank"), F.col("_n_of").alias("of"), cumulative.alias("cumulative"))
+
+
+def average_rank(df: DataFrame, by: list[str], score: str, out: str, weight: str | None = None) -> DataFrame:
     """``df`` with the ascending rank of the score; ties share their mean rank.
 
-    Counts per distinct score are ranked, not rows; ``weight`` says for how many a row stands.
+    Ties are merged before anything is sorted: counts per distinct score are ranked, not
+    rows. ``weight`` says for how many a row stands. Rows without a score or a key are left out.
     """
-    counts = df.groupBy(*by, score).agg((F.sum(weight) if weight else F.count("*")).alias("_n")).withColumn("_b", F.floor(F.col(score) * buckets))
-    totals = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_t"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_n0"))
-    inside = Window.partitionBy(*by, "_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = (
-        counts.withColumn("_c", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-        .join(offsets, [*by, "_b"])
-        .select(*by, score, (F.col("_n0") + F.col("_c") + (F.col("_n") + 1) / 2.0).alias(out))
-    )
-    return df.join(ranks, [*by, score])
+    counts = df.groupBy(*by, score).agg((F.sum(weight) if weight else F.count("*")).alias("_n")).where(F.col(score).isNotNull())
+    placed = spread(counts, [*map(F.col, by), F.col(score)])
+    before = _before(placed, by, F.sum("_n").alias("_t"))
+    inside = Window.partitionBy(*by, "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = placed.join(before, [*by, "_part"]).withColumn("_c", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    return df.join(ranks.select(*by, score, (F.col("_t_before") + F.col("_c") + (F.col("_n") + 1) / 2.0).alias(out)), [*by, score])
 
 
 def latest(df: DataFrame, key: list[str], seq: str) -> DataFrame:
@@ -77,14 +87,10 @@ def earliest(df: DataFrame, key: list[str], seq: str) -> DataFrame:
     return df.groupBy(*key).agg(F.min_by(F.struct(*others), seq).alias("_r")).select(*key, "_r.*").select(*df.columns)
 
 
-def positions(df: DataFrame, coarse: list[Column], order: list[Column]) -> DataFrame:
-    """``df`` with ``position`` (from 1) in the whole order, without a sort in one task.
-
-    ``coarse`` are keys of few values that rise along ``order``: rows are counted per
-    value, and only rows of one value are sorted together.
-    """
-    placed = df.withColumn("_c", F.struct(*(c.alias(f"k{i}") for i, c in enumerate(coarse))))
-    counts = placed.groupBy("_c").agg(F.count("*").alias("_n"))
-    before = counts.select("_c", F.coalesce(F.sum("_n").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_c").orderBy(*order)))
-    return inside.join(before, "_c").withColumn("position", F.col("_before") + F.col("_r")).drop("_c", "_r", "_before")
+def positions(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` with ``position`` (from 1) in the whole order, without a sort in one task."""
+    placed = spread(df, order)
+    # one row per partition
+    before = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = before.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + F.col("_row") + 1).alias("position"))

@@ -75,7 +75,7 @@ def dual_actions(df: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def action_summary(df: DataFrame) -> DataFrame:
     """Actions with their ``position`` by rate (null last), then most disagreements, then name."""
     order = [F.col("rate").asc_nulls_last(), F.col("disagreed").desc(), F.col("action")]
-    return positions(df, [F.coalesce(F.floor(F.col("rate") * 64), F.lit(65))], order)
+    return positions(df, order)
 
 
 def dual_gate(df: DataFrame, minimum: float = 0.98, a: str = "a", b: str = "b") -> DataFrame:
@@ -128,8 +128,8 @@ def teacher_rank(schema_valid: Column, repaired: Column, confidence: Column, id:
     return F.struct(level.alias("level"), F.when(level == 2, confidence).otherwise(F.lit(0.0)).alias("confidence"), id.alias("id"))
 
 
-def priority_keys(items: DataFrame, group: str = "group", id: str = "sample_id", focus: list[str] | None = None) -> tuple[DataFrame, list[Column], list[Column]]:
-    """(``items`` with the keys of the review order, coarse keys, all keys) for :func:`positions`.
+def priority_keys(items: DataFrame, group: str = "group", id: str = "sample_id", focus: list[str] | None = None) -> tuple[DataFrame, list[Column]]:
+    """(``items`` with the keys of the review order, the keys) for :func:`positions`.
 
     Columns needed: signature, action, schema_valid, repaired, confidence,
     student_confidence, student_disagrees. Groups stay together: collisions first,
@@ -145,9 +145,8 @@ def priority_keys(items: DataFrame, group: str = "group", id: str = "sample_id",
         F.min(F.when(focused, 0).otherwise(1)).alias("not_focus"), F.min(F.when(F.col("student_disagrees") & F.col("signature").isNotNull(), 0).otherwise(1)).alias("not_disagreeing"),
         F.coalesce(F.min("student_confidence"), F.lit(1.0)).alias("least_confidence"), F.min("_rank").alias("_least"),
     )
-    coarse = [F.col("not_collision"), F.col("not_focus"), F.col("not_disagreeing"), F.floor(F.col("least_confidence") * 4096)]
     order = [F.col(c) for c in ("not_collision", "not_focus", "not_disagreeing", "least_confidence", "_least", group, "_rank")]
-    return rows.join(g, group), coarse, order
+    return rows.join(g, group), order
 
 
 def review_priority(items: DataFrame, group: str = "group", id: str = "sample_id", focus: list[str] | None = None) -> DataFrame:
@@ -158,7 +157,7 @@ def review_priority(items: DataFrame, group: str = "group", id: str = "sample_id
 def batch_of_groups(df: DataFrame, group: str, offset: int, limit: int) -> DataFrame:
     """The rows of the groups at positions ``offset``.. in order of name: a page of a queue."""
     names = df.select(group).distinct().orderBy(group).offset(offset).limit(limit)
-    return df.join(F.broadcast(names), group, "left_semi")
+    return df.join(names, group, "left_semi")
 
 
 def first_pending(df: DataFrame, pos: str, status: str = "status") -> DataFrame:

@@ -98,9 +98,10 @@ def _typed(s, d):
 def _answers(s, d):
     x = _typed(s, d)
     kind, value, p, selected, probabilities, score, lower, upper = (F.col(c) for c in ("kind", "value", "p", "selected", "probabilities", "score", "lower", "upper"))
+    shown, doc = answers.label(kind, value, selected, score), F.col("doc_id")
     return x.select(
         "doc_id", "provider", F.round(answers.confidence(kind, p, selected, probabilities, lower, upper), 6).alias("confidence"), answers.target(kind, value, selected, score).alias("target"),
-        answers.label(kind, value, selected, score).alias("shown"), answers.signature(kind, value, selected, score).alias("signature"), answers.accepted(kind, value, p, selected, probabilities, F.col("abstained"), 0.92, 0.08, 0.9).alias("accepted"),
+        shown.alias("shown"), answers.reviewed_value(F.when(doc % 4 == 0, shown).when(doc % 4 == 1, F.lit(" ")), F.when(doc % 4 <= 2, shown)).alias("reviewed"), answers.signature(kind, value, selected, score).alias("signature"), answers.accepted(kind, value, p, selected, probabilities, F.col("abstained"), 0.92, 0.08, 0.9).alias("accepted"),
     )
 
 
@@ -200,7 +201,8 @@ SQL = {
  {_errors("CASE WHEN x NOT BETWEEN 0 AND 1 THEN 'minimum_confidence' END", "CASE WHEN x + 1 < 0 THEN 'max_observation_age_ms' END", "CASE WHEN ttl_ms < 1 THEN 'max_action_ttl_ms' END")} AS policy FROM b""",
     "message_content": """SELECT item_id, sha256(CASE item_id % 7 WHEN 1 THEN text || ' end' WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE text END) AS content, CASE WHEN item_id % 7 = 4 THEN NULL ELSE 'm' || item_id % 7 || ',a' END AS models FROM benchmark""",
     "typed_answers": W + TYPED + """ SELECT doc_id, provider, round(CASE kind WHEN 'boolean' THEN p WHEN 'choice' THEN CASE selected WHEN 'x' THEN p ELSE py END ELSE greatest(0, 1 - (upper - lower)) END, 6) AS confidence,
- CASE kind WHEN 'boolean' THEN value::VARCHAR WHEN 'choice' THEN selected ELSE printf('%.6f', p) END AS target, CASE kind WHEN 'boolean' THEN value::VARCHAR WHEN 'choice' THEN selected ELSE printf('%.2f', p) END AS shown, kind || ':' || CASE kind WHEN 'boolean' THEN value::VARCHAR WHEN 'choice' THEN selected ELSE printf('%.6f', p) END AS signature,
+ CASE kind WHEN 'boolean' THEN value::VARCHAR WHEN 'choice' THEN selected ELSE printf('%.6f', p) END AS target, CASE kind WHEN 'boolean' THEN value::VARCHAR WHEN 'choice' THEN selected ELSE p::VARCHAR END AS shown,
+ CASE WHEN doc_id % 4 = 0 THEN CASE kind WHEN 'boolean' THEN value::VARCHAR WHEN 'choice' THEN selected ELSE p::VARCHAR END || ' (configured)' WHEN doc_id % 4 <= 2 THEN CASE kind WHEN 'boolean' THEN value::VARCHAR WHEN 'choice' THEN selected ELSE p::VARCHAR END || ' (teacher draft)' ELSE 'not provided' END AS reviewed, kind || ':' || CASE kind WHEN 'boolean' THEN value::VARCHAR WHEN 'choice' THEN selected ELSE printf('%.6f', p) END AS signature,
  NOT abstained AND CASE kind WHEN 'boolean' THEN p >= .92 WHEN 'choice' THEN CASE selected WHEN 'x' THEN p ELSE py END >= .9 ELSE true END AS accepted FROM ty""",
     "soft_target_blend": W + TYPED + """, b AS (SELECT a.doc_id, ['boolean', 'choice', 'score'][a.doc_id % 3 + 1] AS kind, a.p AS pa, b.p AS pb, a.value AS va, b.value AS vb, a.py AS ya, b.py AS yb, a.pz AS za, b.pz AS zb FROM ty a JOIN ty b ON a.doc_id = b.doc_id AND a.provider = 'a' AND b.provider = 'b')
  SELECT doc_id, kind, CASE kind WHEN 'boolean' THEN round((CASE WHEN va THEN pa ELSE 1 - pa END + CASE WHEN vb THEN pb ELSE 1 - pb END) / 2, 6) END AS probability,

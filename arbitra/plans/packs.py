@@ -104,12 +104,16 @@ def _cached(s, d):
     return router.answered(asked, kept).select("event_id", F.col("cache_key"), "hit", F.col("cached_route").alias("route"))
 
 
+#: Words of a caller, for the query.
+WORDING = prompts.Wording("Give one object. {role}", {"qwen": "You go first.", "gemma": "You go second."}, {"control.skill": " Pick by safety."})
+
+
 def _prompts(s, d):
     docs = A.table(s, d, "documents").select("doc_id", "source", F.element_at(F.array(*map(F.lit, ("memory.remember_worthy", "control.skill", "memory.importance"))), (F.col("doc_id") % 3 + 1).cast("int")).alias("task_id"))
     rows = docs.join(F.broadcast(TASKS.frame(s)), "task_id")
     user = prompts.user_prompt(F.col("task_id"), F.col("version"), F.col("source"), F.lit(QUESTION), F.col("output_type"), F.col("candidates"))
-    system = prompts.system_prompt(F.when(F.col("doc_id") % 2 == 0, "qwen").when(F.col("doc_id") % 5 == 0, "other").otherwise("gemma"), F.col("task_id"))
-    return rows.select("doc_id", T.digest(user).alias("user_sha256"), F.length(system).isNotNull().alias("known"), F.coalesce(F.contains(system, F.lit("RETREAT")), F.lit(False)).alias("guided"))
+    provider = F.when(F.col("doc_id") % 2 == 0, "qwen").when(F.col("doc_id") % 5 == 0, "other").otherwise("gemma")
+    return rows.select("doc_id", T.digest(user).alias("user_sha256"), prompts.system_prompt(provider, F.col("task_id"), WORDING).alias("system"))
 
 
 QUERIES = {
@@ -170,5 +174,5 @@ SQL = {
     "router_responses": W + ATTEMPTS + " SELECT request, results, route, latency_ms, review_required FROM rs",
     "router_payloads": W + ATTEMPTS + """ SELECT request, route, review_required, sha256('{"calibration":"phase1-router-uncalibrated","latency_ms":0.5,"model":"phase1-router","request_id":"req-' || substr(sha256(request::VARCHAR), 1, 24) || '","results":' || js || ',"route":"' || route || '"' || CASE WHEN request % 2 = 0 THEN ',"traces":["trace"]' ELSE '' END || '}') AS payload_sha256 FROM rs""",
     "router_cache": W + ATTEMPTS + ", c AS (SELECT request % 50 AS k, arg_min(route, request) AS route FROM rs WHERE NOT review_required GROUP BY 1) SELECT event_id, " + _KEY + " AS cache_key, c.k IS NOT NULL AS hit, c.route FROM events LEFT JOIN c ON c.k = event_id % 60 % 50",
-    "teacher_prompts": f"SELECT doc_id, {_USER} AS user_sha256, doc_id % 2 = 0 OR doc_id % 5 <> 0 AS known, doc_id % 3 = 1 AND (doc_id % 2 = 0 OR doc_id % 5 <> 0) AS guided FROM documents",
+    "teacher_prompts": f"SELECT doc_id, {_USER} AS user_sha256, CASE WHEN doc_id % 2 = 0 THEN 'Give one object. You go first.' WHEN doc_id % 5 <> 0 THEN 'Give one object. You go second.' END || CASE WHEN doc_id % 3 = 1 THEN ' Pick by safety.' ELSE '' END AS system FROM documents",
 }

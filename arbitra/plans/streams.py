@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranking import latest
 from ..sources import adapters as A
+from ..sources.shared import shared_folder
 from ..streaming import flows
+from ..streaming.latest import LatestTable
 from . import views as V
 from . import workflow
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="arbitra-streams-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a file stream; single files are read through a glob."""
     schema = A.table(spark, sf_dir, "events").schema
@@ -28,7 +21,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    spark, out = df.sparkSession, _folder(df.sparkSession, name)
+    spark, out = df.sparkSession, shared_folder(df.sparkSession, name)
     if mode == "append":
         flows.once(df, f"{out}/checkpoint").format("parquet").option("path", f"{out}/rows").start().awaitTermination()
     else:
@@ -57,11 +50,10 @@ def _first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).select(F.col("user_id").alias("sample_id"), F.col("event_id").alias("seq"), (A.keyed("event_id", "correction", 2) == 1).alias("correction"))
-    path = _folder(spark, "latest")
-    out = flows.once(e, f"{path}/checkpoint").foreachBatch(flows.merge_into(f"{path}/rows")).start()
-    out.awaitTermination()
-    last = max((p["batchId"] for p in out.recentProgress if p["numInputRows"]), default=0)
-    return spark.read.parquet(f"{path}/rows/version={last}").select("sample_id", "seq", "correction")
+    path = shared_folder(spark, "latest")
+    table = LatestTable(spark, f"{path}/table", e.schema, ["sample_id"], "seq")
+    flows.once(e, f"{path}/checkpoint").foreachBatch(table.merge()).start().awaitTermination()
+    return table.read()
 
 
 def _stale(spark: SparkSession, sf_dir: str) -> DataFrame:

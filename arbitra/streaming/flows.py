@@ -1,4 +1,4 @@
-"""Streams over append-only logs: counters, dedup, latest-wins, staleness."""
+"""Streams over append-only logs: counters, dedup, staleness; latest-wins is in ``latest``."""
 
 from __future__ import annotations
 
@@ -31,25 +31,6 @@ def mark_stale(df: DataFrame) -> DataFrame:
     return df.withColumn("reason", staleness(F.col("now_ms"), F.col("timestamp_ms")))
 
 
-def merge_into(path: str, key: str = "sample_id", seq: str = "seq"):
-    """For ``foreachBatch``: fold each micro-batch into a table of latest rows.
-
-    Each version is a folder of its own, named by the batch, so a batch that runs
-    again writes the same folder again and readers never see half a table.
-    """
-    from ..operators.ranking import latest
-
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = latest(batch, [key], seq)
-        if number > 0:
-            old = spark.read.schema(batch.schema).parquet(f"{path}/version={number - 1}")
-            rows = latest(old.unionByName(rows), [key], seq)
-        rows.write.mode("overwrite").parquet(f"{path}/version={number}")
-
-    return run
-
-
 def once(df: DataFrame, checkpoint: str, mode: str = "append") -> DataStreamWriter:
     """Run over all that is there and stop; the checkpoint makes the job resumable."""
     return df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)

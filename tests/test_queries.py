@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from arbitra.plans.oracle import SQL
 from arbitra.plans.registry import QUERIES
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="module")
