@@ -37,10 +37,13 @@ def test_quotations(spark, tmp_path):
 def test_table(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    for table in ("conversations", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     sql, got = con.sql(SQL[name]), QUERIES[name](spark, sf)
     rows = got.collect()
     assert order(got.columns, rows) == order(sql.columns, sql.fetchall())
+    if not name.startswith("op7_"):
+        return
     place = [(r["conv_id"], r["thread"], r["turn"]) for r in rows]
     assert place == sorted(place)
     assert name != "op7_quoted_conversations" or sum(r["reply_to"] is not None for r in rows) > 10
