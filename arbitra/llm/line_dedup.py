@@ -2,8 +2,11 @@
 
 1. Every line that isn't blank gets a 128-bit key of its words (A-Z lowered, white
    space as one blank); lines of one key are equal, and are one node from here on.
-2. Fuzzy lines: MinHash over shingles of ``SHINGLE`` characters, by one permutation
-   with densified bins; ``BANDS`` bands of ``ROWS`` values. Bands' rows are dealt by
+2. Fuzzy lines: MinHash over shingles of ``SHINGLE`` characters. Lines of ``FEW``
+   distinct ones or more have ``BANDS`` bands of ``ROWS`` values, by one permutation with
+   densified bins. Where bins are as many as shingles these values aren't independent:
+   lines of fewer have as many bands of ``FEW_ROWS`` values by permutations of their own.
+   Lines little longer have both, so that no pair falls between. Bands' rows are dealt by
    ranges of (bucket, node), cut by a sample so that a bucket of any size is spread,
    and travel as arrays. In a bucket of up to ``SMALL`` lines all pairs are candidates;
    in a larger one, or one that a cut runs through, each line and its predecessors.
@@ -35,6 +38,10 @@ BANDS, ROWS = 10, 3
 #: A power of two; the bands take BANDS * ROWS of them.
 BINS = 32
 PERCENT = 75
+#: Distinct shingles from which on bins do, those under which permutations are taken (a like line has FEW / 0.75 at most), and values of a band then.
+FEW, MOST_FEW, FEW_ROWS = 64, 86, 2
+#: Places of a line that are looked at to see that it has MOST_FEW distinct shingles.
+PROBED = 128
 #: Lines of a bucket that are compared at once, and predecessors that each line of a larger one meets first.
 SMALL, WINDOW = 16, 2
 #: Rows of the sample for each part of the order.
@@ -152,9 +159,9 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list
     return out
 
 
-def bins(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bins(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, made: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(``BINS`` MinHash values of each line by one permutation, how many shingles it has); lines follow each other."""
-    h, starts, ends = shingles(data, starts, ends)
+    h, starts, ends = made or shingles(data, starts, ends)
     none = np.uint32(0xFFFFFFFF)
     value = h.astype(np.uint32) >> np.uint32(1)
     # what starts too near to a line's end, or is its end
@@ -176,15 +183,61 @@ def bins(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     return values, np.maximum(ends - starts - SHINGLE + 1, 0)
 
 
-def buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the bucket of each line in each band, how many shingles it has)."""
-    values, size = bins(data, starts, ends)
+def buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, made: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(the bucket of each line in each band, how many shingles it has); ``made``: its shingles, if they are known."""
+    values, size = bins(data, starts, ends, made)
     # a band's values are BANDS bins apart: an empty bin has its value from the next full one
     values = values[:, : ROWS * BANDS].reshape(-1, ROWS, BANDS)
     with np.errstate(over="ignore"):
         return mix(values[:, 0] * U64(3) + mix(values[:, 1] * U64(5) + mix(values[:, 2])) + np.arange(BANDS, dtype=U64)).view(np.int64), size
 
 
+def distinct_counts(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many distinct shingles each line has, exact for lines of under ``MOST_FEW``; at least that many else."""
+    places = np.maximum(ends - starts - SHINGLE + 1, 0)
+    out = np.minimum(places, 1)
+    some = np.flatnonzero(places > 1)
+    for begin in range(0, len(some), 4096):
+        part = some[begin : begin + 4096]
+        n = np.minimum(places[part], PROBED)
+        at = np.arange(PROBED)
+        probed = x[np.minimum(starts[part, None] + at * (places[part, None] // n[:, None]), len(x) - 1)]
+        # further places repeat the first
+        probed = np.where(at < n[:, None], probed, probed[:, :1])
+        probed.sort(axis=1)
+        out[part] = 1 + np.count_nonzero(probed[:, 1:] != probed[:, :-1], axis=1)
+    for k in np.flatnonzero((places > PROBED) & (out < MOST_FEW)).tolist():
+        out[k] = len(np.unique(x[starts[k] : starts[k] + places[k]]))
+    return out
+
+
+_SEEDS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF for k in range(BANDS * FEW_ROWS)], U64)
+
+
+def few_buckets(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bucket in each band of lines that have a shingle, by a permutation for each value."""
+    places = ends - starts - SHINGLE + 1
+    first = np.cumsum(places) - places
+    own = x[np.repeat(starts - first, places) + np.arange(places.sum())]
+    values = np.empty((len(starts), BANDS * FEW_ROWS), U64)
+    with np.errstate(over="ignore"):
+        for k, seed in enumerate(_SEEDS):
+            values[:, k] = np.minimum.reduceat(mix(own ^ seed), first)
+        both = mix(values[:, :BANDS] * U64(3) + mix(values[:, BANDS:] + U64(7)))
+        return mix(both + np.arange(BANDS, 2 * BANDS, dtype=U64)).view(np.int64)
+
+
+def band_rows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(lines, their buckets) by bins and by permutations of their own; lines follow each other."""
+    x, begin, stop = shingles(data, starts, ends)
+    n = distinct_counts(x, begin, stop)
+    few = np.flatnonzero((n > 0) & (n < MOST_FEW))
+    out = [(many := np.flatnonzero(n >= FEW), buckets(data, starts, ends, (x, begin, stop))[0][many])]
+    if len(few):
+        out.append((few, few_buckets(x, begin[few], stop[few])))
+    return out
+
+
 def _prepare(at: int, names: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows with their text packed, the keys of their lines (0 for a blank one) and a hash of the text."""
@@ -295,12 +348,17 @@ def _bands(shared=None) -> Callable:
         """Buckets and nodes of the bands of this task's distinct lines, as arrays, by part."""
         unpack = zstandard.ZstdDecompressor()
         bounds = shared.value if shared else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        held, n = [], 0
+        held, n = ([], []), 0  # of either kind of bands
 
         def out() -> pa.RecordBatch:
-            node, bucket = (np.concatenate(x) for x in zip(*held, strict=True))
-            node, some = np.unique(node, return_index=True)
-            first, node = bucket[some].T.ravel(), np.tile(node, BANDS)
+            firsts, nodes = [], []
+            for kind in held:
+                if kind:
+                    node, bucket = (np.concatenate(x) for x in zip(*kind, strict=True))
+                    node, some = np.unique(node, return_index=True)
+                    firsts.append(bucket[some].T.ravel())
+                    nodes.append(np.tile(node, BANDS))
+            first, node = np.concatenate(firsts), np.concatenate(nodes)
             part = part_of(bounds, first, node)
             order = np.argsort(part, kind="stable")
             cut = np.flatnonzero(np.diff(part[order])) + 1
@@ -315,16 +373,15 @@ def _bands(shared=None) -> Callable:
             for i, j, data, off in chunks(raw, offsets, CHUNK):
                 k1 = np.frombuffer(b"".join(keys[i:j]), np.int64).reshape(-1, 2)[:, 0]
                 starts, ends, _ = line_spans(data, off)
-                bucket, size = buckets(data, starts, ends)
-                # three shingles are in a set of four at best; with fewer there is no partner
-                some = np.flatnonzero((k1 != 0) & (size >= 3))
-                if len(some):
-                    held.append((k1[some], bucket[some]))
-                    n += len(some)
+                for kind, (lines, bucket) in zip(held, band_rows(data, starts, ends), strict=False):
+                    some = k1[lines] != 0
+                    if some.any():
+                        kind.append((k1[lines[some]], bucket[some]))
+                        n += int(np.count_nonzero(some))
                 if n >= HELD:
                     yield out()
-                    held, n = [], 0
-        if held:
+                    held, n = ([], []), 0
+        if n:
             yield out()
 
     return run
@@ -521,7 +578,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     within a document too; a null doc_id comes first. A null text stays null (no line),
     an empty one stays empty (one line); blank lines always stay. Each row is a text of
     its own: of repeated rows one keeps its lines. Lines that share none of ten bands
-    aren't compared: of pairs at exactly 75 percent, 4 in 1,000. Other columns are
+    aren't compared: of pairs at exactly 75 percent 4 in 1,000, or 3 in 10,000 where a
+    line has under 64 distinct shingles; equal sets always share them. Other columns are
     carried along, whatever their names; only ``n_lines``, ``n_removed`` and ``n_left``
     are replaced where the table has them. No rows give no rows.
     """

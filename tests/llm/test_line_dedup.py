@@ -8,7 +8,7 @@ import numpy as np
 from conftest import LOREM, SCHEMA, prose
 
 from arbitra.llm import line_dedup
-from arbitra.llm.line_dedup import buckets, dedup_lines, drop_repeated_lines, part_of, shingle_sets
+from arbitra.llm.line_dedup import band_rows, buckets, dedup_lines, distinct_counts, drop_repeated_lines, part_of, shingle_sets, shingles
 
 
 def normal(line):
@@ -110,6 +110,48 @@ def test_buckets_estimate_similarity():
     assert (bucket[::2] == np.roll(bucket[1::2], 1, axis=0)).any(axis=1).mean() < 0.01
 
 
+def at_75(r, size):
+    """A random line of that many shingles, and its beginning that has three quarters of them."""
+    line = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(size + 7))
+    return line, line[: -(-3 * size // 4) + 7]
+
+
+def test_recall_by_length():
+    """Of pairs at 0.75 or a little above, whatever their length, nearly all share a band."""
+    r = random.Random(12)
+    for size in (4, 8, 12, 16, 20, 32, 48, 63, 64, 70, 84, 86, 100, 200):
+        lines = [x for _ in range(1200) for x in at_75(r, size)]
+        data = np.frombuffer("\n".join(lines).encode(), np.uint8)
+        ends = np.append(np.flatnonzero(data == 10), len(data))
+        found = np.zeros(len(lines) // 2, bool)
+        for kind, (at, bucket) in enumerate(band_rows(data, np.append(0, ends[:-1] + 1), ends)):
+            whole = np.arange(len(lines) * bucket.shape[1]).reshape(len(lines), -1) + (kind << 40)
+            whole[at] = bucket
+            found |= (whole[::2] == whole[1::2]).any(axis=1)
+        assert found.mean() >= (0.998 if size <= 64 else 0.99), size
+
+
+def test_short_lines(spark):
+    r = random.Random(13)
+    pairs = [at_75(r, 8) for _ in range(400)] + [at_75(r, 4) for _ in range(100)]
+    equal = [("aaaaaaaaa", "aaaaaaaa"), ("ababababa", "babababab"), ("z" * 5000, "z" * 12), ("xy" * 300, "yx" * 9)]
+    rows = [(i, a) for i, pair in enumerate(pairs + equal) for a in pair]
+    df = spark.createDataFrame([(k, line) for k, (_, line) in enumerate(rows)], "doc_id long, text string")
+    gone = {x["doc_id"] for x in dedup_lines(df).filter("n_removed > 0").collect()}
+    assert gone <= set(range(1, len(rows), 2))
+    assert len(gone) >= 0.995 * len(rows) / 2 and set(range(2 * len(pairs) + 1, len(rows), 2)) <= gone
+
+
+def test_distinct_counts():
+    lines = ["", "short", "abcdefgh", "ab" * 100, "a" * 9, "".join(chr(97 + i % 26) + str(i) for i in range(300)), prose(3, 30), prose(4, 12), ("".join(map(str, range(30))) + " ") * 40]
+    data = np.frombuffer("\n".join(lines).encode(), np.uint8)
+    ends = np.append(np.flatnonzero(data == 10), len(data))
+    got = distinct_counts(*shingles(data, np.append(0, ends[:-1] + 1), ends)).tolist()
+    for line, n in zip(lines, got, strict=True):
+        want = len(grams(line))
+        assert n == want if want < 86 else n >= 86
+
+
 def test_dense_buckets(spark, monkeypatch):
     """Thousands of lines that resemble each other by half, and pairs of them at 0.75 to 0.85: all pairs that share a band are found."""
     monkeypatch.setattr(line_dedup, "SMALL", 4)
