@@ -30,7 +30,7 @@ ARRAY = 1 << 20
 
 
 #: Capitals whose small letters the library knows and Python's tables don't yet.
-_NEWER = {0xA7CB: 0x264, 0xA7DC: 0x19B}
+_NEWER = {"\ua7cb": "\u0264", "\ua7dc": "\u019b"}
 
 
 def _byte_letters() -> list[str]:
@@ -170,7 +170,9 @@ class TokenCounter:
         """Normalised text cut at blanks and line ends, which no pre-token crosses."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.translate(_NEWER).lower().replace("\n", " ").split(" ")
+            for capital, small in _NEWER.items():
+                text = text.replace(capital, small)
+        return text.lower().replace("\n", " ").split(" ")
 
     def pieces(self, text: str) -> tuple[int, list[str]]:
         """(special tokens, pieces of the rest) of a text."""
