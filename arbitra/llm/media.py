@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .session import materialize, partitions, shared_dir, small_batches
@@ -144,6 +144,16 @@ def _write(folder: str, most: int):
     return run
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system: one without a scheme is on the default one, where tables of such names go too."""
+    if "://" in folder:
+        return folder
+    if folder.startswith("file:"):
+        return "file://" + folder.removeprefix("file:")
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return ("file://" if default.startswith("file:") else default.rstrip("/")) + folder
+
+
 def store(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Write the shards; ``doc_id, n_bytes, digest, folder, shard, offset, length`` of each row.
 
@@ -152,9 +162,7 @@ def store(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD,
     """
     spark = docs.sparkSession
     small_batches(spark)
-    folder = folder or f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
-    if "://" not in folder:
-        folder = "file://" + folder.removeprefix("file:")
+    folder = _qualified(spark, folder or f"{shared_dir(spark)}/media-{uuid.uuid4().hex}")
     written = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         _write(folder, shard_bytes), "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
     )

@@ -45,3 +45,15 @@ def test_shards_are_tar_files(spark, odd, tmp_path):
             assert len(names) == len(set(names))
             for m in t.getmembers():
                 assert hashlib.sha256(media.decode(io.BytesIO(t.extractfile(m).read()).read())).hexdigest() + ".png" == m.name
+
+
+def test_folders_without_a_scheme(spark, monkeypatch):
+    """They are on the default file system, as tables of such names are."""
+    assert media._qualified(spark, "hdfs://n/x") == "hdfs://n/x" and media._qualified(spark, "file:/x") == "file:///x" and media._qualified(spark, "/x") == "file:///x"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "hdfs://name:9000/")
+    try:
+        assert media._qualified(spark, "/shared/x") == "hdfs://name:9000/shared/x"
+    finally:
+        conf.set("fs.defaultFS", before)
