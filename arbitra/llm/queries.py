@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
-
 from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,8 +77,11 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text with pseudonyms; the key is the session's ``spark.arbitra.pii.key``, one for tests where that is unset."""
-    return pseudonyms(table(spark, sf_dir, "documents"), spark.conf.get("spark.arbitra.pii.key", "not a secret"))
+    """Every text with pseudonyms; the key is the session's ``spark.arbitra.pii.key``, drawn anew for the session where that is unset."""
+    name = "spark.arbitra.pii.key"
+    if not spark.conf.get(name, ""):
+        spark.conf.set(name, secrets.token_hex(32))
+    return pseudonyms(table(spark, sf_dir, "documents"), spark.conf.get(name))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,3 +111,16 @@ def test_against_brute_force():
     cards = [f"41111111111{n:04d}" for n in range(500)]
     images = {pseudonymize(c + str(luhn(c)), KEY)[0] for c in cards}
     assert len(images) == 500 and all(luhn(x[:-1]) == int(x[-1]) and x[0] == "4" for x in images)
+
+
+def test_no_key_is_known(spark):
+    """Where none is set, the query draws one for the session: the same for its whole life, and no other's."""
+    from arbitra.llm.queries import op9_pii_pseudonyms
+
+    name, seen = "spark.arbitra.pii.key", []
+    for _ in range(2):
+        spark.conf.unset(name)
+        for _ in range(2):
+            op9_pii_pseudonyms(spark, "/root/testdata/sf0.001")
+            seen.append(spark.conf.get(name))
+    assert seen[0] == seen[1] != seen[2] == seen[3] and all(len(k) == 64 for k in seen)
