@@ -43,7 +43,7 @@ HELD = 200_000
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|template|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/][^>]*>",
     re.S | re.I,
@@ -64,25 +64,30 @@ WORDS = frozenset(
     " notice notices alert comment comments disqus respond form search subscribe subscription newsletter share sharing social related recommended breadcrumb"
     " breadcrumbs pagination pager popup modal toolbar skip masthead copyright widget login signup".split()
 )
+#: Inside an article, class names count only if they consist of such words and those of layout; paragraphs and headings of one that is an advert's or a notice's.
+LAYOUT = frozenset("box wrap wrapper container block area inner outer bar list item items link links left right top bottom section panel row column user users reader readers button buttons".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement adverttext promo promotion sponsor sponsored banner cookie cookies consent gdpr newsletter".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPLIT_NAMES = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
 def _role(name: str, attributes: str, in_article: bool) -> tuple[str, bool]:
     """(label of the element in paths, whether what it holds goes)."""
+    tag_away = name == "noscript" and not in_article or name in AWAY and not (name == "header" and in_article)
     if not attributes.strip(" /"):
-        return name, name in AWAY and not (name == "header" and in_article)
+        return name, tag_away
     found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
     names = f"{found.get('class', '')} {found.get('id', '')}".split()
     label = ".".join([name, *names])
     if name in ("html", "body", "article", "main"):
         return label, False
-    words = {w.lower() for x in names for w in SPLIT_NAMES.split(x)}
-    if in_article and name == "header":
-        words -= {"header"}
+    telling = WORDS
+    if in_article:
+        telling = ADVERTS if name == "p" or name in HEADINGS else WORDS - {"header"} if name == "header" else WORDS
+    words = ({w.lower() for w in SPLIT_NAMES.split(x) if w} for x in names)
     gone = (
-        (name in AWAY and not (name == "header" and in_article))
-        or not words.isdisjoint(WORDS)
+        tag_away
+        or any(not w.isdisjoint(telling) and (not in_article or w <= telling | LAYOUT) for w in words)
         or found.get("role", "").lower() in ROLES
         or "hidden" in found
         or found.get("aria-hidden") == "true"

@@ -40,6 +40,9 @@ CASES = [
     ("<div role=navigation>m</div><div hidden>h</div><div style='display: none'>n</div><div>kept</div>", "kept"),
     ("<p>unclosed <i>italic", "unclosed italic"), ("<p title='a > b'>attr</p>", "attr"), ("<article><p>5 < 6 and 7 > 3</p></article>", "5 < 6 and 7 > 3"), ("<p>&eacute;&#233;&#xe9;</p>", "ééé"), ("<script>never closed", ""),
     ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"), ("<div class='advice'>load</div>", "load"),
+    ("<article><p class='social-science'>a field</p><div class='search-results-explained'>of work</div><p class=widget>and a thing</p><noscript><p>said plainly</p></noscript></article>", "a field\nof work\nand a thing\nsaid plainly"),
+    ("<article><p>own</p><p class='ad'>buy</p><div class='share-bar'>send</div><div class=newsletter-box>sign up</div><ul class='related-links'><li>more</ul></article>", "own"),
+    ("<noscript>Switch scripts on</noscript><div class='search-results-explained'>menu</div><p>kept</p>", "kept"),
     ("<article><p>let <math><mi>x</mi></math> be <svg><text>drawn</text></svg></p><object>as said</object></article>", "let x be drawn\nas said"),
 ]
 
