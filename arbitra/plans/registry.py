@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import control, coverage, dataset, decisions, evaluation, metrics, models, packs, records, streams, workflow
+from . import control, coverage, dataset, decisions, evaluation, metrics, models, packs, records, streams, student, workflow
 
 QUERIES = {}
-for family in (metrics, dataset, workflow, control, streams, decisions, records, models, packs, evaluation, coverage):
+for family in (metrics, dataset, workflow, control, streams, decisions, records, models, packs, evaluation, coverage, student):
     QUERIES |= family.QUERIES
