@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,9 +42,25 @@ def normalize_state(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(col(text), r"(?U)\s+", " "))
 
 
+@cache
+def _foldings() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose case folding is one other character, and those that several come of."""
+    folded = {c: f for c in map(chr, (*range(128, 0xD800), *range(0xE000, 0x110000))) if (f := c.casefold()) != c}
+    return {c: f for c, f in folded.items() if len(f) == 1}, {c: f for c, f in folded.items() if len(f) > 1}
+
+
 def casefold(text: Column | str) -> Column:
-    """Lower case with the sharp s and the final sigma folded."""
-    return F.replace(F.replace(F.lower(col(text)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    """Unicode's full case folding: for comparisons that ignore case, as of the sharp s and two s.
+
+    ASCII texts, which have as many bytes as characters, are lowered. Others are translated
+    character by character; only where one folds to several are characters looked up.
+    """
+    one, several = _foldings()
+    x = col(text)
+    told = F.translate(x, "".join(one) + "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(one.values()) + "abcdefghijklmnopqrstuvwxyz")
+    images = F.create_map(*(F.lit(t) for pair in several.items() for t in pair))
+    longer = F.array_join(F.transform(F.split(told, ""), lambda c: F.coalesce(F.try_element_at(images, c), c)), "")
+    return F.when(F.octet_length(x) == F.length(x), F.lower(x)).when(told.rlike(f"[{''.join(several)}]"), longer).otherwise(told)
 
 
 def normalize_prompt(text: Column | str) -> Column:

@@ -100,19 +100,29 @@ def traffic_snapshot(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return n.select(*(by or []), "requests", "abstained", part(F.col("abstained")).alias("abstain_rate"), part(F.col("_c")).alias("mean_confidence"))
 
 
-def route_shares(df: DataFrame) -> DataFrame:
-    """Share of each route; there are few routes."""
-    n = df.groupBy("route").agg(F.count("*").alias("n"))
+def route_counts(df: DataFrame) -> DataFrame:
+    """``route, requests, abstained`` of requests."""
+    return df.groupBy("route").agg(F.count("*").alias("requests"), F.count_if("abstained").alias("abstained"))
+
+
+def route_shares(counts: DataFrame) -> DataFrame:
+    """Share of each route, of counters that may have several rows a route; there are few routes."""
+    n = counts.groupBy("route").agg(F.sum("requests").alias("n"))
     total = n.agg(F.greatest(F.sum("n"), F.lit(1)).alias("_t"))
     return n.crossJoin(F.broadcast(total)).select("route", "n", (F.col("n") / F.col("_t")).alias("share"))
 
 
 def drift(baseline: DataFrame, current: DataFrame, threshold: float = 0.10) -> DataFrame:
-    """Shift of each route's share and of the abstention rate, and whether it is beyond the threshold."""
+    """Shift of each route's share and of the abstention rate between two sets of requests, and whether it is beyond the threshold."""
+    return drift_of_counts(route_counts(baseline), route_counts(current), threshold)
+
+
+def drift_of_counts(baseline: DataFrame, current: DataFrame, threshold: float = 0.10) -> DataFrame:
+    """:func:`drift` of what is counted already: ``route, requests, abstained``, as windows of a stream have them."""
     a = route_shares(baseline).select("route", F.col("share").alias("_a"))
     b = route_shares(current).select("route", F.col("share").alias("_b"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     routes = a.join(b, "route", "full_outer").select(F.concat(F.lit("route:"), F.col("route")).alias("measure"), (zero(F.col("_b")) - zero(F.col("_a"))).alias("_s"))
-    rate = lambda d, n: d.agg(zero(F.try_divide(F.count_if("abstained").cast("double"), F.count("*").cast("double"))).alias(n))
+    rate = lambda d, n: d.agg(zero(F.try_divide(F.sum("abstained").cast("double"), F.sum("requests").cast("double"))).alias(n))
     abstain = rate(baseline, "_a").crossJoin(rate(current, "_b")).select(F.lit("abstain_rate").alias("measure"), (F.col("_b") - F.col("_a")).alias("_s"))
     return abstain.unionByName(routes).select("measure", F.round("_s", 6).alias("shift"), (F.abs(F.col("_s")) > threshold).alias("drifted"))

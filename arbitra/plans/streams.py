@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators import routing
 from ..operators.ranking import latest
 from ..sources import adapters as A
 from ..sources.shared import shared_folder
 from ..streaming import flows
+from ..streaming.cache import cached_answers
 from ..streaming.latest import LatestTable
 from . import views as V
 from . import workflow
@@ -42,6 +45,37 @@ def _traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = flows.with_time(_events(spark, sf_dir))
+    route = F.when(F.col("event_type") == "view", "rule").when(F.col("event_type") == "click", "qwen").when(F.col("event_type") == "purchase", "gemma").otherwise("human")
+    return e.select("ts", route.alias("route"), (F.col("event_type") == "error").alias("abstained"))
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of each day and route, kept up by a stream as a table of latest rows."""
+    path, counts = shared_folder(spark, "drift"), flows.route_windows(_routed(spark, sf_dir))
+    table = LatestTable(spark, f"{path}/table", T.StructType.fromDDL("start timestamp, route string, requests long, abstained long"), ["start", "route"], "requests")
+    flows.once(counts, f"{path}/checkpoint", "update").foreachBatch(table.merge()).start().awaitTermination()
+    return table.read()
+
+
+def _drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second half against the first, by the stream's counters."""
+    counts, cut = _windows(spark, sf_dir), F.lit("2024-01-16").cast("timestamp")
+    return routing.drift_of_counts(counts.where(F.col("start") < cut), counts.where(F.col("start") >= cut))
+
+
+def _daily_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows.window_drift(_windows(spark, sf_dir)).select(F.to_date("start").cast("string").alias("day"), "measure", "shift", "drifted")
+
+
+def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of a stream answered from a small cache; whether an answer is accepted depends on the key, so that SQL can count what was used in between."""
+    key = F.col("user_id") * 7 + F.col("event_id") % 5
+    e = _events(spark, sf_dir).select(F.col("event_id").alias("seq"), key.cast("string").alias("cache_key"), F.col("event_id").alias("at_ms"), F.col("event_type").alias("answer"), (key % 4 != 0).alias("accepted"))
+    return _run(cached_answers(e, bound=40, shards=1).select("seq", "cache_key", "hit"), "cached")
+
+
 def _first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users of a stream, each once; the watermark spans all events here."""
     e = flows.with_time(_events(spark, sf_dir), delay="3650 days")
@@ -62,8 +96,17 @@ def _stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(flows.mark_stale(e).select("observation_id", "reason"), "stale")
 
 
-QUERIES = {"stream_traffic": _traffic, "stream_dedup": _first, "stream_latest": _latest, "stream_staleness": _stale}
+QUERIES = {"stream_drift": _drift, "stream_daily_drift": _daily_drift, "stream_cache": _cached, "stream_traffic": _traffic, "stream_dedup": _first, "stream_latest": _latest, "stream_staleness": _stale}
 SQL = {
+    "stream_drift": workflow.SQL["drift_compare"],
+    "stream_daily_drift": "WITH " + V.TRAFFIC + """, n AS (SELECT ts::DATE AS day, route, count(*)::DOUBLE AS n, count(*) FILTER (abstained)::DOUBLE AS x FROM tr GROUP BY 1, 2), t AS (SELECT day, sum(n) AS n, sum(x) AS x FROM n GROUP BY 1),
+ p AS (SELECT day, n, x, lag(day) OVER w AS d0, lag(n) OVER w AS n0, lag(x) OVER w AS x0 FROM t WINDOW w AS (ORDER BY day)),
+ s AS (SELECT p.day, route, n.n / p.n AS s FROM n JOIN p ON p.day = n.day WHERE d0 IS NOT NULL UNION ALL SELECT p.day, route, -n.n / p.n0 FROM n JOIN p ON p.d0 = n.day),
+ m AS (SELECT day, 'route:' || route AS measure, sum(s) AS s FROM s GROUP BY 1, 2 UNION ALL SELECT day, 'abstain_rate', x / n - x0 / n0 FROM p WHERE d0 IS NOT NULL)
+ SELECT day::VARCHAR AS day, measure, round(s, 6) AS shift, abs(s) > .1 AS drifted FROM m""",
+    # a hit: the key was used before, and fewer than 40 accepted keys since
+    "stream_cache": """WITH e AS (SELECT event_id AS seq, user_id * 7 + event_id % 5 AS k FROM events), p AS (SELECT seq, k, k % 4 <> 0 AS ok, lag(seq) OVER (PARTITION BY k ORDER BY seq) AS was FROM e)
+ SELECT a.seq, a.k::VARCHAR AS cache_key, a.ok AND a.was IS NOT NULL AND count(DISTINCT b.k) < 40 AS hit FROM p a LEFT JOIN p b ON b.seq > a.was AND b.seq < a.seq AND b.ok AND a.ok GROUP BY a.seq, a.k, a.ok, a.was""",
     "stream_traffic": workflow.SQL["traffic_daily_window"],
     "stream_dedup": "SELECT DISTINCT user_id FROM events",
     "stream_latest": "WITH " + V.FEEDBACK + " SELECT sample_id, max(seq) AS seq, arg_max(correction, seq) AS correction FROM fb GROUP BY 1",

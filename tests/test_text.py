@@ -46,6 +46,13 @@ def test_prompt_folding(rows):
     assert got == [" ".join(t.casefold().split()) for t in TEXTS]
 
 
+def test_folding_of_all_characters(spark):
+    points = [i for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(map(chr, points[k : k + 500])) for k in range(0, len(points), 500)] + [f"a{chr(c)}B" for c in (0xDF, 0x1E9E, 0x130, 0xFB03, 0x3C2, 0x10400)] + ["", "PLAIN Ascii", "Straße STRASSE"]
+    df = spark.createDataFrame([*enumerate(texts), (len(texts), None)], "id int, text string")
+    assert column(df, T.casefold("text")) == [*(t.casefold() for t in texts), None]
+
+
 def test_redaction(spark):
     texts = ["mail me.x+y@host.example now", "key sk-abcdefghijklmnop end", "Bearer abc.def", "call +82 10-1234-5678.", "no 12345", "ghp_0123456789abcdef"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
