@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import control, coverage, dataset, decisions, evaluation, metrics, models, packs, records, streams, student, workflow
+from . import control, coverage, dataset, decisions, evaluation, jobs, metrics, models, packs, records, streams, student, workflow
 
 SQL = {}
-for family in (metrics, dataset, workflow, control, streams, decisions, records, models, packs, evaluation, coverage, student):
+for family in (metrics, dataset, workflow, control, streams, decisions, records, models, packs, evaluation, coverage, student, jobs):
     SQL |= family.SQL
