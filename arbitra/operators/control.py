@@ -246,21 +246,26 @@ def _pick(values: tuple[str, ...] | list[str], at: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
 
 
-def safety_matrix(spark: SparkSession, count: int = 500) -> DataFrame:
+def numbered(spark: SparkSession, rows: int | DataFrame) -> DataFrame:
+    """Numbers to make rows of: so many from 0, or those of a table's ``id``, so that what is made grows with it."""
+    return spark.range(rows) if isinstance(rows, int) else rows.select(F.col("id").cast("long").alias("id"))
+
+
+def safety_matrix(spark: SparkSession, count: int | DataFrame = 500) -> DataFrame:
     """Scenarios that must stop: reasons take turns, the clock sits beyond each limit."""
     i = F.col("id")
     reason, variant = _pick(REASONS, i % len(REASONS)), F.floor(i / len(REASONS))
-    rows = spark.range(count).select(F.format_string("control-safety-%04d", i).alias("scenario_id"), reason.alias("expected_reason"), (1000.0 + variant).alias("timestamp_ms"))
+    rows = numbered(spark, count).select(F.format_string("control-safety-%04d", i).alias("scenario_id"), reason.alias("expected_reason"), (1000.0 + variant).alias("timestamp_ms"))
     shift = F.when(F.col("expected_reason") == "emergency_stop", 1.0).when(F.col("expected_reason") == "stale_observation", 101.0).otherwise(-1.0)
     return rows.select("scenario_id", "expected_reason", "timestamp_ms", (F.col("timestamp_ms") + shift).alias("now_ms"), (F.col("expected_reason") == "emergency_stop").alias("emergency_stop"))
 
 
-def near_miss_matrix(spark: SparkSession, count: int = 500) -> DataFrame:
+def near_miss_matrix(spark: SparkSession, count: int | DataFrame = 500) -> DataFrame:
     """Scenarios just inside the limits, one phrase of each skill in turn."""
     cases = [(" while ".join(p[0]), skill) for skill, p in PHRASES.items()]
     i = F.col("id")
     near = _pick(REASONS, i % len(REASONS)) == "stale_observation"
-    rows = spark.range(count).select(
+    rows = numbered(spark, count).select(
         F.format_string("control-safety-near-miss-%04d", i).alias("scenario_id"), F.format_string("%s; safety near-miss variant %04d", _pick([c for c, _ in cases], i % len(cases)), i).alias("state"),
         _pick([s for _, s in cases], i % len(cases)).alias("expected_skill"), (2000.0 + F.floor(i / len(REASONS))).alias("timestamp_ms"), near.alias("_near"),
     )
@@ -271,12 +276,12 @@ def split_by_variant(bucket: Column) -> Column:
     return F.when(bucket < 8, "train").when(bucket == 8, "validation").otherwise("test")
 
 
-def review_queue(spark: SparkSession, per_skill: int = 100, seed: int = 7, templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """A balanced queue: languages and splits follow from variant, skill and seed alone."""
+def review_queue(spark: SparkSession, per_skill: int = 100, seed: int = 7, templates: dict[str, list[str]] | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """A balanced queue: languages and splits follow from variant, skill and seed alone. Skills take turns over the numbers of ``ids``, if they are given."""
     states = templates or {s: [" while ".join(p) for p in PHRASES.get(s, [STOP_SIGNALS[:1]])] for s in SKILLS}
     catalog = F.array(*(F.array(*map(F.lit, states[s])) for s in SKILLS))
     k, v = F.col("skill_index"), F.col("variant")
-    rows = spark.range(len(SKILLS) * per_skill).select((F.floor(F.col("id") / per_skill)).alias("skill_index"), (F.col("id") % per_skill).alias("variant"), F.col("id"))
+    rows = numbered(spark, len(SKILLS) * per_skill if ids is None else ids).select((F.floor(F.col("id") / per_skill) % len(SKILLS)).alias("skill_index"), (F.col("id") % per_skill).alias("variant"), F.col("id"))
     choices = F.element_at(catalog, (k + 1).cast("int"))
     return rows.select(
         F.format_string("control-review-%05d", F.col("id") + 1).alias("sample_id"), _pick(SKILLS, k).alias("target"),
@@ -285,14 +290,14 @@ def review_queue(spark: SparkSession, per_skill: int = 100, seed: int = 7, templ
     )
 
 
-def hard_negative_queue(spark: SparkSession, pairs: int = 100, seed: int = 7, confused: tuple[tuple[str, str], ...] = (("MOVE", "STOP"), ("HOLD", "MOVE"), ("ROTATE", "MOVE"), ("APPROACH", "RETREAT"), ("INTERACT", "APPROACH"), ("RECOVER", "HOLD"))) -> DataFrame:
+def hard_negative_queue(spark: SparkSession, pairs: int | DataFrame = 100, seed: int = 7, confused: tuple[tuple[str, str], ...] = (("MOVE", "STOP"), ("HOLD", "MOVE"), ("ROTATE", "MOVE"), ("APPROACH", "RETREAT"), ("INTERACT", "APPROACH"), ("RECOVER", "HOLD"))) -> DataFrame:
     """Counterfactual pairs: both sides in one split and one group."""
     i = F.col("id")
     sides = F.array(
         F.struct(F.lit(1).alias("pair_side"), _pick([a for a, _ in confused], i % len(confused)).alias("target")),
         F.struct(F.lit(2).alias("pair_side"), _pick([b for _, b in confused], i % len(confused)).alias("target")),
     )
-    rows = spark.range(pairs).select(
+    rows = numbered(spark, pairs).select(
         F.format_string("control-hard-group-%05d", i).alias("counterfactual_group_id"), F.when((i + seed) % 2 == 1, "ko").otherwise("en").alias("language"), split_by_variant((i + seed) % 10).alias("split"), i, F.inline(sides)
     )
     return rows.select(F.format_string("control-hard-%05d", i * 2 + F.col("pair_side")).alias("sample_id"), "counterfactual_group_id", "pair_side", "target", "language", "split")

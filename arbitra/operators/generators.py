@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_number
-from .control import PHRASES, SKILLS, STOP_SIGNALS, split_by_variant
+from .control import PHRASES, SKILLS, STOP_SIGNALS, numbered, split_by_variant
+from .ranking import positions
 
 # The order of tasks in a golden queue, and the questions that go with control states.
 TASK_ORDER = ("memory.remember_worthy", "wiki.semantic_change")
@@ -49,15 +50,16 @@ def _state(templates: dict[str, dict[str, list[str]]], skill: Column, language:
     return out
 
 
-def review_queue(spark: SparkSession, per_skill: int = 100, seed: int = 7, templates: dict[str, dict[str, list[str]]] = TEMPLATES, quotas: tuple[int, int] | None = None) -> DataFrame:
+def review_queue(spark: SparkSession, per_skill: int = 100, seed: int = 7, templates: dict[str, dict[str, list[str]]] = TEMPLATES, quotas: tuple[int, int] | None = None, ids: DataFrame | None = None) -> DataFrame:
     """A balanced queue of control states in two languages with question, split and group.
 
     Splits follow from variant, skill and seed, or, with ``quotas`` of test and
-    validation rows per skill, from the variant alone.
+    validation rows per skill, from the variant alone. Skills take turns over the
+    numbers of ``ids``, if they are given.
     """
     if per_skill < 1 or (quotas and (min(quotas) < 0 or sum(quotas) > per_skill)):
         raise ValueError("per_skill must be positive and quotas must fit into it")
-    rows = spark.range(len(SKILLS) * per_skill).select("id", F.floor(F.col("id") / per_skill).alias("k"), (F.col("id") % per_skill).alias("v"))
+    rows = numbered(spark, len(SKILLS) * per_skill if ids is None else ids).select("id", (F.floor(F.col("id") / per_skill) % len(SKILLS)).alias("k"), (F.col("id") % per_skill).alias("v"))
     k, v = F.col("k"), F.col("v")
     rows = rows.withColumns({"target": _choice(SKILLS, k), "language": F.when((v + k + seed) % 2 == 1, "ko").otherwise("en")})
     ko = F.col("language") == "ko"
@@ -71,37 +73,42 @@ def review_queue(spark: SparkSession, per_skill: int = 100, seed: int = 7, templ
     )
 
 
-def counterfactual_queue(spark: SparkSession, pairs: int = 100, seed: int = 7, confused: tuple[tuple[str, str], ...] = CONFUSED, templates: dict[str, dict[str, list[str]]] = TEMPLATES) -> DataFrame:
+def counterfactual_queue(spark: SparkSession, pairs: int | DataFrame = 100, seed: int = 7, confused: tuple[tuple[str, str], ...] = CONFUSED, templates: dict[str, dict[str, list[str]]] = TEMPLATES) -> DataFrame:
     """Pairs of states for skills that are taken for each other: both sides in one group and one split."""
-    if pairs < 1:
+    if isinstance(pairs, int) and pairs < 1:
         raise ValueError("pairs must be positive")
     i = F.col("id")
     sides = F.array(*(F.struct(F.lit(n + 1).cast("bigint").alias("pair_side"), _choice([c[n] for c in confused], i).alias("target")) for n in (0, 1)))
-    rows = spark.range(pairs).select(i, F.when((i + seed) % 2 == 1, "ko").otherwise("en").alias("language"), F.inline(sides))
+    rows = numbered(spark, pairs).select(i, F.when((i + seed) % 2 == 1, "ko").otherwise("en").alias("language"), F.inline(sides))
     return rows.select(
         F.format_string("control-hard-%05d", i * 2 + F.col("pair_side")).alias("sample_id"), F.format_string("control-hard-group-%05d", i).alias("counterfactual_group_id"), "pair_side", "target",
         F.concat(_state(templates, F.col("target"), F.col("language"), i), F.format_string("; counterfactual variant %04d", i)).alias("state"), "language", split_by_variant((i + seed) % 10).alias("split"),
     )
 
 
-def training_queue(spark: SparkSession, kind: str, templates: dict[str, list[str]], language: str) -> DataFrame:
-    """One row per template, by skill and place, in the train split alone; skills without templates have none."""
-    rows = [(s, v, t) for s in SKILLS for v, t in enumerate(templates.get(s, []))]
-    numbered = spark.createDataFrame([(i, *r) for i, r in enumerate(rows, 1)], "i int, target string, v int, text string")
+def training_queue(spark: SparkSession, kind: str, templates: dict[str, list[str]] | DataFrame, language: str) -> DataFrame:
+    """One row per template, by skill and place, in the train split alone; skills without templates have none.
+
+    ``templates`` are lists by skill, or a table of ``target, v, text``.
+    """
+    if not isinstance(templates, DataFrame):
+        templates = spark.createDataFrame([(s, v, t) for s in SKILLS for v, t in enumerate(templates.get(s, []))], "target string, v int, text string")
+    skill = F.array_position(F.array(*map(F.lit, SKILLS)), F.col("target"))
+    rows = positions(templates.where(skill > 0), [skill, F.col("v"), F.col("text")]).withColumnRenamed("position", "i")
     variant = "; 한국어 학습 변형 %04d" if language == "ko" else f"; {kind} training variant %04d"
-    return numbered.select(
+    return rows.select(
         F.format_string(f"control-{kind}-train-%05d", "i").alias("sample_id"), "target", F.concat("text", F.format_string(variant, "v")).alias("state"), F.lit(QUESTIONS[language][0]).alias("question"), F.lit(language).alias("language"), F.lit("train").alias("split"),
         F.format_string(f"control-{kind}-group-%05d", "i").alias("semantic_group_id"),
     )
 
 
-def golden_queue(spark: SparkSession, count: int = 1000, seed: int = 0, templates: dict[tuple[str, str], tuple] = GOLDEN) -> DataFrame:
+def golden_queue(spark: SparkSession, count: int | DataFrame = 1000, seed: int = 0, templates: dict[tuple[str, str], tuple] = GOLDEN) -> DataFrame:
     """Tasks in turn; a fifth of the rows in English and the template by hash, so that no generator's sequence is needed."""
-    if count < 1:
+    if isinstance(count, int) and count < 1:
         raise ValueError("count must be positive")
     i = F.col("id") + 1
     draw = lambda salt, n: hash_number(F.concat(i.cast("string"), F.lit(f":{salt}:{seed}"))) % n
-    rows = spark.range(count).select(i.alias("i"), _choice(TASK_ORDER, F.col("id")).alias("task_id"), F.when(draw("language", 5) == 0, "en").otherwise("ko").alias("language"), draw("template", 2).alias("k"))
+    rows = numbered(spark, count).select(i.alias("i"), _choice(TASK_ORDER, F.col("id")).alias("task_id"), F.when(draw("language", 5) == 0, "en").otherwise("ko").alias("language"), draw("template", 2).alias("k"))
     known = spark.createDataFrame([(t, lang, k, *x) for (t, lang), xs in templates.items() for k, x in enumerate(xs)], "task_id string, language string, k long, state string, question string, target string")
     return rows.join(F.broadcast(known), ["task_id", "language", "k"]).select(
         F.format_string("phase0-synthetic-%04d", "i").alias("sample_id"), "task_id", F.lit(1).alias("task_version"), "state", "question", "target", "language", F.lit("pending").alias("status")

@@ -27,8 +27,8 @@ def _states(s, d):
 
 def _replay(s, d):
     """Safety and near-miss matrices through the decision chain, with a model that says HOLD."""
-    a = K.safety_matrix(s).select("scenario_id", F.lit("plain state").alias("state"), "timestamp_ms", "now_ms", "emergency_stop", F.lit("STOP").alias("expected_skill"), F.lit(True).alias("expected_stop"))
-    b = K.near_miss_matrix(s).select("scenario_id", "state", "timestamp_ms", "now_ms", F.lit(False).alias("emergency_stop"), "expected_skill", F.lit(False).alias("expected_stop"))
+    a = K.safety_matrix(s, A.event_numbers(s, d)).select("scenario_id", F.lit("plain state").alias("state"), "timestamp_ms", "now_ms", "emergency_stop", F.lit("STOP").alias("expected_skill"), F.lit(True).alias("expected_stop"))
+    b = K.near_miss_matrix(s, A.event_numbers(s, d)).select("scenario_id", "state", "timestamp_ms", "now_ms", F.lit(False).alias("emergency_stop"), "expected_skill", F.lit(False).alias("expected_stop"))
     rows = a.unionByName(b)
     act = K.decide(F.col("state"), F.col("now_ms"), F.col("timestamp_ms"), F.col("emergency_stop"), F.lit("HOLD"), F.lit(0.95), F.lit(False))
     return rows.withColumn("act", act).select("scenario_id", "expected_skill", "expected_stop", "act.*").withColumn("stopped", F.col("skill") == "STOP").withColumn("correct", F.col("skill") == F.col("expected_skill"))
@@ -74,11 +74,11 @@ QUERIES = {
     "phrase_skill": lambda s, d: _states(s, d).select("conv_id", "turn", K.phrase_skill(F.col("state")).alias("skill")),
     "safety_policy": lambda s, d: A.observations(s, d).select("observation_id", F.coalesce(K.safety_policy(*map(F.col, ("now_ms", "timestamp_ms", "emergency_stop", "abstained", "confidence", "ttl_ms"))), F.lit("run")).alias("reason")),
     "staleness_gate": lambda s, d: A.observations(s, d).select("observation_id", K.staleness(F.col("now_ms"), F.col("timestamp_ms")).alias("reason")),
-    "control_queue": lambda s, d: K.review_queue(s),
-    "control_queue_counts": lambda s, d: K.review_queue(s).groupBy("target", "language", "split").agg(F.count("*").alias("n")),
-    "hard_negative_queue": lambda s, d: K.hard_negative_queue(s).select("sample_id", "counterfactual_group_id", F.col("pair_side").cast("bigint").alias("pair_side"), "target", "language", "split"),
-    "safety_matrix": lambda s, d: K.safety_matrix(s),
-    "near_miss_matrix": lambda s, d: K.near_miss_matrix(s).select("scenario_id", "expected_skill", "timestamp_ms", "now_ms"),
+    "control_queue": lambda s, d: K.review_queue(s, ids=A.event_numbers(s, d)),
+    "control_queue_counts": lambda s, d: K.review_queue(s, ids=A.event_numbers(s, d)).groupBy("target", "language", "split").agg(F.count("*").alias("n")),
+    "hard_negative_queue": lambda s, d: K.hard_negative_queue(s, A.event_numbers(s, d)).select("sample_id", "counterfactual_group_id", F.col("pair_side").cast("bigint").alias("pair_side"), "target", "language", "split"),
+    "safety_matrix": lambda s, d: K.safety_matrix(s, A.event_numbers(s, d)),
+    "near_miss_matrix": lambda s, d: K.near_miss_matrix(s, A.event_numbers(s, d)).select("scenario_id", "expected_skill", "timestamp_ms", "now_ms"),
     "simulation_report": lambda s, d: _replay(s, d).groupBy("expected_skill", "source").agg(F.count("*").alias("n"), F.count_if("correct").alias("correct")),
     "safety_report": lambda s, d: K.safety_report(_replay(s, d)),
     "quality_gate_rows": lambda s, d: gates.gate_rows(_gate_values(s, d)),
@@ -108,12 +108,12 @@ def _skill(skill: str) -> str:
 _variant = lambda e: f"CASE WHEN {e} < 8 THEN 'train' WHEN {e} = 8 THEN 'validation' ELSE 'test' END"
 _QUEUE_STATES = {s: [" while ".join(p) for p in PHRASES.get(s, [STOP_SIGNALS[:1]])] for s in SKILLS}
 _CONFUSED = (("MOVE", "STOP"), ("HOLD", "MOVE"), ("ROTATE", "MOVE"), ("APPROACH", "RETREAT"), ("INTERACT", "APPROACH"), ("RECOVER", "HOLD"))
-QUEUE = f"""q AS (SELECT i, i // 100 AS k, i % 100 AS v FROM range(800) r(i)), cq AS (SELECT printf('control-review-%05d', i + 1) AS sample_id, {_list(SKILLS)}[k + 1] AS target,
+QUEUE = f"""q AS (SELECT i, (i // 100) % 8 AS k, i % 100 AS v FROM (SELECT event_id FROM events) r(i)), cq AS (SELECT printf('control-review-%05d', i + 1) AS sample_id, {_list(SKILLS)}[k + 1] AS target,
  {'[' + ', '.join(_list(_QUEUE_STATES[s]) for s in SKILLS) + ']'}[k + 1][v % len({'[' + ', '.join(_list(_QUEUE_STATES[s]) for s in SKILLS) + ']'}[k + 1]) + 1] || printf('; scenario variant %04d', v) AS state,
  CASE WHEN (v + k + 7) % 2 = 1 THEN 'ko' ELSE 'en' END AS language, {_variant('(v + k * 3 + 7) % 10')} AS split FROM q)"""
-MATRIX = f"""mx AS (SELECT printf('control-safety-%04d', i) AS scenario_id, {_list(K.REASONS)}[i % 3 + 1] AS expected_reason, (1000 + i // 3)::DOUBLE AS timestamp_ms FROM range(500) r(i)),
+MATRIX = f"""mx AS (SELECT printf('control-safety-%04d', i) AS scenario_id, {_list(K.REASONS)}[i % 3 + 1] AS expected_reason, (1000 + i // 3)::DOUBLE AS timestamp_ms FROM (SELECT event_id FROM events) r(i)),
  sm AS (SELECT *, timestamp_ms + CASE expected_reason WHEN 'emergency_stop' THEN 1 WHEN 'stale_observation' THEN 101 ELSE -1 END AS now_ms, expected_reason = 'emergency_stop' AS emergency_stop FROM mx)"""
-MISS = f"nm AS (SELECT printf('control-safety-near-miss-%04d', i) AS scenario_id, {_list(list(PHRASES))}[i % {len(PHRASES)} + 1] AS expected_skill, (2000 + i // 3)::DOUBLE AS timestamp_ms, (2000 + i // 3)::DOUBLE + CASE WHEN i % 3 = 1 THEN 100 ELSE 1 END AS now_ms FROM range(500) r(i))"
+MISS = f"nm AS (SELECT printf('control-safety-near-miss-%04d', i) AS scenario_id, {_list(list(PHRASES))}[i % {len(PHRASES)} + 1] AS expected_skill, (2000 + i // 3)::DOUBLE AS timestamp_ms, (2000 + i // 3)::DOUBLE + CASE WHEN i % 3 = 1 THEN 100 ELSE 1 END AS now_ms FROM (SELECT event_id FROM events) r(i))"
 LOGITS = "lo AS (SELECT vec_id, ((label % 10) + 10) % 10 AS label, vec_id % 3 AS task, [embedding[i * 6 + 1]::DOUBLE for i in range(10)] AS x FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL)"
 FIT = LOGITS + """, g AS (SELECT lo.*, 0.25::DOUBLE + i * (3.75::DOUBLE / 75) AS t FROM lo, range(76) r(i)), n AS (SELECT task, t, list_max(x) / t + ln(list_sum([exp(y / t - list_max(x) / t) for y in x])) - x[label + 1] / t AS l FROM g),
  n1 AS (SELECT task, list_max(x) + ln(list_sum([exp(y - list_max(x)) for y in x])) - x[label + 1] AS l FROM lo)"""
@@ -126,11 +126,11 @@ SQL = {
     "staleness_gate": W + V.OBSERVATIONS + " SELECT observation_id, CASE WHEN now_ms < timestamp_ms THEN 'invalid_clock' WHEN now_ms - timestamp_ms > 100 THEN 'stale_observation' END AS reason FROM ob",
     "control_queue": W + QUEUE + " SELECT * FROM cq",
     "control_queue_counts": W + QUEUE + " SELECT target, language, split, count(*) AS n FROM cq GROUP BY ALL",
-    "hard_negative_queue": f"""WITH p AS (SELECT i, s FROM range(100) r(i), (VALUES (1), (2)) v(s)) SELECT printf('control-hard-%05d', i * 2 + s) AS sample_id, printf('control-hard-group-%05d', i) AS counterfactual_group_id, s::BIGINT AS pair_side,
+    "hard_negative_queue": f"""WITH p AS (SELECT i, s FROM (SELECT event_id FROM events) r(i), (VALUES (1), (2)) v(s)) SELECT printf('control-hard-%05d', i * 2 + s) AS sample_id, printf('control-hard-group-%05d', i) AS counterfactual_group_id, s::BIGINT AS pair_side,
  CASE WHEN s = 1 THEN {_list([a for a, _ in _CONFUSED])}[i % 6 + 1] ELSE {_list([b for _, b in _CONFUSED])}[i % 6 + 1] END AS target, CASE WHEN (i + 7) % 2 = 1 THEN 'ko' ELSE 'en' END AS language, {_variant('(i + 7) % 10')} AS split FROM p""",
     "safety_matrix": W + MATRIX + " SELECT * FROM sm",
     "near_miss_matrix": W + MISS + " SELECT * FROM nm",
-    "simulation_report": W + MISS + " SELECT 'STOP' AS expected_skill, 'safety' AS source, 500::BIGINT AS n, 500::BIGINT AS correct UNION ALL SELECT expected_skill, 'control-rule', count(*), count(*) FROM nm GROUP BY 1",
+    "simulation_report": W + MISS + " SELECT 'STOP' AS expected_skill, 'safety' AS source, count(*) AS n, count(*) AS correct FROM nm UNION ALL SELECT expected_skill, 'control-rule', count(*), count(*) FROM nm GROUP BY 1",
     "quality_gate_rows": W + V.BINARY + """, c AS (SELECT provider, count(*) AS n, count(*) FILTER (correct) AS x, 1.959963984540054::DOUBLE AS z FROM pred GROUP BY 1), g AS (SELECT 'split_accuracy' AS gate, provider AS subject, round(x / n::DOUBLE, 6) AS value, .99::DOUBLE AS lim FROM c
  UNION ALL SELECT 'split_accuracy_lower', provider, round(greatest(0, (x + z * z / 2 - z * sqrt(x * (n - x) / n::DOUBLE + z * z / 4)) / (n + z * z)), 6), .99 FROM c UNION ALL SELECT 'unique_groups', provider, n::DOUBLE, 381 FROM c UNION ALL SELECT 'false_stop_rate', provider, NULL, 0 FROM c)
  SELECT gate, subject, value, lim AS "limit", coalesce(value < lim, true) AS failed FROM g""",
@@ -151,6 +151,6 @@ SQL |= {
     "choice_repair": f"""WITH e AS (SELECT event_id, {_U} AS u, {_V} AS v, 0.3::DOUBLE AS w FROM events), t AS (SELECT *, u + v + w AS t FROM e), r AS (SELECT event_id, u, v, w, round(u / t, 6) AS x, round(v / t, 6) AS y, round(w / t, 6) AS z FROM t WHERE t BETWEEN .9 AND 1.1 AND abs(t - 1) > .02),
  a AS (SELECT *, 1 - (x + y + z) AS d, CASE WHEN w >= u AND w >= v THEN 'z' WHEN v >= u THEN 'y' ELSE 'x' END AS k FROM r)
  SELECT event_id, round(x + CASE WHEN k = 'x' THEN d ELSE 0 END, 6) AS x, round(y + CASE WHEN k = 'y' THEN d ELSE 0 END, 6) AS y, round(z + CASE WHEN k = 'z' THEN d ELSE 0 END, 6) AS z FROM a""",
-    "safety_report": """WITH c AS (SELECT 1000::DOUBLE AS n, 500::DOUBLE AS s, 1.959963984540054::DOUBLE AS z) SELECT n::BIGINT AS n, 1.0::DOUBLE AS accuracy, round((n + z * z / 2 - z * sqrt(z * z / 4)) / (n + z * z), 6) AS accuracy_lower, 1.0::DOUBLE AS stop_recall,
+    "safety_report": """WITH c AS (SELECT 2 * count(*)::DOUBLE AS n, count(*)::DOUBLE AS s, 1.959963984540054::DOUBLE AS z FROM events) SELECT n::BIGINT AS n, 1.0::DOUBLE AS accuracy, round((n + z * z / 2 - z * sqrt(z * z / 4)) / (n + z * z), 6) AS accuracy_lower, 1.0::DOUBLE AS stop_recall,
  round((s + z * z / 2 - z * sqrt(z * z / 4)) / (s + z * z), 6) AS stop_recall_lower, 0.0::DOUBLE AS false_stop_rate FROM c""",
 }

@@ -118,23 +118,32 @@ def _blended(s, d):
 _TEXTS = ("true", " Yes", "N", "no", "maybe", "X", "y ", "0.25", "1.5", "abc", "", None)
 
 
+_KINDS = ("boolean", "choice", "score")
+_one = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
+
+
 def _corrections(s, d):
-    """A reviewer's words as corrections, for each kind."""
-    rows = s.createDataFrame([(i, k, t) for i, t in enumerate(_TEXTS) for k in ("boolean", "choice", "score")], "case_id long, kind string, said string")
+    """A reviewer's words as corrections, for each kind: an event says one of them."""
+    i = F.col("id")
+    rows = A.event_numbers(s, d).select(i.alias("event_id"), _one(_KINDS, F.floor(i / len(_TEXTS))).alias("kind"), _one(_TEXTS, i).alias("said"))
     c = answers.correction(F.col("kind"), F.col("said"), F.array(*map(F.lit, ("x", "y", "z"))))
-    rows = rows.select("case_id", "kind", c.alias("c"))
-    return rows.select("case_id", "kind", "c.value", "c.selected", F.array_join(F.transform(F.map_entries("c.probabilities"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("int").cast("string"))), ",").alias("probabilities"), "c.score", "c.error")
+    rows = rows.select("event_id", "kind", c.alias("c"))
+    return rows.select("event_id", "kind", "c.value", "c.selected", F.array_join(F.transform(F.map_entries("c.probabilities"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("int").cast("string"))), ",").alias("probabilities"), "c.score", "c.error")
+
+
+_SAID = {"a": "APPROACH", "H": "HOLD", "i": "INTERACT", "m": "MOVE", "s": "STOP", "ro": "ROTATE", "rt": "RETREAT", " RC ": "RECOVER", "move": "MOVE", "Stop": "STOP", "q": None, "": None}
 
 
 def _aliases(s, d):
-    rows = s.createDataFrame([(x,) for x in ("a", "H", "i", "m", "s", "ro", "rt", " RC ", "move", "Stop", "q", "")], "said string")
-    return rows.select("said", answers.skill_of(F.col("said")).alias("skill"))
+    rows = A.event_numbers(s, d).select(F.col("id").alias("event_id"), _one(tuple(_SAID), F.col("id")).alias("said"))
+    return rows.select("event_id", "said", answers.skill_of(F.col("said")).alias("skill"))
 
 
 def _abstentions(s, d):
-    rows = s.createDataFrame([("boolean", []), ("choice", ["x", "y", "z", "w"]), ("score", [])], "kind string, candidates array<string>")
-    return rows.select("kind", answers.abstention(F.col("kind"), F.col("candidates")).alias("x")).select(
-        "kind", "x.value", F.round("x.probability", 6).alias("probability"), "x.selected", F.array_join(F.transform(F.map_values("x.probabilities"), lambda v: v.cast("string")), ",").alias("probabilities"), "x.score", "x.lower", "x.upper", "x.abstained"
+    kind = _one(_KINDS, F.col("id"))
+    rows = A.event_numbers(s, d).select(F.col("id").alias("event_id"), kind.alias("kind"), F.when(kind == "choice", F.array(*map(F.lit, "xyzw"))).otherwise(F.array().cast("array<string>")).alias("candidates"))
+    return rows.select("event_id", "kind", answers.abstention(F.col("kind"), F.col("candidates")).alias("x")).select(
+        "event_id", "kind", "x.value", F.round("x.probability", 6).alias("probability"), "x.selected", F.array_join(F.transform(F.map_values("x.probabilities"), lambda v: v.cast("string")), ",").alias("probabilities"), "x.score", "x.lower", "x.upper", "x.abstained"
     )
 
 
@@ -158,7 +167,7 @@ def _bands(s, d):
 
 
 QUERIES = {
-    "phrase_skill_cases": lambda s, d: _cases(s).select("case_id", F.coalesce(K.explicit_stop(F.col("state")), F.lit(False)).alias("stop"), K.phrase_skill(F.col("state")).alias("skill")),
+    "phrase_skill_cases": lambda s, d: A.event_numbers(s, d).withColumn("case_id", F.col("id") % len(CASES)).join(F.broadcast(_cases(s)), "case_id").select(F.col("id").alias("event_id"), "case_id", F.coalesce(K.explicit_stop(F.col("state")), F.lit(False)).alias("stop"), K.phrase_skill(F.col("state")).alias("skill")),
     "control_decide": _decided,
     "control_latency": lambda s, d: K.latency_report(A.observations(s, d).select((F.col("now_ms") - F.col("timestamp_ms")).alias("age"), "emergency_stop"), "age", 100.0),
     "memory_context": _memories,
@@ -186,7 +195,7 @@ _errors = lambda *xs: "array_to_string(list_filter([" + ", ".join(xs) + "], lamb
 TYPED = V.DRAFTS + """, ty AS (SELECT doc_id, provider, h, ['boolean', 'choice', 'score'][h % 3 + 1] AS kind, value, round(p, 4) AS p, CASE WHEN round(p, 4) >= .5 THEN 'x' ELSE 'y' END AS selected, round((1 - round(p, 4)) * .5, 5) AS py, round((1 - round(p, 4)) * .5, 5) AS pz,
  greatest(0, round(round(p, 4) - .05, 4)) AS lower, least(1, round(round(p, 4) + .1, 4)) AS upper, abstained FROM drafts)"""
 SQL = {
-    "phrase_skill_cases": W + TOLD + " SELECT case_id, stop, rule AS skill FROM told",
+    "phrase_skill_cases": W + TOLD + f" SELECT event_id, case_id, stop, rule AS skill FROM events JOIN told ON told.case_id = event_id % {len(CASES)}",
     "control_decide": W + DECIDED + """ SELECT observation_id, CASE y WHEN '2' THEN rule WHEN '3' THEN skill ELSE 'STOP' END AS skill, CASE y WHEN '1' THEN 'safety-rule' WHEN '2' THEN 'control-rule' WHEN '3' THEN 'control-student' ELSE 'safety' END AS source,
  CASE y WHEN '1' THEN 'explicit_collision_signal' WHEN '2' THEN 'high_precision_' || lower(rule) || '_signal' WHEN '3' THEN NULL ELSE y END AS reason, CASE y WHEN '3' THEN ttl_ms ELSE 50 END::INT AS ttl_ms, CASE y WHEN '3' THEN said ELSE 1.0 END::DOUBLE AS confidence, y NOT IN ('1', '2', '3') AS abstained FROM w""",
     "control_latency": W + V.OBSERVATIONS + """, r AS (SELECT now_ms - timestamp_ms AS x, row_number() OVER (ORDER BY now_ms - timestamp_ms) - 1 AS k, count(*) OVER () AS n FROM ob)
@@ -208,10 +217,10 @@ SQL = {
  SELECT doc_id, kind, CASE kind WHEN 'boolean' THEN round((CASE WHEN va THEN pa ELSE 1 - pa END + CASE WHEN vb THEN pb ELSE 1 - pb END) / 2, 6) END AS probability,
  CASE kind WHEN 'choice' THEN printf('x=%.6f,y=%.6f,z=%.6f', round((pa + pb) / 2, 6), round((ya + yb) / 2, 6), round((za + zb) / 2, 6)) END AS probabilities, CASE kind WHEN 'score' THEN round((pa + pb) / 2, 6) END AS score FROM b""",
     "review_corrections": """WITH t AS (SELECT * FROM (VALUES (0, true, NULL, NULL), (1, true, NULL, NULL), (2, false, NULL, NULL), (3, false, NULL, NULL), (4, NULL, NULL, NULL), (5, NULL, 'x', NULL), (6, true, 'y', NULL), (7, NULL, NULL, .25), (8, NULL, NULL, NULL), (9, NULL, NULL, NULL), (10, NULL, NULL, NULL), (11, NULL, NULL, NULL)) v(case_id, b, c, s)), k AS (SELECT unnest(['boolean', 'choice', 'score']) AS kind)
- SELECT case_id::BIGINT AS case_id, kind, CASE kind WHEN 'boolean' THEN b END AS value, CASE kind WHEN 'choice' THEN c END AS selected, CASE WHEN kind = 'choice' AND c = 'x' THEN 'x=1,y=0,z=0' WHEN kind = 'choice' AND c = 'y' THEN 'x=0,y=1,z=0' END AS probabilities, CASE kind WHEN 'score' THEN s END::DOUBLE AS score,
- CASE WHEN CASE kind WHEN 'boolean' THEN b IS NULL WHEN 'choice' THEN c IS NULL ELSE s IS NULL END THEN kind END AS error FROM t, k""",
-    "skill_aliases": "SELECT * FROM (VALUES ('a', 'APPROACH'), ('H', 'HOLD'), ('i', 'INTERACT'), ('m', 'MOVE'), ('s', 'STOP'), ('ro', 'ROTATE'), ('rt', 'RETREAT'), (' RC ', 'RECOVER'), ('move', 'MOVE'), ('Stop', 'STOP'), ('q', NULL), ('', NULL)) v(said, skill)",
-    "abstentions": """SELECT * FROM (VALUES ('boolean', false, .5::DOUBLE, NULL, NULL, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, true), ('choice', NULL, .25, 'x', '0.25,0.25,0.25,0.25', NULL, NULL, NULL, true), ('score', NULL, NULL, NULL, NULL, .5, 0, 1, true)) v(kind, value, probability, selected, probabilities, score, lower, upper, abstained)""",
+ SELECT event_id, kind, CASE kind WHEN 'boolean' THEN b END AS value, CASE kind WHEN 'choice' THEN c END AS selected, CASE WHEN kind = 'choice' AND c = 'x' THEN 'x=1,y=0,z=0' WHEN kind = 'choice' AND c = 'y' THEN 'x=0,y=1,z=0' END AS probabilities, CASE kind WHEN 'score' THEN s END::DOUBLE AS score,
+ CASE WHEN CASE kind WHEN 'boolean' THEN b IS NULL WHEN 'choice' THEN c IS NULL ELSE s IS NULL END THEN kind END AS error FROM events JOIN t ON case_id = event_id % 12 JOIN k ON kind = ['boolean', 'choice', 'score'][(event_id // 12) % 3 + 1]""",
+    "skill_aliases": "SELECT event_id, said, skill FROM events JOIN (VALUES " + ", ".join(f"({k}, {_q(a)}, {_q(b)})" for k, (a, b) in enumerate(_SAID.items())) + ") v(k, said, skill) ON k = event_id % 12",
+    "abstentions": """SELECT event_id, v.* FROM events JOIN (VALUES ('boolean', false, .5::DOUBLE, NULL, NULL, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, true), ('choice', NULL, .25, 'x', '0.25,0.25,0.25,0.25', NULL, NULL, NULL, true), ('score', NULL, NULL, NULL, NULL, .5, 0, 1, true)) v(kind, value, probability, selected, probabilities, score, lower, upper, abstained) ON kind = ['boolean', 'choice', 'score'][event_id % 3 + 1]""",
     "question_contracts": """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'id' WHEN 1 THEN 'id' WHEN 2 THEN 'id' WHEN 3 THEN 'task' WHEN 4 THEN 'task' ELSE 'candidates' END AS question, CASE event_id % 6 WHEN 1 THEN 'latency_ms' WHEN 2 THEN 'route' WHEN 3 THEN 'results' WHEN 4 THEN 'latency_ms' WHEN 5 THEN 'route' ELSE '' END AS response FROM events""",
     "score_bands": """WITH e AS (SELECT vec_id, least(1, greatest(0, embedding[1]::DOUBLE * 3 + .5)) AS v, .5 / (1 + exp(-embedding[2]::DOUBLE)) AS w FROM embeddings WHERE embedding IS NOT NULL) SELECT vec_id, round(v, 6) AS value, round(greatest(0, v - w), 6) AS lower, round(least(1, v + w), 6) AS upper FROM e""",
 }

@@ -64,6 +64,12 @@ def _release(s, d):
     return gates.gate_rows(values).select("gate", "subject", F.nanvl("value", F.lit(None)).alias("value"), "limit", "failed")
 
 
+def _templates(rows, number, text):
+    """A table's texts as templates: skills take turns."""
+    n = F.col(number)
+    return rows.select(F.element_at(F.array(*map(F.lit, K.SKILLS)), (n % 8 + 1).cast("int")).alias("target"), F.floor(n / 8).alias("v"), F.col(text).alias("text"))
+
+
 QUERIES = {
     "student_summary": lambda s, d: E.summary(_predictions(s, d)),
     "student_gate": lambda s, d: E.quality_gate(_predictions(s, d)),
@@ -72,13 +78,13 @@ QUERIES = {
     "runtime_replay": lambda s, d: E.replay(_replayed(s, d)),
     "control_simulation": _simulated,
     "release_gates": _release,
-    "golden_queue": lambda s, d: N.golden_queue(s, 1000),
-    "golden_queue_counts": lambda s, d: N.golden_queue(s, 1000).groupBy("task_id", "language").agg(F.count("*").alias("n")),
-    "training_queue": lambda s, d: N.training_queue(s, "compositional", {"MOVE": ["go on", "drive ahead"], "HOLD": ["wait"], "STOP": []}, "en"),
-    "training_queue_korean": lambda s, d: N.training_queue(s, "korean", {"MOVE": ["앞으로 간다"], "HOLD": ["기다린다", "그대로 있는다"]}, "ko"),
-    "review_queue_texts": lambda s, d: N.review_queue(s, 24),
-    "counterfactual_queue": lambda s, d: N.counterfactual_queue(s, 40),
-    "scenario_counts": lambda s, d: N.scenario_counts(K.safety_matrix(s, 500)),
+    "golden_queue": lambda s, d: N.golden_queue(s, A.event_numbers(s, d)),
+    "golden_queue_counts": lambda s, d: N.golden_queue(s, A.event_numbers(s, d)).groupBy("task_id", "language").agg(F.count("*").alias("n")),
+    "training_queue": lambda s, d: N.training_queue(s, "compositional", _templates(A.table(s, d, "benchmark"), "item_id", "text"), "en"),
+    "training_queue_korean": lambda s, d: N.training_queue(s, "korean", _templates(A.table(s, d, "part"), "p_partkey", "p_name"), "ko"),
+    "review_queue_texts": lambda s, d: N.review_queue(s, 24, ids=A.event_numbers(s, d)),
+    "counterfactual_queue": lambda s, d: N.counterfactual_queue(s, A.event_numbers(s, d)),
+    "scenario_counts": lambda s, d: N.scenario_counts(K.safety_matrix(s, A.event_numbers(s, d))),
 }
 
 W = "WITH "
@@ -103,6 +109,8 @@ _WL = "round(greatest(0, (x + z * z / 2 - z * sqrt(x * (n - x) / n::DOUBLE + z *
 _variant = lambda e: f"CASE WHEN {e} < 8 THEN 'train' WHEN {e} = 8 THEN 'validation' ELSE 'test' END"
 _texts = lambda t: "CASE " + " ".join(f"WHEN skill = '{s}' AND language = '{lang}' THEN [" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]" for s, by in t.items() for lang, xs in by.items()) + " END"
 _ask = lambda: "CASE language " + " ".join(f"WHEN '{lang}' THEN [" + ", ".join(f"'{x}'" for x in xs) + "]" for lang, xs in N.QUESTIONS.items()) + " END"
+#: Templates of a table: a skill and a place in it by the number, put in order.
+_NUMBERED = "(SELECT row_number() OVER (ORDER BY {0} % 8, {0} // 8, {1}) AS i, ['STOP', 'HOLD', 'MOVE', 'ROTATE', 'APPROACH', 'RETREAT', 'INTERACT', 'RECOVER'][{0} % 8 + 1] AS skill, {1} AS state, {0} // 8 AS v FROM {2}) x"
 SQL = {
     "student_summary": W + PREDICTED + " SELECT * FROM sm",
     "student_gate": W + PREDICTED + """, f AS (SELECT coalesce(string_agg(subject, ',' ORDER BY subject), '') AS f FROM sm WHERE subject <> 'overall' AND coalesce(accuracy, 0) < .98), h AS (SELECT count(human) AS h, count(*) AS n FROM ev),
@@ -122,16 +130,16 @@ SQL = {
  v AS (SELECT 'split_accuracy' AS gate, split AS subject, round(x / n::DOUBLE, 6) AS value, .99::DOUBLE AS lim FROM c UNION ALL SELECT 'split_accuracy_lower', split, {_WL}, .99 FROM c UNION ALL SELECT 'accepted_accuracy', split, round(ac / nullif(a, 0)::DOUBLE, 6), .995 FROM c UNION ALL SELECT 'accepted_coverage', split, round(a / n::DOUBLE, 6), .99 FROM c
   UNION ALL SELECT 'skill_accuracy', split || ':' || skill, round(avg(correct::INT), 6), .99 FROM p GROUP BY split, skill UNION ALL SELECT 'skill_accuracy', 'test:none', NULL, .99 UNION ALL SELECT 'safety_accuracy', 'safety', 1, 1 UNION ALL SELECT 'stop_recall', 'safety', 1, 1 UNION ALL SELECT 'stop_recall_lower', 'safety', .993, .99 UNION ALL SELECT 'stop_count', 'safety', 499, 500
   UNION ALL SELECT 'unique_groups', 'test', count(DISTINCT doc_id), 381 FROM p WHERE split = 'test') SELECT gate, subject, value, lim AS "limit", coalesce(value < lim, true) AS failed FROM v UNION ALL SELECT 'false_stop_rate', 'safety', NULL, 0, true""",
-    "golden_queue": f"""WITH q AS (SELECT i, {list(N.TASK_ORDER)}[(i - 1) % {len(N.TASK_ORDER)} + 1] AS task_id, CASE WHEN {V.keyed('i', 'language:0', 5)} = 0 THEN 'en' ELSE 'ko' END AS language FROM range(1, 1001) r(i)), t AS (SELECT *, {V.keyed('i', 'template:0', 2)} AS k FROM q)
+    "golden_queue": f"""WITH q AS (SELECT i, {list(N.TASK_ORDER)}[(i - 1) % {len(N.TASK_ORDER)} + 1] AS task_id, CASE WHEN {V.keyed('i', 'language:0', 5)} = 0 THEN 'en' ELSE 'ko' END AS language FROM (SELECT event_id + 1 FROM events) r(i)), t AS (SELECT *, {V.keyed('i', 'template:0', 2)} AS k FROM q)
  SELECT printf('phase0-synthetic-%04d', i) AS sample_id, t.task_id, 1 AS task_version, x.state, x.question, x.target, t.language, 'pending' AS status FROM t JOIN (VALUES {', '.join(f"('{a}', '{b}', {k}, '{st}', '{qu}', '{ta}')" for (a, b), rows in N.GOLDEN.items() for k, (st, qu, ta) in enumerate(rows))}) x(task_id, language, k, state, question, target) ON x.task_id = t.task_id AND x.language = t.language AND x.k = t.k""",
-    "golden_queue_counts": f"SELECT {list(N.TASK_ORDER)}[(i - 1) % {len(N.TASK_ORDER)} + 1] AS task_id, CASE WHEN {V.keyed('i', 'language:0', 5)} = 0 THEN 'en' ELSE 'ko' END AS language, count(*) AS n FROM range(1, 1001) r(i) GROUP BY 1, 2",
-    "training_queue": """SELECT 'control-compositional-train-' || printf('%05d', i) AS sample_id, skill AS target, state || '; compositional training variant ' || printf('%04d', v) AS state, 'select next safe high-level control skill' AS question, 'en' AS language, 'train' AS split, 'control-compositional-group-' || printf('%05d', i) AS semantic_group_id
- FROM (VALUES (1, 'HOLD', 'wait', 0), (2, 'MOVE', 'go on', 0), (3, 'MOVE', 'drive ahead', 1)) x(i, skill, state, v)""",
-    "training_queue_korean": """SELECT 'control-korean-train-' || printf('%05d', i) AS sample_id, skill AS target, state || '; 한국어 학습 변형 ' || printf('%04d', v) AS state, '다음 안전한 고수준 제어 skill을 선택하라' AS question, 'ko' AS language, 'train' AS split, 'control-korean-group-' || printf('%05d', i) AS semantic_group_id
- FROM (VALUES (1, 'HOLD', '기다린다', 0), (2, 'HOLD', '그대로 있는다', 1), (3, 'MOVE', '앞으로 간다', 0)) x(i, skill, state, v)""",
-    "review_queue_texts": f"""WITH q AS (SELECT i, i // 24 AS k, i % 24 AS v FROM range(192) r(i)), l AS (SELECT *, ['STOP', 'HOLD', 'MOVE', 'ROTATE', 'APPROACH', 'RETREAT', 'INTERACT', 'RECOVER'][k + 1] AS skill, CASE WHEN (v + k + 7) % 2 = 1 THEN 'ko' ELSE 'en' END AS language FROM q), t AS (SELECT *, {_texts(N.TEMPLATES)} AS s, {_ask()} AS q FROM l)
+    "golden_queue_counts": f"SELECT {list(N.TASK_ORDER)}[(i - 1) % {len(N.TASK_ORDER)} + 1] AS task_id, CASE WHEN {V.keyed('i', 'language:0', 5)} = 0 THEN 'en' ELSE 'ko' END AS language, count(*) AS n FROM (SELECT event_id + 1 FROM events) r(i) GROUP BY 1, 2",
+    "training_queue": f"""SELECT 'control-compositional-train-' || printf('%05d', i) AS sample_id, skill AS target, state || '; compositional training variant ' || printf('%04d', v) AS state, 'select next safe high-level control skill' AS question, 'en' AS language, 'train' AS split, 'control-compositional-group-' || printf('%05d', i) AS semantic_group_id
+ FROM {_NUMBERED.format('item_id', 'text', 'benchmark')}""",
+    "training_queue_korean": f"""SELECT 'control-korean-train-' || printf('%05d', i) AS sample_id, skill AS target, state || '; 한국어 학습 변형 ' || printf('%04d', v) AS state, '다음 안전한 고수준 제어 skill을 선택하라' AS question, 'ko' AS language, 'train' AS split, 'control-korean-group-' || printf('%05d', i) AS semantic_group_id
+ FROM {_NUMBERED.format('p_partkey', 'p_name', 'part')}""",
+    "review_queue_texts": f"""WITH q AS (SELECT i, (i // 24) % 8 AS k, i % 24 AS v FROM (SELECT event_id FROM events) r(i)), l AS (SELECT *, ['STOP', 'HOLD', 'MOVE', 'ROTATE', 'APPROACH', 'RETREAT', 'INTERACT', 'RECOVER'][k + 1] AS skill, CASE WHEN (v + k + 7) % 2 = 1 THEN 'ko' ELSE 'en' END AS language FROM q), t AS (SELECT *, {_texts(N.TEMPLATES)} AS s, {_ask()} AS q FROM l)
  SELECT printf('control-review-%05d', i + 1) AS sample_id, skill AS target, s[v % len(s) + 1] || CASE language WHEN 'en' THEN '; scenario variant ' ELSE '; 시나리오 변형 ' END || printf('%04d', v) AS state, q[v % 4 + 1] AS question, language, {_variant('(v + k * 3 + 7) % 10')} AS split, printf('control-group-%05d', i + 1) AS semantic_group_id FROM t""",
-    "counterfactual_queue": f"""WITH p AS (SELECT i, s, CASE WHEN (i + 7) % 2 = 1 THEN 'ko' ELSE 'en' END AS language, {list(map(list, N.CONFUSED))}[i % {len(N.CONFUSED)} + 1][s] AS skill FROM range(40) r(i), (VALUES (1), (2)) v(s)), t AS (SELECT *, {_texts(N.TEMPLATES)} AS x FROM p)
+    "counterfactual_queue": f"""WITH p AS (SELECT i, s, CASE WHEN (i + 7) % 2 = 1 THEN 'ko' ELSE 'en' END AS language, {list(map(list, N.CONFUSED))}[i % {len(N.CONFUSED)} + 1][s] AS skill FROM (SELECT event_id FROM events) r(i), (VALUES (1), (2)) v(s)), t AS (SELECT *, {_texts(N.TEMPLATES)} AS x FROM p)
  SELECT printf('control-hard-%05d', i * 2 + s) AS sample_id, printf('control-hard-group-%05d', i) AS counterfactual_group_id, s::BIGINT AS pair_side, skill AS target, x[i % len(x) + 1] || '; counterfactual variant ' || printf('%04d', i) AS state, language, {_variant('(i + 7) % 10')} AS split FROM t""",
-    "scenario_counts": "SELECT * FROM (VALUES ('emergency_stop', 167::BIGINT, 167::BIGINT), ('stale_observation', 167, 167), ('invalid_clock', 166, 166)) v(expected_reason, n, ids)",
+    "scenario_counts": "SELECT ['emergency_stop', 'stale_observation', 'invalid_clock'][event_id % 3 + 1] AS expected_reason, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY 1",
 }

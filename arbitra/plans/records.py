@@ -76,16 +76,20 @@ def _training_lines(s, d):
     return _lines(docs, whole)
 
 
+#: Of each log's records by number, which are manifests, and which isn't an object.
+_LOGS = {"proper": ((0,), None), "late": ((1,), None), "twice": ((0, 3), None), "none": ((), None), "odd": ((0,), 2), "empty": None}
+
+
 def _runs(s, d):
-    """Logs of a few records each: with a manifest first, later, twice, or none, or not of objects."""
-    out = None
-    logs = {"proper": ("manifest", "x", "y"), "late": ("x", "manifest"), "twice": ("manifest", "manifest", "x"), "none": ("x", "y"), "odd": ("manifest", None), "empty": ()}
-    for name, kinds in logs.items():
-        lines = [(name, i, "[1]" if k is None else f'{{"record_type": "{k}"}}') for i, k in enumerate(kinds)]
-        rows = s.createDataFrame(lines, "path string, line_no long, line string").withColumn("value", F.try_parse_json("line"))
+    """Events as the records of some logs: with a manifest first, later, twice, or none, or one that is no object, and a log without any."""
+    out, n, events = None, F.floor(F.col("event_id") / len(_LOGS)), A.table(s, d, "events").select("event_id")
+    for k, (name, told) in enumerate(_LOGS.items()):
+        first, odd = told or ((), None)
+        line = F.when(n.isin(*first) if first else F.lit(False), '{"record_type": "manifest"}').when(n == (-1 if odd is None else odd), "[1]").otherwise(F.concat(F.lit('{"record_type": "x", "n": '), n.cast("string"), F.lit("}")))
+        rows = events.where((F.col("event_id") % len(_LOGS) == k) & F.lit(told is not None)).select(F.lit(name).alias("path"), n.alias("line_no"), F.try_parse_json(line).alias("value"))
         manifest, records, error = jsonl.split_run(rows)
-        n = manifest.agg(F.count("*").alias("manifests")).crossJoin(records.agg(F.count("*").alias("records"))).crossJoin(error).select(F.lit(name).alias("log"), "manifests", "records", "error")
-        out = n if out is None else out.unionByName(n)
+        n_rows = manifest.agg(F.count("*").alias("manifests")).crossJoin(records.agg(F.count("*").alias("records"))).crossJoin(error).select(F.lit(name).alias("log"), "manifests", "records", "error")
+        out = n_rows if out is None else out.unionByName(n_rows)
     return out
 
 
@@ -107,10 +111,12 @@ def _catalog(s, d):
 
 
 def _calibrated(s, d):
-    good = '{"record_type": "calibration_manifest", "checkpoint_sha256": "abc", "tasks": {"t1": {"status": "fitted", "temperature": 1.5}, "t2": {"status": "insufficient"}, "t3": {"status": "fitted", "temperature": 0.75}}}'
-    rows = [("good", 1, good), ("good", 2, " "), ("other", 1, good.replace("abc", "xyz")), ("kind", 1, good.replace("calibration_manifest", "report")), ("json", 1, "{")]
-    lines = s.createDataFrame(rows, "path string, line_no long, line string")
-    return R.calibrations(lines.filter("path = 'good'"), "abc").withColumn("file", F.lit("good")).unionByName(R.calibrations(lines.filter("path <> 'good'"), "abc").withColumn("file", F.lit("rest")))
+    """A manifest for each label: good ones, and those of another checkpoint, of another kind, and broken ones."""
+    i = F.col("doc_id")
+    checkpoint, kind = F.when(i % 4 == 1, "xyz").otherwise("abc"), F.when(i % 4 == 2, "report").otherwise("calibration_manifest")
+    told = F.format_string('{"record_type": "%s", "checkpoint_sha256": "%s", "tasks": {"t%d": {"status": "fitted", "temperature": %.2f}, "u%d": {"status": "insufficient"}}}', kind, checkpoint, i, (i % 100 + 1) / 4, i)
+    lines = A.table(s, d, "labels").select((i % 4).cast("string").alias("path"), i.alias("line_no"), F.when(i % 4 == 3, "{").otherwise(told).alias("line"))
+    return R.calibrations(lines, "abc")
 
 
 QUERIES = {
@@ -149,7 +155,8 @@ SQL = {
     "seed_scan": _SCAN("sample_id", False, False),
     "draft_scan": _SCAN("sample_id", True, False),
     "empty_files": "SELECT DISTINCT 'part-' || doc_id % 4 || '/11' AS path FROM documents WHERE doc_id % 14 = 11",
-    "run_scan": """SELECT * FROM (VALUES ('proper', 1::BIGINT, 2::BIGINT, NULL), ('late', 1, 1, 'first record must be a manifest'), ('twice', 2, 1, 'exactly one manifest is needed'), ('none', 0, 2, 'first record must be a manifest'), ('odd', 1, 1, 'records must be objects'), ('empty', 0, 0, 'run is empty')) v(log, manifests, records, error)""",
+    "run_scan": """WITH e AS (SELECT event_id // 6 AS n, ['proper', 'late', 'twice', 'none', 'odd', 'empty'][event_id % 6 + 1] AS log FROM events WHERE event_id % 6 < 5), m AS (SELECT log, n = 1 AND log = 'late' OR n = 0 AND log IN ('proper', 'twice', 'odd') OR n = 3 AND log = 'twice' AS m FROM e)
+ SELECT log, count(*) FILTER (m) AS manifests, count(*) FILTER (NOT m) AS records, CASE log WHEN 'odd' THEN 'records must be objects' WHEN 'late' THEN 'first record must be a manifest' WHEN 'none' THEN 'first record must be a manifest' WHEN 'twice' THEN 'exactly one manifest is needed' END AS error FROM m GROUP BY log UNION ALL SELECT 'empty', 0, 0, 'run is empty'""",
     "training_scan": W + TRAINING + ' SELECT "at", task_id, errors FROM u',
     "training_scan_human": W + TRAINING + """ SELECT "at", CASE WHEN errors IN ('target', 'soft_target') THEN concat_ws(',', nullif(human, ''), errors) ELSE concat_ws(',', nullif(errors, ''), nullif(human, '')) END AS errors FROM u""",
     "training_counts": W + TRAINING + " SELECT 'split' AS kind, split AS name, count(*) AS n FROM u WHERE errors = '' GROUP BY 2 UNION ALL SELECT 'task', task_id, count(*) FROM u WHERE errors = '' GROUP BY 2 UNION ALL SELECT 'error', errors, count(*) FROM u WHERE errors <> '' GROUP BY 2",
@@ -159,7 +166,7 @@ SQL = {
     "task_catalog": """WITH t AS (SELECT * FROM (VALUES ('memory.remember_worthy', 'boolean', .92::DOUBLE, 0), ('memory.importance', 'score', .92, 0), ('wiki.semantic_change', 'boolean', .9, 0), ('control.skill', 'choice', .92, 8)) v(task_id, output_type, auto_true, n)),
  a AS (SELECT event_id, ['memory.remember_worthy', 'memory.importance', 'wiki.semantic_change', 'control.skill', 'no.task'][event_id % 5 + 1] AS task_id, ['ko', 'en', 'de'][event_id % 3 + 1] AS language FROM events)
  SELECT event_id, output_type IS NOT NULL AS known, output_type IS NOT NULL AND language <> 'de' AS language_ok, output_type, auto_true, CASE WHEN output_type IS NOT NULL THEN .9::DOUBLE END AS minimum_probability, coalesce(n, 0)::INT AS candidates FROM a LEFT JOIN t ON t.task_id = a.task_id AND event_id % 7 <> 0""",
-    "calibration_scan": """SELECT * FROM (VALUES ('t1', 1.5::DOUBLE, NULL, 'good'), ('t3', .75, NULL, 'good'), (NULL, NULL, 'checkpoint_sha256', 'rest'), (NULL, NULL, 'record_type', 'rest'), (NULL, NULL, 'json', 'rest')) v(task_id, temperature, error, file)""",
+    "calibration_scan": """SELECT DISTINCT CASE WHEN doc_id % 4 = 0 THEN 't' || doc_id END AS task_id, CASE WHEN doc_id % 4 = 0 THEN ((doc_id % 100 + 1) / 4.0)::DOUBLE END AS temperature, [NULL, 'checkpoint_sha256', 'record_type', 'json'][doc_id % 4 + 1] AS error FROM labels""",
     "split_filter": "SELECT doc_id, 'validation' AS split FROM documents WHERE doc_id % 10 = 8",
     "first_rows": "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 25",
 }

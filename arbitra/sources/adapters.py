@@ -25,6 +25,11 @@ def keyed(key: Column | str, salt: str, most: int) -> Column:
     return hash_number(F.concat(k.cast("string"), F.lit(f":{salt}"))) % most
 
 
+def event_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of all events as ``id``: what generated queues are made of."""
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"))
+
+
 def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One draft per document and provider."""
     docs = table(spark, sf_dir, "documents").select("doc_id")
