@@ -129,6 +129,47 @@ def materialize_labels(df: DataFrame, labels: DataFrame, id: str = "sample_id")
     return df.drop("target").join(labels.select(id, F.col("label").alias("target")), id).withColumn("target_source", F.lit("human"))
 
 
+#: Fixed value: how the reason of a review by two people begins.
+DUAL_REASON = "control dual-review "
+
+
+def dual_review_error(status: Column, reviewer: Column, reason: Column) -> Column:
+    """What a review lacks to prove that two people agreed; null if nothing."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    return (
+        F.when(status.isNull() & reviewer.isNull() & reason.isNull(), "missing").when(F.coalesce(status, F.lit("")) != "reviewed", "status")
+        .when(blank(reviewer), "reviewer").when(~F.coalesce(reason, F.lit("")).startswith(DUAL_REASON), "reason")
+    )
+
+
+def materialize_reviewed(df: DataFrame, reviews: DataFrame, id: str = "sample_id", dual: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows with the human's target and where it comes from, ``id, error`` of rows that can't have one).
+
+    ``reviews`` has the label, status, reviewer and reason of each row. Nothing may be
+    used as long as there are errors: the first table is empty then. Each row stays, its
+    old target becomes ``materialized_from``.
+    """
+    r = reviews.select(F.col(id).alias("_id"), F.col("label").alias("_label"), F.col("status").alias("_status"), F.col("reviewer").alias("_reviewer"), F.col("reason").alias("_reason"))
+    proof = dual_review_error(F.col("_status"), F.col("_reviewer"), F.col("_reason")) if dual else F.lit(None).cast("string")
+    judged = df.join(r, F.col(id) == F.col("_id"), "left").withColumn("_error", F.when(F.col("_label").isNull(), "label").otherwise(proof))
+    errors = judged.where("_error is not null").select(id, F.col("_error").alias("error"))
+    ready = errors.agg((F.count("*") == 0).alias("_ready"))  # one row
+    others = [c for c in df.columns if c != "target"]
+    rows = judged.crossJoin(F.broadcast(ready)).where("_ready").select(*others, F.col("_label").alias("target"), F.col("target").alias("materialized_from"), F.lit("human_review").alias("target_source"))
+    return rows, errors
+
+
+def quality_errors(df: DataFrame, task: str, human: bool = False, id: str = "sample_id") -> DataFrame:
+    """``sample_id, reason, value`` of each thing that is wrong with a row of a dataset."""
+    e = lambda wrong, reason, value: F.when(wrong, F.struct(F.lit(reason).alias("reason"), F.coalesce(value, F.lit("")).alias("value")))
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    found = [
+        e(~F.coalesce(F.col("split").isin("train", "validation", "test"), F.lit(False)), "invalid_split", F.col("split")), e(~F.coalesce(F.col("task_id") == task, F.lit(False)), "unexpected_task", F.col("task_id")),
+        *(e(empty(c), f"missing_{c}", F.lit("")) for c in ("scenario_id", "episode_id", "semantic_group_id")), *([e(F.col("human").isNull(), "human_label_required", F.lit("null"))] if human else []),
+    ]
+    return df.select(id, F.inline(F.array_compact(F.array(*found))))
+
+
 def balance(df: DataFrame, label: str, seq: str) -> DataFrame:
     """Each class repeated to the largest class's size; ``copy`` counts from 0.
 

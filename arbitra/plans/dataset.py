@@ -79,7 +79,35 @@ def _joined(ids, sep=" "):
     return F.array_join(F.transform(ids, lambda x: x.cast("string")), sep)
 
 
+def _marked(s, d):
+    """Documents as rows of a control dataset: some without a split, a scenario, an episode or a semantic group, or of another task."""
+    i = F.col("doc_id")
+    return A.table(s, d, "documents").join(A.table(s, d, "labels"), "doc_id", "left").select(
+        i.cast("string").alias("sample_id"), F.when(i % 13 == 0, "other").when(i % 10 < 8, "train").when(i % 10 == 8, "validation").otherwise("test").alias("split"), F.when(i % 17 == 0, "memory.importance").otherwise("control.skill").alias("task_id"),
+        F.when(i % 19 != 0, F.concat(F.lit("s"), i.cast("string"))).alias("scenario_id"), F.when(i % 23 == 0, "").otherwise(F.concat(F.lit("e"), F.floor(i / 3).cast("string"))).alias("episode_id"), F.concat(F.lit("g"), F.floor(i / 7).cast("string")).alias("semantic_group_id"),
+        F.col("quality").cast("string").alias("human"), F.lit("0").alias("target"),
+    )
+
+
+def _control_leaks(s, d):
+    """Episodes and semantic groups that lie in several splits."""
+    rows = _marked(s, d).where("split <> 'other'")
+    return D.leaks(rows.where("episode_id <> ''"), ["episode_id"], "episode").unionByName(D.leaks(rows, ["semantic_group_id"], "semantic"))
+
+
+def _reviewed(s, d, broken):
+    rows = _marked(s, d).where("human is not null")
+    i = F.col("sample_id").cast("long")
+    flaw = lambda k, value, other: F.when((i % 29 == k) & F.lit(broken), F.lit(value)).otherwise(F.lit(other))
+    reviews = rows.select("sample_id", F.col("human").alias("label"), flaw(1, "pending", "reviewed").alias("status"), flaw(2, " ", "two people").alias("reviewer"), flaw(3, "alone", "control dual-review agreed").alias("reason"))
+    return D.materialize_reviewed(rows, reviews.where((i % 29 != 4) | F.lit(not broken)))
+
+
 QUERIES = {
+    "control_quality_errors": lambda s, d: D.quality_errors(_marked(s, d), "control.skill", human=True),
+    "control_leaks": _control_leaks,
+    "dual_materialize": lambda s, d: _reviewed(s, d, False)[0].select("sample_id", "target", "materialized_from", "target_source"),
+    "dual_materialize_errors": lambda s, d: _reviewed(s, d, True)[1],
     "privacy_filter": lambda s, d: samples(s, d).filter(~D.private(F.col("sensitivity"), F.col("kind"))).groupBy("kind", "sensitivity").agg(F.count("*").alias("n")),
     "dataset_outcomes": lambda s, d: D.outcome_counts(built(s, d)),
     "dataset_records": lambda s, d: built(s, d).filter(F.col("outcome").startswith("accepted")).select(
@@ -136,7 +164,15 @@ BUILT = SAMPLES + f""", red AS (SELECT *, {REDACT.format('state')} AS redacted,
  bld AS (SELECT r.*, a.value AS value_a, a.p AS p_a, b.value AS value_b, b.p AS p_b, CASE WHEN trim(coalesce(state, '')) = '' THEN 'review_invalid_seed' WHEN NOT ok THEN 'excluded_privacy' WHEN e.duplicate THEN 'excluded_duplicate' WHEN human IS NOT NULL THEN 'accepted_human'
   WHEN NOT (a.schema_valid AND b.schema_valid) THEN 'review_schema_invalid' WHEN a.p < .5 AND b.p < .5 THEN 'excluded_low_confidence' WHEN a.value <> b.value OR abs(a.p - b.p) > .35 THEN 'review_disagreement' ELSE 'accepted_silver' END AS outcome
   FROM red r LEFT JOIN ded e ON e.doc_id = r.doc_id LEFT JOIN drafts a ON a.doc_id = r.doc_id AND a.provider = 'a' LEFT JOIN drafts b ON b.doc_id = r.doc_id AND b.provider = 'b')"""
+MARKED = """mk AS (SELECT d.doc_id, d.doc_id::VARCHAR AS sample_id, CASE WHEN d.doc_id % 13 = 0 THEN 'other' WHEN d.doc_id % 10 < 8 THEN 'train' WHEN d.doc_id % 10 = 8 THEN 'validation' ELSE 'test' END AS split, CASE WHEN d.doc_id % 17 = 0 THEN 'memory.importance' ELSE 'control.skill' END AS task_id,
+ CASE WHEN d.doc_id % 23 = 0 THEN '' ELSE 'e' || d.doc_id // 3 END AS episode_id, 'g' || d.doc_id // 7 AS semantic_group_id, quality::VARCHAR AS human FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+_LEAK = "SELECT '{0}' AS kind, min(sample_id) AS first_id, count(*) AS members, array_to_string(list_sort(list(DISTINCT split)), ',') AS splits FROM mk WHERE split <> 'other' AND {1} <> '' GROUP BY {1} HAVING count(DISTINCT split) > 1"
 SQL = {
+    "control_quality_errors": W + MARKED + """ SELECT sample_id, 'invalid_split' AS reason, split AS value FROM mk WHERE split = 'other' UNION ALL SELECT sample_id, 'unexpected_task', task_id FROM mk WHERE task_id <> 'control.skill' UNION ALL SELECT sample_id, 'missing_scenario_id', '' FROM mk WHERE doc_id % 19 = 0
+ UNION ALL SELECT sample_id, 'missing_episode_id', '' FROM mk WHERE episode_id = '' UNION ALL SELECT sample_id, 'human_label_required', 'null' FROM mk WHERE human IS NULL""",
+    "control_leaks": W + MARKED + " " + _LEAK.format("episode", "episode_id") + " UNION ALL " + _LEAK.format("semantic", "semantic_group_id"),
+    "dual_materialize": W + MARKED + " SELECT sample_id, human AS target, '0' AS materialized_from, 'human_review' AS target_source FROM mk WHERE human IS NOT NULL",
+    "dual_materialize_errors": W + MARKED + " SELECT sample_id, ['status', 'reviewer', 'reason', 'label'][doc_id % 29] AS error FROM mk WHERE human IS NOT NULL AND doc_id % 29 BETWEEN 1 AND 4",
     "privacy_filter": W + SAMPLES + " SELECT kind, sensitivity, count(*) AS n FROM smp WHERE NOT (lower(sensitivity) = 'secret' OR lower(kind) = 'user') GROUP BY 1, 2",
     "dataset_outcomes": W + BUILT + " SELECT outcome, count(*) AS n FROM bld GROUP BY 1",
     "dataset_records": W + BUILT + f" SELECT sample_id, outcome, coalesce(human, value_a) AS target, round((p_a + p_b) / 2, 6) AS soft_target, {SPLIT('domain')} AS split, sha256(redacted) AS state_sha256 FROM bld WHERE outcome LIKE 'accepted%'",

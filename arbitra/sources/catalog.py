@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,10 @@ SCHEMA = (
 )
 
 
+#: Fixed value: how tasks are named.
+_ID = re.compile(r"[a-z][a-z0-9_.-]+")
+
+
 @dataclass(frozen=True)
 class Task:
     task_id: str
@@ -24,14 +29,16 @@ class Task:
     languages: tuple[str, ...] = ("ko", "en")
     max_chars: int = 12_000
     status: str = "active"
+    prompt_version: int = 1
 
     def errors(self) -> list[str]:
-        out = [] if self.output_type in ("boolean", "choice", "score") else ["output_type"]
-        if self.output_type == "choice" and len(set(self.candidates)) < 2:
+        """What the definition lacks."""
+        out = [] if _ID.fullmatch(self.task_id) else ["id"]
+        out += [] if self.output_type in ("boolean", "choice", "score") else ["output_type"]
+        if self.output_type == "choice" and (len(set(self.candidates)) < max(2, len(self.candidates))):
             out.append("candidates")
-        if self.version < 1:
-            out.append("version")
-        return out
+        out += [name for name in ("version", "max_chars", "prompt_version") if getattr(self, name) < 1]
+        return out if self.languages else [*out, "languages"]
 
 
 @dataclass
@@ -59,19 +66,30 @@ class Catalog:
 
 
 def load(folder: str) -> Catalog:
-    """A catalog of YAML files: one task each."""
+    """A catalog of YAML files, one task each, in order of their names.
+
+    A folder without files, a file that isn't a mapping, an id that two files have, and
+    a definition with errors are refused.
+    """
     import pathlib
 
     import yaml
 
-    tasks = []
-    for p in sorted(pathlib.Path(folder).glob("*.yaml")):
+    tasks: list[Task] = []
+    files = sorted(p for p in pathlib.Path(folder).iterdir() if p.suffix in (".yaml", ".yml"))
+    if not files:
+        raise ValueError(f"no tasks in {folder}")
+    for p in files:
         d = yaml.safe_load(p.read_text(encoding="utf-8"))
+        if not isinstance(d, dict) or "id" not in d:
+            raise ValueError(f"{p.name} doesn't define a task")
+        if any(t.task_id == d["id"] for t in tasks):
+            raise ValueError(f"several active versions or files of {d['id']}")
         out, limits = d.get("output", {}), d.get("thresholds", {})
         tasks.append(
             Task(
-                d["id"], int(d["version"]), out.get("type", "boolean"), tuple(map(str, out.get("candidates", ()))), float(limits.get("auto_true", 0.92)), float(limits.get("auto_false", 0.08)), float(limits.get("minimum_probability", 0.9)),
-                limits.get("otherwise"), tuple(d.get("languages", ("ko", "en"))), int(d.get("input", {}).get("max_chars", 12_000)), d.get("status", "active"),
+                d["id"], int(d.get("version", 0)), out.get("type", "boolean"), tuple(map(str, out.get("candidates", ()))), float(limits.get("auto_true", 0.92)), float(limits.get("auto_false", 0.08)), float(limits.get("minimum_probability", 0.9)),
+                limits.get("otherwise"), tuple(d.get("languages", ("ko", "en"))), int(d.get("input", {}).get("max_chars", 12_000)), d.get("status", "active"), int(d.get("teacher_prompt_version", 1)),
             )
         )
     return Catalog(tasks)

@@ -75,3 +75,19 @@ def test_catalog_of_files(tmp_path):
     (tmp_path / "c.yaml").write_text("id: memory.keep\nversion: 2\n")
     with pytest.raises(ValueError, match="several active"):
         catalog.load(str(tmp_path))
+
+
+def test_catalog_refuses(tmp_path):
+    pytest.importorskip("yaml")
+    with pytest.raises(ValueError, match="no tasks"):
+        catalog.load(str(tmp_path))
+    (tmp_path / "a.yml").write_text("- id\n")
+    with pytest.raises(ValueError, match="define a task"):
+        catalog.load(str(tmp_path))
+    (tmp_path / "a.yml").write_text("id: a.b\nversion: 1\nstatus: retired\n")
+    (tmp_path / "b.yaml").write_text("id: a.b\nversion: 2\n")
+    with pytest.raises(ValueError, match="several"):
+        catalog.load(str(tmp_path))
+    (tmp_path / "b.yaml").write_text("id: c.d\nversion: 0\ninput: {max_chars: 0}\nlanguages: []\nteacher_prompt_version: 0\n")
+    with pytest.raises(ValueError, match="version.*max_chars.*prompt_version.*languages"):
+        catalog.load(str(tmp_path))
