@@ -193,7 +193,11 @@ def buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, made: tuple[
 
 
 def distinct_counts(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """How many distinct shingles each line has, exact for lines of under ``MOST_FEW``; at least that many else."""
+    """How many distinct shingles each line has, exact for lines of under ``MOST_FEW``; at least that many else.
+
+    Hashes are told apart by half of their bits, which is as good for lines of equal sets.
+    """
+    x = x.astype(np.uint32)
     places = np.maximum(ends - starts - SHINGLE + 1, 0)
     out = np.minimum(places, 1)
     some = np.flatnonzero(places > 1)
@@ -211,18 +215,21 @@ def distinct_counts(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return out
 
 
-_SEEDS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF for k in range(BANDS * FEW_ROWS)], U64)
+_SEEDS = np.array([0x9E3779B9 * (2 * k + 1) & 0xFFFFFFFF for k in range(BANDS * FEW_ROWS)], np.uint32)
 
 
 def few_buckets(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The bucket in each band of lines that have a shingle, by a permutation for each value."""
     places = ends - starts - SHINGLE + 1
     first = np.cumsum(places) - places
-    own = x[np.repeat(starts - first, places) + np.arange(places.sum())]
+    own = (x[np.repeat(starts - first, places) + np.arange(places.sum())] >> U64(32)).astype(np.uint32)
     values = np.empty((len(starts), BANDS * FEW_ROWS), U64)
     with np.errstate(over="ignore"):
         for k, seed in enumerate(_SEEDS):
-            values[:, k] = np.minimum.reduceat(mix(own ^ seed), first)
+            v = (own ^ seed) * np.uint32(0x85EBCA6B)
+            v ^= v >> np.uint32(15)
+            v *= np.uint32(0xC2B2AE35)
+            values[:, k] = np.minimum.reduceat(v, first)
         both = mix(values[:, :BANDS] * U64(3) + mix(values[:, BANDS:] + U64(7)))
         return mix(both + np.arange(BANDS, 2 * BANDS, dtype=U64)).view(np.int64)
 
