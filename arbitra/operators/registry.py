@@ -6,11 +6,13 @@ append-only ``events(model_id, action, from_status, to_status, reason)``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.contracts import is_number, json_type
+from ..sources.shared import written
 from .gates import EDGES
+from .ranking import spread
 
 STATUSES = ("trained", "evaluated", "calibrated", "candidate", "canary", "active", "retired")
 BACK_FROM = ("retired", "candidate", "canary")
@@ -107,6 +109,75 @@ def rollback(models: DataFrame, model_id: str, reason: str = "rollback") -> tupl
     return kept.select(*models.columns), event
 
 
+def _handovers(active: DataFrame) -> DataFrame:
+    """``model_id, seq``: when each active model of ``active(seq, model_id)`` is retired by the next one that becomes active.
+
+    The order is cut in range partitions; the last of each looks at the first of the next,
+    of which there is one row a partition.
+    """
+    placed = spread(active, [F.col("seq")])
+    within = Window.partitionBy("_part").orderBy("_row")
+    nexts = placed.select("*", F.lead(F.struct("seq", "model_id")).over(within).alias("_next"))
+    firsts = placed.where("_row = 0").select(F.lag("_part").over(Window.orderBy("_part")).alias("_after"), F.struct("seq", "model_id").alias("_first"))
+    known = nexts.join(F.broadcast(firsts), F.col("_part") == F.col("_after"), "left").withColumn("_next", F.coalesce("_next", "_first"))
+    return known.where("_next.model_id <> model_id").select("model_id", F.col("_next.seq").alias("seq"))
+
+
+_OUTCOMES = "array<struct<seq:bigint,action:string,from_status:string,to_status:string,error:string>>"
+
+
+def _step(state: Column, e: Column) -> Column:
+    """A model's (status, outcomes) after one entry of the log, or after another model took its place."""
+    now, action, target = state["status"], e["action"], F.when(e["action"] == "rollback", "active").otherwise(e["target"])
+    known = F.coalesce(target.isin(*STATUSES), F.lit(False))
+    allowed = F.coalesce(F.concat(now, F.lit(">"), target).isin(*(f"{a}>{b}" for a, b in EDGES)), F.lit(False))
+    error = (
+        F.when(action == "register", F.when(now.isNotNull(), "registered_already").when(~known, "unsupported_status"))
+        .when(~known, "unsupported_status").when(now.isNull(), "unknown_model").when((action == "rollback") & ~now.isin(*BACK_FROM), "rollback_status").when(~allowed, "not_allowed")
+    )
+    told = F.struct(e["seq"].alias("seq"), action.alias("action"), now.alias("from_status"), target.alias("to_status"), error.alias("error"))
+    retired = action == "retire"
+    return F.struct(
+        F.when(retired, "retired").when(error.isNull(), target).otherwise(now).cast("string").alias("status"),
+        F.when(retired, state["out"]).otherwise(F.array_append(state["out"], told)).cast(_OUTCOMES).alias("out"),
+    )
+
+
+def replay(models: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``model_id, status`` of all models at the end, outcome of each entry: ``seq, model_id, action, from_status, to_status, error``).
+
+    ``models`` has statuses to begin with, one active model at most; ``log`` has seq (unique),
+    model_id, action (register, transition, rollback) and target. Entries count in order of
+    seq; who becomes active retires the model that was.
+
+    Models only meet where one takes another's place. So each model's log is replayed by
+    itself, for an assumed sequence of models that become active, which is then the one
+    that comes out, until it stays. What comes before the first wrong assumption is right,
+    so the end is the sequential replay's. A round is a shuffle by model.
+    """
+    requests = log.select("seq", "model_id", "action", "target")
+    start = models.select("model_id", "status")
+    begun = start.where("status = 'active'").select(F.lit(-(1 << 62)).cast("long").alias("seq"), "model_id")
+    active = requests.where("action = 'rollback' or (action = 'transition' and target = 'active')").select("seq", "model_id")
+    told = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("seq", "model_id"))).first())
+    active = written(active, "active")
+    assumed = told(active)
+    while True:
+        retires = _handovers(begun.unionByName(active)).select("seq", "model_id", F.lit("retire").alias("action"), F.lit(None).cast("string").alias("target"))
+        entries = requests.unionByName(retires).groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("seq", "action", "target"))).alias("_log"))
+        begin = F.struct(F.col("status"), F.array().cast(_OUTCOMES).alias("out"))
+        judged = start.join(entries, "model_id", "full_outer").select("model_id", F.aggregate(F.coalesce("_log", F.array().cast("array<struct<seq:bigint,action:string,target:string>>")), begin, _step).alias("_end"))
+        judged = written(judged.select("model_id", "_end.*"), "replayed")
+        outcomes = judged.select("model_id", F.inline("out"))
+        active = outcomes.where("error is null and to_status = 'active' and action <> 'register'").select("seq", "model_id")
+        found = told(active)
+        if found == assumed:
+            break
+        assumed = found
+    after = judged.where("status is not null").select("model_id", "status")
+    return after, outcomes.select("seq", "model_id", "action", "from_status", "to_status", "error")
+
+
 def promotion_errors(report: Column, checkpoint_sha256: Column, dataset_hash: Column) -> Column:
     """What a quality report (JSON text) lacks to promote a model, in order; none if it may be promoted."""
     v = F.try_parse_json(report)

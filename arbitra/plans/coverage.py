@@ -10,6 +10,7 @@ from ..operators import dataset as D
 from ..operators import metrics
 from ..operators import review as R
 from ..sources import adapters as A
+from ..sources.catalog import TASKS
 from . import views as V
 from .dataset import FOLD, REDACT, SAMPLES, samples
 
@@ -95,7 +96,7 @@ QUERIES = {
     "class_calibration": lambda s, d: metrics.class_calibration(A.choice_predictions(s, d)),
     "choice_adaptive_ece": _chosen,
     "control_features": lambda s, d: A.table(s, d, "benchmark").select("item_id", F.array_join(F.transform(T.features("control", F.col("text"), F.lit(QUESTION)), lambda x: x.cast("string")), " ").alias("ids")),
-    "language_filter": lambda s, d: samples(s, d).filter(F.col("language").isin("ko", "en")).groupBy("language").agg(F.count("*").alias("n")),
+    "language_filter": lambda s, d: samples(s, d).join(F.broadcast(TASKS.frame(s).select("task_id", "languages")), "task_id").filter(F.array_contains("languages", F.col("language"))).groupBy("language").agg(F.count("*").alias("n")),
 }
 
 W = "WITH "

@@ -67,7 +67,22 @@ def _promotions(s, d):
     return users.join(F.broadcast(parts), "k").select("user_id", F.array_join(R.promotion_errors(F.col("report"), F.lit("c"), F.lit("d")), ",").alias("errors"))
 
 
+def _replayed(s, d):
+    """Customers as the log of a registry: each registers a model, changes its status, or goes back to it."""
+    kind, e = A.keyed("c_custkey", "kind", 6), A.table(s, d, "customer").select("c_custkey")
+    names = F.array(*map(F.lit, R.STATUSES))
+    log = e.select(
+        F.col("c_custkey").cast("long").alias("seq"), F.concat(F.lit("m-"), A.keyed("c_custkey", "model", 40).cast("string")).alias("model_id"),
+        F.when(kind == 0, "register").when(kind == 1, "rollback").otherwise("transition").alias("action"),
+        F.when(kind == 2, "broken").otherwise(F.element_at(names, (A.keyed("c_custkey", "target", 7) + 1).cast("int"))).alias("target"),
+    )
+    models = s.createDataFrame([("m-0", "active"), ("m-1", "retired"), ("m-2", "canary")], "model_id string, status string")
+    return R.replay(models, log)
+
+
 QUERIES = {
+    "model_replay": lambda s, d: _replayed(s, d)[0],
+    "model_replay_log": lambda s, d: _replayed(s, d)[1],
     "model_manifests": lambda s, d: _manifests(s, d).select("user_id", "manifest.model_id", F.to_json("manifest.tasks").alias("tasks"), "manifest.precision", "error"),
     "model_registration": _registered,
     "model_rollback": _rolled_back,
@@ -80,7 +95,16 @@ W = "WITH "
 _null = lambda x: "NULL" if x is None else f"'{x}'"
 _BROKE = "br AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {_null(e)})" for i, (_, _, e) in enumerate(_BROKEN)) + f") v(k, error)), us AS (SELECT DISTINCT user_id FROM events), mf AS (SELECT user_id, error FROM us JOIN br ON br.k = user_id % {len(_BROKEN)})"
 MODELS = f"""ms AS (SELECT 'm-' || id AS model_id, CASE WHEN id = 2 THEN 'active' WHEN id = 3 THEN 'retired' WHEN s = 'active' THEN 'canary' ELSE s END AS status FROM (SELECT id, ['trained', 'evaluated', 'calibrated', 'candidate', 'canary', 'active', 'retired'][{V.keyed('id', 'status', 7)} + 1] AS s FROM (SELECT DISTINCT user_id AS id FROM events)))"""
+#: The log replayed entry by entry: a map of statuses, and who is active.
+REPLAY = f"""WITH RECURSIVE c AS MATERIALIZED (SELECT c_custkey, {V.keyed('c_custkey', 'kind', 6)} AS kind FROM customer), e AS MATERIALIZED (SELECT c_custkey::BIGINT AS seq, row_number() OVER (ORDER BY c_custkey) AS k, 'm-' || {V.keyed('c_custkey', 'model', 40)} AS m, CASE kind WHEN 0 THEN 'register' WHEN 1 THEN 'rollback' ELSE 'transition' END AS action,
+  CASE kind WHEN 1 THEN 'active' WHEN 2 THEN 'broken' ELSE {list(R.STATUSES)}[{V.keyed('c_custkey', 'target', 7)} + 1] END AS t FROM c),
+ w AS (SELECT 0::BIGINT AS k, MAP {{'m-0': 'active', 'm-1': 'retired', 'm-2': 'canary'}} AS st, 'm-0' AS a, NULL::BIGINT AS seq, NULL::VARCHAR AS m, NULL::VARCHAR AS action, NULL::VARCHAR AS f, NULL::VARCHAR AS t, NULL::VARCHAR AS er
+  UNION ALL SELECT k, CASE WHEN er IS NOT NULL THEN st WHEN t = 'active' AND action <> 'register' AND a <> m THEN map_concat(st, MAP {{a: 'retired'}}, MAP {{m: t}}) ELSE map_concat(st, MAP {{m: t}}) END, CASE WHEN er IS NULL AND t = 'active' AND action <> 'register' THEN m ELSE a END, seq, m, action, f, t, er
+  FROM (SELECT *, CASE WHEN action = 'register' THEN CASE WHEN f IS NOT NULL THEN 'registered_already' WHEN t = 'broken' THEN 'unsupported_status' END WHEN t = 'broken' THEN 'unsupported_status' WHEN f IS NULL THEN 'unknown_model' WHEN action = 'rollback' AND f NOT IN {R.BACK_FROM} THEN 'rollback_status'
+    WHEN f || '>' || t NOT IN ({', '.join(f"'{a}>{b}'" for a, b in R.EDGES)}) THEN 'not_allowed' END AS er FROM (SELECT e.k, w.st, w.a, e.seq, e.m, e.action, w.st[e.m] AS f, e.t FROM w JOIN e ON e.k = w.k + 1)))"""
 SQL = {
+    "model_replay": REPLAY + ", z AS (SELECT st FROM w ORDER BY k DESC LIMIT 1) SELECT x.key AS model_id, x.value AS status FROM (SELECT unnest(map_entries(st)) AS x FROM z)",
+    "model_replay_log": REPLAY + " SELECT seq, m AS model_id, action, f AS from_status, t AS to_status, er AS error FROM w WHERE k > 0",
     "model_manifests": W + _BROKE + """ SELECT user_id, CASE WHEN error IS NULL THEN 'm-' || user_id END AS model_id, CASE WHEN error IS NULL THEN '{"a":[1],"b":[2]}' END AS tasks, CASE WHEN error IS NULL THEN 'fp32' END AS precision, error FROM mf""",
     "model_registration": W + _BROKE + """, a AS (SELECT user_id, user_id AS seq FROM mf WHERE error IS NULL UNION ALL SELECT user_id, user_id + 1000000 FROM mf WHERE error IS NULL AND user_id % 2 = 0), b AS (SELECT *, min(seq) FILTER (seq % 5 <> 0) OVER (PARTITION BY user_id) AS f FROM a)
  SELECT 'm-' || user_id AS model_id, seq, CASE WHEN seq % 5 = 0 THEN 'missing:precision' WHEN user_id % 3 = 0 OR seq > f THEN 'registered_already' END AS error FROM b""",
