@@ -72,6 +72,27 @@ def outcome(is_private: Column, invalid: Column, duplicate: Column, human: Colum
     )
 
 
+#: Characters of an error that are kept.
+ERROR_CHARS = 240
+
+
+def teacher_metadata(provider: Column, model: Column, reply: Column, error: Column, elapsed_ms: Column) -> Column:
+    """What is kept of a teacher's call besides its answer: of a valid one the model, a digest of the reply and the time, of a failed one the error alone."""
+    valid = error.isNull() & reply.isNotNull()
+    return F.struct(
+        provider.alias("provider"), F.when(valid, "valid").otherwise("invalid").alias("status"), valid.alias("schema_valid"), F.when(valid, model).alias("model"), F.when(valid, digest(reply)).alias("response_sha256"),
+        F.when(valid, F.round(elapsed_ms, 3)).alias("latency_ms"), F.when(~valid, F.substring(F.coalesce(error, F.lit("no reply")), 1, ERROR_CHARS)).alias("error"),
+    )
+
+
+def review_record(sample_id: Column, task: Column, version: Column, state: Column, question: Column, reason: Column, qwen: Column, gemma: Column) -> Column:
+    """What goes to review: the sample, why, and both teachers' metadata."""
+    return F.struct(
+        F.lit("review").alias("record_type"), sample_id.alias("sample_id"), F.concat(task, F.lit("@"), version.cast("string")).alias("task"), state.alias("state"), question.alias("question"), digest(state).alias("state_sha256"), reason.alias("reason"),
+        F.struct(qwen.alias("qwen"), gemma.alias("gemma")).alias("teacher_metadata"), F.lit(False).alias("reviewed"),
+    )
+
+
 def soft_boolean(value_a: Column, p_a: Column, value_b: Column, p_b: Column) -> Column:
     """Mean of both probabilities of true."""
     true = lambda v, p: F.when(v, p).otherwise(1 - p)

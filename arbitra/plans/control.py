@@ -8,6 +8,7 @@ from ..functions import contracts as C
 from ..functions import stats
 from ..functions import text as T
 from ..operators import control as K
+from ..operators import dataset as D
 from ..operators import gates
 from ..operators.control import BLOCKERS, PHRASES, SKILLS, STOP_SIGNALS
 from ..sources import adapters as A
@@ -62,6 +63,19 @@ def _decisions(s, d):
     return x.select("doc_id", "provider", reply.alias("reply"))
 
 
+def _teacher_reviews(s, d):
+    """Documents of which a teacher's reply fails, for review, with both calls' metadata."""
+    drafts = A.drafts(s, d).select("doc_id", "provider", "latency_ms")
+    calls = _decisions(s, d).withColumn("r", C.parse_decision("reply")).join(drafts, ["doc_id", "provider"])
+    meta = D.teacher_metadata(F.col("provider"), F.concat(F.lit("model-"), "provider"), F.col("reply"), F.col("r.error"), F.col("latency_ms"))
+    side = lambda p: calls.where(F.col("provider") == p).select("doc_id", meta.alias(p))
+    both = side("a").join(side("b"), "doc_id").where("not a.schema_valid or not b.schema_valid").join(A.table(s, d, "documents").select("doc_id", "text"), "doc_id")
+    record = D.review_record(F.col("doc_id").cast("string"), F.lit("memory.remember_worthy"), F.lit(1), F.coalesce("text", F.lit("")), F.lit("q"), F.lit("schema_invalid"), F.col("a"), F.col("b"))
+    x = both.select("doc_id", record.alias("x"))
+    flat = lambda p: [F.col(f"x.teacher_metadata.{p}.{c}").alias(f"{p}_{c}") for c in ("status", "model", "response_sha256", "latency_ms", "error")]
+    return x.select("doc_id", "x.task", "x.state_sha256", "x.reason", "x.reviewed", *flat("qwen"), *flat("gemma"))
+
+
 def _repair(s, d):
     e = A.table(s, d, "events").select("event_id", (A.keyed("event_id", "u", 400) / 1000.0).alias("u"), (A.keyed("event_id", "v", 400) / 1000.0).alias("v"))
     p = F.create_map(F.lit("x"), F.col("u"), F.lit("y"), F.col("v"), F.lit("z"), F.lit(0.3))
@@ -70,6 +84,7 @@ def _repair(s, d):
 
 
 QUERIES = {
+    "teacher_reviews": _teacher_reviews,
     "explicit_stop": lambda s, d: _states(s, d).select("conv_id", "turn", K.explicit_stop(F.col("state")).alias("stop")),
     "phrase_skill": lambda s, d: _states(s, d).select("conv_id", "turn", K.phrase_skill(F.col("state")).alias("skill")),
     "safety_policy": lambda s, d: A.observations(s, d).select("observation_id", F.coalesce(K.safety_policy(*map(F.col, ("now_ms", "timestamp_ms", "emergency_stop", "abstained", "confidence", "ttl_ms"))), F.lit("run")).alias("reason")),
@@ -119,7 +134,12 @@ FIT = LOGITS + """, g AS (SELECT lo.*, 0.25::DOUBLE + i * (3.75::DOUBLE / 75) AS
  n1 AS (SELECT task, list_max(x) + ln(list_sum([exp(y - list_max(x)) for y in x])) - x[label + 1] AS l FROM lo)"""
 STATUSES = "['trained', 'evaluated', 'calibrated', 'candidate', 'canary', 'active', 'retired']"
 REASON = "CASE WHEN now_ms < timestamp_ms THEN 'invalid_clock' {0} END"
+_CALLS = V.DRAFTS + """, cl AS (SELECT doc_id, provider, latency_ms, CASE WHEN h % 7 = 0 THEN 'value' WHEN h % 11 = 0 THEN 'probability' WHEN h % 13 = 0 THEN 'not_json' END AS er,
+ sha256('{"type": "' || CASE WHEN h % 5 = 0 THEN 'noul' ELSE 'boolean' END || '", "value": ' || value::VARCHAR || ', "probability": ' || printf('%.4f', p) || '}') AS sha FROM drafts),
+ ct AS (SELECT doc_id, provider, er, CASE WHEN er IS NULL THEN 'valid' ELSE 'invalid' END AS status, CASE WHEN er IS NULL THEN 'model-' || provider END AS model, CASE WHEN er IS NULL THEN sha END AS sha, CASE WHEN er IS NULL THEN latency_ms END AS ms FROM cl)"""
 SQL = {
+    "teacher_reviews": W + _CALLS + """ SELECT a.doc_id, 'memory.remember_worthy@1' AS task, sha256(coalesce(d.text, '')) AS state_sha256, 'schema_invalid' AS reason, false AS reviewed, a.status AS qwen_status, a.model AS qwen_model, a.sha AS qwen_response_sha256, a.ms AS qwen_latency_ms, a.er AS qwen_error,
+ b.status AS gemma_status, b.model AS gemma_model, b.sha AS gemma_response_sha256, b.ms AS gemma_latency_ms, b.er AS gemma_error FROM ct a JOIN ct b ON a.doc_id = b.doc_id AND a.provider = 'a' AND b.provider = 'b' JOIN documents d ON d.doc_id = a.doc_id WHERE a.er IS NOT NULL OR b.er IS NOT NULL""",
     "explicit_stop": W + STATES + f" SELECT conv_id, turn, {_any('t', STOP_SIGNALS)} AS stop FROM sn",
     "phrase_skill": W + STATES + ", f AS (SELECT conv_id, turn, list_filter([" + ", ".join(map(_skill, PHRASES)) + "], lambda x: x IS NOT NULL) AS f FROM sn) SELECT conv_id, turn, CASE WHEN len(f) = 1 THEN f[1] END AS skill FROM f",
     "safety_policy": W + V.OBSERVATIONS + " SELECT observation_id, CASE WHEN now_ms < timestamp_ms THEN 'invalid_clock' WHEN emergency_stop THEN 'emergency_stop' WHEN now_ms - timestamp_ms > 100 THEN 'stale_observation' WHEN abstained THEN 'model_abstained' WHEN confidence < .9 THEN 'confidence_below_control_threshold' WHEN ttl_ms > 100 THEN 'action_ttl_exceeded' ELSE 'run' END AS reason FROM ob",
