@@ -36,7 +36,7 @@ def one_by_one(models, log):
     return status, out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_equals_one_by_one(spark, seed):
     r = random.Random(seed)
     names = [f"m{i}" for i in range(7)]
