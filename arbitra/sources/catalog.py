@@ -13,7 +13,7 @@ SCHEMA = (
 
 
 #: Fixed value: how tasks are named.
-_ID = re.compile(r"[a-z][a-z0-9_.-]+")
+_ID = re.compile(r"[a-z][a-z0-9_.-]+\Z")
 
 
 @dataclass(frozen=True)
@@ -33,7 +33,7 @@ class Task:
 
     def errors(self) -> list[str]:
         """What the definition lacks."""
-        out = [] if _ID.fullmatch(self.task_id) else ["id"]
+        out = [] if _ID.match(self.task_id) else ["id"]
         out += [] if self.output_type in ("boolean", "choice", "score") else ["output_type"]
         if self.output_type == "choice" and (len(set(self.candidates)) < max(2, len(self.candidates))):
             out.append("candidates")
