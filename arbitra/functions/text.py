@@ -52,15 +52,17 @@ def _foldings() -> tuple[dict[str, str], dict[str, str]]:
 def casefold(text: Column | str) -> Column:
     """Unicode's full case folding: for comparisons that ignore case, as of the sharp s and two s.
 
-    ASCII texts, which have as many bytes as characters, are lowered. Others are translated
-    character by character; only where one folds to several are characters looked up.
+    Texts of Latin letters, Hangul and Han are lowered. Others are translated character by
+    character; only where one folds to several are characters looked up.
     """
     one, several = _foldings()
     x = col(text)
     told = F.translate(x, "".join(one) + "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(one.values()) + "abcdefghijklmnopqrstuvwxyz")
     images = F.create_map(*(F.lit(t) for pair in several.items() for t in pair))
     longer = F.array_join(F.transform(F.split(told, ""), lambda c: F.coalesce(F.try_element_at(images, c), c)), "")
-    return F.when(F.octet_length(x) == F.length(x), F.lower(x)).when(told.rlike(f"[{''.join(several)}]"), longer).otherwise(told)
+    # of these characters lower case is all but for the sharp s
+    easy = ~x.rlike("[^\\x00-\u024f\u2000-\u206f\u3000-\u9fff\uac00-\ud7a3]|[\u00b5\u0130\u0149\u017f\u01f0]")
+    return F.when(easy, F.replace(F.lower(x), F.lit("\u00df"), F.lit("ss"))).when(told.rlike(f"[{''.join(several)}]"), longer).otherwise(told)
 
 
 def normalize_prompt(text: Column | str) -> Column:
