@@ -6,6 +6,9 @@ append-only ``events(model_id, action, from_status, to_status, reason)``.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,73 +112,130 @@ def rollback(models: DataFrame, model_id: str, reason: str = "rollback") -> tupl
     return kept.select(*models.columns), event
 
 
-def _handovers(active: DataFrame) -> DataFrame:
-    """``model_id, seq``: when each active model of ``active(seq, model_id)`` is retired by the next one that becomes active.
-
-    The order is cut in range partitions; the last of each looks at the first of the next,
-    of which there is one row a partition.
-    """
-    placed = spread(active, [F.col("seq")])
-    within = Window.partitionBy("_part").orderBy("_row")
-    nexts = placed.select("*", F.lead(F.struct("seq", "model_id")).over(within).alias("_next"))
-    firsts = placed.where("_row = 0").select(F.lag("_part").over(Window.orderBy("_part")).alias("_after"), F.struct("seq", "model_id").alias("_first"))
-    known = nexts.join(F.broadcast(firsts), F.col("_part") == F.col("_after"), "left").withColumn("_next", F.coalesce("_next", "_first"))
-    return known.where("_next.model_id <> model_id").select("model_id", F.col("_next.seq").alias("seq"))
-
-
-_OUTCOMES = "array<struct<seq:bigint,action:string,from_status:string,to_status:string,error:string>>"
-
-
-def _step(state: Column, e: Column) -> Column:
-    """A model's (status, outcomes) after one entry of the log, or after another model took its place."""
-    now, action, target = state["status"], e["action"], F.when(e["action"] == "rollback", "active").otherwise(e["target"])
-    known = F.coalesce(target.isin(*STATUSES), F.lit(False))
-    allowed = F.coalesce(F.concat(now, F.lit(">"), target).isin(*(f"{a}>{b}" for a, b in EDGES)), F.lit(False))
-    error = (
-        F.when(action == "register", F.when(now.isNotNull(), "registered_already").when(~known, "unsupported_status"))
-        .when(~known, "unsupported_status").when(now.isNull(), "unknown_model").when((action == "rollback") & ~now.isin(*BACK_FROM), "rollback_status").when(~allowed, "not_allowed")
-    )
-    told = F.struct(e["seq"].alias("seq"), action.alias("action"), now.alias("from_status"), target.alias("to_status"), error.alias("error"))
-    retired = action == "retire"
-    return F.struct(
-        F.when(retired, "retired").when(error.isNull(), target).otherwise(now).cast("string").alias("status"),
-        F.when(retired, state["out"]).otherwise(F.array_append(state["out"], told)).cast(_OUTCOMES).alias("out"),
-    )
-
-
-def replay(models: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+_OUTCOME = "seq long, model_id string, action string, from_status string, to_status string, error string"
+#: What a chunk of the log leaves behind: a row for each model that it touched, and one for who became active last.
+_LEFT = "chunk int, pointer boolean, model_id string, status string"
+_EDGES = frozenset(EDGES)
+
+
+def _error(now: str | None, action: str, target: str | None) -> str | None:
+    """What keeps a model of status ``now`` (none: not registered) from an entry of the log."""
+    if action == "register":
+        return "registered_already" if now is not None else None if target in STATUSES else "unsupported_status"
+    if target not in STATUSES:
+        return "unsupported_status"
+    if now is None:
+        return "unknown_model"
+    if action == "rollback" and now not in BACK_FROM:
+        return "rollback_status"
+    return None if (now, target) in _EDGES else "not_allowed"
+
+
+class _Chunk:
+    """Statuses of the models that a chunk names, and who is active."""
+
+    def __init__(self, number: int) -> None:
+        self.number, self.status, self.active, self.handed = number, {}, None, False
+
+    def entry(self, model: str | None, action: str, target: str | None) -> tuple[str | None, str | None, str | None]:
+        """(status before, status asked for, error) of an entry, which is carried out."""
+        now, target = self.status.get(model), "active" if action == "rollback" else target
+        error = _error(now, action, target)
+        if error is None:
+            if target == "active" and action != "register":
+                if self.active not in (None, model):
+                    self.status[self.active] = "retired"
+                self.active, self.handed = model, True
+            self.status[model] = target
+        return now, target, error
+
+    def left(self) -> list[tuple]:
+        ends = [(self.number, False, m, s) for m, s in self.status.items() if s is not None]
+        return ends + [(self.number, True, self.active, None)] if self.handed else ends
+
+
+def _carried_out(outcomes: bool) -> Callable:
+    """Chunk after chunk: rows of what it begins with (kind 0 and 1), then its entries in order. Told are outcomes, or what each chunk leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = None
+        schema = pa.schema([("chunk", pa.int32()), ("pointer", pa.bool_()), ("model_id", pa.string()), ("status", pa.string())])
+        if outcomes:
+            schema = pa.schema([("seq", pa.int64())] + [(c, pa.string()) for c in ("model_id", "action", "from_status", "to_status", "error")])
+        for batch in batches:
+            out = []
+            for number, kind, seq, model, action, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if chunk is None or number != chunk.number:
+                    out += chunk.left() if chunk and not outcomes else []
+                    chunk = _Chunk(number)
+                if kind == 0:
+                    chunk.active = model
+                elif kind == 1:
+                    chunk.status[model] = target
+                else:
+                    now, to, error = chunk.entry(model, action, target)
+                    if outcomes:
+                        out.append((seq, model, action, now, to, error))
+            if out:
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+        if chunk and not outcomes and (out := chunk.left()):
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
+    return run
+
+
+def _begins(left: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` with what the chunks before it leave: the model's status, or who is active. A model has a row here for each chunk that names it."""
+    held = F.struct("model_id", "status")
+    points = left.select("*", held.alias("_held")).unionByName(asked.select("*", F.lit(None).cast("string").alias("status"), F.lit(None).cast(left.select(held.alias("x")).schema["x"].dataType).alias("_held")))
+    before = Window.partitionBy("pointer", F.when(~F.col("pointer"), F.col("model_id"))).orderBy("chunk").rangeBetween(Window.unboundedPreceding, -1)
+    known = points.select("chunk", "pointer", F.col("model_id").alias("_id"), "_held", F.last("_held", ignorenulls=True).over(before).alias("_was"))
+    return known.where("_held is null and _was is not null").select("chunk", "pointer", F.when(F.col("pointer"), F.col("_was.model_id")).otherwise(F.col("_id")).alias("model_id"), F.col("_was.status").alias("status"))
+
+
+def replay(models: DataFrame, log: DataFrame, chunk: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """(``model_id, status`` of all models at the end, outcome of each entry: ``seq, model_id, action, from_status, to_status, error``).
 
     ``models`` has statuses to begin with, one active model at most; ``log`` has seq (unique),
     model_id, action (register, transition, rollback) and target. Entries count in order of
     seq; who becomes active retires the model that was.
 
-    Models only meet where one takes another's place. So each model's log is replayed by
-    itself, for an assumed sequence of models that become active, which is then the one
-    that comes out, until it stays. What comes before the first wrong assumption is right,
-    so the end is the sequential replay's. A round is a shuffle by model.
+    The log is cut along seq in chunks of about ``chunk`` entries, one for each shuffle
+    partition at most. All chunks are carried out at once, entry by entry, from an assumed
+    beginning; then those again whose beginning turns out to be another, until none does.
+    The first chunk's is right, so each round settles one chunk more at least, and usually
+    all: after enough entries a model's status doesn't depend on what it once was.
     """
-    requests = log.select("seq", "model_id", "action", "target")
-    start = models.select("model_id", "status")
-    begun = start.where("status = 'active'").select(F.lit(-(1 << 62)).cast("long").alias("seq"), "model_id")
-    active = requests.where("action = 'rollback' or (action = 'transition' and target = 'active')").select("seq", "model_id")
-    told = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("seq", "model_id"))).first())
-    active = written(active, "active")
-    assumed = told(active)
+    placed = spread(log.select("seq", "model_id", "action", "target"), [F.col("seq")])
+    # a row per partition of the order
+    sizes = sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    starts = [sum(n for _, n in sizes[:i]) for i in range(len(sizes))]
+    number = models.sparkSession.createDataFrame([(p, before // chunk) for (p, _), before in zip(sizes, starts, strict=True)], "_part int, chunk int")
+    entries = placed.join(F.broadcast(number), "_part").select("chunk", F.lit(2).alias("kind"), "seq", "model_id", "action", "target")
+
+    def carried_out(begins: DataFrame, which: list[int] | None, outcomes: bool) -> DataFrame:
+        known = begins.select("chunk", F.when(F.col("pointer"), 0).otherwise(1).alias("kind"), F.lit(None).cast("long").alias("seq"), "model_id", F.lit(None).cast("string").alias("action"), F.col("status").alias("target"))
+        rows = known.unionByName(entries)
+        rows = rows if which is None else rows.where(F.col("chunk").isin(which))
+        return rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "seq").mapInArrow(_carried_out(outcomes), _OUTCOME if outcomes else _LEFT)
+
+    named = entries.select("chunk", F.lit(False).alias("pointer"), "model_id").distinct()
+    pointers = number.select("chunk", F.lit(True).alias("pointer"), F.lit(None).cast("string").alias("model_id")).distinct()
+    asked = written(named.unionByName(pointers), "named")
+    given = models.select(F.lit(-1).alias("chunk"), F.lit(False).alias("pointer"), "model_id", "status")
+    first = written(given.unionByName(given.where("status = 'active'").select("chunk", F.lit(True).alias("pointer"), "model_id", F.lit(None).cast("string").alias("status"))), "given")
+    numbers, left, assumed = {before // chunk for before in starts}, first, None
     while True:
-        retires = _handovers(begun.unionByName(active)).select("seq", "model_id", F.lit("retire").alias("action"), F.lit(None).cast("string").alias("target"))
-        entries = requests.unionByName(retires).groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("seq", "action", "target"))).alias("_log"))
-        begin = F.struct(F.col("status"), F.array().cast(_OUTCOMES).alias("out"))
-        judged = start.join(entries, "model_id", "full_outer").select("model_id", F.aggregate(F.coalesce("_log", F.array().cast("array<struct<seq:bigint,action:string,target:string>>")), begin, _step).alias("_end"))
-        judged = written(judged.select("model_id", "_end.*"), "replayed")
-        outcomes = judged.select("model_id", F.inline("out"))
-        active = outcomes.where("error is null and to_status = 'active' and action <> 'register'").select("seq", "model_id")
-        found = told(active)
-        if found == assumed:
+        begins = written(_begins(left, asked), "begins")
+        # a row per chunk
+        told = {r["chunk"]: (r["n"], r["x"]) for r in begins.groupBy("chunk").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("pointer", "model_id", "status")).alias("x")).collect()}
+        stale = [c for c in numbers if assumed is None or assumed.get(c) != told.get(c)]
+        if not stale:
             break
-        assumed = found
-    after = judged.where("status is not null").select("model_id", "status")
-    return after, outcomes.select("seq", "model_id", "action", "from_status", "to_status", "error")
+        left = written(left.where(~F.col("chunk").isin(stale)).unionByName(carried_out(begins, stale, False)), "left")
+        assumed = told
+    ends = left.where("not pointer and status is not null").groupBy("model_id").agg(F.max_by("status", "chunk").alias("status"))
+    return ends, carried_out(begins, None, True)
 
 
 def promotion_errors(report: Column, checkpoint_sha256: Column, dataset_hash: Column) -> Column:

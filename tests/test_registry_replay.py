@@ -54,3 +54,20 @@ def test_empty(spark):
     none = spark.createDataFrame([], "seq long, model_id string, action string, target string")
     after, outcomes = R.replay(spark.createDataFrame([("a", "trained")], "model_id string, status string"), none)
     assert list(map(tuple, after.collect())) == [("a", "trained")] and outcomes.count() == 0
+
+
+@pytest.mark.parametrize("chunk", [1, 60, 100_000])
+def test_rounds(spark, chunk):
+    """However the log is cut, a long one takes few tables: a round settles a chunk at least."""
+    r = random.Random(chunk)
+    names = [f"m{i}" for i in range(9)] + [None]
+    models = [("m0", "active"), ("m1", "canary"), ("away", "candidate")]
+    log = [(i * 2, r.choice(names), r.choice(["register", "transition", "transition", "rollback"]), r.choice([*R.STATUSES, "active", "canary", "odd", None])) for i in range(3000)]
+    status, want = one_by_one(models, log)
+    df = spark.createDataFrame(r.sample(log, len(log)), "seq long, model_id string, action string, target string").repartition(3)
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    before = jobs()
+    after, outcomes = R.replay(spark.createDataFrame(models, "model_id string, status string"), df, chunk)
+    assert jobs() - before < 90
+    assert {x["model_id"]: x["status"] for x in after.collect()} == status
+    assert sorted(map(tuple, outcomes.collect())) == want
