@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from ..sources.catalog import Task
 from ..sources.shared import written
 
-#: Steps of the grid in one, and rows whose products are summed before they leave floats, in which sums below 2^53 are exact.
+#: Steps of the grid in one, and texts whose products are summed before they leave floats, in which sums below 2^53 are exact.
 GRID, ROWS = 1 << 14, 1 << 9
+#: Counters of a block of texts, and rows of one text that are packed together.
+CELLS, ASKS = 1 << 20, 16
 #: Parts of the gradient that are summed apart.
 BLOCKS = 8
 _LARGEST = 16 * GRID
@@ -76,7 +78,7 @@ def _on_grid(x: np.ndarray) -> np.ndarray:
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """An exact product of integers, by floats that hold it."""
-    return (a.astype(np.float64) @ b.astype(np.float64)).astype(np.int64)
+    return (a.astype(np.float64, copy=False) @ b.astype(np.float64, copy=False)).astype(np.int64)
 
 
 def word_counts(text: str | None, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,16 +109,27 @@ class Student:
     def shapes(self) -> dict[str, tuple[int, ...]]:
         return {k: v.shape for k, v in self.arrays.items()}
 
+    def blocks(self, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Texts that are counted in one matrix."""
+        step = max(1, min(ROWS, CELLS // self.config.vocabulary))
+        return ((begin, min(begin + step, len(offsets) - 1)) for begin in range(0, len(offsets) - 1, step))
+
+    def counted(self, ids: np.ndarray, counts: np.ndarray, offsets: np.ndarray, begin: int, end: int) -> np.ndarray:
+        """How often each word of the vocabulary stands in each text of a block."""
+        size, own = self.config.vocabulary, slice(offsets[begin], offsets[end])
+        place = np.repeat(np.arange(end - begin) * size, np.diff(offsets[begin : end + 1])) + ids[own]
+        return np.bincount(place, counts[own], (end - begin) * size).reshape(end - begin, size)
+
+    def mean(self, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = counted.sum(1).astype(np.int64)
+        return _product(counted, self.arrays["words"]) // np.maximum(n, 1)[:, None], n
+
     def pooled(self, ids: np.ndarray, counts: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(mean embedding of each text, how many words it has); a text without words is at the origin."""
-        words = self.arrays["words"]
-        total = np.zeros((len(offsets) - 1, words.shape[1]), np.int64)
-        n = np.zeros(len(offsets) - 1, np.int64)
-        some = np.flatnonzero(np.diff(offsets))
-        if len(some):
-            total[some] = np.add.reduceat(words[ids] * counts[:, None], offsets[some], axis=0)
-            n[some] = np.add.reduceat(counts, offsets[some])
-        return total // np.maximum(n, 1)[:, None], n
+        found = [self.mean(self.counted(ids, counts, offsets, *block)) for block in self.blocks(offsets)]
+        if not found:
+            return np.zeros((0, self.config.hidden), np.int64), np.zeros(0, np.int64)
+        return np.concatenate([m for m, _ in found]), np.concatenate([n for _, n in found])
 
     def hidden(self, pooled: np.ndarray) -> np.ndarray:
         return np.clip(_product(pooled, self.arrays["hidden"]) // GRID + self.arrays["shift"], 0, _LARGEST)
@@ -125,36 +138,38 @@ class Student:
         """Logits of a head, or value and width."""
         return (_product(hidden, self.arrays[f"head{k}"]) // GRID + self.arrays[f"bias{k}"]) / GRID
 
-    def gradient(self, task: np.ndarray, target: np.ndarray, weight: np.ndarray, ids: np.ndarray, counts: np.ndarray, offsets: np.ndarray) -> tuple[Arrays, int]:
+    def gradient(self, task: np.ndarray, target: np.ndarray, weight: np.ndarray, ids: np.ndarray, counts: np.ndarray, offsets: np.ndarray, text: np.ndarray | None = None) -> tuple[Arrays, int]:
         """(sums over the rows, of whole products where two factors are on the grid; summed loss).
 
-        A score's ``target`` is in steps of the grid. What is rounded is a row's own, never a sum.
+        ``text`` says which text each row asks about, in ascending order; without it, each
+        about its own. A score's ``target`` is in steps of the grid. What is rounded is a
+        row's own, never a sum.
         """
         out = {k: np.zeros(s, np.int64) for k, s in self.shapes().items()}
-        loss = 0
-        for begin in range(0, len(task), ROWS):
-            end = min(len(task), begin + ROWS)
-            first, last = offsets[begin], offsets[end]
-            own_ids, own_counts, own = ids[first:last], counts[first:last], offsets[begin : end + 1] - first
-            pooled, n = self.pooled(own_ids, own_counts, own)
-            hidden = self.hidden(pooled)
+        text, loss = np.arange(len(task)) if text is None else text, 0
+        for begin, end in self.blocks(offsets):
+            counted = self.counted(ids, counts, offsets, begin, end)
+            mean, n = self.mean(counted)
+            rows = slice(*np.searchsorted(text, [begin, end]))
+            own, hidden = text[rows] - begin, self.hidden(mean)[text[rows] - begin]
             back = np.zeros_like(hidden)
             for k, head in enumerate(self.heads):
-                at = np.flatnonzero(task[begin:end] == k)
+                at = np.flatnonzero(task[rows] == k)
                 if len(at):
-                    error, each = _error(head, self.output(k, hidden[at]), target[begin:end][at])
-                    delta = _on_grid(error * weight[begin:end][at][:, None])
-                    loss += int(_on_grid(each * weight[begin:end][at]).sum())
+                    error, each = _error(head, self.output(k, hidden[at]), target[rows][at])
+                    delta = _on_grid(error * weight[rows][at][:, None])
+                    loss += int(_on_grid(each * weight[rows][at]).sum())
                     out[f"head{k}"] += _product(hidden[at].T, delta)
                     out[f"bias{k}"] += delta.sum(0)
                     back[at] += _product(delta, self.arrays[f"head{k}"].T) // GRID
             back = np.where(hidden > 0, np.clip(back, -_LARGEST, _LARGEST), 0)
-            out["hidden"] += _product(pooled.T, back)
+            down = _product(back, self.arrays["hidden"].T) // (GRID * np.maximum(n, 1))[own][:, None]
+            of_text = np.zeros((2, *mean.shape), np.int64)
+            np.add.at(of_text[0], own, back)
+            np.add.at(of_text[1], own, down)
+            out["hidden"] += _product(mean.T, of_text[0])
             out["shift"] += back.sum(0)
-            down = _product(back, self.arrays["hidden"].T) // (GRID * np.maximum(n, 1))[:, None]
-            each_word = np.repeat(down, np.diff(own), axis=0) * own_counts[:, None]
-            place = (own_ids[:, None] * down.shape[1] + np.arange(down.shape[1])).ravel()
-            out["words"] += np.bincount(place, each_word.ravel().astype(np.float64), out["words"].size).astype(np.int64).reshape(out["words"].shape)
+            out["words"] += _product(counted.T, of_text[1])
         return out, loss
 
 
@@ -191,16 +206,23 @@ class _Adam:
         return {k: _on_grid(v) for k, v in self.x.items()}
 
 
-def class_weights(df: DataFrame, task: str = "task_id", target: str = "target") -> DataFrame:
-    """``df`` with ``weight``: each class of a task counts alike in sum. Classes are counted first and joined back."""
-    classes = df.groupBy(task, target).agg(F.count("*").alias("_n"))
+def class_weights(df: DataFrame, task: str = "task_id", target: str = "target", scores: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``weight``: each class of a task counts alike in sum; rows of ``scores``, tasks without classes, weigh 1.
+
+    Classes are counted first and joined back by broadcast: there are a few of them, and
+    a shuffle by class would put all rows, with their texts, in as few tasks.
+    """
+    classes = df.where(~F.col(task).isin(*scores)).groupBy(task, target).agg(F.count("*").alias("_n"))
     tasks = classes.groupBy(task).agg(F.sum("_n").alias("_of"), F.count("*").alias("_k"))
     shares = classes.join(tasks, task).select(task, target, (F.col("_of") / (F.col("_k") * F.col("_n"))).alias("weight"))
-    return df.join(shares, [task, target])
+    if not scores:
+        return df.join(F.broadcast(shares), [task, target])
+    joined = df.join(F.broadcast(shares), [task, target], "left")
+    return joined.withColumn("weight", F.when(F.col(task).isin(*scores), 1.0).otherwise(F.col("weight"))).where("weight is not null")
 
 
 def _pack(heads: list[Head], vocabulary: int) -> Callable:
-    """Rows as numbers; task -1 for a row that no head can take."""
+    """Rows as numbers; task -1 for a row that no head can take. Rows of one text in a batch are one row, up to ``ASKS``."""
     number = {h.task_id: k for k, h in enumerate(heads)}
     classes = [{"false": 0, "true": 1} if h.kind == "boolean" else {c: i for i, c in enumerate(h.candidates)} for h in heads]
 
@@ -217,20 +239,25 @@ def _pack(heads: list[Head], vocabulary: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, latest = [], {}
             for task, text, target, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 k = number.get(task, -1)
                 y = goal(k, target)
-                ids, counts = word_counts(text, vocabulary)
-                out.append((-1 if y is None else k, y or 0, 1.0 if weight is None else weight, ids.astype(np.int32).tobytes(), counts.astype(np.int32).tobytes()))
+                row = latest.get(text)
+                if row is None or len(row[0]) == ASKS:
+                    words = row[3:] if row else [x.astype(np.int32).tobytes() for x in word_counts(text, vocabulary)]
+                    row = latest[text] = [[], [], [], *words]
+                    out.append(row)
+                for column, x in zip(row, (-1 if y is None else k, y or 0, 1.0 if weight is None else weight), strict=False):
+                    column.append(x)
             if out:
-                types = [pa.int32(), pa.int64(), pa.float64(), pa.binary(), pa.binary()]
+                types = [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.binary(), pa.binary()]
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["task", "target", "weight", "ids", "counts"])
 
     return run
 
 
-_PACKED = "task int, target long, weight double, ids binary, counts binary"
+_PACKED = "task array<int>, target array<long>, weight array<double>, ids binary, counts binary"
 
 
 def _ragged(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -257,9 +284,9 @@ def _sum_rows(heads: list[Head], config: Config, shared, factors: list[float]) -
         for batch in batches:
             ids, offsets = _ragged(batch.column(3).to_pylist())
             counts, _ = _ragged(batch.column(4).to_pylist())
-            task = batch.column(0).to_numpy()
-            weight = batch.column(2).to_numpy() * np.array(factors)[task]
-            gradient, loss = student.gradient(task, batch.column(1).to_numpy(), weight, ids, counts, offsets)
+            text = np.repeat(np.arange(batch.num_rows), batch.column(0).value_lengths().to_numpy())
+            task, target, weight = (batch.column(c).flatten().to_numpy() for c in range(3))
+            gradient, loss = student.gradient(task, target, weight * np.array(factors)[task], ids, counts, offsets, text)
             flat = np.append(_flat(gradient), loss)
             total = flat if total is None else total + flat
         if total is not None:
@@ -292,7 +319,7 @@ def train(rows: DataFrame, heads: list[Head], config: Config | None = None) -> t
     weight = F.col("weight").cast("double") if "weight" in rows.columns else F.lit(1.0)
     packed = written(rows.select("task_id", "text", F.col("target").cast("string"), weight.alias("weight")).mapInArrow(_pack(heads, config.vocabulary), _PACKED), "student-rows")
     # a row for each task
-    sizes = {r["task"]: r["w"] for r in packed.groupBy("task").agg(F.sum(F.round(F.col("weight") * GRID).cast("long")).alias("w")).collect()}
+    sizes = {r["task"]: r["w"] for r in packed.select(F.inline(F.arrays_zip("task", "weight"))).groupBy("task").agg(F.sum(F.round(F.col("weight") * GRID).cast("long")).alias("w")).collect()}
     if -1 in sizes or len(sizes) < len(heads) or min(sizes.values()) <= 0:
         raise ValueError("each head needs rows, and each row a head that takes its target")
     total = sum(sizes.values()) / GRID
@@ -372,10 +399,12 @@ def _answers(shared, temperatures: dict[str, float], minimum: float) -> Callable
         student = Student(*shared.value)
         for batch in batches:
             tasks, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            found = [word_counts(t, student.config.vocabulary) for t in texts]
+            # the rows of a text are often neighbours: it is counted once
+            place = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+            found = [word_counts(t, student.config.vocabulary) for t in place]
             offsets = np.cumsum([0] + [len(i) for i, _ in found])
             ids, counts = (np.concatenate([f[c] for f in found] or [np.zeros(0, np.int64)]).astype(np.int64) for c in range(2))
-            hidden, rows = student.hidden(student.pooled(ids, counts, offsets)[0]), [{}] * len(tasks)
+            hidden, rows = student.hidden(student.pooled(ids, counts, offsets)[0])[[place[t] for t in texts]], [{}] * len(tasks)
             for name, k in student.number.items():
                 at = [i for i, t in enumerate(tasks) if t == name]
                 for i, said in zip(at, student.output(k, hidden[at]), strict=True):

@@ -28,8 +28,7 @@ def _asked(s, d):
 
 
 def _fitted(s, d):
-    asked = _asked(s, d).where("target is not null")
-    return S.train(S.class_weights(asked.where("not held_out and task_id <> 'text.length'")).unionByName(asked.where("not held_out and task_id = 'text.length'").withColumn("weight", F.lit(1.0))), HEADS, CONFIG)[0]
+    return S.train(S.class_weights(_asked(s, d).where("target is not null and not held_out"), scores=("text.length",)), HEADS, CONFIG)[0]
 
 
 def _answers(s, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -132,3 +133,35 @@ def test_heads():
         S.Student([S.Head("a", 1, "choice", ("x",))], CONFIG)
     with pytest.raises(ValueError):
         S.Student([HEADS[0], HEADS[0]], CONFIG)
+
+
+def test_texts_are_counted_once(spark):
+    """Rows of one text are packed together, and give what each gives alone."""
+    rows = samples(5, 40)
+    found = [S.word_counts(r[2], CONFIG.vocabulary) for r in rows]
+    task = np.arange(len(rows)) % 3
+    target = np.array([len(r[2]) % 2 for r in rows])
+    weight = np.linspace(0.5, 2, len(rows))
+    flat = lambda some: [np.concatenate([f[c] for f in some]) for c in range(2)] + [np.cumsum([0] + [len(f[0]) for f in some])]
+    model = S.Student(HEADS, CONFIG)
+    alone, loss = model.gradient(task, target, weight, *flat(found))
+    shared, same = model.gradient(task, target, weight, *flat(found[::3]), np.arange(len(rows)) // 3)
+    assert loss == same and all((alone[k] == shared[k]).all() for k in alone)
+    df = spark.createDataFrame([(h, f"text {i}", t) for i in range(30) for h, t in (("keep", "true"), ("topic", "sea"), ("weight", "0.5"))] + [("keep", "same", "false")] * 40, "task_id string, text string, target string").coalesce(1)
+    packed = df.select("task_id", "text", "target", F.lit(1.0).alias("weight")).mapInArrow(S._pack(HEADS, 256), S._PACKED).collect()
+    assert len(packed) == 30 + 3 and sum(len(r["task"]) for r in packed) == 130 and max(len(r["task"]) for r in packed) == S.ASKS
+
+
+def test_weights_leave_texts_where_they_are(spark):
+    """No shuffle by class, which would put whole texts in as few tasks as there are classes."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = frame(spark, samples(6, 50))
+        weighed = S.class_weights(df, scores=("weight",))
+        plan = weighed._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and not re.search(r"SortMergeJoin \[task_id#\d+, target", plan)
+        got = {(r["task_id"], r["target"]): r["weight"] for r in weighed.collect()}
+        want = {(r["task_id"], r["target"]): r["weight"] for r in S.class_weights(df).where("task_id <> 'weight'").collect()}
+        assert {k: v for k, v in got.items() if k[0] != "weight"} == want and {v for k, v in got.items() if k[0] == "weight"} == {1.0} and weighed.count() == 150
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
