@@ -59,3 +59,45 @@ def test_bounds(spark):
     for bad in ({"bound": 0}, {"shards": 0}, {"ttl_ms": 0}):
         with pytest.raises(ValueError):
             cached_answers(stream, **bad)
+
+
+def test_long_shards(tmp_path):
+    """A shard of many requests is sorted in runs, and is never held whole."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from arbitra.streaming import cache
+
+    n = 700_000
+    frames = (pd.DataFrame({"seq": range(k, n, 70), "cache_key": [None if i % 9 == 0 else f"k{i % 50}" for i in range(k, n, 70)], "at_ms": [i // 3 for i in range(k, n, 70)], "answer": [f"a{i}" for i in range(k, n, 70)], "accepted": [i % 4 != 0 for i in range(k, n, 70)]}) for k in reversed(range(70)))
+
+    class State:
+        exists = hasTimedOut = False
+
+        def update(self, held):
+            self.held = held
+
+    state, at, entries = State(), 0, cache.Entries(7, None)
+    tracemalloc.start()
+    for told in cache._shard(7, None)((0,), frames, state):
+        for seq, key, hit, answer, gone in told.itertuples(index=False):
+            assert seq == at and (hit, answer, gone) == entries.serve(key, at // 3, f"a{at}", at % 4 != 0)
+            at += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at == n and state.held == (entries.told(),) and peak < 60e6
+
+
+def test_order_of_runs():
+    import pandas as pd
+
+    from arbitra.streaming import cache
+
+    rows = [(at, seq, key, answer, bool(accepted)) for seq, key, at, answer, accepted in requests(500, 20)]
+    rows = [(at // 7000, *rest) for at, *rest in rows]
+    shuffled = random.Random(1).sample(rows, len(rows))
+    names = ["at_ms", "seq", "cache_key", "answer", "accepted"]
+    for run in (1, 7, 10_000):
+        frames = (pd.DataFrame(shuffled[i : i + 11], columns=names) for i in range(0, 500, 11))
+        assert list(cache._in_order(frames, run)) == sorted(rows, key=lambda x: x[:2])
