@@ -165,3 +165,21 @@ def test_weights_leave_texts_where_they_are(spark):
         assert {k: v for k, v in got.items() if k[0] != "weight"} == want and {v for k, v in got.items() if k[0] == "weight"} == {1.0} and weighed.count() == 150
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_answers_count_a_text_once(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    model, seen = S.Student(HEADS, CONFIG), []
+    count = S.word_counts
+    monkeypatch.setattr(S, "word_counts", lambda text, size: seen.append(text) or count(text, size))
+    texts = ["wave fine", None, "stone poor", "wave fine"]
+    rows = [(i, h.task_id, t) for i, t in enumerate(texts) for h in HEADS]
+    batch = pa.record_batch([pa.array(x) for x in zip(*rows, strict=True)], names=["id", "task_id", "text"])
+    run = S._answers(SimpleNamespace(value=(model.heads, CONFIG, model.arrays)), {}, 0.0)
+    (told,) = run([batch])
+    assert seen == ["wave fine", None, "stone poor"]
+    alone = [next(run([batch.slice(i, 1)])).to_pylist()[0] for i in range(len(rows))]
+    assert told.to_pylist() == alone
