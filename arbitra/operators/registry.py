@@ -204,11 +204,16 @@ def replay(models: DataFrame, log: DataFrame, chunk: int = 100_000) -> tuple[Dat
     partition at most. All chunks are carried out at once, entry by entry, from an assumed
     beginning; then those again whose beginning turns out to be another, until none does.
     The first chunk's is right, so each round settles one chunk more at least, and usually
-    all: after enough entries a model's status doesn't depend on what it once was.
+    all: after enough entries a model's status doesn't depend on what it once was. A log of
+    one chunk begins with ``models`` and needs no rounds and no tables.
     """
-    placed = spread(log.select("seq", "model_id", "action", "target"), [F.col("seq")])
-    # a row per partition of the order
-    sizes = sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    rows, sizes = log.select("seq", "model_id", "action", "target"), [(0, 0)]
+    if rows.count() > chunk:
+        placed = spread(rows, [F.col("seq")])
+        # a row per partition of the order
+        sizes = sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    else:
+        placed = rows.withColumn("_part", F.lit(0))
     starts = [sum(n for _, n in sizes[:i]) for i in range(len(sizes))]
     number = models.sparkSession.createDataFrame([(p, before // chunk) for (p, _), before in zip(sizes, starts, strict=True)], "_part int, chunk int")
     entries = placed.join(F.broadcast(number), "_part").select("chunk", F.lit(2).alias("kind"), "seq", "model_id", "action", "target")
@@ -221,10 +226,15 @@ def replay(models: DataFrame, log: DataFrame, chunk: int = 100_000) -> tuple[Dat
 
     named = entries.select("chunk", F.lit(False).alias("pointer"), "model_id").distinct()
     pointers = number.select("chunk", F.lit(True).alias("pointer"), F.lit(None).cast("string").alias("model_id")).distinct()
-    asked = written(named.unionByName(pointers), "named")
+    asked = named.unionByName(pointers)
     given = models.select(F.lit(-1).alias("chunk"), F.lit(False).alias("pointer"), "model_id", "status")
-    first = written(given.unionByName(given.where("status = 'active'").select("chunk", F.lit(True).alias("pointer"), "model_id", F.lit(None).cast("string").alias("status"))), "given")
-    numbers, left, assumed = {before // chunk for before in starts}, first, None
+    left = given.unionByName(given.where("status = 'active'").select("chunk", F.lit(True).alias("pointer"), "model_id", F.lit(None).cast("string").alias("status")))
+    at_end = lambda left: left.where("not pointer and status is not null").groupBy("model_id").agg(F.max_by("status", "chunk").alias("status"))
+    numbers, assumed = {before // chunk for before in starts}, None
+    if numbers == {0}:
+        begins = _begins(left, asked)
+        return at_end(left.unionByName(carried_out(begins, None, False))), carried_out(begins, None, True)
+    asked, left = written(asked, "named"), written(left, "given")
     while True:
         begins = written(_begins(left, asked), "begins")
         # a row per chunk
@@ -234,8 +244,7 @@ def replay(models: DataFrame, log: DataFrame, chunk: int = 100_000) -> tuple[Dat
             break
         left = written(left.where(~F.col("chunk").isin(stale)).unionByName(carried_out(begins, stale, False)), "left")
         assumed = told
-    ends = left.where("not pointer and status is not null").groupBy("model_id").agg(F.max_by("status", "chunk").alias("status"))
-    return ends, carried_out(begins, None, True)
+    return at_end(left), carried_out(begins, None, True)
 
 
 def promotion_errors(report: Column, checkpoint_sha256: Column, dataset_hash: Column) -> Column:

@@ -71,3 +71,17 @@ def test_rounds(spark, chunk):
     assert jobs() - before < 90
     assert {x["model_id"]: x["status"] for x in after.collect()} == status
     assert sorted(map(tuple, outcomes.collect())) == want
+
+
+def test_one_chunk(spark):
+    """A log of one chunk is carried out in one go: counted once, then read where it is."""
+    models = spark.createDataFrame([("m0", "active"), ("m1", "canary"), ("away", "candidate")], "model_id string, status string")
+    log = [(i * 2, f"m{i % 5}", ("register", "transition", "rollback")[i % 3], (*R.STATUSES, "odd")[i * 5 % 8]) for i in range(200)]
+    status, want = one_by_one([("m0", "active"), ("m1", "canary"), ("away", "candidate")], log)
+    df = spark.createDataFrame(log[::-1], "seq long, model_id string, action string, target string").repartition(3)
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    before = jobs()
+    after, outcomes = R.replay(models, df, len(log))
+    assert jobs() - before < 4
+    assert {x["model_id"]: x["status"] for x in after.collect()} == status
+    assert sorted(map(tuple, outcomes.collect())) == want
