@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.catalog import Task
 from ..sources.shared import written
@@ -32,6 +33,11 @@ from ..sources.shared import written
 GRID, ROWS = 1 << 14, 1 << 9
 #: Counters of a block of texts, and rows of one text that are packed together.
 CELLS, ASKS = 1 << 20, 16
+#: Texts whose words are hashed side by side, and the bytes of a word up to which they are.
+TEXTS, LONG = 32, 64
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, np.uint32(0xEDB88320), np.uint32(0)) ^ (_CRC >> 1)
 #: Parts of the gradient that are summed apart.
 BLOCKS = 8
 _LARGEST = 16 * GRID
@@ -87,6 +93,64 @@ def word_counts(text: str | None, vocabulary: int) -> tuple[np.ndarray, np.ndarr
     return np.unique(ids, return_counts=True)
 
 
+def _crc32(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """CRC-32 of many words of ``data`` side by side, the next byte of all that have one at a time; words beyond ``LONG`` bytes one by one."""
+    order = np.argsort(-length, kind="stable")
+    begin, length = begin[order], length[order]
+    many = int(np.searchsorted(-length, -LONG))
+    crc = np.full(len(order), 0xFFFFFFFF, np.uint32)
+    for k in range(int(length[many]) if many < len(order) else 0):
+        own = slice(many, int(np.searchsorted(-length, -k)))
+        crc[own] = _CRC[(crc[own] ^ data[begin[own] + k]) & 0xFF] ^ (crc[own] >> 8)
+    crc = ~crc
+    crc[:many] = [zlib.crc32(data[b : b + n]) for b, n in zip(begin[:many].tolist(), length[:many].tolist(), strict=True)]
+    out = np.empty_like(crc)
+    out[order] = crc
+    return out
+
+
+def words_of(texts: list[str | None], vocabulary: int) -> Iterator[bytes]:
+    """:func:`word_counts` of each text as bytes: hashed words, then counts, in 32 bits."""
+    step = max(1, min(TEXTS, CELLS // vocabulary))
+    for at in range(0, len(texts), step):
+        parts = [" ".join((text or "").lower().split()).encode() for text in texts[at : at + step]]
+        data = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
+        end = np.flatnonzero(data == 32)
+        begin = np.append(0, end[:-1] + 1)
+        own = np.searchsorted(np.cumsum([len(p) + 1 for p in parts]) - 1, end)
+        some = end > begin
+        ids = _crc32(data, begin[some], (end - begin)[some]) % vocabulary
+        counts = np.bincount(own[some] * vocabulary + ids, minlength=len(parts) * vocabulary).reshape(len(parts), vocabulary)
+        for row in counts:
+            found = np.flatnonzero(row)
+            yield np.concatenate([found, row[found]]).astype(np.int32).tobytes()
+
+
+def counted(df: DataFrame, vocabulary: int, text: str = "text") -> DataFrame:
+    """``df`` with ``words`` in place of ``text``: whole texts, counted for a model of this vocabulary.
+
+    :func:`train` and :func:`predict` take ``words`` as they take ``text``, so that a
+    table of texts that is asked several things is read and counted once.
+    """
+    others = [c for c in df.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = pa.array(list(words_of(batch.column(len(others)).to_pylist(), vocabulary)), pa.binary())
+            yield pa.record_batch([*batch.columns[: len(others)], words], names=[*others, "words"])
+
+    return df.select(*others, text).mapInArrow(run, T.StructType([*df.select(*others).schema, T.StructField("words", T.BinaryType())]))
+
+
+def _words(given: str | bytes | None, vocabulary: int) -> tuple[np.ndarray, np.ndarray] | np.ndarray:
+    """(hashed words, counts) of a text, or of what :func:`words_of` made of it."""
+    return np.frombuffer(given, np.int32).reshape(2, -1) if isinstance(given, bytes) else word_counts(given, vocabulary)
+
+
+def _said(df: DataFrame) -> str:
+    return "words" if "words" in df.columns else "text"
+
+
 class Student:
     """Parameters on the grid, and what is computed with them."""
 
@@ -245,7 +309,7 @@ def _pack(heads: list[Head], vocabulary: int) -> Callable:
                 y = goal(k, target)
                 row = latest.get(text)
                 if row is None or len(row[0]) == ASKS:
-                    words = row[3:] if row else [x.astype(np.int32).tobytes() for x in word_counts(text, vocabulary)]
+                    words = row[3:] if row else [x.astype(np.int32).tobytes() for x in _words(text, vocabulary)]
                     row = latest[text] = [[], [], [], *words]
                     out.append(row)
                 for column, x in zip(row, (-1 if y is None else k, y or 0, 1.0 if weight is None else weight), strict=False):
@@ -311,13 +375,13 @@ def train(rows: DataFrame, heads: list[Head], config: Config | None = None) -> t
 
     Targets are text: true or false, a candidate, or a number within 0 and 1. A row of
     another task or target is an error, as it is for the catalog. Every task counts alike,
-    whatever its rows. A null text has no words. The rows are written once as numbers and
+    whatever its rows. A null text has no words; ``words`` may stand for ``text``. The rows are written once as numbers and
     read in each step; the same rows give the same model, however they are partitioned.
     """
     config = config or Config()
     student, spark = Student(heads, config), rows.sparkSession
     weight = F.col("weight").cast("double") if "weight" in rows.columns else F.lit(1.0)
-    packed = written(rows.select("task_id", "text", F.col("target").cast("string"), weight.alias("weight")).mapInArrow(_pack(heads, config.vocabulary), _PACKED), "student-rows")
+    packed = written(rows.select("task_id", _said(rows), F.col("target").cast("string"), weight.alias("weight")).mapInArrow(_pack(heads, config.vocabulary), _PACKED), "student-rows")
     # a row for each task
     sizes = {r["task"]: r["w"] for r in packed.select(F.inline(F.arrays_zip("task", "weight"))).groupBy("task").agg(F.sum(F.round(F.col("weight") * GRID).cast("long")).alias("w")).collect()}
     if -1 in sizes or len(sizes) < len(heads) or min(sizes.values()) <= 0:
@@ -401,7 +465,7 @@ def _answers(shared, temperatures: dict[str, float], minimum: float) -> Callable
             tasks, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             # the rows of a text are often neighbours: it is counted once
             place = {t: i for i, t in enumerate(dict.fromkeys(texts))}
-            found = [word_counts(t, student.config.vocabulary) for t in place]
+            found = [_words(t, student.config.vocabulary) for t in place]
             offsets = np.cumsum([0] + [len(i) for i, _ in found])
             ids, counts = (np.concatenate([f[c] for f in found] or [np.zeros(0, np.int64)]).astype(np.int64) for c in range(2))
             hidden, rows = student.hidden(student.pooled(ids, counts, offsets)[0])[[place[t] for t in texts]], [{}] * len(tasks)
@@ -416,12 +480,12 @@ def _answers(shared, temperatures: dict[str, float], minimum: float) -> Callable
 
 
 def predict(df: DataFrame, student: Student, temperatures: dict[str, float] | None = None, minimum: float = 0.0, key: str = "id") -> DataFrame:
-    """The answers of ``task_id, text`` rows over whole texts, by ``key``; nulls for a task without a head.
+    """The answers of ``task_id, text`` (or ``words``) rows over whole texts, by ``key``; nulls for a task without a head.
 
     ``temperatures`` of tasks, as calibration manifests have them, soften or sharpen
     probabilities and with them confidence and abstention, never the answer.
     """
     shared = df.sparkSession.sparkContext.broadcast((student.heads, student.config, student.arrays))
     kind = df.schema[key].dataType.simpleString()
-    out = df.select(F.col(key).alias("id"), "task_id", "text").mapInArrow(_answers(shared, temperatures or {}, minimum), f"id {kind}, task_id string, {RESULT}")
+    out = df.select(F.col(key).alias("id"), "task_id", _said(df)).mapInArrow(_answers(shared, temperatures or {}, minimum), f"id {kind}, task_id string, {RESULT}")
     return out.withColumnRenamed("id", key)

@@ -183,3 +183,37 @@ def test_answers_count_a_text_once(monkeypatch):
     assert seen == ["wave fine", None, "stone poor"]
     alone = [next(run([batch.slice(i, 1)])).to_pylist()[0] for i in range(len(rows))]
     assert told.to_pylist() == alone
+
+
+def test_words_side_by_side():
+    """Words hashed many at a time are those hashed one by one."""
+    r = random.Random(11)
+    texts = [None, "", "  \t\n", "one", "ÀÉ straße İX\x1cz\x85", "a" * 64 + " " + "b" * 65 + " c " + "é" * 4000, " same same\nSAME ", "\x00 \x00\x00"]
+    texts += [" ".join(r.choice(["sea", "Ünder", "x", "日本語", "long" * r.randrange(1, 30)]) + str(r.randrange(40)) for _ in range(r.randrange(300))) for _ in range(90)]
+    for size in (1, 7, 2048, 1 << 21):
+        told = list(S.words_of(texts[:20] if size > 4096 else texts, size))
+        assert told == [np.concatenate(S.word_counts(t, size)).astype(np.int32).tobytes() for t in texts[: len(told)]] and len(told) >= 20
+
+
+def test_counted_texts(spark):
+    """Rows of counted texts give the model and the answers that texts give."""
+    rows = frame(spark, samples(8, 60))
+    once = S.counted(rows, CONFIG.vocabulary)
+    assert "text" not in once.columns
+    (model, losses), (same, also) = S.train(rows, HEADS, CONFIG), S.train(once, HEADS, CONFIG)
+    assert losses == also and all((model.arrays[k] == same.arrays[k]).all() for k in model.arrays)
+    assert sorted(map(str, S.predict(rows, model).collect())) == sorted(map(str, S.predict(once, same).collect()))
+
+
+def test_documents_are_read_once(spark, monkeypatch):
+    """Training, temperatures and answers of a query go by one table of counted texts."""
+    from arbitra.plans import student as P
+
+    monkeypatch.setattr(S, "train", lambda rows, heads, config: (S.Student(heads, config), rows.count() * [0.0]))
+    read, table = [], P.A.table
+    monkeypatch.setattr(P.A, "table", lambda s, d, name: read.append(name) or table(s, d, name))
+    for name in ("student_answers", "student_accuracy"):
+        out = P.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert read.count("documents") == 1 and not any("documents" in f for f in out.inputFiles())
+        assert out.count() > 0
+        read.clear()
