@@ -324,8 +324,28 @@ def _pack(heads: list[Head], vocabulary: int) -> Callable:
 _PACKED = "task array<int>, target array<long>, weight array<double>, ids binary, counts binary"
 
 
-def _ragged(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(column), np.int32).astype(np.int64), np.cumsum([0] + [len(x) // 4 for x in column])
+#: Up to ``ROWS`` packed texts in a row: what is asked of them one after the other, how much of each, and their words.
+_BLOCK = "task array<int>, target array<long>, weight array<double>, texts int, asks binary, lengths binary, ids binary, counts binary"
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes each as the largest needs."""
+    return x.astype(np.min_scalar_type(x.max(initial=0))).tobytes()
+
+
+def _wide(x: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(x, f"u{len(x) // n}" if n else np.uint8).astype(np.int64)
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, batch.num_rows, ROWS):
+            part = batch.slice(begin, ROWS)
+            ids, counts = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.int32) for c in (3, 4))
+            lengths = np.array([len(x) // 4 for x in part.column(3).to_pylist()], np.int64)
+            asked = [pa.array([part.column(c).flatten()], pa.list_(t)) for c, t in enumerate((pa.int32(), pa.int64(), pa.float64()))]
+            told = [pa.array([_narrow(x)], pa.binary()) for x in (part.column(0).value_lengths().to_numpy(), lengths, ids, counts)]
+            yield pa.record_batch([*asked, pa.array([part.num_rows], pa.int32()), *told], names=["task", "target", "weight", "texts", "asks", "lengths", "ids", "counts"])
 
 
 def _flat(arrays: Arrays) -> np.ndarray:
@@ -346,13 +366,14 @@ def _sum_rows(heads: list[Head], config: Config, shared, factors: list[float]) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         student, total = Student(heads, config, shared.value), None
         for batch in batches:
-            ids, offsets = _ragged(batch.column(3).to_pylist())
-            counts, _ = _ragged(batch.column(4).to_pylist())
-            text = np.repeat(np.arange(batch.num_rows), batch.column(0).value_lengths().to_numpy())
-            task, target, weight = (batch.column(c).flatten().to_numpy() for c in range(3))
-            gradient, loss = student.gradient(task, target, weight * np.array(factors)[task], ids, counts, offsets, text)
-            flat = np.append(_flat(gradient), loss)
-            total = flat if total is None else total + flat
+            for i in range(batch.num_rows):
+                task, target, weight = (batch.column(c)[i].values.to_numpy() for c in range(3))
+                texts, asks, lengths, ids, counts = (batch.column(c)[i].as_py() for c in range(3, 8))
+                lengths = _wide(lengths, texts)
+                text, n = np.repeat(np.arange(texts), _wide(asks, texts)), int(lengths.sum())
+                gradient, loss = student.gradient(task, target, weight * np.array(factors)[task], _wide(ids, n), _wide(counts, n), np.append(0, np.cumsum(lengths)), text)
+                flat = np.append(_flat(gradient), loss)
+                total = flat if total is None else total + flat
         if total is not None:
             parts = np.array_split(total, BLOCKS)
             yield pa.record_batch([pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "sums"])
@@ -375,13 +396,13 @@ def train(rows: DataFrame, heads: list[Head], config: Config | None = None) -> t
 
     Targets are text: true or false, a candidate, or a number within 0 and 1. A row of
     another task or target is an error, as it is for the catalog. Every task counts alike,
-    whatever its rows. A null text has no words; ``words`` may stand for ``text``. The rows are written once as numbers and
-    read in each step; the same rows give the same model, however they are partitioned.
+    whatever its rows. A null text has no words; ``words`` may stand for ``text``. The rows are written once as numbers, many
+    texts to a row, and read in each step; the same rows give the same model, however they are partitioned.
     """
     config = config or Config()
     student, spark = Student(heads, config), rows.sparkSession
     weight = F.col("weight").cast("double") if "weight" in rows.columns else F.lit(1.0)
-    packed = written(rows.select("task_id", _said(rows), F.col("target").cast("string"), weight.alias("weight")).mapInArrow(_pack(heads, config.vocabulary), _PACKED), "student-rows")
+    packed = written(rows.select("task_id", _said(rows), F.col("target").cast("string"), weight.alias("weight")).mapInArrow(_pack(heads, config.vocabulary), _PACKED).mapInArrow(_in_blocks, _BLOCK), "student-rows")
     # a row for each task
     sizes = {r["task"]: r["w"] for r in packed.select(F.inline(F.arrays_zip("task", "weight"))).groupBy("task").agg(F.sum(F.round(F.col("weight") * GRID).cast("long")).alias("w")).collect()}
     if -1 in sizes or len(sizes) < len(heads) or min(sizes.values()) <= 0:

@@ -217,3 +217,25 @@ def test_documents_are_read_once(spark, monkeypatch):
         assert read.count("documents") == 1 and not any("documents" in f for f in out.inputFiles())
         assert out.count() > 0
         read.clear()
+
+
+def test_blocks_of_texts():
+    """Packed texts are joined in blocks, in few bytes, and their gradient is that of the texts one by one."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rows = samples(9, 400) + [(0, "keep", None, "true"), (0, "topic", "", "sea")] + [(0, "keep", "long " * 70_000, "true")]
+    batch = pa.record_batch([pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]), pa.array([r[3] for r in rows]), pa.array(np.linspace(0.5, 2, len(rows)))], names=["task", "text", "target", "weight"])
+    (packed,) = S._pack(HEADS, CONFIG.vocabulary)([batch])
+    blocks = list(S._in_blocks([packed]))
+    assert len(blocks) == -(-packed.num_rows // S.ROWS) and sum(b.column("texts")[0].as_py() for b in blocks) == packed.num_rows
+    assert sum(b.column("ids")[0].as_buffer().size for b in blocks) * 4 == sum(len(x) for x in packed.column("ids").to_pylist())
+    model = S.Student(HEADS, CONFIG)
+    found = [S.word_counts(r[2], CONFIG.vocabulary) for r in rows]
+    number = {"false": 0, "true": 1, "sea": 0, "hill": 1, "town": 2}
+    target = np.array([number[r[3]] if r[3] in number else round(float(r[3]) * S.GRID) for r in rows])
+    alone, loss = model.gradient(np.array([model.number[r[1]] for r in rows]), target, np.linspace(0.5, 2, len(rows)), *(np.concatenate([f[c] for f in found]) for c in range(2)), np.cumsum([0] + [len(f[0]) for f in found]))
+    (told,) = S._sum_rows(HEADS, CONFIG, SimpleNamespace(value=model.arrays), [1.0] * 3)(blocks)
+    flat = np.concatenate([np.frombuffer(x, np.int64) for x in told.column("sums").to_pylist()])
+    assert flat[-1] == loss and (flat[:-1] == S._flat(alone)).all()
